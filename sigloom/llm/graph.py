@@ -1,0 +1,32 @@
+"""Connected components of an edge table, by label propagation with pointer jumping.
+
+Every round is two equi-joins and partial minimum aggregations, so a node with very many links is combined
+before the shuffle, and each round's labels are staged. The number of rounds grows with the logarithm of
+the longest path.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .stage import staged
+
+
+def components(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """node, label: the smallest name reachable from each node that has an edge.
+
+    `edges` has a, b (long); `names` has node, rep (long): a node and its name. No edges give no rows.
+    """
+    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    touched = both.select(F.col("a").alias("node")).distinct()
+    labels = staged(touched.join(names.select("node", "rep"), "node").select("node", "rep", F.col("rep").alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node", "left").select("node", "rep", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
+        up = step.groupBy(F.col("rep").alias("next")).agg(F.min("next").alias("up"))
+        jumped = step.join(up, "next", "left").select("node", "rep", F.least("next", F.coalesce("up", "next")).alias("new"), "label")
+        labels = staged(jumped.select("node", "rep", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")), "labels")
+        if labels.where("moved").limit(1).count() == 0:
+            return labels.select("node", "label")
+        labels = labels.drop("moved")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linededup
+from . import linededup, minhash, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,15 +16,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.drop("host", "row", "keys")
+
+
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_quality_rules": op2_quality_rules,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": linededup.ORACLE}
+    return {
+        "op2_quality_rules": rules.ORACLE,
+        "op6_minhash_dedup": minhash.SQL,
+        "op10_line_dedup": linededup.ORACLE,
+    }
