@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, minhash, rules
+from . import bpe, fingerprint, linededup, minhash, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,11 +21,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("host", "row", "keys")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(fingerprint.edits(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(_table(spark, sf_dir, "documents"), rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -33,7 +43,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_fingerprints": op3_fingerprints,
         "op6_minhash_dedup": op6_minhash_dedup,
+        "op9_bpe": op9_bpe,
         "op10_line_dedup": op10_line_dedup,
     }
 
