@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, linededup, minhash, rules
+from . import bpe, fingerprint, linededup, minhash, quality, rules, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(documents, _table(spark, sf_dir, "labels")).drop("stats")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return judged.drop("host", "row", "keys")
@@ -25,6 +30,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(fingerprint.edits(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.listed_pages(pages)).drop("url")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -42,8 +52,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": op1_quality,
         "op2_quality_rules": op2_quality_rules,
         "op3_fingerprints": op3_fingerprints,
+        "op5_url_filter": op5_url_filter,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op9_bpe": op9_bpe,
         "op10_line_dedup": op10_line_dedup,
@@ -53,6 +65,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": rules.ORACLE,
+        "op5_url_filter": urlfilter.ORACLE,
         "op6_minhash_dedup": minhash.SQL,
         "op10_line_dedup": linededup.ORACLE,
     }
