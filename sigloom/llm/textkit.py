@@ -112,7 +112,10 @@ class Slice:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and the row bounds (rows+1) of all words."""
-        inside = ~_SPACE[self.b]
+        return self.runs(~_SPACE[self.b])
+
+    def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for maximal runs of marked bytes inside a row."""
         start, end = inside.copy(), inside.copy()
         start[1:] &= ~inside[:-1]
         end[:-1] &= ~inside[1:]
