@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, linededup, minhash, quality, rules, urlfilter
+from . import bpe, fingerprint, htmlx, langid, linededup, minhash, quality, rules, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlx.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("runs")
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op3_fingerprints": op3_fingerprints,
         "op5_url_filter": op5_url_filter,
         "op6_minhash_dedup": op6_minhash_dedup,
+        "op7_html_extraction": op7_html_extraction,
         "op8_language_id": op8_language_id,
         "op9_bpe": op9_bpe,
         "op10_line_dedup": op10_line_dedup,
