@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, htmlx, langid, linededup, minhash, quality, rules, urlfilter
+from . import bpe, fingerprint, htmlx, langid, linededup, minhash, mixing, quality, rules, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,18 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(fingerprint.edits(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+#: Target shares of tokens by domain.
+MIXTURE = {"clean": 0.92, "poor": 0.06, "toxic": 0.02}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    known, domains = mixing.posteriors(documents, mixing.quality_domains(_table(spark, sf_dir, "labels")))
+    rated = mixing.rates(known, mixing.fit(known, domains, MIXTURE))
+    doc_id = F.nullif(F.col("doc"), F.lit(mixing.NO_ID))
+    return rated.select(doc_id.alias("doc_id"), "n_tokens", *(F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(domains)), "rate")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, urlfilter.listed_pages(pages)).drop("url")
@@ -63,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op1_quality": op1_quality,
         "op2_quality_rules": op2_quality_rules,
         "op3_fingerprints": op3_fingerprints,
+        "op4_mixing": op4_mixing,
         "op5_url_filter": op5_url_filter,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_html_extraction": op7_html_extraction,
