@@ -6,13 +6,15 @@ shingle into bin i, so each bin fills for sure and two sketches agree in a bin w
 their resemblance, with the concentration of that scheme. Rows stop as soon as their bins are full.
 
 Candidates. BANDS bands of ROWS bins become bucket keys: a pair at resemblance 0.75 misses all of them with
-probability 1e-6. One bit of each of the T bins estimates resemblance; a pair whose estimate is more than five
-standard deviations below the threshold is not verified.
+probability 1e-6. One bit of each of the T bins (of WIDE bins, for nodes of buckets that stay divided) estimates
+resemblance; a pair whose estimate is more than five standard deviations below the threshold is not verified.
 
 Exact copies (equal shingle sets) are one node. Inside a bucket not all pairs are made: every node is paired
 with the bucket's smallest and largest node, which is linear; the pairs that pass the estimate are verified on
 full sets and linked nodes united. Only nodes that are still apart from the largest component of their bucket are
-then paired with its other components, so every candidate pair is either verified or already in one component.
+then paired with its other components, so every candidate pair is either verified or already in one component. An
+exact bound keeps these few: shingles that no other candidate holds cannot be common, so two nodes share at most the
+smaller number of their other shingles. It settles most heavily edited copies without a pair.
 
 Defined cases: null and empty texts and texts without words have no shingles and are linked with nothing; with
 fewer than five words the whole sequence is one shingle. Rows with equal ids are rows of their own. A null id
@@ -33,7 +35,7 @@ from . import textkit as tk
 from .graph import components
 from .stage import staged
 
-T = 512
+T, WIDE = 512, 4096
 ROWS, BANDS = 4, 36
 NO_ID = (1 << 63) - 1
 U64 = np.uint64
@@ -46,12 +48,13 @@ def sketches(flat: np.ndarray, at: np.ndarray, t: int = T) -> np.ndarray:
     out = np.full(rows * t, _FULL, U64)
     owner = np.repeat(np.arange(rows), sizes)
     values, done = flat, 0
+    low = U64((2 * t - 1).bit_length())  # of a bin's value, the high bits are the round
     while done < 2 * t and len(values):
         many = int(np.clip((1 << 14) // len(values), 1, (t if done < t else 2 * t) - done))
         for_round = np.arange(done, done + many, dtype=U64)
         g = tk.mix(values[None, :] + (for_round * U64(0x9E3779B97F4A7C15))[:, None])
         bins = (g & U64(t - 1)).astype(np.int64) if done < t else np.broadcast_to((for_round.astype(np.int64) - t)[:, None], g.shape)
-        np.minimum.at(out, (owner[None, :] * t + bins).ravel(), ((for_round << U64(53))[:, None] | (g >> U64(11))).ravel())
+        np.minimum.at(out, (owner[None, :] * t + bins).ravel(), ((for_round << (U64(64) - low))[:, None] | (g >> low)).ravel())
         done += many
         open_rows = (out.reshape(rows, t) == _FULL).any(axis=1)
         left = open_rows[owner]
@@ -65,6 +68,19 @@ def set_hash(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return tk.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U64))
 
 
+def _keys(s: np.ndarray) -> np.ndarray:
+    """The BANDS bucket keys of each sketch, flat."""
+    key = np.repeat(np.arange(1, BANDS + 1, dtype=U64)[None, :], len(s), axis=0)
+    for j in range(ROWS):
+        key = tk.mix(key * U64(0xE7037ED1A0B428DB) + s[:, j : BANDS * ROWS : ROWS])
+    return np.ascontiguousarray(key).ravel()
+
+
+def _bits(s: np.ndarray) -> np.ndarray:
+    """One bit of each bin of each sketch, packed, flat."""
+    return np.packbits((s & U64(1)).astype(np.uint8), axis=1).view(U64).ravel()
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -75,10 +91,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = sketches(flat, at)[some]
             node = np.zeros(piece.rows, np.int64)
             node[some] = set_hash(flat, at).view(np.int64)[some]
-            key = np.repeat(np.arange(1, BANDS + 1, dtype=U64)[None, :], len(some), axis=0)
-            for j in range(ROWS):
-                key = tk.mix(key * U64(0xE7037ED1A0B428DB) + s[:, j : BANDS * ROWS : ROWS])
-            bits = np.packbits((s & U64(1)).astype(np.uint8), axis=1).view(np.int64)
+            key, bits = _keys(s), _bits(s)
             has = sizes > 0
             count = np.concatenate([[0], np.cumsum(has)])
             yield pa.RecordBatch.from_arrays(
@@ -86,8 +99,8 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.slice(piece.lo, piece.rows),
                     pa.array(sizes.astype(np.int64)),
                     pa.array(node, mask=~has),
-                    tk.long_lists(np.ascontiguousarray(key).ravel(), count * BANDS),
-                    tk.long_lists(bits.ravel().view(U64), count * (T // 64)),
+                    tk.long_lists(key, count * BANDS),
+                    tk.long_lists(bits, count * (T // 64)),
                 ],
                 names=["doc_id", "n_shingles", "node", "bands", "bits"],
             )
@@ -101,15 +114,20 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat, at = tk.shingles(piece)
             own = wanted[piece.lo : piece.hi]
             good = np.flatnonzero((set_hash(flat, at).view(np.int64) == own) & (np.diff(at) > 0))
-            lists = tk.long_lists(flat, at).take(pa.array(good))
-            yield pa.RecordBatch.from_arrays([pa.array(own[good]), lists], names=["node", "shingles"])
+            for lo in range(0, len(good), 256):
+                rows = good[lo : lo + 256]
+                bounds = np.concatenate([[0], np.cumsum(np.diff(at)[rows])])
+                part = np.concatenate([flat[at[i] : at[i + 1]] for i in rows])
+                every = np.arange(len(rows) + 1)
+                lists = [tk.long_lists(part, bounds), tk.long_lists(_keys(sketches(part, bounds)), every * BANDS), tk.long_lists(_bits(sketches(part, bounds, WIDE)), every * (WIDE // 64))]
+                yield pa.RecordBatch.from_arrays([pa.array(own[rows]), *lists], names=["node", "shingles", "bands", "bits"])
 
 
-def _likely(x: str, y: str, percent: int) -> Column:
+def _likely(x: str, y: str, percent: int, t: int = T) -> Column:
     """Sizes and one-bit estimate allow the threshold; x and y are aliases with n_shingles and bits."""
-    differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(1, T // 64)), F.bit_count(F.col(f"{x}.bits")[0].bitwiseXOR(F.col(f"{y}.bits")[0])))
+    differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(1, t // 64)), F.bit_count(F.col(f"{x}.bits")[0].bitwiseXOR(F.col(f"{y}.bits")[0])))
     share = (1 + percent / 100) / 2
-    most = int(np.ceil(T * (1 - share) + 5 * np.sqrt(T * share * (1 - share))))
+    most = int(np.ceil(t * (1 - share) + 5 * np.sqrt(t * share * (1 - share))))
     small, large = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
     return (100 * small >= percent * large) & (differ <= most)
 
@@ -134,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = known.where("node IS NOT NULL").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
     nodes = staged(nodes, "nodes")
 
-    keyed = known.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
+    keyed = known.where("node IS NOT NULL").select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("size")).where("p <> q")
     members = staged(keyed.join(shared, "bucket").distinct(), "members")
 
@@ -145,13 +163,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(members.where("size > 3").select("node")).distinct()
     places = wanted.join(nodes.select("node", "rep"), "node")
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text").join(places, "rep").select("node", "text")
-    sets = staged(texts.mapInArrow(_set_rows, "node long, shingles array<long>"), "sets")
+    sets = staged(texts.mapInArrow(_set_rows, "node long, shingles array<long>, bands array<long>, bits array<long>"), "sets")
 
     edges = staged(_verified(first, sets, percent), "edges")
     names = nodes.select("node", "rep")
     labels = components(edges, names)
 
-    apart = _apart(members.where("size > 3"), nodes, labels, percent).join(first, ["a", "b"], "left_anti")
+    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    alone = staged(held.where("node = last").groupBy("node").agg(F.count("*").alias("alone")), "alone")
+    apart = _apart(members.where("size > 3"), nodes, labels, sets, alone, percent).join(first, ["a", "b"], "left_anti")
     second = staged(apart, "apart")
     if second.limit(1).count():
         more = staged(_verified(second, sets, percent), "more")
@@ -169,16 +189,26 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.where(_likely("x", "y", percent)).select("a", "b")
 
 
-def _apart(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between components: in each bucket, nodes outside its largest one against the rest."""
-    state = nodes.join(labels, "node", "left").select("node", "n_shingles", "bits", F.coalesce("label", "rep").alias("label"))
-    placed = members.select("bucket", "node").join(state.select("node", "label"), "node")
+def _apart(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs between components: in each bucket, nodes outside its largest one against the rest.
+
+    `alone` has the number of each node's shingles that no other candidate holds.
+    """
+    shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    named = nodes.join(labels, "node", "left").select("node", "n_shingles", F.coalesce("label", "rep").alias("label"))
+    placed = members.select("bucket", "node").join(named.select("node", "label"), "node")
     per_label = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = per_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("main"))
-    rows = members.select("bucket", "node").join(main, "bucket").join(state, "node")
+    state = named.join(sets.select("node", "bands", "bits"), "node").join(alone, "node", "left").withColumn("shared", shared)
+    able = state.where(100 * F.col("shared") >= percent * F.col("n_shingles")).drop("alone")
+    rows = members.select("band", "bucket", "node").join(main, "bucket").join(able, "node")
     x, y = rows.where("label <> main").alias("x"), rows.alias("y")
     once = (F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & once & _likely("x", "y", percent))
+    common = F.least("x.shared", "y.shared")
+    enough = 100 * common >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - common)
+    # Only in the first bucket that both are in.
+    here = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & once & enough & _likely("x", "y", percent, WIDE) & here)
     return met.select(*_pair(F.col("x.node"), F.col("y.node"))).distinct()
 
 
