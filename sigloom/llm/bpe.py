@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_SIZE, MEMO_CHARS = 600_000, 48
+MEMO_SIZE, MEMO_CHARS = 500_000, 48
 NO_RANK = -1
 
 
@@ -46,49 +46,67 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         return (whole,)
     n = len(piece)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair = [NO_RANK] * n
-    buckets: dict[int, list[int]] = {}
+    pair = [find(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
+    pair.append(NO_RANK)
+    # A bucket of one position is that position; of more, a heap.
+    buckets: dict[int, int | list[int]] = {}
     low: dict[int, int] = {}
     top = 0
-    fresh = [(i, piece[i : i + 2]) for i in range(n - 1)]
+    fresh = range(n - 1)
     while True:
-        for i, token in fresh:
-            rank = find(token, NO_RANK)
-            pair[i] = rank
-            if rank >= 0:
-                bucket = buckets.get(rank)
-                if bucket:
+        for i in fresh:
+            rank = pair[i]
+            if rank < 0:
+                continue
+            if rank in buckets:
+                bucket = buckets[rank]
+                if bucket.__class__ is int:
+                    buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+                else:
                     heappush(bucket, i)
+            else:
+                buckets[rank] = i
+                group = rank >> 8
+                top |= 1 << group
+                if group in low:
+                    low[group] |= 1 << (rank & 255)
                 else:
-                    buckets[rank] = [i]
-                    group = rank >> 8
-                    low[group] = low.get(group, 0) | 1 << (rank & 255)
-                    top |= 1 << group
+                    low[group] = 1 << (rank & 255)
         if not top:
             break
         group = (top & -top).bit_length() - 1
         bits = low[group]
         rank = group << 8 | (bits & -bits).bit_length() - 1
-        bucket = buckets[rank]
-        i = heappop(bucket)
+        i = buckets[rank]
+        if i.__class__ is not int:
+            bucket, i = i, heappop(i)
+        else:
+            bucket = None
         if not bucket:
+            del buckets[rank]
             bits &= bits - 1
-            low[group] = bits
-            if not bits:
+            if bits:
+                low[group] = bits
+            else:
+                del low[group]
                 top &= top - 1
         if pair[i] != rank:
             fresh = ()
             continue
         j = after[i]
         k = after[i] = after[j]
-        pair[j] = pair[i] = NO_RANK
+        pair[j] = NO_RANK
         h = before[i]
-        fresh = []
         if k < n:
             before[k] = i
-            fresh.append((i, piece[i : after[k]]))
+            pair[i] = find(piece[i : after[k]], NO_RANK)
+        else:
+            pair[i] = NO_RANK
         if h >= 0:
-            fresh.append((h, piece[h:k]))
+            pair[h] = find(piece[h:k], NO_RANK)
+            fresh = (h, i)
+        else:
+            fresh = (i,)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -97,14 +115,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Encoder(dict):
-    """Ids of a match by the match; `text` gives those of a text."""
+    """Ids of a match by the match; `text` gives those of a text.
+
+    The memo has two generations: when the young one (this dict) is full it becomes the old one, and what is
+    still used moves back, so frequent matches stay.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.split, self.old = ranks, regex.compile(pattern).findall, {}
 
     def __missing__(self, match: str) -> tuple[int, ...]:
-        ids = merge(match.encode(), self.ranks)
+        ids = self.old.pop(match, None)
+        if ids is None:
+            ids = merge(match.encode(), self.ranks)
         if len(match) <= MEMO_CHARS:
             self[match] = ids
         return ids
@@ -112,6 +136,7 @@ class Encoder(dict):
     def text(self, text: str) -> list[int]:
         ids = list(chain.from_iterable(map(self.__getitem__, self.split(text))))
         if len(self) > MEMO_SIZE:
+            self.old = dict(self)
             self.clear()
         return ids
 
