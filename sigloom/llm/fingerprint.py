@@ -122,18 +122,20 @@ def _order(keyed: DataFrame) -> tuple[DataFrame, bool]:
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """doc_id, text, n_chars, edited, sketch, edited_sketch, next_sketch of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
     links, repeats = _order(keyed.select("doc", "row", F.char_length("text").cast("long").alias("n_chars")))
-    own = keyed.withColumn("sketch", sketch(F.col("text"), k)).repartition("doc", "row")
+    # Both uses of `own` read the same three columns, so the texts are shuffled once and the exchange is reused.
+    own = keyed.select("doc", "row", "text").repartition("doc", "row")
     heads = own.join(links, ["doc", "row"]).select(
         F.col("before_doc").alias("doc"), F.col("before_row").alias("row"),
-        F.expr("left(text, cast(before_chars div 3 as int))").alias("head"), F.col("sketch").alias("next_sketch"),
+        F.expr("left(text, cast(before_chars div 3 as int))").alias("head"), sketch(F.col("text"), k).alias("next_sketch"),
     )
     if repeats:
         heads = heads.dropDuplicates(["doc", "row"])
     n = F.char_length("text")
     paired = own.join(heads, ["doc", "row"]).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - char_length(text) div 3)"), F.col("head")))
-    return paired.select("doc_id", "text", n.cast("long").alias("n_chars"), "edited", "sketch", sketch(F.col("edited"), k).alias("edited_sketch"), "next_sketch")
+    doc_id = F.nullif(F.col("doc"), F.lit(NO_ID))
+    return paired.select(doc_id.alias("doc_id"), "text", n.cast("long").alias("n_chars"), "edited", sketch(F.col("text"), k).alias("sketch"), sketch(F.col("edited"), k).alias("edited_sketch"), "next_sketch")
 
 
 def digest(edited: DataFrame, k: int = K) -> DataFrame:
