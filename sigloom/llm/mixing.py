@@ -37,7 +37,7 @@ from .stage import staged
 
 U64 = np.uint64
 BITS = 20
-Z, LEAST, MAX_WORDS = 5.0, 8, 4096
+Z, LEAST, MAX_WORDS = 5.0, 8, 1024
 ROUNDS, TOLERANCE = 40, 1e-4
 NO_ID = -(1 << 63)
 
@@ -60,12 +60,12 @@ class Classifier:
     weights: np.ndarray  # (words + statistics + 1) x domains
 
     def inputs(self, piece: tk.Slice) -> np.ndarray:
-        stats = np.clip((statistics.table(piece) - self.mean) / self.scale, -5, 5)
-        words = np.zeros((piece.rows, len(self.weights) - len(statistics.NAMES) - 1))
+        stats = np.clip((statistics.table(piece) - self.mean) / self.scale, -5, 5).astype(np.float32)
+        words = np.zeros((piece.rows, len(self.weights) - len(statistics.NAMES) - 1), np.float32)
         row, slot = word_slots(piece)
         at = self.place[slot]
         words[row[at >= 0], at[at >= 0]] = 1
-        return np.concatenate([words, stats, np.ones((piece.rows, 1))], axis=1)
+        return np.concatenate([words, stats, np.ones((piece.rows, 1), np.float32)], axis=1)
 
     def posteriors(self, piece: tk.Slice) -> np.ndarray:
         return _softmax(self.inputs(piece) @ self.weights)
@@ -82,23 +82,26 @@ def learn(texts: pa.Array, domains: list[str], steps: int = 400, l2: float = 1e-
         return None
     gold = np.array([names.index(d) for d in domains])
     hot = np.eye(len(names))[gold]
-    pieces = list(tk.row_slices(texts))
-    found = np.zeros((1 << BITS, len(names)))
+    pieces = list(tk.row_slices(texts, 1 << 18))
+    k = len(names)
+    found = np.zeros((1 << BITS) * k, np.int32)
     stats = []
     for piece in pieces:
         row, slot = word_slots(piece)
-        np.add.at(found, (slot, gold[piece.lo + row]), 1)
+        np.add.at(found, slot * k + gold[piece.lo + row], 1)
         stats.append(statistics.table(piece))
     x = np.concatenate(stats)
     size = hot.sum(axis=0)
-    rest_n, rest = len(gold) - size, found.sum(axis=1, keepdims=True) - found
-    p, q = (found + 0.5) / (size + 1), (rest + 0.5) / (rest_n + 1)
-    both = (found + rest + 1) / (len(gold) + 2)
+    found = found.reshape(-1, k)
+    often = np.flatnonzero(found.sum(axis=1) >= LEAST)
+    own = found[often].astype(float)
+    rest_n, rest = len(gold) - size, own.sum(axis=1, keepdims=True) - own
+    p, q = (own + 0.5) / (size + 1), (rest + 0.5) / (rest_n + 1)
+    both = (own + rest + 1) / (len(gold) + 2)
     z = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / np.maximum(size, 1) + 1 / np.maximum(rest_n, 1)))
-    z[(found + rest).max(axis=1) < LEAST] = 0
     best = z.max(axis=1)
-    telling = np.flatnonzero(best > Z)
-    telling = np.sort(telling[np.argsort(-best[telling], kind="stable")[:MAX_WORDS]])
+    first = np.argsort(-best, kind="stable")[:MAX_WORDS]
+    telling = np.sort(often[first[best[first] > Z]])
     place = np.full(1 << BITS, -1, np.int32)
     place[telling] = np.arange(len(telling))
     model = Classifier(names, place, x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6), np.zeros((len(telling) + x.shape[1] + 1, len(names))))
@@ -115,7 +118,7 @@ def learn(texts: pa.Array, domains: list[str], steps: int = 400, l2: float = 1e-
     return model
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rows: int = 6_000) -> tuple[DataFrame, list[str]]:
+def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rows: int = 3_000) -> tuple[DataFrame, list[str]]:
     """doc, row, n_tokens, posteriors of every row (staged), and the domains in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"))

@@ -37,7 +37,7 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse, both modulo 2**64; grown by doubling."""
     have = _tables.get(which)
     if have is None or len(have[0]) <= n:
-        size = max(SLICE_BYTES * 2, 1 << int(n + 1).bit_length())
+        size = max(1 << 16, 1 << int(n + 1).bit_length())
         pair = []
         for base in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
             out = np.full(size, base, U64)
