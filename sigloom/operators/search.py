@@ -24,8 +24,13 @@ def percent_found(found: Column, n: Column) -> Column:
 
 
 def kmer_counts(queries: DataFrame, k: int) -> DataFrame:
-    """query_id, kmer: the distinct k-mers of each query, as written (a k-mer and its complement are two)."""
-    return km.occurrences(queries, "query_id", "seq", k).select("query_id", "kmer").distinct()
+    """query_id, kmer: the distinct k-mers of each query (one row per query_id), as written: a k-mer and its complement are two."""
+    return queries.select("query_id", F.explode(F.array_distinct(km.kmers(F.col("seq"), k))).alias("kmer"))
+
+
+def kmer_sizes(queries: DataFrame, k: int) -> DataFrame:
+    """query_id, num_kmers of the queries that have a k-mer."""
+    return queries.select("query_id", F.size(F.array_distinct(km.kmers(F.col("seq"), k))).cast("bigint").alias("num_kmers")).where("num_kmers > 0")
 
 
 def too_short(queries: DataFrame, k: int) -> DataFrame:
@@ -33,15 +38,15 @@ def too_short(queries: DataFrame, k: int) -> DataFrame:
     return queries.where(F.coalesce(F.char_length("seq"), F.lit(0)) < k)
 
 
-def found_counts(queries: DataFrame, signature: DataFrame, k: int, h: int, m: int) -> tuple[DataFrame, DataFrame]:
+def found_counts(queries: DataFrame, signature: DataFrame, k: int, h: int, m: int, stored: bool = True) -> tuple[DataFrame, DataFrame]:
     """(query_id, colour, num_kmers_found) and (query_id, num_kmers)."""
     own = kmer_counts(queries, k)
-    met = own.join(sig.lookup(own, signature, h, m), "kmer")
+    met = own.join(sig.lookup(own, signature, h, m, stored), "kmer")
     bits = words.unpack(met, ["query_id"], "colour")
-    return bits.groupBy("query_id", "colour").agg(F.count("*").alias("num_kmers_found")), own.groupBy("query_id").agg(F.count("*").alias("num_kmers"))
+    return bits.groupBy("query_id", "colour").agg(F.count("*").alias("num_kmers_found")), kmer_sizes(queries, k)
 
 
-def search(queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int, threshold: float = 1.0, score: bool = False) -> DataFrame:
+def search(queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int, threshold: float = 1.0, score: bool = False, stored: bool = True) -> DataFrame:
     """query_id, colour, sample_name, num_kmers, num_kmers_found, percent_kmers_found of the hits, and their statistics.
 
     Deleted samples are left out. A threshold of 0 or less returns every sample, also with nothing found. A query
@@ -49,7 +54,7 @@ def search(queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int,
     """
     if threshold > 1:
         raise ValueError("the threshold is at most 1")
-    found, sizes = found_counts(queries, signature, k, h, m)
+    found, sizes = found_counts(queries, signature, k, h, m, stored)
     live = samples.where(~F.col("deleted")).select("colour", "sample_name")
     if threshold > 0:
         need = F.col("num_kmers") if threshold == 1.0 else F.ceil(F.col("num_kmers") * F.lit(float(threshold)))
@@ -59,13 +64,13 @@ def search(queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int,
         every = sizes.crossJoin(live)
         hits = every.join(found, ["query_id", "colour"], "left").withColumn("num_kmers_found", F.coalesce("num_kmers_found", F.lit(0)))
     hits = hits.select("query_id", "colour", "sample_name", "num_kmers", "num_kmers_found", percent_found(F.col("num_kmers_found"), F.col("num_kmers")).alias("percent_kmers_found"))
-    return with_scores(hits, queries, signature, samples, k, h, m) if score else hits
+    return with_scores(hits, queries, signature, samples, k, h, m, stored) if score else hits
 
 
-def presence(hits: DataFrame, queries: DataFrame, signature: DataFrame, k: int, h: int, m: int) -> DataFrame:
+def presence(hits: DataFrame, queries: DataFrame, signature: DataFrame, k: int, h: int, m: int, stored: bool = True) -> DataFrame:
     """query_id, colour, kmer-presence: one character for each k-mer occurrence of the query, in order."""
     every = km.occurrences(queries, "query_id", "seq", k)
-    found = sig.lookup(every, signature, h, m)
+    found = sig.lookup(every, signature, h, m, stored)
     asked = hits.select("query_id", "colour", words.word_of(F.col("colour")).alias("word_no")).join(every, "query_id")
     marks = asked.join(found, ["kmer", "word_no"], "left")
     bit = F.coalesce(words.bit_at(F.col("bits"), F.col("colour")).cast("int"), F.lit(0))
@@ -73,8 +78,8 @@ def presence(hits: DataFrame, queries: DataFrame, signature: DataFrame, k: int,
     return marks.groupBy("query_id", "colour").agg(text.alias("kmer-presence"))
 
 
-def with_scores(hits: DataFrame, queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int) -> DataFrame:
-    marked = hits.join(presence(hits, queries, signature, k, h, m), ["query_id", "colour"])
+def with_scores(hits: DataFrame, queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int, stored: bool = True) -> DataFrame:
+    marked = hits.join(presence(hits, queries, signature, k, h, m, stored), ["query_id", "colour"])
     size = samples.agg(F.coalesce(F.max("colour") + 1, F.lit(0)).alias("_db_size"))
     scored = marked.crossJoin(F.broadcast(size)).withColumn("_score", sc.score_presence(F.col("kmer-presence"), F.col("_db_size")))
     return scored.select(*hits.columns, *(F.col("_score")[c].alias(c) for c in sc.NAMES), "kmer-presence")

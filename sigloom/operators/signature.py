@@ -16,16 +16,26 @@ from sigloom.functions import kmers as km
 from sigloom.functions import murmur, words
 
 
+def _hashed(kmers: DataFrame, key: str, h: int, m: int) -> DataFrame:
+    """key, row_index from (key, kmer), with repeats."""
+    own = kmers.select(key, km.canonical(F.col("kmer")).alias("kmer")).where("kmer IS NOT NULL")
+    return murmur.with_rows(own, "kmer", h, m).select(key, F.explode_outer("rows").alias("row_index"))
+
+
 def bloom_of_kmers(kmers: DataFrame, key: str, h: int, m: int) -> DataFrame:
-    """key, row_index from (key, kmer): k-mers are made canonical and distinct before hashing."""
-    unique = kmers.select(key, km.canonical(F.col("kmer")).alias("kmer")).where("kmer IS NOT NULL").distinct()
-    return murmur.with_rows(unique, "kmer", h, m).select(key, F.explode_outer("rows").alias("row_index")).distinct()
+    """key, row_index from (key, kmer); k-mers are made canonical before hashing."""
+    return _hashed(kmers, key, h, m).distinct()
 
 
 def bloom_of_sequences(seqs: DataFrame, key: str, seq: str, k: int, h: int, m: int) -> DataFrame:
     return bloom_of_kmers(km.occurrences(seqs, key, seq, k), key, h, m)
 
 
+def signature_of_sequences(seqs: DataFrame, seq: str, k: int, h: int, m: int) -> DataFrame:
+    """The signature of (colour, seq). bit_or ignores repeats, so nothing is made distinct before the one shuffle."""
+    return transpose(_hashed(km.occurrences(seqs, "colour", seq, k), "colour", h, m))
+
+
 def transpose(bloom: DataFrame) -> DataFrame:
     return words.pack(bloom, ["row_index"], "colour").select("row_index", "word_no", "bits")
 
@@ -74,14 +84,17 @@ def merge(left: DataFrame, right: DataFrame, num_left: int) -> DataFrame:
     return compact(left.select("row_index", "word_no", "bits").unionByName(moved))
 
 
-def lookup(kmers: DataFrame, signature: DataFrame, h: int, m: int) -> DataFrame:
+def lookup(kmers: DataFrame, signature: DataFrame, h: int, m: int, stored: bool = True) -> DataFrame:
     """kmer, word_no, bits of the samples that have every row of a k-mer.
 
-    A missing word is zero, so a word counts only if all distinct rows of the k-mer have it.
+    A missing word is zero, so a word counts only if all distinct rows of the k-mer have it. Of a signature that is not
+    `stored` but computed in the same plan, only the asked rows are made: the semi join moves below its aggregation.
     """
     unique = kmers.select("kmer").where("kmer IS NOT NULL").distinct().withColumn("_hashed", km.canonical(F.col("kmer")))
     hashed = murmur.with_rows(unique, "_hashed", h, m)
     wanted = hashed.select("kmer", F.size("rows").alias("n_rows"), F.explode_outer("rows").alias("row_index"))
+    if not stored:
+        signature = signature.join(wanted.select("row_index").distinct(), "row_index", "left_semi")
     met = wanted.join(signature, "row_index")
     anded = met.groupBy("kmer", "word_no").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("met"), F.max("n_rows").alias("n_rows"))
     return anded.where((F.col("met") == F.col("n_rows")) & (F.col("bits") != 0)).select("kmer", "word_no", "bits")

@@ -59,7 +59,7 @@ def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signature_of(samples: DataFrame) -> DataFrame:
-    return sig.transpose(sig.bloom_of_sequences(samples, "colour", "seq", K, H, M))
+    return sig.signature_of_sequences(samples, "seq", K, H, M)
 
 
 def _dna(x: str) -> str:
@@ -99,9 +99,9 @@ MURMUR = (
 
 @query(f"SELECT doc_id, count(*) AS n_kmers, count(DISTINCT kmer) AS n_distinct FROM (SELECT doc_id, {_kmers('text')} AS kmer FROM documents) t GROUP BY doc_id")
 def kmerise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = km.occurrences(table(spark, sf_dir, "documents"), "doc_id", "text", K)
-    per_kmer = every.groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
-    return per_kmer.groupBy("doc_id").agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_distinct"))
+    every = km.kmers(F.col("text"), K)
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.size(every).cast("bigint").alias("n_kmers"), F.size(F.array_distinct(every)).cast("bigint").alias("n_distinct"))
+    return sizes.where("n_kmers > 0")
 
 
 @query(f"WITH {PARTS} SELECT colour, reverse(translate(seq, 'ACGT', 'TGCA')) AS complement FROM parts")
@@ -111,8 +111,8 @@ def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PARTS} SELECT DISTINCT colour, {_canonical('kmer')} AS kmer FROM (SELECT colour, {_kmers('seq')} AS kmer FROM parts) t")
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = km.occurrences(part_samples(spark, sf_dir), "colour", "seq", K)
-    return every.select("colour", km.canonical(F.col("kmer")).alias("kmer")).distinct()
+    own = F.array_distinct(F.transform(km.kmers(F.col("seq"), K), km.canonical))
+    return part_samples(spark, sf_dir).select("colour", F.explode(own).alias("kmer"))
 
 
 @query(
@@ -250,12 +250,12 @@ def insert_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{BASE} SELECT DISTINCT kmer, colour FROM own JOIN held USING (c)")
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kmers = search.kmer_counts(part_queries(spark, sf_dir), K)
-    return words.unpack(sig.lookup(kmers, signature_of(part_samples(spark, sf_dir)), H, M), ["kmer"], "colour")
+    return words.unpack(sig.lookup(kmers, signature_of(part_samples(spark, sf_dir)), H, M, stored=False), ["kmer"], "colour")
 
 
 def _search(spark: SparkSession, sf_dir: str, threshold: float, score: bool = False) -> DataFrame:
     samples = part_samples(spark, sf_dir)
-    return search.search(part_queries(spark, sf_dir), signature_of(samples), samples.drop("seq"), K, H, M, threshold, score)
+    return search.search(part_queries(spark, sf_dir), signature_of(samples), samples.drop("seq"), K, H, M, threshold, score, stored=False)
 
 
 @query(f"{BASE} SELECT {HITS} FROM found JOIN sizes USING (query_id) JOIN parts USING (colour) WHERE num_kmers_found = num_kmers")
@@ -276,7 +276,7 @@ def search_threshold_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "region")
     samples = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("colour"), F.col("n_name").alias("sample_name"), F.lit(False).alias("deleted"), F.concat(dna(F.col("r_name")), dna(F.col("n_name"))).alias("seq"))
     asked = regions.select(F.col("r_name").alias("query_id"), dna(F.col("r_name")).alias("seq"))
-    return search.search(asked, signature_of(samples), samples.drop("seq"), K, H, M, 0.0)
+    return search.search(asked, signature_of(samples), samples.drop("seq"), K, H, M, 0.0, stored=False)
 
 
 _TEXTS = "asked AS (SELECT item_id AS query_id, text AS seq FROM benchmark), parts AS (SELECT doc_id AS colour, 'doc' || doc_id AS sample_name, text AS seq FROM documents)"
@@ -287,7 +287,7 @@ def bulk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold at least a tenth of a benchmark item's k-mers: whole items against whole documents."""
     samples = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("colour"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("sample_name"), F.lit(False).alias("deleted"), F.col("text").alias("seq"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("seq"))
-    return search.search(asked, signature_of(samples), samples.drop("seq"), K, H, M, 0.1)
+    return search.search(asked, signature_of(samples), samples.drop("seq"), K, H, M, 0.1, stored=False)
 
 
 @query("SELECT c_custkey AS n, CAST(o_orderkey AS BIGINT) AS found, round_even(100.0 * o_orderkey / (o_orderkey + c_custkey), 2) AS percent FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey + c_custkey <= 1000")
@@ -341,8 +341,8 @@ _PRESENCE = f"{BASE}, occ AS (SELECT query_id, pos, substr(seq, CAST(pos AS BIGI
 def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = part_samples(spark, sf_dir)
     signature, asked = signature_of(samples), part_queries(spark, sf_dir)
-    hits = search.search(asked, signature, samples.drop("seq"), K, H, M, THRESHOLD)
-    return search.presence(hits, asked, signature, K, H, M)
+    hits = search.search(asked, signature, samples.drop("seq"), K, H, M, THRESHOLD, stored=False)
+    return search.presence(hits, asked, signature, K, H, M, stored=False)
 
 
 @query(f"{_PRESENCE} SELECT query_id, colour, s AS \"kmer-presence\" FROM p")
