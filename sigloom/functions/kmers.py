@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Start positions per chunk; a substring of a UTF-8 string is found by a scan from its start.
-CHUNK = 512
+#: Start positions per chunk, outer and inner: a substring of a UTF-8 string is found by a scan from its start.
+CHUNKS = (4096, 64)
 
 # The two orders of bases that the file format and the text form of a k-mer use.
 ALPHABET = "ACGT"
 TEXT_BITS = {"A": "00", "G": "01", "C": "10", "T": "11"}
 
 
+def _chunks(text: Column, size: int, k: int) -> Column:
+    """Pieces of a text of at least k characters that have `size` start positions each; they overlap by k-1."""
+    last = F.floor((F.char_length(text) - F.lit(k)) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.substring(text, c * size + 1, F.lit(size + k - 1)))
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All substrings of length k in order, with repeats; empty for a null or shorter sequence."""
-    n = F.char_length(seq) - F.lit(k - 1)
 
-    def of_chunk(c: Column) -> Column:
-        start = c * CHUNK
-        chunk = F.substring(seq, start + 1, F.lit(CHUNK + k - 1))
-        here = F.least(n - start, F.lit(CHUNK))
-        return F.transform(F.array(chunk), lambda text: F.transform(F.sequence(F.lit(1), here), lambda i: F.substring(text, i, F.lit(k))))[0]
+    def of_chunk(text: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.char_length(text) - F.lit(k - 1)), lambda i: F.substring(text, i, F.lit(k)))
 
-    chunks = F.sequence(F.lit(0), F.expr("0") + F.floor((n - 1) / CHUNK).cast("int"))
-    return F.when(n >= 1, F.flatten(F.transform(chunks, of_chunk))).otherwise(F.array().cast("array<string>"))
+    outer, inner = CHUNKS
+    every = F.flatten(F.transform(_chunks(seq, outer, k), lambda text: F.flatten(F.transform(_chunks(text, inner, k), of_chunk))))
+    return F.when(F.char_length(seq) >= k, every).otherwise(F.array().cast("array<string>"))
 
 
 def reverse_complement(seq: Column) -> Column:
