@@ -11,10 +11,16 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of a batch for Python workers where the session has Spark's default: rows here are texts, some of them long.
+BATCH_ROWS = "2000"
+BATCH_KEY, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package to the executors of this application, once; Spark's file server delivers it."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
         target = os.path.join(tempfile.mkdtemp(prefix="sigloom-"), "sigloom.zip")
