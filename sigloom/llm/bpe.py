@@ -15,9 +15,9 @@ pass all other columns through; a column named like the added one is replaced.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_SIZE, MEMO_CHARS = 500_000, 48
+MEMO_SIZE, MEMO_CHARS = 350_000, 48
 NO_RANK = -1
 
 
@@ -115,7 +115,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Encoder(dict):
-    """Ids of a match by the match; `text` gives those of a text.
+    """Ids of a match, as the bytes of 32-bit numbers, by the match; `text` gives those of a text.
 
     The memo has two generations: when the young one (this dict) is full it becomes the old one, and what is
     still used moves back, so frequent matches stay.
@@ -125,16 +125,16 @@ class Encoder(dict):
         super().__init__()
         self.ranks, self.split, self.old = ranks, regex.compile(pattern).findall, {}
 
-    def __missing__(self, match: str) -> tuple[int, ...]:
+    def __missing__(self, match: str) -> bytes:
         ids = self.old.pop(match, None)
         if ids is None:
-            ids = merge(match.encode(), self.ranks)
+            ids = array("i", merge(match.encode(), self.ranks)).tobytes()
         if len(match) <= MEMO_CHARS:
             self[match] = ids
         return ids
 
-    def text(self, text: str) -> list[int]:
-        ids = list(chain.from_iterable(map(self.__getitem__, self.split(text))))
+    def text(self, text: str) -> np.ndarray:
+        ids = np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), np.int32)
         if len(self) > MEMO_SIZE:
             self.old = dict(self)
             self.clear()
@@ -170,7 +170,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
             bounds = [0]
             for i, text in enumerate(batch.column(0)):
                 ids = encoder.text(text.as_py() or "")
-                flat.append(np.array(ids, np.int32))
+                flat.append(ids)
                 bounds.append(bounds[-1] + len(ids))
                 if bounds[-1] >= 1 << 20 or i == batch.num_rows - 1:
                     lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat)))
