@@ -225,7 +225,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Model | None:
 def _labeller(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in tk.row_slices(batch.column(0), 2 << 20):
+            for piece in tk.row_slices(batch.column(0), 1 << 20):
                 ascii_letters = np.concatenate([[0], np.cumsum(_ASCII[piece.b])])[piece.o]
                 speaks = np.diff(ascii_letters) > 0
                 for i in np.flatnonzero(~speaks & (np.diff(piece.o) > 0)):

@@ -163,7 +163,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text (column 0) and bitmap (column 1) to the kept text and two counts; other columns follow as they are."""
-    for batch in batches:
+    for batch in (small for large in batches for small in tk.small_batches(large)):
         texts, n_lines, n_dropped = [], [], []
         for text, keep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             lines = 1 + text.count("\n") if text else 1

@@ -137,7 +137,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text (column 0) without the lines whose hashes are in column 1; other columns follow."""
-    for batch in batches:
+    for batch in (small for large in batches for small in tk.small_batches(large)):
         texts = batch.column(0).to_pylist()
         for piece in tk.row_slices(batch.column(0)):
             marked = [i for i in range(piece.rows) if batch.column(1)[piece.lo + i].is_valid]

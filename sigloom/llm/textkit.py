@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SLICE_ROWS = 2048
 
 _SPACE = np.zeros(256, bool)
@@ -150,6 +150,12 @@ def row_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
         yield Slice(raw, offsets, lo, hi)
 
 
+def small_batches(batch: pa.RecordBatch, column: int = 0, most: int = 8 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in batches of at most `most` bytes of text, or of one row."""
+    for lo, hi in slices(strings(batch.column(column))[1], most):
+        yield batch.slice(lo, hi - lo)
+
+
 def windows(word_hash: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window of `width` words inside one row, and the row bounds of the windows."""
     n = np.diff(bounds)
