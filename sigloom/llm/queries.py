@@ -49,7 +49,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
