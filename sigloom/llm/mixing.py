@@ -5,7 +5,7 @@ gets a rate (how often it is drawn), starting at 1, so that the expected domain
 
     total[d] = sum over documents of tokens * rate * posterior[d]
 
-match the targets in relative least squares under rate >= 0, by projected gradient. In the norm that weighs documents by
+match the targets in relative least squares under rate >= 0, by projected gradient with spectral steps. In the norm that weighs documents by
 tokens, a step changes a document's rate by a linear function of its posteriors, so the history of the few gradients is
 all the state: each pass is one aggregation over a staged narrow table, with no join and nothing per document on
 the driver.
@@ -37,7 +37,7 @@ from .stage import staged
 
 U64 = np.uint64
 BITS = 20
-Z, LEAST, MAX_WORDS = 5.0, 8, 1024
+Z, LEAST, MAX_WORDS = 5.0, 8, 512
 ROUNDS, TOLERANCE = 40, 1e-4
 NO_ID = -(1 << 63)
 
@@ -104,21 +104,21 @@ def learn(texts: pa.Array, domains: list[str], steps: int = 400, l2: float = 1e-
     telling = np.sort(often[first[best[first] > Z]])
     place = np.full(1 << BITS, -1, np.int32)
     place[telling] = np.arange(len(telling))
-    model = Classifier(names, place, x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6), np.zeros((len(telling) + x.shape[1] + 1, len(names))))
+    model = Classifier(names, place, x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6), np.zeros((len(telling) + x.shape[1] + 1, len(names)), np.float32))
     inputs = np.concatenate([model.inputs(piece) for piece in pieces])
     # Balanced classes, so a rare domain is not drowned; the prior is put back into the bias.
     share = np.maximum(size, 1) / len(gold)
-    row_weight = (1 / share)[gold] / len(names)
-    w, squares = model.weights, np.full_like(model.weights, 1e-8)
+    row_weight = ((1 / share)[gold] / len(names) / len(gold)).astype(np.float32)[:, None]
+    w, squares, hot = model.weights, np.full_like(model.weights, 1e-8), hot.astype(np.float32)
     for _ in range(steps):
-        grad = inputs.T @ ((_softmax(inputs @ w) - hot) * row_weight[:, None]) / len(gold) + l2 * w
+        grad = inputs.T @ ((_softmax(inputs @ w) - hot) * row_weight) + np.float32(l2) * w
         squares += grad**2
-        w -= 0.3 * grad / np.sqrt(squares)
-    w[-1] += np.log(share)
+        w -= np.float32(0.3) * grad / np.sqrt(squares)
+    w[-1] += np.log(share).astype(np.float32)
     return model
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rows: int = 3_000) -> tuple[DataFrame, list[str]]:
+def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rows: int = 2_500) -> tuple[DataFrame, list[str]]:
     """doc, row, n_tokens, posteriors of every row (staged), and the domains in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"))
@@ -127,6 +127,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     chosen = marked.where(F.pmod(F.xxhash64("doc", F.lit(13)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.95 * max_rows / max(n, 1))))
     sample = keyed.join(chosen, "doc").select("doc", "row", "text", "domain").limit(max_rows).toArrow().sort_by([("doc", "ascending"), ("row", "ascending")])
     model = learn(sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string()), sample.column("domain").to_pylist())
+    del sample
+    pa.default_memory_pool().release_unused()
     domains = model.domains if model else []
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -134,7 +136,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         known = sent.value
         for batch in batches:
             for piece in tk.row_slices(batch.column(0)):
-                p = known.posteriors(piece) if known else np.zeros((piece.rows, 0))
+                p = known.posteriors(piece).astype(float) if known else np.zeros((piece.rows, 0))
                 _, _, bounds = piece.words()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(piece.rows + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(piece.lo, piece.rows) for c in batch.columns[1:]), pa.array(np.diff(bounds)), lists], names=["doc", "row", "n_tokens", "posteriors"])
@@ -181,16 +183,25 @@ def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], tota
     target = np.where(there, w * total, 0.0)
     scale = np.where(there, have, 1.0)
     pair = known.agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[i] * F.col("posteriors")[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(k))).first()
-    a = np.array([x or 0.0 for x in pair]).reshape(k, k) / np.sqrt(scale[:, None] * scale[None, :])
-    step = 1.0 / max(float(np.linalg.eigvalsh((a + a.T) / 2)[-1]), 1e-12)
+    a = np.array([x or 0.0 for x in pair]).reshape(k, k)
+    scaled = a / np.sqrt(scale[:, None] * scale[None, :])
+    least = step = 1.0 / max(float(np.linalg.eigvalsh((scaled + scaled.T) / 2)[-1]), 1e-12)
     history: list[list[float]] = []
     reached = have
+    off = np.where(there, (reached - target) / scale, 0.0)
     for _ in range(rounds):
-        off = np.where(there, (reached - target) / scale, 0.0)
         if np.abs(off).max() < TOLERANCE:
             break
+        tried = totals([*history, (step * off).tolist()])
+        new = np.where(there, (tried - target) / scale, 0.0)
+        if (new**2 * scale).sum() > (off**2 * scale).sum() and step > least:
+            step = max(least, step / 8)  # with the least step the error never grows
+            continue
         history.append((step * off).tolist())
-        reached = totals(history)
+        # Spectral length for the next step: the curvature along this one, from the posteriors' second moments.
+        bend = -float(off @ a @ (new - off))
+        step = float(np.clip(step * float(off @ a @ off) / bend, least, 100 * least)) if bend > 0 else least
+        reached, off = tried, new
     return Fit(domains, have, target, reached, history)
 
 
