@@ -15,8 +15,7 @@ from sigloom.llm.stage import staged
 from sigloom.plans.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Nearly all tokens from clean documents. The small shares of the others are what the classifier's noise puts on clean
-#: documents: a target of zero would push these out too.
+#: Shares of tokens. All clean tokens are asked for; the shares of the others are upper bounds.
 WEIGHTS = {"clean": 0.965, "poor": 0.01, "toxic": 0.025}
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -45,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     labels = mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix(docs, labels, WEIGHTS).select(*COLUMNS)
+    return mixing.mix(docs, labels, WEIGHTS, whole="clean").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,8 +163,12 @@ class Fit:
     history: list[list[float]]
 
 
-def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], total: float | None = None, rounds: int = ROUNDS) -> Fit:
-    """Projected gradient for the rates. Without a total, the largest at which no domain has to be repeated."""
+def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], total: float | None = None, rounds: int = ROUNDS, whole: str | None = None) -> Fit:
+    """Projected gradient for the rates. Without a total, the largest at which no domain has to be repeated.
+
+    With a `whole` domain, its available tokens are its target, and the shares of the others are upper bounds: a domain
+    that has less falls short and thins out nothing.
+    """
     k = len(domains)
     w = np.array([max(float(weights.get(d, 0.0)), 0.0) for d in domains])
     w = w / w.sum() if w.sum() else w
@@ -181,6 +185,9 @@ def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], tota
     if total is None:
         total = min((have[d] / w[d] for d in range(k) if w[d] > 0 and there[d]), default=0.0)
     target = np.where(there, w * total, 0.0)
+    if whole in domains and w[domains.index(whole)] > 0:
+        at = domains.index(whole)
+        target = np.where(there, np.minimum(w * (have[at] / w[at]), have), 0.0)
     scale = np.where(there, have, 1.0)
     pair = known.agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[i] * F.col("posteriors")[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(k))).first()
     a = np.array([x or 0.0 for x in pair]).reshape(k, k)
@@ -227,9 +234,9 @@ def draw(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: st
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mx_times")).alias("_mx_n")).select(*docs.columns)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", whole: str | None = None) -> DataFrame:
     known, domains = posteriors(docs, labels, id_col, text_col, domain_col)
-    return draw(docs, rates(known, fit(known, domains, weights)), id_col, text_col)
+    return draw(docs, rates(known, fit(known, domains, weights, whole=whole)), id_col, text_col)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

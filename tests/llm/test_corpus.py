@@ -182,6 +182,17 @@ def test_mixing_without_labels_and_with_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0), spark.createDataFrame([(2, "a")], "doc_id long, domain string"), {"a": 1.0}).count() == 0
 
 
+@pytest.mark.parametrize("toxic", [1, 2, 40])
+def test_clean_documents_stay_whole_at_any_share_of_the_others(spark, toxic):
+    n = 400
+    known = spark.createDataFrame([(i, i, 100, [0.004, 0.006, 0.99] if i < toxic else [0.995, 0.004, 0.001]) for i in range(n)], "doc long, row long, n_tokens long, posteriors array<double>")
+    found = mixing.fit(known, ["clean", "poor", "toxic"], corpus_pipeline.WEIGHTS, whole="clean")
+    rate = {r["doc"]: r["rate"] for r in mixing.rates(known, found).collect()}
+    assert min(rate[i] for i in range(toxic, n)) > 0.98
+    assert toxic < 40 or max(rate[i] for i in range(toxic)) < 0.35
+    assert (found.target <= found.available).all()
+
+
 def test_draw_repeats_and_drops(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
     key = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), (F.when(F.col("doc_id") < 1000, 0.0).when(F.col("doc_id") < 2000, 2.1).otherwise(0.5)).alias("rate"))
