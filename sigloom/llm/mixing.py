@@ -10,9 +10,10 @@ tokens, a step changes a document's rate by a linear function of its posteriors,
 all the state: each pass is one aggregation over a staged narrow table, with no join and nothing per document on
 the driver.
 
-Classifier: softmax regression on document statistics and on the presence of telling words, fitted on the driver on a
-bounded sample of labelled rows (`max_rows`, by a hash of the id). A word is telling if its document frequency in one
-domain is far from that in the others (Z standard errors, at least LEAST documents).
+Classifier: softmax regression on document statistics and on the presence of telling words, fitted in one executor
+task on a bounded sample of labelled rows (`max_rows`, by a hash of the id). A word is telling if its document frequency
+in one domain is far from that in the others (Z standard errors, at least LEAST documents); all such words count. Words
+are kept as pairs of row and word, never as a matrix.
 
 Defined cases: null and empty texts have no tokens and get posteriors and a rate like all others. Null domains are not
 learned. Without any labelled document every rate is 1.0 and the posteriors are empty. A domain with weight 0
@@ -22,6 +23,7 @@ table gives an empty result. Other columns pass through `draw` and `mix`; the fi
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -37,7 +39,7 @@ from .stage import staged
 
 U64 = np.uint64
 BITS = 20
-Z, LEAST, MAX_WORDS = 5.0, 8, 512
+Z, LEAST = 5.0, 8
 ROUNDS, TOLERANCE = 40, 1e-4
 NO_ID = -(1 << 63)
 
@@ -59,16 +61,26 @@ class Classifier:
     scale: np.ndarray
     weights: np.ndarray  # (words + statistics + 1) x domains
 
-    def inputs(self, piece: tk.Slice) -> np.ndarray:
-        stats = np.clip((statistics.table(piece) - self.mean) / self.scale, -5, 5).astype(np.float32)
-        words = np.zeros((piece.rows, len(self.weights) - len(statistics.NAMES) - 1), np.float32)
+    def stats(self, table: np.ndarray) -> np.ndarray:
+        scaled = np.clip((table - self.mean) / self.scale, -5, 5).astype(np.float32)
+        return np.concatenate([scaled, np.ones((len(scaled), 1), np.float32)], axis=1)
+
+    def posteriors(self, piece: tk.Slice) -> np.ndarray:
         row, slot = word_slots(piece)
         at = self.place[slot]
-        words[row[at >= 0], at[at >= 0]] = 1
-        return np.concatenate([words, stats, np.ones((piece.rows, 1), np.float32)], axis=1)
+        held = at >= 0
+        n = len(self.weights) - len(statistics.NAMES) - 1
+        return _softmax(self.stats(statistics.table(piece)) @ self.weights[n:] + _sums(row[held], at[held], self.weights[:n], piece.rows))
 
-    def posteriors(self, piece: tk.Slice) -> np.ndarray:
-        return _softmax(self.inputs(piece) @ self.weights)
+
+def _sums(group: np.ndarray, at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values[at] by group, which must be sorted."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(group):
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        for d in range(values.shape[1]):
+            out[group[first], d] = np.add.reduceat(np.ascontiguousarray(values[:, d])[at], first)
+    return out
 
 
 def _softmax(raw: np.ndarray) -> np.ndarray:
@@ -85,10 +97,11 @@ def learn(texts: pa.Array, domains: list[str], steps: int = 400, l2: float = 1e-
     pieces = list(tk.row_slices(texts, 1 << 18))
     k = len(names)
     found = np.zeros((1 << BITS) * k, np.int32)
-    stats = []
+    stats, words = [], []
     for piece in pieces:
         row, slot = word_slots(piece)
         np.add.at(found, slot * k + gold[piece.lo + row], 1)
+        words.append((piece.lo + row, slot))
         stats.append(statistics.table(piece))
     x = np.concatenate(stats)
     size = hot.sum(axis=0)
@@ -99,36 +112,49 @@ def learn(texts: pa.Array, domains: list[str], steps: int = 400, l2: float = 1e-
     p, q = (own + 0.5) / (size + 1), (rest + 0.5) / (rest_n + 1)
     both = (own + rest + 1) / (len(gold) + 2)
     z = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / np.maximum(size, 1) + 1 / np.maximum(rest_n, 1)))
-    best = z.max(axis=1)
-    first = np.argsort(-best, kind="stable")[:MAX_WORDS]
-    telling = np.sort(often[first[best[first] > Z]])
+    telling = often[z.max(axis=1) > Z]
     place = np.full(1 << BITS, -1, np.int32)
     place[telling] = np.arange(len(telling))
     model = Classifier(names, place, x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6), np.zeros((len(telling) + x.shape[1] + 1, len(names)), np.float32))
-    inputs = np.concatenate([model.inputs(piece) for piece in pieces])
+    inputs = model.stats(x)
+    row, at = (np.concatenate(c) for c in zip(*((r[place[t] >= 0], place[t][place[t] >= 0]) for r, t in words), strict=True))
+    by_word = np.argsort(at, kind="stable")
+    rows_of, word = row[by_word], at[by_word]
+    n = len(telling)
     # Balanced classes, so a rare domain is not drowned; the prior is put back into the bias.
     share = np.maximum(size, 1) / len(gold)
     row_weight = ((1 / share)[gold] / len(names) / len(gold)).astype(np.float32)[:, None]
     w, squares, hot = model.weights, np.full_like(model.weights, 1e-8), hot.astype(np.float32)
     for _ in range(steps):
-        grad = inputs.T @ ((_softmax(inputs @ w) - hot) * row_weight) + np.float32(l2) * w
+        off = (_softmax(inputs @ w[n:] + _sums(row, at, w[:n], len(gold))) - hot) * row_weight
+        grad = np.concatenate([_sums(word, rows_of, off, n), inputs.T @ off]) + np.float32(l2) * w
         squares += grad**2
         w -= np.float32(0.3) * grad / np.sqrt(squares)
     w[-1] += np.log(share).astype(np.float32)
     return model
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rows: int = 2_500) -> tuple[DataFrame, list[str]]:
+def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rows: int = 6_000) -> tuple[DataFrame, list[str]]:
     """doc, row, n_tokens, posteriors of every row (staged), and the domains in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"))
     marked = labels.select(F.col(id_col).cast("long").alias("doc"), F.col(domain_col).alias("domain")).where("doc is not null and domain is not null").groupBy("doc").agg(F.max("domain").alias("domain"))
     n = marked.count()
     chosen = marked.where(F.pmod(F.xxhash64("doc", F.lit(13)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.95 * max_rows / max(n, 1))))
-    sample = keyed.join(chosen, "doc").select("doc", "row", "text", "domain").limit(max_rows).toArrow().sort_by([("doc", "ascending"), ("row", "ascending")])
-    model = learn(sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string()), sample.column("domain").to_pylist())
-    del sample
-    pa.default_memory_pool().release_unused()
+
+    def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).sort_by([("doc", "ascending"), ("row", "ascending")])
+        texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
+        model = learn(texts, rows.column("domain").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The limit leaves one partition, so one task sees the whole sample.
+    sample = keyed.join(chosen, "doc").select("doc", "row", F.col("text").cast("string"), F.col("domain").cast("string")).limit(max_rows)
+    made = sample.mapInArrow(taught, "model binary").collect()
+    model = pickle.loads(made[0]["model"]) if made else None
     domains = model.domains if model else []
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -193,6 +193,17 @@ def test_clean_documents_stay_whole_at_any_share_of_the_others(spark, toxic):
     assert (found.target <= found.available).all()
 
 
+def test_all_telling_words_count():
+    def own(d, i):  # 1,500 words of letters only, each in every text of its domain
+        return d + "".join(chr(97 + int(c)) for c in str(i))
+
+    texts = [" ".join(own(d, i) for i in range(750)) for d in ("x", "y") for _ in range(40)]
+    model = mixing.learn(pa.array(texts), ["x"] * 40 + ["y"] * 40, steps=50)
+    assert (model.place >= 0).sum() > 1400
+    p = np.concatenate([model.posteriors(piece) for piece in textkit.row_slices(pa.array(texts))])
+    assert (p.argmax(axis=1) == np.repeat([0, 1], 40)).all()
+
+
 def test_draw_repeats_and_drops(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
     key = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), (F.when(F.col("doc_id") < 1000, 0.0).when(F.col("doc_id") < 2000, 2.1).otherwise(0.5)).alias("rate"))
