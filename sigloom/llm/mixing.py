@@ -246,8 +246,8 @@ def rates(known: DataFrame, found: Fit) -> DataFrame:
 def draw(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", snap: float = 0.3) -> DataFrame:
     """Each document as often as its rate says: the whole part, and once more with the chance of the rest.
 
-    The chance is decided by a hash of id and text. A rate within `snap` of a whole number is taken as that number,
-    so that the classifier's noise thins out no documents.
+    The chance is decided by a hash of id and text. A rate within `snap` of a whole number is taken as that number;
+    only with `snap` 0 (as in `mix`) are the drawn totals those of the fit.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     near = F.round("rate")
@@ -262,7 +262,7 @@ def draw(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: st
 
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", whole: str | None = None) -> DataFrame:
     known, domains = posteriors(docs, labels, id_col, text_col, domain_col)
-    return draw(docs, rates(known, fit(known, domains, weights, whole=whole)), id_col, text_col)
+    return draw(docs, rates(known, fit(known, domains, weights, whole=whole)), id_col, text_col, snap=0.0)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

@@ -211,6 +211,20 @@ def test_draw_repeats_and_drops(spark):
     assert 0 not in n and n[1] == 2000 and 400 < n[2] < 600
 
 
+def test_drawn_tokens_are_near_the_targets(spark, monkeypatch):
+    n, kinds = 4000, {"a": [0.97, 0.02, 0.01], "b": [0.02, 0.97, 0.01], "c": [0.01, 0.01, 0.98]}
+    names = list(kinds)
+    docs = spark.createDataFrame([(i, f"{names[i % 3]} {i}") for i in range(n)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, names[i % 3], 2, kinds[names[i % 3]]) for i in range(n)], "doc long, kind string, n_tokens long, posteriors array<double>")
+    known = known.join(docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row")), "doc").drop("kind")
+    monkeypatch.setattr(mixing, "posteriors", lambda *_: (known, names))
+    fits, fit = [], mixing.fit
+    monkeypatch.setattr(mixing, "fit", lambda *x, **y: fits.append(fit(*x, **y)) or fits[-1])
+    drawn = mixing.mix(docs, docs, {"a": 0.54, "b": 0.4, "c": 0.06}).select(F.col("doc_id").alias("doc")).join(known, "doc")
+    got = drawn.agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[d]) for d in range(3))).first()
+    assert np.allclose(got, fits[0].target, rtol=0.12)
+
+
 # URL filter
 
 
