@@ -3,14 +3,16 @@
 Wrapper inference. A page is a stream of tags and text slots. Repeats inside a page are folded into groups first
 (`fold`), then the stream is aligned with its host's wrapper so far: where both agree, items stay; what only one side
 has becomes optional; a unit that one side repeats becomes a repeated group; text that differs becomes a slot, text that
-all pages share stays constant. The result is a regular expression without unions. A page whose folded stream was met
-before only adds to the wrapper's counts.
+all pages share stays constant (for a repeated group, the texts of the whole group). The result is a regular expression
+without unions. Pages with the same stream are first compared slot by slot, then aligned as one.
 
 Wrappers are partial results: each task infers those of its own pages, the parts of a host are merged by the same
 alignment in salted groups and then once more, so a host that holds a third of all pages is never gathered in one task.
 The wrapper tells which container of its pages holds the varying text (`article` or `main` if there is one). Each page is
-then cut at that container; menus, headers, footers, sidebars, notices, adverts, forms and comments inside it are left
-out by element, role and class.
+cut at that container. If it is not an `article` or `main` element, the page is matched with its host's wrapper, and only
+the text of varying slots and groups, optional parts and what the wrapper lacks is taken; such an element is taken as it is,
+as all in it belongs to the text. Menus, headers, footers, sidebars, notices, adverts, forms and comments are then left out
+by element, role and class.
 
 Defined cases: a null, empty or tagless html and a null URL are fine: without a container the whole visible text of the
 body counts. Broken markup (unclosed elements, a page cut inside a tag or reference) ends what is open. Repeated
@@ -24,6 +26,7 @@ import html
 import json
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from hashlib import blake2b
 
@@ -38,6 +41,7 @@ SALTS = 16
 MAX_HOSTS = 20_000
 MAX_ITEMS = 400
 MIN_PAGES = 3
+MAX_STREAMS = 500
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -146,14 +150,11 @@ class Page:
 Unit = tuple[str, ...]
 
 
-def fold(units: list[Unit], longest: int = 8) -> list[tuple[Unit, bool]]:
-    """Adjacent repeats of up to `longest` units become one repeated unit; shorter units first.
-
-    A repeated group may end in a part of itself, which makes the rest of the group optional.
-    """
-    items = [(u, False) for u in units]
+def _folded(units: list[Unit], longest: int = 8) -> list[tuple[Unit, bool, int]]:
+    """As `fold`, with the number of units that each item covers."""
+    items = [(u, False, 1) for u in units]
     for size in range(1, longest + 1):
-        done: list[tuple[Unit, bool]] = []
+        done: list[tuple[Unit, bool, int]] = []
         i = 0
         while i < len(items):
             unit = [x[0] for x in items[i : i + size]]
@@ -164,7 +165,7 @@ def fold(units: list[Unit], longest: int = 8) -> list[tuple[Unit, bool]]:
                 rest = 0
                 while rest < size - 1 and j + rest < len(items) and items[j + rest][0] == unit[rest]:
                     rest += 1
-                done.append((tuple(t for u in unit for t in u), True))
+                done.append((tuple(t for u in unit for t in u), True, sum(x[2] for x in items[i : j + rest])))
                 i = j + rest
             else:
                 done.append(items[i])
@@ -173,56 +174,163 @@ def fold(units: list[Unit], longest: int = 8) -> list[tuple[Unit, bool]]:
     return items
 
 
+def fold(units: list[Unit], longest: int = 8) -> list[tuple[Unit, bool]]:
+    """Adjacent repeats of up to `longest` units become one repeated unit; shorter units first.
+
+    A repeated group may end in a part of itself, which makes the rest of the group optional.
+    """
+    return [(u, r) for u, r, _ in _folded(units, longest)]
+
+
+@dataclass
+class Shape:
+    """A folded stream. items: (unit, repeated); slots: for each item, the blocks of each of its slots (a repeated group is one slot)."""
+
+    items: list[tuple[Unit, bool]]
+    slots: list[list[list[int]]]
+
+    @staticmethod
+    def of(tokens: list[str]) -> Shape:
+        items, slots, at, block = [], [], 0, 0
+        for unit, repeated, n in _folded([(t,) for t in tokens]):
+            texts = tokens[at : at + n].count("#")
+            own = list(range(block, block + texts))
+            items.append((unit, repeated))
+            slots.append(([own] if own else []) if repeated else [[x] for x in own])
+            at, block = at + n, block + texts
+        return Shape(items, slots)
+
+    def texts(self, page: Page) -> list[list]:
+        """For each slot of each item its text: digest, characters by container."""
+        told = []
+        for slots in self.slots:
+            own = []
+            for blocks in slots:
+                sizes: dict[str, int] = {}
+                for path, text, links, out in (page.blocks[x] for x in blocks):
+                    if not out and 2 * links <= len(text):
+                        sizes[path] = sizes.get(path, 0) + len(text)
+                own.append([_digest("\n".join(page.blocks[x][1] for x in blocks)), sizes])
+            told.append(own)
+        return told
+
+
+def _common(a: list, b: list) -> list:
+    """Texts of the slots of an item that both sides share; None where they differ."""
+    return [x if x and y and x[0] == y[0] else None for x, y in zip(a, b, strict=True)] if len(a) == len(b) else [None] * max(len(a), len(b))
+
+
 class Wrapper:
-    """items: [unit, repeated, optional]; paths: characters of text by container; constant: texts of all pages."""
+    """items: [unit, repeated, optional, texts of its slots or None where they vary]; paths: characters of text by container."""
 
     def __init__(self) -> None:
         self.items: list[list] = []
         self.paths: dict[str, int] = {}
-        self.constant: set[str] | None = None
         self.pages = 0
-        self.met: set[int] = set()
+        self.aligned = 0  # pages that are in the items
+        self.streams: dict[tuple[str, ...], tuple[Shape, list[list]]] = {}  # not yet aligned
 
     def add(self, page: Page) -> None:
-        other = Wrapper()
-        stream = tuple(page.tokens)
-        key = hash(stream)
-        if key not in self.met:
-            other.items = [[u, r, False] for u, r in fold([(t,) for t in stream])]
         for path, text, links, out in page.blocks:
             if not out and 2 * links <= len(text):
-                other.paths[path] = other.paths.get(path, 0) + len(text)
-        other.constant = {_digest(text) for _, text, _, _ in page.blocks}
-        other.pages = 1
-        self.merge(other, key in self.met)
-        if len(self.met) < 10_000:
-            self.met.add(key)
-
-    def merge(self, other: Wrapper, known: bool = False) -> None:
-        if not known:
-            self.items = _align(self.items, other.items) if self.pages and other.pages else self.items + other.items
+                self.paths[path] = self.paths.get(path, 0) + len(text)
+        self.pages += 1
+        stream = tuple(page.tokens)
+        met = self.streams.get(stream)
+        if met:
+            texts = met[0].texts(page)
+            met[1][:] = [_common(x, y) for x, y in zip(met[1], texts, strict=True)]
+        else:
+            shape = Shape.of(page.tokens)
+            self.streams[stream] = (shape, shape.texts(page))
+            if len(self.streams) >= MAX_STREAMS:
+                self.align()
+
+    def align(self) -> None:
+        """The streams met so far go into the items."""
+        for shape, texts in self.streams.values():
+            items = [[u, r, False, t] for (u, r), t in zip(shape.items, texts, strict=True)]
+            self.items = _align(self.items, items) if self.aligned else items
+            self.aligned = self.pages
+        self.streams.clear()
+
+    def merge(self, other: Wrapper) -> None:
+        self.align()
+        other.align()
+        self.items = _align(self.items, other.items) if self.pages and other.pages else self.items + other.items
         for path, n in other.paths.items():
             self.paths[path] = self.paths.get(path, 0) + n
-        if other.constant is not None:
-            self.constant = other.constant if self.constant is None else self.constant & other.constant
         self.pages += other.pages
+        self.aligned = self.pages
+
+    def constant(self) -> list[tuple[int, int, list]]:
+        """Item, slot and text of each slot that has the same text on all pages."""
+        self.align()
+        if self.pages < MIN_PAGES:
+            return []
+        return [(i, j, text) for i, (_, _, optional, texts) in enumerate(self.items) if not optional for j, text in enumerate(texts) if text]
+
+    def varying(self) -> dict[str, int]:
+        """Characters of varying text by container; of all text if none varies."""
+        left = dict(self.paths)
+        for _, _, (_, sizes) in self.constant():
+            for path, n in sizes.items():
+                left[path] = max(0, left.get(path, 0) - n * self.pages)
+        left = {p: n for p, n in left.items() if n}
+        return left or self.paths
+
+    def fixed(self) -> str:
+        """What matching needs, as json: items with the digest of each constant slot; empty without any."""
+        held = {(i, j): text[0] for i, j, text in self.constant()}
+        if not held:
+            return ""
+        return json.dumps([[u, r, [held.get((i, j)) for j in range(len(t))]] for i, (u, r, _, t) in enumerate(self.items)])
 
     def expression(self) -> str:
         """The wrapper as text: units in brackets, + repeated, ? optional, # a text slot."""
-        return " ".join(("(" + " ".join(u) + ")" if len(u) > 1 or r or o else u[0]) + "+" * r + "?" * o for u, r, o in self.items)
+        self.align()
+        return " ".join(("(" + " ".join(u) + ")" if len(u) > 1 or r or o else u[0]) + "+" * r + "?" * o for u, r, o, _ in self.items)
 
     def dump(self) -> str:
-        return json.dumps([self.items, self.paths, sorted(self.constant) if self.constant is not None else None, self.pages])
+        self.align()
+        return json.dumps([self.items, self.paths, self.pages])
 
     @staticmethod
     def load(data: str) -> Wrapper:
         out = Wrapper()
-        items, out.paths, constant, out.pages = json.loads(data)
-        out.items = [[tuple(u), r, o] for u, r, o in items]
-        out.constant = None if constant is None else set(constant)
+        items, out.paths, out.pages = json.loads(data)
+        out.items = [[tuple(u), r, o, t] for u, r, o, t in items]
+        out.aligned = out.pages
         return out
 
 
+class Matcher:
+    """Pages of a host against its wrapper (`Wrapper.fixed`)."""
+
+    def __init__(self, fixed: str):
+        self.items = [(tuple(u), r, t) for u, r, t in json.loads(fixed)] if fixed else []
+        self.met: dict[tuple[str, ...], list[tuple[list[int], str]]] = {}
+
+    def constant(self, page: Page) -> set[int]:
+        """Blocks of the page that stand in a constant slot of the wrapper and hold its text."""
+        if not self.items:
+            return set()
+        stream = tuple(page.tokens)
+        known = self.met.get(stream)
+        if known is None:
+            known = []
+            shape = Shape.of(page.tokens)
+            for kind, i, j, k, _ in SequenceMatcher(None, [x[0] for x in self.items], [x[0] for x in shape.items], autojunk=False).get_opcodes():
+                for at in range(j - i if kind == "equal" else 0):
+                    (_, repeated, texts), slots = self.items[i + at], shape.slots[k + at]
+                    if repeated == shape.items[k + at][1] and len(texts) == len(slots):
+                        known.extend((blocks, text) for blocks, text in zip(slots, texts, strict=True) if text)
+            if len(self.met) >= MAX_STREAMS:
+                self.met.clear()
+            self.met[stream] = known
+        return {x for blocks, text in known if _digest("\n".join(page.blocks[x][1] for x in blocks)) == text for x in blocks}
+
+
 def _digest(text: str) -> str:
     return blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
@@ -233,17 +341,17 @@ def _align(a: list[list], b: list[list]) -> list[list]:
     out: list[list] = []
     for kind, i, j, k, m in SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_opcodes():
         if kind == "equal":
-            out.extend([x[0], x[1] or y[1], x[2] or y[2]] for x, y in zip(a[i:j], b[k:m], strict=True))
+            out.extend([x[0], x[1] or y[1], x[2] or y[2], _common(x[3], y[3]) if x[1] == y[1] else [None]] for x, y in zip(a[i:j], b[k:m], strict=True))
             continue
-        for unit, repeated, _ in [*a[i:j], *b[k:m]]:
+        for unit, repeated, _, texts in [*a[i:j], *b[k:m]]:
             if out and out[-1][0] == unit:
-                out[-1][1] = True
+                out[-1][1], out[-1][3] = True, [None]
             else:
-                out.append([unit, repeated, True])
+                out.append([unit, repeated, True, texts])
     if len(out) > MAX_ITEMS:
         # Too many different streams: keep the shape, folded once more.
         folded = fold([x[0] for x in out])
-        out = [[u, r, True] for u, r in folded]
+        out = [[u, r, True, [None]] for u, r in folded]
     return out
 
 
@@ -270,14 +378,15 @@ def _inside(path: str, main: str) -> bool:
     return not main or path == main or path.startswith(main + "/")
 
 
-def cut(page: Page, main: str, constant: frozenset[str] = frozenset()) -> str:
+def cut(page: Page, main: str, matcher: Matcher | None = None) -> str:
     if main and not any(_inside(p, main) for p, _, _, out in page.blocks if not out):
         own: dict[str, int] = {}
         for path, text, links, out in page.blocks:
             if not out and 2 * links <= len(text):
                 own[path] = own.get(path, 0) + len(text)
-        main, constant = main_path(own), frozenset()
-    return "\n".join(t for p, t, _, out in page.blocks if not out and _inside(p, main) and (not constant or _digest(t) not in constant))
+        main, matcher = main_path(own), None
+    constant = matcher.constant(page) if matcher else set()
+    return "\n".join(t for i, (p, t, _, out) in enumerate(page.blocks) if not out and _inside(p, main) and i not in constant)
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,41 +423,41 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [Wrapper.load(x.as_py()) for x in batch.column(1)]
-        mains = [main_path(w.paths) for w in rows]
-        # Constant texts are taken out only where no element names the article.
-        fixed = [json.dumps(sorted(w.constant or ())) if w.pages >= MIN_PAGES and not re.search(r"/(article|main)\b[^/]*$", m) else "[]" for w, m in zip(rows, mains, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mains, pa.string()), pa.array(fixed, pa.string()), pa.array([w.expression() for w in rows], pa.string()), pa.array([w.pages for w in rows], pa.int64())], names=["host", "main", "constant", "wrapper", "pages"])
+        mains = [main_path(w.varying()) for w in rows]
+        # An article or main element is taken as it is; elsewhere pages are matched.
+        fixed = ["" if re.search(r"/(article|main)\b[^/]*$", m) else w.fixed() for w, m in zip(rows, mains, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mains, pa.string()), pa.array(fixed, pa.string()), pa.array([w.expression() for w in rows], pa.string()), pa.array([w.pages for w in rows], pa.int64())], names=["host", "main", "fixed", "wrapper", "pages"])
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, main (container path), constant (json), wrapper (expression), pages (distinct) of each host."""
+    """host, main (container path), fixed (json, for matching), wrapper (expression) and pages of each host."""
     fed = pages.select(urlfilter.host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     parts = fed.mapInArrow(_partial, "host string, wrapper string")
     salted = parts.groupBy("host", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.collect_list("wrapper").alias("parts"))
     once = salted.select("host", "parts").mapInArrow(_merged, "host string, wrapper string")
     whole = once.groupBy("host").agg(F.collect_list("wrapper").alias("parts")).mapInArrow(_merged, "host string, wrapper string")
-    return whole.mapInArrow(_final, "host string, main string, constant string, wrapper string, pages long")
+    return whole.mapInArrow(_final, "host string, main string, fixed string, wrapper string, pages long")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The pages with `text` in place of the html column, and n_chars."""
-    wrappers = staged(infer_wrappers(pages, url_col, html_col).select(F.col("host").alias("_hx_host"), "main", "constant"), "wrappers")
+    wrappers = staged(infer_wrappers(pages, url_col, html_col).select(F.col("host").alias("_hx_host"), "main", "fixed"), "wrappers")
     pages = pages.drop("text", "n_chars") if html_col != "text" else pages.drop("n_chars")
     rest = [c for c in pages.columns if c != html_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, frozenset[str]] = {}
+        seen: dict[str, Matcher] = {}
         for batch in batches:
             texts = []
-            for source, main, constant in zip(*(batch.column(i) for i in range(3)), strict=True):
-                fixed = constant.as_py() or "[]"
+            for source, main, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+                fixed = data.as_py() or ""
                 if fixed not in seen:
-                    if len(seen) > 1000:
+                    if len(seen) > 100:
                         seen.clear()
-                    seen[fixed] = frozenset(json.loads(fixed))
+                    seen[fixed] = Matcher(fixed)
                 texts.append(cut(Page(source.as_py() or ""), main.as_py() or "", seen[fixed]))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[3:]], names=["_hx_text", *batch.schema.names[3:]])
 
     keyed = pages.withColumn("_hx_host", urlfilter.host(F.col(url_col))).join(wrappers, "_hx_host", "left")
-    done = keyed.select(F.col(html_col), "main", "constant", *rest).mapInArrow(run, "_hx_text string" + "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in rest))
+    done = keyed.select(F.col(html_col), "main", "fixed", *rest).mapInArrow(run, "_hx_text string" + "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in rest))
     return done.select(*rest, F.col("_hx_text").alias("text"), F.char_length("_hx_text").cast("long").alias("n_chars"))

@@ -333,6 +333,15 @@ def test_wrapper_folds_repeats_and_marks_options():
     assert back.expression() == text and back.pages == 3
 
 
+def test_text_comes_from_the_varying_slots(spark):
+    # "same" is a constant slot above the post; inside a post it is text like any other.
+    posts = [("a1 first", "same"), ("b2 second", "b3 more"), ("c2 third", "same"), *((f"d{i} own", f"e{i} own") for i in range(5))]
+    body = "<div class='x'><p>same</p><h2>fixed</h2><div><p>{}</p><h2>{}</h2></div></div>"
+    rows = [(i, *page(body.format(*post), "slots.example")) for i, post in enumerate(posts)]
+    out = {r["page_id"]: r["text"] for r in htmlx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: "\n".join(post) for i, post in enumerate(posts)}
+
+
 def test_pages_against_their_template(spark):
     import html
 
