@@ -10,7 +10,8 @@ Wrappers are partial results: each task infers those of its own pages, the parts
 alignment in salted groups and then once more, so a host that holds a third of all pages is never gathered in one task.
 The wrapper tells which container of its pages holds the varying text (`article` or `main` if there is one). Each page is
 cut at that container. If it is not an `article` or `main` element, the page is matched with its host's wrapper, and only
-the text of varying slots and groups, optional parts and what the wrapper lacks is taken; such an element is taken as it is,
+the text of varying slots and groups, optional parts and what the wrapper lacks is taken. Text is constant only if at
+least MIN_PAGES different pages of the host share it, and a page without other text keeps it. An `article` or `main` element is taken as it is,
 as all in it belongs to the text. Menus, headers, footers, sidebars, notices, adverts, forms and comments are then left out
 by element, role and class.
 
@@ -40,7 +41,7 @@ from .stage import staged
 SALTS = 16
 MAX_HOSTS = 20_000
 MAX_ITEMS = 400
-MIN_PAGES = 3
+MIN_PAGES = 5
 MAX_STREAMS = 500
 
 _TOKEN = re.compile(
@@ -92,6 +93,7 @@ class Page:
     def __init__(self, source: str):
         self.tokens: list[str] = []
         self.blocks: list[tuple[str, str, int, bool]] = []
+        self.digest = _digest(source)
         stack: list[tuple[str, str, bool, str]] = []  # name, signature, left out, path
         parts: list[str] = []
         link_chars, link = 0, 0
@@ -227,6 +229,7 @@ class Wrapper:
         self.items: list[list] = []
         self.paths: dict[str, int] = {}
         self.pages = 0
+        self.distinct: set[str] = set()  # the least MIN_PAGES digests of pages
         self.aligned = 0  # pages that are in the items
         self.streams: dict[tuple[str, ...], tuple[Shape, list[list]]] = {}  # not yet aligned
 
@@ -235,6 +238,7 @@ class Wrapper:
             if not out and 2 * links <= len(text):
                 self.paths[path] = self.paths.get(path, 0) + len(text)
         self.pages += 1
+        self.distinct = _least({*self.distinct, page.digest})
         stream = tuple(page.tokens)
         met = self.streams.get(stream)
         if met:
@@ -261,12 +265,13 @@ class Wrapper:
         for path, n in other.paths.items():
             self.paths[path] = self.paths.get(path, 0) + n
         self.pages += other.pages
+        self.distinct = _least(self.distinct | other.distinct)
         self.aligned = self.pages
 
     def constant(self) -> list[tuple[int, int, list]]:
-        """Item, slot and text of each slot that has the same text on all pages."""
+        """Item, slot and text of each slot that has the same text on all pages, of which at least MIN_PAGES must differ."""
         self.align()
-        if self.pages < MIN_PAGES:
+        if len(self.distinct) < MIN_PAGES:
             return []
         return [(i, j, text) for i, (_, _, optional, texts) in enumerate(self.items) if not optional for j, text in enumerate(texts) if text]
 
@@ -293,12 +298,13 @@ class Wrapper:
 
     def dump(self) -> str:
         self.align()
-        return json.dumps([self.items, self.paths, self.pages])
+        return json.dumps([self.items, self.paths, self.pages, sorted(self.distinct)])
 
     @staticmethod
     def load(data: str) -> Wrapper:
         out = Wrapper()
-        items, out.paths, out.pages = json.loads(data)
+        items, out.paths, out.pages, distinct = json.loads(data)
+        out.distinct = set(distinct)
         out.items = [[tuple(u), r, o, t] for u, r, o, t in items]
         out.aligned = out.pages
         return out
@@ -335,6 +341,10 @@ def _digest(text: str) -> str:
     return blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
+def _least(digests: set[str]) -> set[str]:
+    return set(sorted(digests)[:MIN_PAGES]) if len(digests) > MIN_PAGES else digests
+
+
 def _align(a: list[list], b: list[list]) -> list[list]:
     if a == b:
         return a
@@ -386,7 +396,9 @@ def cut(page: Page, main: str, matcher: Matcher | None = None) -> str:
                 own[path] = own.get(path, 0) + len(text)
         main, matcher = main_path(own), None
     constant = matcher.constant(page) if matcher else set()
-    return "\n".join(t for i, (p, t, _, out) in enumerate(page.blocks) if not out and _inside(p, main) and i not in constant)
+    inside = [(i, t) for i, (p, t, _, out) in enumerate(page.blocks) if not out and _inside(p, main)]
+    # Without any varying text, the constant one is the page's text.
+    return "\n".join([t for i, t in inside if i not in constant] or [t for _, t in inside])
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

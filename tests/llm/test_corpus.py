@@ -342,6 +342,18 @@ def test_text_comes_from_the_varying_slots(spark):
     assert out == {i: "\n".join(post) for i, post in enumerate(posts)}
 
 
+def test_copies_and_small_hosts_keep_their_text(spark):
+    post = "<div class='post'><p>{}</p><h2>{}</h2></div>"
+    copies = [page(post.format("all alike", "and whole"), "copies.example")] * 6 + [(None, "<p>no url</p>")] * 4
+    small = [page(post.format("shared by three", f"own {i}"), "small.example") for i in range(3)]
+    # Pages that differ in a left-out part only.
+    alike = [page(f"<div class='ad'>{'x' * i}</div>" + post.format("all alike", "and whole"), "alike.example") for i in range(1, 9)]
+    rows = [(i, *x) for i, x in enumerate(copies + small + alike)]
+    out = {r["page_id"]: r["text"] for r in htmlx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "all alike\nand whole"
+    assert [out[i] for i in range(len(rows))] == [whole] * 6 + ["no url"] * 4 + [f"shared by three\nown {i}" for i in range(3)] + [whole] * 8
+
+
 def test_pages_against_their_template(spark):
     import html
 
