@@ -42,9 +42,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(doc_id.alias("doc_id"), "n_tokens", *(F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(domains)), "rate")
 
 
-def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_url_filter(spark: SparkSession, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
+    """`listed`: the URLs to block (column url, any form). The tables have none; without it, the pages on LISTED_SITES."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return urlfilter.judge(pages, urlfilter.listed_pages(pages)).drop("url")
+    if listed is None:
+        listed = urlfilter.listed_pages(pages)
+    else:
+        listed = listed.select(urlfilter.canonical(F.col("url")).alias("url"))
+    return urlfilter.judge(pages, listed).drop("url")
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

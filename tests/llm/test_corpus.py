@@ -242,6 +242,16 @@ def test_url_rules_and_list(spark):
     assert urlfilter.judge(pages.limit(0), listed).count() == 0
 
 
+def test_url_list_is_an_input(spark):
+    plain = queries.op5_url_filter(spark, DATA).where("rule is null and verdict = 'allow' and host <> ''").select("page_id")
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    bad = plain.join(pages, "page_id").orderBy("page_id").limit(3).select("page_id", F.concat("url", F.lit("#part")).alias("url")).collect()
+    got = queries.op5_url_filter(spark, DATA, spark.createDataFrame([(r["url"],) for r in bad], "url string"))
+    blocked = {r["page_id"] for r in got.where("rule is null and verdict = 'block'").collect()}
+    assert len(bad) == 3 and {r["page_id"] for r in bad} <= blocked
+    assert queries.op5_url_filter(spark, DATA, spark.createDataFrame([], "url string")).where("rule is null and verdict = 'block'").count() == 0
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     listed = spark.range(20_000).select(F.concat(F.lit("h/"), F.col("id").cast("string")).alias("u"))
     bloom = urlfilter.BlockedBloom.build(listed, "u")
