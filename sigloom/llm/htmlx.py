@@ -4,19 +4,26 @@ Wrapper inference. A page is a stream of tags and text slots. Repeats inside a p
 (`fold`), then the stream is aligned with its host's wrapper so far: where both agree, items stay; what only one side
 has becomes optional; a unit that one side repeats becomes a repeated group; text that differs becomes a slot, text that
 all pages share stays constant (for a repeated group, the texts of the whole group). The result is a regular expression
-without unions. Pages with the same stream are first compared slot by slot, then aligned as one.
+without unions. Pages with the same stream are first compared slot by slot, then aligned as one. Alignment (`pairs_of`) goes by
+units that both sides have once, in the longest common order, and again between those. An item that less than SUPPORT of the pages have is no
+part of the template and is left out, which bounds a wrapper; what a page has there counts as what the wrapper lacks.
 
-Wrappers are partial results: each task infers those of its own pages, the parts of a host are merged by the same
-alignment in salted groups and then once more, so a host that holds a third of all pages is never gathered in one task.
-The wrapper tells which container of its pages holds the varying text (`article` or `main` if there is one). Each page is
-cut at that container. If it is not an `article` or `main` element, the page is matched with its host's wrapper, and only
-the text of varying slots and groups, optional parts and what the wrapper lacks is taken. Text is constant only if at
-least MIN_PAGES different pages of the host share it, and a page without other text keeps it. An `article` or `main` element is taken as it is,
-as all in it belongs to the text. Menus, headers, footers, sidebars, notices, adverts, forms and comments are then left out
-by element, role and class.
+Each slot of the wrapper knows how much text its pages have in it, and in which containers. Two decisions come from the slots:
+the main container is the one that holds the varying text (an `article` or `main` around it, if there is one; else the
+deepest with 70 percent), and a slot with the same text on all pages is template. Text is constant only if at
+least MIN_PAGES different pages of the host share it. Each page is matched with its host's wrapper and cut at the main container;
+constant slots are left out, unless the container is an `article` or `main` element (a fixed heading in an article belongs to
+its text) or nothing else is left.
+
+Wrappers are partial results: each task infers those of its own pages; the parts of a host are merged by the same
+alignment, at most FAN_IN in one place and level by level, so a host that holds a third of all pages is never gathered in one task.
+
+Elements are left out by name and role, and outside the main container by class or id. Inside it only boxes of comments and adverts
+go by class, never a paragraph, heading or list item.
 
 Defined cases: a null, empty or tagless html and a null URL are fine: without a container the whole visible text of the
-body counts. Broken markup (unclosed elements, a page cut inside a tag or reference) ends what is open. Repeated
+body counts. Broken markup (unclosed elements, a page cut inside a tag, an attribute or a reference) ends what is open: a quote
+that never closes ends at the next `>`. Repeated
 rows are each returned. An empty table gives an empty result. Other columns pass through `extract`; columns
 named like the added ones are replaced.
 """
@@ -26,9 +33,10 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -38,17 +46,17 @@ from pyspark.sql import functions as F
 from . import urlfilter
 from .stage import staged
 
-SALTS = 16
-MAX_HOSTS = 20_000
-MAX_ITEMS = 400
+FAN_IN = 16
+MAX_HOSTS = 20_000  # hosts in the memory of a task before it hands on its wrappers
 MIN_PAGES = 5
-MAX_STREAMS = 500
+MAX_STREAMS = 500  # streams in the memory of a wrapper before they are aligned
+SUPPORT = 0.02
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|iframe|svg|math|object|textarea|select|title|canvas|video|audio)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|\"[^\">]*(?=>|\Z)|'[^'>]*(?=>|\Z))*)(?:>|\Z)"
     r"|([^<]+|<)",
     re.S | re.I,
 )
@@ -59,42 +67,57 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BOXES = frozenset("html body article main section div table tbody thead tfoot tr td th ul ol dl nav header footer aside form fieldset menu dialog details figure center".split())
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote address figcaption summary caption legend option label button hr br".split())
 _OUT_TAGS = frozenset("nav footer aside form fieldset menu dialog head button label legend option".split())
+_WHOLE = frozenset("html body article main".split())  # never left out by class
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 _OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices comment comments reply replies disqus "
     "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer footnotebar masthead share sharing social related recommended newsletter subscribe subscription "
     "popup modal overlay login signup search toolbar widget widgets pagination pager copyright alert skip".split()
 )
+# Inside the main container: what marks reader comments and adverts, and only on boxes.
+_INNER_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion comment comments reply replies disqus share sharing newsletter subscribe cookie consent popup modal".split())
+_NUMBER = re.compile(r"[0-9]")
 _SPACE = re.compile(r"\s+")
 
 
-def _signature(name: str, attributes: str) -> tuple[str, bool]:
-    """Name with class or id, and whether the element is left out."""
-    out, label = name in _OUT_TAGS, ""
+def _signature(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """Name with class or id, and whether the element is left out: outside, and inside the main container."""
+    out, label, inner = name in _OUT_TAGS, "", name in _OUT_TAGS
     if attributes:
         for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if hidden or (key == "aria-hidden" and value == "true"):
-                out = True
+                out = inner = True
             elif key == "role":
                 out |= value.lower() in _OUT_ROLES
+                inner |= value.lower() in _OUT_ROLES
                 label += "@" + value.lower()
             elif key in ("class", "id"):
-                out |= not _OUT_WORDS.isdisjoint(x.lower() for x in _PART.findall(value))
-                label += ("." if key == "class" else "#") + value
+                if name not in _WHOLE:
+                    found = {x.lower() for x in _PART.findall(value)}
+                    out |= not _OUT_WORDS.isdisjoint(found)
+                    inner |= name in _BOXES and not _INNER_WORDS.isdisjoint(found)
+                # A number names one page or place, not a kind of element.
+                kinds = [x for x in value.split() if not _NUMBER.search(x)]
+                if kinds:
+                    label += ("." if key == "class" else "#") + " ".join(kinds)
             elif key == "style":
-                out |= "display:none" in value.replace(" ", "").lower()
-    return name + label, out
+                unseen = "display:none" in value.replace(" ", "").lower()
+                out, inner = out or unseen, inner or unseen
+    return name + label, out, inner
+
+
+Block = tuple[str, str, int, bool, bool]
 
 
 class Page:
-    """tokens: the stream of tags and `#`; blocks: (container path, text, characters in links, left out)."""
+    """tokens: the stream of tags and `#`; blocks: (container path, text, characters in links, left out, left out inside the main container)."""
 
     def __init__(self, source: str):
         self.tokens: list[str] = []
-        self.blocks: list[tuple[str, str, int, bool]] = []
+        self.blocks: list[Block] = []
         self.digest = _digest(source)
-        stack: list[tuple[str, str, bool, str]] = []  # name, signature, left out, path
+        stack: list[tuple[str, bool, bool, str, bool]] = []  # name, left out, left out inside the main container, path, in an article or main element
         parts: list[str] = []
         link_chars, link = 0, 0
 
@@ -104,7 +127,7 @@ class Page:
                 text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
                 if text:
                     self.tokens.append("#")
-                    self.blocks.append((stack[-1][3] if stack else "", text, link_chars, bool(stack) and stack[-1][2]))
+                    self.blocks.append((stack[-1][3], text, link_chars, stack[-1][1], stack[-1][2]) if stack else ("", text, link_chars, False, False))
                 parts.clear()
             link_chars = 0
 
@@ -139,13 +162,15 @@ class Page:
                     stack.pop()
                 if name == "body":
                     stack[:] = [x for x in stack if x[0] == "html"]
-            signature, out = _signature(name, attributes)
-            above = stack[-1] if stack else ("", "", False, "")
-            if name == "header":
-                out = out or not re.search(r"/(article|main)\b", above[3])
+            signature, out, inner = _signature(name, attributes)
+            above = stack[-1] if stack else ("", False, False, "", False)
+            if above[4]:
+                out = inner
+            elif name == "header":
+                out = True
             path = above[3] + "/" + signature if name in _BOXES else above[3]
             self.tokens.append(signature)
-            stack.append((name, signature, above[2] or out, path))
+            stack.append((name, above[1] or out, above[2] or inner, path, above[4] or name in ("article", "main")))
         flush()
 
 
@@ -184,6 +209,46 @@ def fold(units: list[Unit], longest: int = 8) -> list[tuple[Unit, bool]]:
     return [(u, r) for u, r, _ in _folded(units, longest)]
 
 
+def pairs_of(a: list[Unit], b: list[Unit]) -> list[tuple[int, int]]:
+    """Positions of equal units, rising on both sides: equal ends, then units that both sides have once, and so on between them."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        while i < j and k < m and a[i] == b[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        while i < j and k < m and a[j - 1] == b[m - 1]:
+            j, m = j - 1, m - 1
+            out.append((j, m))
+        if i == j or k == m:
+            continue
+        in_a, in_b = Counter(a[i:j]), Counter(b[k:m])
+        place = {u: n for n, u in enumerate(b[k:m], k) if in_b[u] == 1 and in_a[u] == 1}
+        met = [(n, place[u]) for n, u in enumerate(a[i:j], i) if u in place]
+        # Longest rising run of places in b.
+        tails: list[int] = []
+        ends: list[int] = []
+        back: list[int] = []
+        for n, (_, y) in enumerate(met):
+            at = bisect_left(tails, y)
+            tails[at : at + 1] = [y]
+            ends[at : at + 1] = [n]
+            back.append(ends[at - 1] if at else -1)
+        n, chain = ends[-1] if ends else -1, []
+        while n >= 0:
+            chain.append(met[n])
+            n = back[n]
+        if not chain:
+            continue
+        chain.reverse()
+        out.extend(chain)
+        for (x, y), (u, v) in zip([(i - 1, k - 1), *chain], [*chain, (j, m)], strict=True):
+            if x + 1 < u and y + 1 < v:
+                todo.append((x + 1, u, y + 1, v))
+    return sorted(out)
+
+
 @dataclass
 class Shape:
     """A folded stream. items: (unit, repeated); slots: for each item, the blocks of each of its slots (a repeated group is one slot)."""
@@ -209,7 +274,7 @@ class Shape:
             own = []
             for blocks in slots:
                 sizes: dict[str, int] = {}
-                for path, text, links, out in (page.blocks[x] for x in blocks):
+                for path, text, links, out, _ in (page.blocks[x] for x in blocks):
                     if not out and 2 * links <= len(text):
                         sizes[path] = sizes.get(path, 0) + len(text)
                 own.append([_digest("\n".join(page.blocks[x][1] for x in blocks)), sizes])
@@ -217,96 +282,107 @@ class Shape:
         return told
 
 
+def _summed(a: dict[str, int], b: dict[str, int]) -> dict[str, int]:
+    out = dict(a)
+    for path, n in b.items():
+        out[path] = out.get(path, 0) + n
+    return out
+
+
+def _one(slots: list) -> list:
+    """All slots of an item as one that varies."""
+    sizes: dict[str, int] = {}
+    for _, own in slots:
+        sizes = _summed(sizes, own)
+    return [[None, sizes]] if slots else []
+
+
 def _common(a: list, b: list) -> list:
-    """Texts of the slots of an item that both sides share; None where they differ."""
-    return [x if x and y and x[0] == y[0] else None for x, y in zip(a, b, strict=True)] if len(a) == len(b) else [None] * max(len(a), len(b))
+    """Slots of an item from both sides: the text that they share or None, and the characters of both."""
+    if len(a) != len(b):
+        return _one(a + b)
+    return [[x[0] if x[0] == y[0] else None, _summed(x[1], y[1])] for x, y in zip(a, b, strict=True)]
 
 
 class Wrapper:
-    """items: [unit, repeated, optional, texts of its slots or None where they vary]; paths: characters of text by container."""
+    """items: [unit, repeated, pages that have it, slots]; a slot is [digest of its text or None where it varies, characters by container]."""
 
     def __init__(self) -> None:
         self.items: list[list] = []
-        self.paths: dict[str, int] = {}
         self.pages = 0
         self.distinct: set[str] = set()  # the least MIN_PAGES digests of pages
-        self.aligned = 0  # pages that are in the items
-        self.streams: dict[tuple[str, ...], tuple[Shape, list[list]]] = {}  # not yet aligned
+        self.streams: dict[tuple[str, ...], tuple[Shape, list[list], list[int]]] = {}  # not yet aligned
 
     def add(self, page: Page) -> None:
-        for path, text, links, out in page.blocks:
-            if not out and 2 * links <= len(text):
-                self.paths[path] = self.paths.get(path, 0) + len(text)
-        self.pages += 1
         self.distinct = _least({*self.distinct, page.digest})
         stream = tuple(page.tokens)
         met = self.streams.get(stream)
         if met:
             texts = met[0].texts(page)
             met[1][:] = [_common(x, y) for x, y in zip(met[1], texts, strict=True)]
+            met[2][0] += 1
         else:
             shape = Shape.of(page.tokens)
-            self.streams[stream] = (shape, shape.texts(page))
+            self.streams[stream] = (shape, shape.texts(page), [1])
             if len(self.streams) >= MAX_STREAMS:
                 self.align()
 
     def align(self) -> None:
         """The streams met so far go into the items."""
-        for shape, texts in self.streams.values():
-            items = [[u, r, False, t] for (u, r), t in zip(shape.items, texts, strict=True)]
-            self.items = _align(self.items, items) if self.aligned else items
-            self.aligned = self.pages
+        for shape, texts, (n,) in self.streams.values():
+            self._join([[u, r, n, t] for (u, r), t in zip(shape.items, texts, strict=True)], n)
         self.streams.clear()
 
     def merge(self, other: Wrapper) -> None:
         self.align()
         other.align()
-        self.items = _align(self.items, other.items) if self.pages and other.pages else self.items + other.items
-        for path, n in other.paths.items():
-            self.paths[path] = self.paths.get(path, 0) + n
-        self.pages += other.pages
+        self._join(other.items, other.pages)
         self.distinct = _least(self.distinct | other.distinct)
-        self.aligned = self.pages
 
-    def constant(self) -> list[tuple[int, int, list]]:
-        """Item, slot and text of each slot that has the same text on all pages, of which at least MIN_PAGES must differ."""
+    def _join(self, items: list[list], pages: int) -> None:
+        both = _align(self.items, items) if self.pages and pages else self.items + items
+        self.pages += pages
+        self.items = [x for x in both if x[2] >= SUPPORT * self.pages]
+
+    def constant(self) -> set[tuple[int, int]]:
+        """Item and slot of each slot that has the same text on all pages, of which at least MIN_PAGES must differ."""
         self.align()
         if len(self.distinct) < MIN_PAGES:
-            return []
-        return [(i, j, text) for i, (_, _, optional, texts) in enumerate(self.items) if not optional for j, text in enumerate(texts) if text]
+            return set()
+        return {(i, j) for i, (_, _, n, slots) in enumerate(self.items) if n == self.pages for j, (text, _) in enumerate(slots) if text}
 
     def varying(self) -> dict[str, int]:
-        """Characters of varying text by container; of all text if none varies."""
-        left = dict(self.paths)
-        for _, _, (_, sizes) in self.constant():
-            for path, n in sizes.items():
-                left[path] = max(0, left.get(path, 0) - n * self.pages)
-        left = {p: n for p, n in left.items() if n}
-        return left or self.paths
+        """Characters of the slots that vary by container; of all slots if none varies."""
+        held, every, left = self.constant(), {}, {}
+        for i, (_, _, _, slots) in enumerate(self.items):
+            for j, (_, sizes) in enumerate(slots):
+                every = _summed(every, sizes)
+                if (i, j) not in held:
+                    left = _summed(left, sizes)
+        return left if any(left.values()) else every
 
     def fixed(self) -> str:
         """What matching needs, as json: items with the digest of each constant slot; empty without any."""
-        held = {(i, j): text[0] for i, j, text in self.constant()}
+        held = self.constant()
         if not held:
             return ""
-        return json.dumps([[u, r, [held.get((i, j)) for j in range(len(t))]] for i, (u, r, _, t) in enumerate(self.items)])
+        return json.dumps([[u, r, [t[0] if (i, j) in held else None for j, t in enumerate(slots)]] for i, (u, r, _, slots) in enumerate(self.items)])
 
     def expression(self) -> str:
         """The wrapper as text: units in brackets, + repeated, ? optional, # a text slot."""
         self.align()
-        return " ".join(("(" + " ".join(u) + ")" if len(u) > 1 or r or o else u[0]) + "+" * r + "?" * o for u, r, o, _ in self.items)
+        return " ".join(("(" + " ".join(u) + ")" if len(u) > 1 or r or n < self.pages else u[0]) + "+" * r + "?" * (n < self.pages) for u, r, n, _ in self.items)
 
     def dump(self) -> str:
         self.align()
-        return json.dumps([self.items, self.paths, self.pages, sorted(self.distinct)])
+        return json.dumps([self.items, self.pages, sorted(self.distinct)])
 
     @staticmethod
     def load(data: str) -> Wrapper:
         out = Wrapper()
-        items, out.paths, out.pages, distinct = json.loads(data)
+        items, out.pages, distinct = json.loads(data)
         out.distinct = set(distinct)
-        out.items = [[tuple(u), r, o, t] for u, r, o, t in items]
-        out.aligned = out.pages
+        out.items = [[tuple(u), r, n, t] for u, r, n, t in items]
         return out
 
 
@@ -326,11 +402,10 @@ class Matcher:
         if known is None:
             known = []
             shape = Shape.of(page.tokens)
-            for kind, i, j, k, _ in SequenceMatcher(None, [x[0] for x in self.items], [x[0] for x in shape.items], autojunk=False).get_opcodes():
-                for at in range(j - i if kind == "equal" else 0):
-                    (_, repeated, texts), slots = self.items[i + at], shape.slots[k + at]
-                    if repeated == shape.items[k + at][1] and len(texts) == len(slots):
-                        known.extend((blocks, text) for blocks, text in zip(slots, texts, strict=True) if text)
+            for i, k in pairs_of([x[0] for x in self.items], [x[0] for x in shape.items]):
+                (_, repeated, texts), slots = self.items[i], shape.slots[k]
+                if repeated == shape.items[k][1] and len(texts) == len(slots):
+                    known.extend((blocks, text) for blocks, text in zip(slots, texts, strict=True) if text)
             if len(self.met) >= MAX_STREAMS:
                 self.met.clear()
             self.met[stream] = known
@@ -346,22 +421,25 @@ def _least(digests: set[str]) -> set[str]:
 
 
 def _align(a: list[list], b: list[list]) -> list[list]:
-    if a == b:
-        return a
+    """Items of both sides in one order; those of one side only are had by its pages only."""
     out: list[list] = []
-    for kind, i, j, k, m in SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_opcodes():
-        if kind == "equal":
-            out.extend([x[0], x[1] or y[1], x[2] or y[2], _common(x[3], y[3]) if x[1] == y[1] else [None]] for x, y in zip(a[i:j], b[k:m], strict=True))
-            continue
-        for unit, repeated, _, texts in [*a[i:j], *b[k:m]]:
+
+    def lone(items: list[list]) -> None:
+        for unit, repeated, n, slots in items:
             if out and out[-1][0] == unit:
-                out[-1][1], out[-1][3] = True, [None]
+                # The same unit again: a repeated group, whose texts are one slot.
+                out[-1][1:] = [True, max(out[-1][2], n), _one(out[-1][3] + slots)]
             else:
-                out.append([unit, repeated, True, texts])
-    if len(out) > MAX_ITEMS:
-        # Too many different streams: keep the shape, folded once more.
-        folded = fold([x[0] for x in out])
-        out = [[u, r, True, [None]] for u, r in folded]
+                out.append([unit, repeated, n, slots])
+
+    i = k = 0
+    for x, y in [*pairs_of([u[0] for u in a], [u[0] for u in b]), (len(a), len(b))]:
+        lone(a[i:x])
+        lone(b[k:y])
+        if x < len(a):
+            (unit, r, n, p), (_, s, m, q) = a[x], b[y]
+            out.append([unit, r or s, n + m, _common(p, q) if r == s else _one(p + q)])
+        i, k = x + 1, y + 1
     return out
 
 
@@ -385,18 +463,21 @@ def main_path(paths: dict[str, int]) -> str:
 
 
 def _inside(path: str, main: str) -> bool:
-    return not main or path == main or path.startswith(main + "/")
+    return path == main or path.startswith(main + "/")
 
 
 def cut(page: Page, main: str, matcher: Matcher | None = None) -> str:
-    if main and not any(_inside(p, main) for p, _, _, out in page.blocks if not out):
+    if not main or not any(_inside(p, main) for p, _, _, _, inner in page.blocks if not inner):
         own: dict[str, int] = {}
-        for path, text, links, out in page.blocks:
+        for path, text, links, out, _ in page.blocks:
             if not out and 2 * links <= len(text):
                 own[path] = own.get(path, 0) + len(text)
         main, matcher = main_path(own), None
+    if main:
+        inside = [(i, t) for i, (p, t, _, _, inner) in enumerate(page.blocks) if not inner and _inside(p, main)]
+    else:
+        inside = [(i, t) for i, (_, t, _, out, _) in enumerate(page.blocks) if not out]
     constant = matcher.constant(page) if matcher else set()
-    inside = [(i, t) for i, (p, t, _, out) in enumerate(page.blocks) if not out and _inside(p, main)]
     # Without any varying text, the constant one is the page's text.
     return "\n".join([t for i, t in inside if i not in constant] or [t for _, t in inside])
 
@@ -444,11 +525,14 @@ def _final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, main (container path), fixed (json, for matching), wrapper (expression) and pages of each host."""
     fed = pages.select(urlfilter.host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    parts = fed.mapInArrow(_partial, "host string, wrapper string")
-    salted = parts.groupBy("host", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.collect_list("wrapper").alias("parts"))
-    once = salted.select("host", "parts").mapInArrow(_merged, "host string, wrapper string")
-    whole = once.groupBy("host").agg(F.collect_list("wrapper").alias("parts")).mapInArrow(_merged, "host string, wrapper string")
-    return whole.mapInArrow(_final, "host string, main string, fixed string, wrapper string, pages long")
+    parts = staged(fed.mapInArrow(_partial, "host string, wrapper string"), "wrappers")
+    while True:
+        most = parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        if most <= 1:
+            return parts.mapInArrow(_final, "host string, main string, fixed string, wrapper string, pages long")
+        salt = F.pmod(F.xxhash64("wrapper"), F.lit(-(-most // FAN_IN)))
+        gathered = parts.groupBy("host", salt.alias("salt")).agg(F.collect_list("wrapper").alias("parts"))
+        parts = staged(gathered.select("host", "parts").mapInArrow(_merged, "host string, wrapper string"), "wrappers")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -6,7 +6,8 @@ of word frequencies per language. Together with learned transitions, forward-bac
 posterior over the languages. Long texts are cut into blocks whose transfer matrices are multiplied first, so the
 sums are exact over the whole text and still vectorised.
 
-Training is on the driver, on a bounded sample (`per_lang` texts of each language, chosen by a hash of the id).
+Training is on the driver, on a bounded sample (`per_lang` texts of each language, chosen by a hash of the id); every language
+that occurs is learned, so sample and model grow with the number of languages.
 Pieces of texts of several languages are joined into sequences, so that the transitions see code-switching.
 
 Defined cases: a text that is null or has no letter is `und` with score 0.0; so is every text if nothing can be
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -221,8 +222,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Model | None:
 
 
 
-
-def _labeller(model: Model | None):
+def _labeller(model: Model | None, with_runs: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tk.row_slices(batch.column(0), 1 << 20):
@@ -245,6 +245,7 @@ def _labeller(model: Model | None):
                     for i in some:
                         pred[i] = model.langs[best[i]]
                     score[some] = np.clip(total[some, best[some]] / n[some], 0.0, 1.0)
+                if with_runs and model is not None and len(s):
                     word = post.argmax(axis=1)
                     cut = np.ones(len(word), bool)
                     cut[1:] = word[1:] != word[:-1]
@@ -261,24 +262,24 @@ def _labeller(model: Model | None):
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, parts: int, held_part: int, per_lang: int) -> list[tuple[str, str]]:
-    """At most `per_lang` (text, language) of each of the at most 256 most frequent languages, by a hash of the id."""
+    """At most `per_lang` (text, language) of each language, by a hash of the id."""
     known = docs.where(F.col(lang_col).isNotNull() & (F.coalesce(crc_part(F.col(id_col), parts), F.lit(held_part)) != held_part))
-    sizes = known.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(256).collect()
-    place = F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for row in sizes:
-        chosen = chosen | ((F.col(lang_col) == row[0]) & (place < int(1_000_000 * min(1.0, 0.95 * per_lang / row["n"]))))
-    found = known.where(chosen).select(F.col(id_col), F.col(text_col), F.col(lang_col)).limit(per_lang * max(len(sizes), 1)).collect()
-    return [(r[1] or "", r[2]) for r in sorted(found, key=lambda r: (r[0], r[1] or ""))]
+    known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000))
+    chosen = known.join(sizes, "lang").where(place < F.least(F.lit(1e6), F.lit(0.95e6 * per_lang) / F.col("n")))
+    # A hash of the id gives about as many; rows that share an id come together, so the number is held here.
+    ranked = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id", "text"))).where(F.col("_nth") <= per_lang)
+    return [(r["text"] or "", r["lang"]) for r in ranked.orderBy("lang", "_nth").select("text", "lang").collect()]
 
 
-def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, held_part: int = 2, per_lang: int = 300) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and runs (language and number of words) of each row."""
+def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, held_part: int = 2, per_lang: int = 300, with_runs: bool = True) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and runs (language and number of words; empty if not asked for) of each row."""
     rows = sample(docs, id_col, text_col, lang_col, parts, held_part, per_lang)
     model = docs.sparkSession.sparkContext.broadcast(train([t for t, _ in rows], [x for _, x in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _labeller(model.value)(batches)
+        return _labeller(model.value, with_runs)(batches)
 
     kind = docs.schema[id_col].dataType.simpleString()
     done = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).mapInArrow(run, f"lang_pred string, score double, runs array<struct<lang:string,words:int>>, doc_id {kind}")

@@ -51,15 +51,16 @@ def _line_rows(min_chars: int):
                 keep, a, z = keep[long], a[long], z[long]
                 owner = np.searchsorted(bounds, keep, "right") - 1
                 n = np.diff(bounds)
+                key = piece.wide_digests(a, z, True).view(np.int64)
                 cols = [
-                    piece.hashes(a, z, True, 0).view(np.int64),
-                    piece.hashes(a, z, True, 1).view(np.int64),
+                    key[:, 0],
+                    key[:, 1],
                     doc[piece.lo + owner],
                     row[piece.lo + owner],
                     (keep - bounds[owner]).astype(np.int32),
                     n[owner].astype(np.int32),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list(_FIELDS))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=list(_FIELDS))
 
     return run
 

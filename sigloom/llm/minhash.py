@@ -9,22 +9,27 @@ Candidates. BANDS bands of ROWS bins become bucket keys: a pair at resemblance 0
 probability 1e-6. One bit of each of the T bins (of WIDE bins, for nodes of buckets that stay divided) estimates
 resemblance; a pair whose estimate is more than five standard deviations below the threshold is not verified.
 
-Exact copies (equal shingle sets) are one node. Inside a bucket not all pairs are made: every node is paired
+Rows of equal shingle sets are one node, told apart by a 128-bit digest of the whole set: a node is its first half, and
+nodes of which the other half differs are numbered anew. Everything up to the last step works on nodes; an id only names
+the component in the end. Inside a bucket not all pairs are made: every node is paired
 with the bucket's smallest and largest node, which is linear; the pairs that pass the estimate are verified on
 full sets and linked nodes united. Only nodes that are still apart from the largest component of their bucket are
 then paired with its other components, so every candidate pair is either verified or already in one component. An
 exact bound keeps these few: shingles that no other candidate holds cannot be common, so two nodes share at most the
-smaller number of their other shingles. It settles most heavily edited copies without a pair.
+smaller number of their other shingles. It settles most heavily edited copies without a pair. Buckets are dealt in
+salted parts, and such pairs are made in blocks of BLOCK nodes, so one bucket may hold most nodes.
 
 Defined cases: null and empty texts and texts without words have no shingles and are linked with nothing; with
-fewer than five words the whole sequence is one shingle. Rows with equal ids are rows of their own. A null id
-is never a component's id unless all of its rows have none. An empty table gives an empty result. The
-operator reads only the id and text columns.
+fewer than five words the whole sequence is one shingle. Rows with equal ids are rows of their own: each is in the component
+of its own text. A component's id is the smallest id of its rows; rows without an id count only if no row of it has one,
+and the id is then null. An empty table gives an empty result. `near_duplicates` reads only the id and text columns; other
+columns pass through `dedup`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .graph import components
+from .graph import SALTS, components, join_spread
 from .stage import staged
 
 T, WIDE = 512, 4096
 ROWS, BANDS = 4, 36
+BLOCK = 256
 NO_ID = (1 << 63) - 1
 U64 = np.uint64
 _FULL = U64(0xFFFFFFFFFFFFFFFF)
@@ -62,10 +68,11 @@ def sketches(flat: np.ndarray, at: np.ndarray, t: int = T) -> np.ndarray:
     return out.reshape(rows, t)
 
 
-def set_hash(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of each set, independent of order."""
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(tk.mix(flat ^ U64(0x5851F42D4C957F2D)), dtype=U64)])
-    return tk.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U64))
+def set_digests(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128-bit digest of each sorted set: rows x 2."""
+    data = memoryview(np.ascontiguousarray(flat)).cast("B")
+    every = [blake2b(data[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(every), np.int64).reshape(len(at) - 1, 2)
 
 
 def _keys(s: np.ndarray) -> np.ndarray:
@@ -81,46 +88,38 @@ def _bits(s: np.ndarray) -> np.ndarray:
     return np.packbits((s & U64(1)).astype(np.uint8), axis=1).view(U64).ravel()
 
 
+_KEY = "doc_id long, k1 long, k2 long"
+_SKETCHED = _KEY + ", n_shingles long, node long, twin long, bands array<long>, bits array<long>"
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for piece in tk.row_slices(batch.column(1)):
+        for piece in tk.row_slices(batch.column(0)):
             flat, at = tk.shingles(piece)
             sizes = np.diff(at)
-            some = np.flatnonzero(sizes)
-            s = sketches(flat, at)[some]
-            node = np.zeros(piece.rows, np.int64)
-            node[some] = set_hash(flat, at).view(np.int64)[some]
-            key, bits = _keys(s), _bits(s)
             has = sizes > 0
+            s = sketches(flat, at)[has]
+            digest = set_digests(flat, at)
             count = np.concatenate([[0], np.cumsum(has)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(piece.lo, piece.rows),
-                    pa.array(sizes.astype(np.int64)),
-                    pa.array(node, mask=~has),
-                    tk.long_lists(key, count * BANDS),
-                    tk.long_lists(bits, count * (T // 64)),
-                ],
-                names=["doc_id", "n_shingles", "node", "bands", "bits"],
-            )
+            halves = [pa.array(np.ascontiguousarray(digest[:, i]), mask=~has) for i in (0, 1)]
+            lists = [tk.long_lists(_keys(s), count * BANDS), tk.long_lists(_bits(s), count * (T // 64))]
+            yield pa.RecordBatch.from_arrays([*(c.slice(piece.lo, piece.rows) for c in batch.columns[1:]), pa.array(sizes.astype(np.int64)), *halves, *lists], names=["doc_id", "k1", "k2", "n_shingles", "node", "twin", "bands", "bits"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full sets of the wanted nodes; a row that only shares the id of its node is left out."""
+    """Full sets of the wanted nodes (text, node, twin)."""
     for batch in batches:
-        wanted = np.asarray(batch.column(0))
-        for piece in tk.row_slices(batch.column(1)):
+        node, twin = (np.asarray(batch.column(i)) for i in (1, 2))
+        for piece in tk.row_slices(batch.column(0)):
             flat, at = tk.shingles(piece)
-            own = wanted[piece.lo : piece.hi]
-            good = np.flatnonzero((set_hash(flat, at).view(np.int64) == own) & (np.diff(at) > 0))
+            good = np.flatnonzero((set_digests(flat, at)[:, 1] == twin[piece.lo : piece.hi]) & (np.diff(at) > 0))
             for lo in range(0, len(good), 256):
                 rows = good[lo : lo + 256]
                 bounds = np.concatenate([[0], np.cumsum(np.diff(at)[rows])])
                 part = np.concatenate([flat[at[i] : at[i + 1]] for i in rows])
                 every = np.arange(len(rows) + 1)
                 lists = [tk.long_lists(part, bounds), tk.long_lists(_keys(sketches(part, bounds)), every * BANDS), tk.long_lists(_bits(sketches(part, bounds, WIDE)), every * (WIDE // 64))]
-                yield pa.RecordBatch.from_arrays([pa.array(own[rows]), *lists], names=["node", "shingles", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[piece.lo + rows]), *lists], names=["node", "shingles", "bands", "bits"])
 
 
 def _likely(x: str, y: str, percent: int, t: int = T) -> Column:
@@ -145,29 +144,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = staged(docs.mapInArrow(_sketch_rows, "doc_id long, n_shingles long, node long, bands array<long>, bits array<long>"), "sketches")
-    nodes = known.where("node IS NOT NULL").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
-    nodes = staged(nodes, "nodes")
-
-    keyed = known.where("node IS NOT NULL").select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("size")).where("p <> q")
-    members = staged(keyed.join(shared, "bucket").distinct(), "members")
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Id and 128 bits of the text: rows with equal keys are the same row twice."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(5), text).alias("k2")]
+
+
+def _nodes(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and a row for each node: its smallest row (rep: doc, k1, k2), n_shingles, bits, twin."""
+    doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
+    while True:
+        nodes = staged(
+            known.where("node IS NOT NULL").groupBy("node").agg(
+                F.min(F.struct(doc, "k1", "k2")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("twin").alias("twin"), F.max("twin").alias("last")
+            ),
+            "nodes",
+        )
+        met = nodes.where("twin <> last").select("node", F.lit(True).alias("met"))
+        if met.limit(1).count() == 0:
+            return known, nodes.drop("last")
+        # Different sets with one first half of 64 bits: their nodes come from both halves.
+        again = known.join(met, "node", "left").withColumn("node", F.when(F.col("met"), F.xxhash64("node", "twin")).otherwise(F.col("node")))
+        known = staged(again.drop("met"), "sketches")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """doc_id, k1, k2, n_shingles, component (a long, null without shingles) and component_id of every row."""
+    keyed = docs.select(F.col(text_col).cast("string").alias("text"), *_row_key(docs, id_col, text_col))
+    known, nodes = _nodes(staged(keyed.mapInArrow(_sketch_rows, _SKETCHED), "sketches"))
+
+    banded = known.where("node IS NOT NULL").select("node", F.posexplode("bands").alias("band", "bucket"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    blocks = banded.groupBy("bucket", "salt").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("size"))
+    shared = blocks.groupBy("bucket").agg(F.min("p").alias("p"), F.max("q").alias("q"), F.sum("size").alias("size")).where("p <> q")
+    places = blocks.select("bucket", "salt").join(shared, "bucket")
+    members = staged(banded.join(places, ["bucket", "salt"]).drop("salt").distinct(), "members")
 
     star = members.select(F.explode(F.array(F.struct("node", F.col("p").alias("other")), F.struct("node", F.col("q").alias("other")))).alias("x")).where("x.node <> x.other")
     star = star.select(*_pair(F.col("x.node"), F.col("x.other"))).distinct()
     first = staged(_estimated(star, nodes, percent), "pairs")
 
     wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(members.where("size > 3").select("node")).distinct()
-    places = wanted.join(nodes.select("node", "rep"), "node")
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text").join(places, "rep").select("node", "text")
-    sets = staged(texts.mapInArrow(_set_rows, "node long, shingles array<long>, bands array<long>, bits array<long>"), "sets")
+    rows = wanted.join(nodes, "node").select("node", "twin", F.col("rep.doc").alias("doc"), F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
+    texts = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).drop("doc_id").join(rows, ["doc", "k1", "k2"])
+    # A row that is there more than once gives its set once; the join has the rows of a key in one place already.
+    once = texts.groupBy("doc", "k1", "k2", "node", "twin").agg(F.first("text").alias("text")).select("text", "node", "twin")
+    sets = staged(once.mapInArrow(_set_rows, "node long, shingles array<long>, bands array<long>, bits array<long>"), "sets")
 
     edges = staged(_verified(first, sets, percent), "edges")
-    names = nodes.select("node", "rep")
-    labels = components(edges, names)
+    labels = components(edges)
 
     held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     alone = staged(held.where("node = last").groupBy("node").agg(F.count("*").alias("alone")), "alone")
@@ -176,11 +200,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if second.limit(1).count():
         more = staged(_verified(second, sets, percent), "more")
         if more.limit(1).count():
-            labels = components(edges.unionByName(more), names)
+            labels = components(edges.unionByName(more))
+
+    named = staged(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"), F.col("rep.doc").alias("doc")), "named")
+    ids = named.groupBy("component").agg(F.min("doc").alias("least"))
+    named = join_spread(named.select("node", "component"), ids, "component", "node")
+    # Exact copies of one text may be most of all rows.
+    rows = known.select("doc_id", "k1", "k2", "n_shingles", "node")
+    found = join_spread(rows.where("node IS NOT NULL"), named, "node", "doc_id").select("doc_id", "k1", "k2", "n_shingles", "component", F.nullif("least", F.lit(NO_ID)).alias("component_id"))
+    none = rows.where("node IS NULL").select("doc_id", "k1", "k2", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(none)
+
 
-    named = names.join(labels, "node", "left").select("node", F.coalesce("label", "rep").alias("component"))
-    component = F.coalesce(F.nullif(F.col("component"), F.lit(NO_ID)), F.col("doc_id"))
-    return known.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _components(docs, id_col, text_col, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """One row of each component, that of the smallest id and then text hash; rows without shingles all stay.
+
+    Works on rows: rows that share an id with others are judged by their own text, and of a row that is there more than
+    once, or of rows without an id and with one text, one stays.
+    """
+    found = _components(docs, id_col, text_col, percent).where("component IS NOT NULL")
+    key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "k1", "k2")
+    best = found.groupBy("component").agg(F.min(key).alias("best"))
+    chosen = best.select(F.col("best.doc").alias("_nd_doc"), F.col("best.k1").alias("_nd_k1"), F.col("best.k2").alias("_nd_k2"))
+    doc, k1, k2 = _row_key(docs, id_col, text_col)
+    keyed = docs.withColumns({"_nd_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_nd_k1": k1, "_nd_k2": k2})
+    worded = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    left = keyed.where(worded).join(chosen, ["_nd_doc", "_nd_k1", "_nd_k2"], "left_semi").dropDuplicates(["_nd_doc", "_nd_k1", "_nd_k2"])
+    return left.select(*docs.columns).unionByName(keyed.where(~worded).select(*docs.columns))
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -195,20 +246,24 @@ def _apart(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFr
     `alone` has the number of each node's shingles that no other candidate holds.
     """
     shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
-    named = nodes.join(labels, "node", "left").select("node", "n_shingles", F.coalesce("label", "rep").alias("label"))
+    named = nodes.join(labels, "node", "left").select("node", "n_shingles", F.coalesce("label", "node").alias("label"))
     placed = members.select("bucket", "node").join(named.select("node", "label"), "node")
     per_label = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    main = per_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("main"))
+    main = per_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("n")).where("labels > 1")
+    main = main.select("bucket", F.col("top.label").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / F.lit(float(BLOCK))).cast("int").alias("parts"))
     state = named.join(sets.select("node", "bands", "bits"), "node").join(alone, "node", "left").withColumn("shared", shared)
     able = state.where(100 * F.col("shared") >= percent * F.col("n_shingles")).drop("alone")
-    rows = members.select("band", "bucket", "node").join(main, "bucket").join(able, "node")
-    x, y = rows.where("label <> main").alias("x"), rows.alias("y")
+    rows = join_spread(members.select("band", "bucket", "node"), main, "bucket", "node").join(able, "node")
+    # Nodes outside the largest component are dealt into blocks, and every other node of the bucket meets each block.
+    x = rows.where("label <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
+    y = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - F.lit(1).cast("bigint")))).alias("y")
     once = (F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     common = F.least("x.shared", "y.shared")
     enough = 100 * common >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - common)
     # Only in the first bucket that both are in.
     here = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & once & enough & _likely("x", "y", percent, WIDE) & here)
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block"))
+    met = x.join(y, same & (F.col("x.label") != F.col("y.label")) & once & enough & _likely("x", "y", percent, WIDE) & here)
     return met.select(*_pair(F.col("x.node"), F.col("y.node"))).distinct()
 
 

@@ -5,10 +5,16 @@ gets a rate (how often it is drawn), starting at 1, so that the expected domain
 
     total[d] = sum over documents of tokens * rate * posterior[d]
 
-match the targets in relative least squares under rate >= 0, by projected gradient with spectral steps. In the norm that weighs documents by
-tokens, a step changes a document's rate by a linear function of its posteriors, so the history of the few gradients is
-all the state: each pass is one aggregation over a staged narrow table, with no join and nothing per document on
-the driver.
+match the targets in relative least squares under rate >= 0, by projected gradient: in the norm that weighs documents by
+tokens, a step changes a document's rate by a linear function of its posteriors, so the history of these few numbers is
+all the state. A step is scaled by the second moments of the posteriors over the documents with a rate above 0, which come with
+the totals, and shortened until the error falls; at worst it is the plain gradient step with the least length, at which it always falls.
+Each pass is one aggregation over a staged narrow table, with no join and nothing per document on the driver. `Fit.converged`
+says whether every domain with a target is within TOLERANCE of it; if not, there is a warning.
+
+Documents are drawn by systematic sampling: they are ordered by likeliest domain and size, rates are added up along this order, and a document
+is drawn whenever the sum passes a whole number. So the drawn totals of a domain are off by little more than single documents, while each
+document is drawn by its own rate. The order is made by range partitions; only their sums (one row per task) meet on the driver.
 
 Classifier: softmax regression on document statistics and on the presence of telling words, fitted in one executor
 task on a bounded sample of labelled rows (`max_rows`, by a hash of the id). A word is telling if its document frequency
@@ -24,12 +30,13 @@ table gives an empty result. Other columns pass through `draw` and `mix`; the fi
 from __future__ import annotations
 
 import pickle
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import statistics
@@ -40,7 +47,7 @@ from .stage import staged
 U64 = np.uint64
 BITS = 20
 Z, LEAST = 5.0, 8
-ROUNDS, TOLERANCE = 40, 1e-4
+ROUNDS, TOLERANCE = 60, 1e-3
 NO_ID = -(1 << 63)
 
 
@@ -151,8 +158,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         model = learn(texts, rows.column("domain").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # The limit leaves one partition, so one task sees the whole sample.
-    sample = keyed.join(chosen, "doc").select("doc", "row", F.col("text").cast("string"), F.col("domain").cast("string")).limit(max_rows)
+    # Ordered by the row's own key, so repeated ids choose the same rows however the table is dealt; one task sees the sample.
+    sample = keyed.join(chosen, "doc").select("doc", "row", F.col("text").cast("string"), F.col("domain").cast("string")).orderBy("doc", "row").limit(max_rows)
     made = sample.mapInArrow(taught, "model binary").collect()
     model = pickle.loads(made[0]["model"]) if made else None
     domains = model.domains if model else []
@@ -187,6 +194,7 @@ class Fit:
     target: np.ndarray
     reached: np.ndarray
     history: list[list[float]]
+    converged: bool = True
 
 
 def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], total: float | None = None, rounds: int = ROUNDS, whole: str | None = None) -> Fit:
@@ -198,15 +206,22 @@ def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], tota
     k = len(domains)
     w = np.array([max(float(weights.get(d, 0.0)), 0.0) for d in domains])
     w = w / w.sum() if w.sum() else w
-
-    def totals(history: list[list[float]]) -> np.ndarray:
-        mass = F.col("n_tokens") * _rate(history)
-        row = known.agg(*(F.sum(mass * F.col("posteriors")[d]).alias(f"t{d}") for d in range(k))).first()
-        return np.array([row[d] or 0.0 for d in range(k)])
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+
+    def totals(history: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each domain, and second moments of the posteriors where the rate is above 0."""
+        p, rate = [F.col("posteriors")[d] for d in range(k)], F.col("_rate")
+        live = F.when(rate > 0, F.col("n_tokens")).otherwise(0)
+        rated = known.select("n_tokens", "posteriors", _rate(history).alias("_rate"))
+        row = rated.agg(*(F.sum(F.col("n_tokens") * rate * p[d]) for d in range(k)), *(F.sum(live * p[i] * p[j]) for i, j in pairs)).first()
+        a = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:], strict=True):
+            a[i, j] = a[j, i] = x or 0.0
+        return np.array([x or 0.0 for x in row[:k]]), a
 
     if not k:
         return Fit([], np.zeros(0), np.zeros(0), np.zeros(0), [])
-    have = totals([])
+    have, a = totals([])
     there = have > 0
     if total is None:
         total = min((have[d] / w[d] for d in range(k) if w[d] > 0 and there[d]), default=0.0)
@@ -214,28 +229,36 @@ def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], tota
     if whole in domains and w[domains.index(whole)] > 0:
         at = domains.index(whole)
         target = np.where(there, np.minimum(w * (have[at] / w[at]), have), 0.0)
-    scale = np.where(there, have, 1.0)
-    pair = known.agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[i] * F.col("posteriors")[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(k))).first()
-    a = np.array([x or 0.0 for x in pair]).reshape(k, k)
-    scaled = a / np.sqrt(scale[:, None] * scale[None, :])
-    least = step = 1.0 / max(float(np.linalg.eigvalsh((scaled + scaled.T) / 2)[-1]), 1e-12)
+    # Errors are relative to the target, those of a domain with target 0 to what there is of it.
+    scale = np.where(target > 0, target, np.where(there, have, 1.0))
+
+    def error(reached: np.ndarray) -> float:
+        return float((np.where(there, (reached - target) / scale, 0.0) ** 2).sum())
+
+    def met(reached: np.ndarray) -> bool:
+        return bool((np.abs(reached - target)[target > 0] <= TOLERANCE * target[target > 0]).all())
+
+    bend = a / (scale[:, None] * scale[None, :])
+    least = 1.0 / max(float(np.linalg.eigvalsh(bend)[-1]), 1e-300)
     history: list[list[float]] = []
-    reached = have
-    off = np.where(there, (reached - target) / scale, 0.0)
-    for _ in range(rounds):
-        if np.abs(off).max() < TOLERANCE:
+    reached, passes = have, 0
+    while passes < rounds and error(reached) > 1e-8:
+        off = np.where(there, reached - target, 0.0)
+        plain = least * off / scale**2
+        scaled = np.linalg.lstsq(a / (scale[:, None] * scale[None, :]), off / scale, rcond=1e-12)[0] / scale
+        for step in (scaled, scaled / 2, scaled / 8, plain):
+            tried, moments = totals([*history, step.tolist()])
+            passes += 1
+            if error(tried) < error(reached) * (1 - 1e-3):
+                history.append(step.tolist())
+                reached, a = tried, moments
+                break
+        else:
             break
-        tried = totals([*history, (step * off).tolist()])
-        new = np.where(there, (tried - target) / scale, 0.0)
-        if (new**2 * scale).sum() > (off**2 * scale).sum() and step > least:
-            step = max(least, step / 8)  # with the least step the error never grows
-            continue
-        history.append((step * off).tolist())
-        # Spectral length for the next step: the curvature along this one, from the posteriors' second moments.
-        bend = -float(off @ a @ (new - off))
-        step = float(np.clip(step * float(off @ a @ off) / bend, least, 100 * least)) if bend > 0 else least
-        reached, off = tried, new
-    return Fit(domains, have, target, reached, history)
+    done = met(reached)
+    if not done:
+        warnings.warn(f"rates after {passes} passes: {dict(zip(domains, reached.round(), strict=True))} for targets {dict(zip(domains, target.round(), strict=True))}", stacklevel=2)
+    return Fit(domains, have, target, reached, history, done)
 
 
 def rates(known: DataFrame, found: Fit) -> DataFrame:
@@ -243,26 +266,41 @@ def rates(known: DataFrame, found: Fit) -> DataFrame:
     return known.withColumn("rate", _rate(found.history))
 
 
-def draw(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", snap: float = 0.3) -> DataFrame:
-    """Each document as often as its rate says: the whole part, and once more with the chance of the rest.
-
-    The chance is decided by a hash of id and text. A rate within `snap` of a whole number is taken as that number;
-    only with `snap` 0 (as in `mix`) are the drawn totals those of the fit.
+def _times(rated: DataFrame) -> DataFrame:
+    """_mx_doc, _mx_row, _mx_times: how often each document is drawn."""
+    spark, given = rated.sparkSession, rated.columns
+    top = F.coalesce(F.array_position("posteriors", F.array_max("posteriors")), F.lit(0)) if "posteriors" in given else F.lit(0).cast("bigint")
+    size = F.col("n_tokens") if "n_tokens" in given else F.lit(0)
+    one = rated.groupBy("doc", "row").agg(F.max("rate").alias("rate"), F.max(top).alias("top"), F.max(size).alias("size"))
+    order = ["top", "size", "doc", "row"]
+    ranged = staged(one.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "drawn")
+    before, sums = 0.5, []
+    for x in ranged.groupBy("part").agg(F.sum("rate").alias("sum")).orderBy("part").collect():
+        sums.append((x["part"], before))
+        before += x["sum"]
+    places = spark.createDataFrame(sums, "part int, before double")
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each task.
+    summed = ranged.join(F.broadcast(places), "part").withColumn("low", F.col("before") + F.coalesce(F.sum("rate").over(inside), F.lit(0.0)))
+    # Sums that differ by less than a rounding are the same whole number on both sides of a place.
+    times = F.floor(F.round(F.col("low") + F.col("rate"), 9)) - F.floor(F.round("low", 9))
+    return summed.select(F.col("doc").alias("_mx_doc"), F.col("row").alias("_mx_row"), times.cast("int").alias("_mx_times")).where("_mx_times > 0")
+
+
+def draw(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document as often as its rate says: the whole part, and once more where the sum of rates passes a whole number.
+
+    Rows of one id and text are drawn alike.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    near = F.round("rate")
-    rate = F.when(F.abs(F.col("rate") - near) <= snap, near).otherwise(F.col("rate"))
-    chance = F.pmod(F.xxhash64("_mx_doc", "_mx_row", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    one = rated.groupBy(F.col("doc").alias("_mx_doc"), F.col("row").alias("_mx_row")).agg(F.max("rate").alias("rate"))
-    times = one.select("_mx_doc", "_mx_row", F.floor(rate + chance).cast("int").alias("_mx_times")).where("_mx_times > 0")
-    keyed = docs.withColumns({"_mx_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_mx_row": F.xxhash64(text)})
+    times = _times(rated)
+    keyed = docs.withColumns({"_mx_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_mx_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     joined = keyed.join(times, ["_mx_doc", "_mx_row"])
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mx_times")).alias("_mx_n")).select(*docs.columns)
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", whole: str | None = None) -> DataFrame:
     known, domains = posteriors(docs, labels, id_col, text_col, domain_col)
-    return draw(docs, rates(known, fit(known, domains, weights, whole=whole)), id_col, text_col, snap=0.0)
+    return draw(docs, rates(known, fit(known, domains, weights, whole=whole)), id_col, text_col)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

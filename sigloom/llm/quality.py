@@ -103,7 +103,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = marked.count()
     # A hash of the id keeps about max_rows of n labelled rows; the limit is met exactly below.
     share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.98 * max_rows / max(n, 1)))
-    sample = known.join(marked.where(share), "doc_id").select("stats", "y", "doc_id").limit(max_rows).toArrow().sort_by("doc_id")
+    sample = known.join(marked.where(share), "doc_id").select("stats", "y", "doc_id").orderBy("doc_id", "stats").limit(max_rows).toArrow()
     x = statistics.matrix(sample.column("stats")) if sample.num_rows else np.zeros((0, len(statistics.NAMES)), np.float32)
     model = docs.sparkSession.sparkContext.broadcast(fit(x, np.asarray(sample.column("y")).astype(float)))
 

@@ -62,7 +62,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.predict(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("runs")
+    return langid.predict(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), with_runs=False).drop("runs")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def line_keys(piece: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, last = np.searchsorted(ws, s), np.searchsorted(we, e, "right")
     n = np.maximum(last - first, 0)
     keys, some = np.zeros(len(s), U64), np.flatnonzero(n)
-    keys[some] = piece.hashes(ws[first[some]], we[last[some] - 1], True)
+    keys[some] = piece.digests(ws[first[some]], we[last[some] - 1], True)
     return keys, n, bounds
 
 
@@ -57,7 +57,7 @@ def counts(piece: tk.Slice) -> dict[str, np.ndarray]:
     s, e, bounds = piece.words()
     letter = (piece.b & 0xC0) != 0x80
     inside = letter & ~tk._SPACE[piece.b]
-    w, at = tk.windows(piece.hashes(s, e, False), bounds)
+    w, at = tk.windows(piece.digests(s, e, False), bounds)
     owner = _of_row(at)
     keyed = w ^ tk.mix(owner.astype(U64))
     order = np.argsort(keyed, kind="stable")
@@ -74,7 +74,7 @@ def counts(piece: tk.Slice) -> dict[str, np.ndarray]:
     ls, le, lb = piece.lines()
     worded = np.searchsorted(s, ls) < np.searchsorted(s, le)
     row = _of_row(lb)[worded]
-    line = piece.hashes(ls[worded], le[worded], False) ^ tk.mix(row.astype(U64))
+    line = piece.digests(ls[worded], le[worded], False) ^ tk.mix(row.astype(U64))
     _, first = np.unique(line, return_index=True)
     rows = piece.rows
     return {

@@ -42,7 +42,7 @@ def table(piece: tk.Slice) -> np.ndarray:
     length = piece.count(letters, s, e)
     longest = np.zeros(rows)
     np.maximum.at(longest, owner, length)
-    h = piece.hashes(s, e, True)
+    h = piece.digests(s, e, True)
     keyed = h ^ tk.mix(owner.astype(np.uint64))
     _, first = np.unique(keyed, return_index=True)
     distinct = np.bincount(owner[first], minlength=rows)

@@ -7,13 +7,16 @@ bounds the temporary arrays; one row is never split, so a single very long text
 Word: a maximal run of bytes outside 0x20 and 0x09-0x0D. UTF-8 lead and continuation bytes are all
 above 0x20, so this equals the pattern `[^\\x20\\x09-\\x0D]+` over code points.
 
-Hashes are polynomial in the bytes modulo 2**64 with an odd base (its powers are invertible, so the hash
-of any byte range is a difference of prefix sums) and then mixed with the length.
+Where equal hashes must mean equal text, `digests` gives the first 64 bits of BLAKE2b and `wide_digests` 128 bits, so no
+texts can be built that collide. `hashes` is only for features of models, where a collision costs nothing: it is
+polynomial in the bytes modulo 2**64 with an odd base (its powers are invertible, so the hash of any byte range is a
+difference of prefix sums) and then mixed with the length; texts that collide in it are easy to build.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +30,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _WIDE = {False: (np.arange(256) + 1).astype(np.uint64), True: (_LOWER.astype(np.uint64) + 1)}
 
-_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = 0x9E3779B97F4A7C15
+_tables: list[np.ndarray] = []
 
 U64 = np.uint64
 
 
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> list[np.ndarray]:
     """Powers 0..n of the base and of its inverse, both modulo 2**64; grown by doubling."""
-    have = _tables.get(which)
-    if have is None or len(have[0]) <= n:
+    if not _tables or len(_tables[0]) <= n:
         size = max(1 << 16, 1 << int(n + 1).bit_length())
-        pair = []
-        for base in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
+        _tables.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             out = np.full(size, base, U64)
             out[0] = 1
             with np.errstate(over="ignore"):
-                pair.append(np.cumprod(out, dtype=U64))
-        have = _tables[which] = (pair[0], pair[1])
-    return have
+                _tables.append(np.cumprod(out, dtype=U64))
+    return _tables
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,6 +60,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Memo(dict):
+    """Digests of short byte strings; bounded, as it is emptied when it is full."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = blake2b(word, digest_size=8).digest()
+        if len(word) <= 48:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_memo = _Memo()
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -94,23 +110,54 @@ class Slice:
         self.lo, self.hi, self.rows = lo, hi, hi - lo
         self.b = raw[offsets[lo] : offsets[hi]]
         self.o = offsets[lo : hi + 1] - offsets[lo]
-        self._sums: dict[tuple[bool, int], np.ndarray] = {}
-
-    def prefix(self, lower: bool, which: int = 0) -> np.ndarray:
-        key = (lower, which)
-        if key not in self._sums:
-            powers, _ = _powers(len(self.b), which)
+        self._sums: dict[bool, np.ndarray] = {}
+        self._lower: np.ndarray | None = None
+
+    def cased(self, lower: bool) -> np.ndarray:
+        """The bytes, A-Z lower-cased if so asked."""
+        if lower and self._lower is None:
+            self._lower = _LOWER[self.b]
+        return self._lower if lower else self.b
+
+    def prefix(self, lower: bool) -> np.ndarray:
+        if lower not in self._sums:
+            powers, _ = _powers(len(self.b))
             sums = np.empty(len(self.b) + 1, U64)
             sums[0] = 0
             np.cumsum(_WIDE[lower][self.b] * powers[: len(self.b)], out=sums[1:])
-            self._sums[key] = sums
-        return self._sums[key]
+            self._sums[lower] = sums
+        return self._sums[lower]
 
-    def hashes(self, s: np.ndarray, e: np.ndarray, lower: bool, which: int = 0) -> np.ndarray:
-        """Mixed hash of each byte range s..e."""
-        sums, (_, inverse) = self.prefix(lower, which), _powers(len(self.b), which)
+    def hashes(self, s: np.ndarray, e: np.ndarray, lower: bool) -> np.ndarray:
+        """Mixed hash of each byte range s..e; for features only."""
+        sums, (_, inverse) = self.prefix(lower), _powers(len(self.b))
         return mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64) * U64(0xA0761D6478BD642F))
 
+    def digests(self, s: np.ndarray, e: np.ndarray, lower: bool) -> np.ndarray:
+        """Digest of each byte range s..e; equal ranges, as words mostly are, are hashed once."""
+        out = np.empty(len(s), U64)
+        size = np.cumsum(e - s)
+        data, lo = self.cased(lower), 0
+        while lo < len(s):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 4 * SLICE_BYTES, "right")))
+            n = (e - s)[lo:hi]
+            at = np.concatenate([[0], np.cumsum(n)])
+            if hi == lo + 1:
+                held = np.ascontiguousarray(data[s[lo] : e[lo]])
+            else:
+                held = data[np.repeat(s[lo:hi] - at[:-1], n) + np.arange(at[-1])]
+            ranges = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(held)]).dictionary_encode()
+            each = np.frombuffer(b"".join([_memo[w] for w in ranges.dictionary.to_pylist()]), U64)
+            out[lo:hi] = each[np.asarray(ranges.indices)]
+            lo = hi
+        return out
+
+    def wide_digests(self, s: np.ndarray, e: np.ndarray, lower: bool) -> np.ndarray:
+        """128-bit digest of each byte range s..e: two columns of 64 bits."""
+        data = memoryview(np.ascontiguousarray(self.cased(lower)))
+        every = [blake2b(data[x:y], digest_size=16).digest() for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+        return np.frombuffer(b"".join(every), U64).reshape(len(s), 2)
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and the row bounds (rows+1) of all words."""
         return self.runs(~_SPACE[self.b])
@@ -177,7 +224,7 @@ def shingles(piece: Slice, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     shingle; a row without words has none.
     """
     s, e, bounds = piece.words()
-    h = piece.hashes(s, e, True)
+    h = piece.digests(s, e, True)
     w, at = windows(h, bounds, width)
     n = np.diff(bounds)
     parts, sizes = [], np.zeros(piece.rows, np.int64)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sigloom.llm import bpe, fingerprint, htmlx, langid, linededup, minhash, mixing, quality, queries, rules, textkit, urlfilter
+from sigloom.llm import bpe, fingerprint, graph, htmlx, langid, linededup, minhash, mixing, quality, queries, rules, textkit, urlfilter
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -66,6 +66,27 @@ def test_words_lines_and_shingles_of_slices():
                 assert at[i + 1] - at[i] == len(shingle_set(text))
 
 
+def colliding(n):
+    """Two strings of 2**n letters that any polynomial hash modulo 2**64 takes for equal if n is 10 or more."""
+    x = ["a" if bin(i).count("1") % 2 else "b" for i in range(2**n)]
+    return "".join(x), "".join("b" if c == "a" else "a" for c in x)
+
+
+@pytest.mark.parametrize("n", [10, 11, 12])
+def test_texts_built_to_collide_are_different(spark, n):
+    x, y = colliding(n)
+    docs = spark.createDataFrame([(1, x, "en", "h", 1), (2, x, "en", "h", 1), (3, y, "en", "h", 1)], DOCS)
+    assert [r["n_dropped"] for r in linededup.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 0, 0]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    text = f"{x} b c d e {y} b c d e\n{x}\n{y}"
+    piece = next(textkit.row_slices(pa.array([text])))
+    found = rules.counts(piece)
+    assert found["n_repeat_words"][0] == 0 and found["n_dup_lines"][0] == 0
+    keys, _, _ = rules.line_keys(piece)
+    assert len(set(keys.tolist())) == 3
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     duck = duckdb.connect()
@@ -162,7 +183,7 @@ def test_fingerprints_merge_and_odd_rows(spark, odd):
 def test_rates_reach_the_targets(spark, documents, labels):
     known, domains = mixing.posteriors(documents, mixing.quality_domains(labels))
     found = mixing.fit(known, domains, {"clean": 0.8, "poor": 0.15, "toxic": 0.05})
-    assert np.allclose(found.reached, found.target, rtol=0.12)
+    assert found.converged and np.allclose(found.reached, found.target, rtol=0.001)
     rates = mixing.rates(known, found)
     assert rates.where("rate < 0 or rate is null").count() == 0
     # The same descent on one machine.
@@ -208,21 +229,46 @@ def test_draw_repeats_and_drops(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
     key = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), (F.when(F.col("doc_id") < 1000, 0.0).when(F.col("doc_id") < 2000, 2.1).otherwise(0.5)).alias("rate"))
     n = {r["b"]: r["count"] for r in mixing.draw(docs, key).groupBy(F.floor(F.col("doc_id") / 1000).alias("b")).count().collect()}
-    assert 0 not in n and n[1] == 2000 and 400 < n[2] < 600
+    assert 0 not in n and abs(n[1] - 2100) <= 1 and abs(n[2] - 500) <= 1
 
 
-def test_drawn_tokens_are_near_the_targets(spark, monkeypatch):
-    n, kinds = 4000, {"a": [0.97, 0.02, 0.01], "b": [0.02, 0.97, 0.01], "c": [0.01, 0.01, 0.98]}
+@pytest.mark.parametrize("shares", [(0.54, 0.4, 0.06), (0.6, 0.25, 0.15), (0.92, 0.06, 0.02)])
+def test_drawn_tokens_are_near_the_targets(spark, monkeypatch, shares):
+    n, kinds, rng = 4000, {"a": [0.97, 0.02, 0.01], "b": [0.02, 0.97, 0.01], "c": [0.01, 0.01, 0.98]}, random.Random(2)
     names = list(kinds)
     docs = spark.createDataFrame([(i, f"{names[i % 3]} {i}") for i in range(n)], "doc_id long, text string")
-    known = spark.createDataFrame([(i, names[i % 3], 2, kinds[names[i % 3]]) for i in range(n)], "doc long, kind string, n_tokens long, posteriors array<double>")
-    known = known.join(docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row")), "doc").drop("kind")
+    known = spark.createDataFrame([(i, names[i % 3], int(10 * rng.paretovariate(2.5)), kinds[names[i % 3]]) for i in range(n)], "doc long, kind string, n_tokens long, posteriors array<double>")
+    known = known.join(docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row")), "doc").drop("kind").cache()
     monkeypatch.setattr(mixing, "posteriors", lambda *_: (known, names))
     fits, fit = [], mixing.fit
     monkeypatch.setattr(mixing, "fit", lambda *x, **y: fits.append(fit(*x, **y)) or fits[-1])
-    drawn = mixing.mix(docs, docs, {"a": 0.54, "b": 0.4, "c": 0.06}).select(F.col("doc_id").alias("doc")).join(known, "doc")
-    got = drawn.agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[d]) for d in range(3))).first()
-    assert np.allclose(got, fits[0].target, rtol=0.12)
+    drawn = mixing.mix(docs, docs, dict(zip(names, shares, strict=True))).select(F.col("doc_id").alias("doc")).join(known, "doc")
+    got = np.array(drawn.agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[d]) for d in range(3))).first())
+    assert fits[0].converged and np.allclose(fits[0].reached, fits[0].target, rtol=0.001)
+    assert np.allclose(got / got.sum(), shares, atol=0.01) and np.allclose(got, fits[0].target, rtol=0.05)
+
+
+def test_mixing_against_quadratic_programming_by_brute_force(spark):
+    """Nearest rates to 1 (tokens as weights) that meet the targets, found by bisection of each domain in turn."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 300)
+    tokens = rng.integers(1, 500, 300)
+    known = spark.createDataFrame([(i, i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p, strict=True))], "doc long, row long, n_tokens long, posteriors array<double>")
+    found = mixing.fit(known, ["a", "b", "c"], {"a": 0.7, "b": 0.2, "c": 0.1})
+    rate = np.array([r["rate"] for r in mixing.rates(known, found).orderBy("doc").collect()])
+    assert (rate >= 0).all() and found.converged and np.allclose((tokens * rate) @ p, found.target, rtol=0.001)
+    # No token is moved without need: the rates are about as near to 1 as the best.
+    force = np.zeros(3)
+    for _ in range(400):
+        for d in range(3):
+            lo, hi = -50.0, 50.0
+            for _ in range(50):
+                force[d] = (lo + hi) / 2
+                reached = (tokens * np.maximum(0, 1 - p @ force)) @ p
+                lo, hi = (force[d], hi) if reached[d] > found.target[d] else (lo, force[d])
+    best = np.maximum(0, 1 - p @ force)
+    assert np.allclose((tokens * best) @ p, found.target, rtol=0.01)
+    assert (tokens * (rate - 1) ** 2).sum() <= 1.1 * (tokens * (best - 1) ** 2).sum()
 
 
 # URL filter
@@ -293,6 +339,59 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {ids[i]: (label[i], len(sets[i])) for i in range(len(ids))}
 
 
+def brute_components(rows):
+    """Component of each row (id, text): the rows it is linked with, and the smallest id of them."""
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    ids = {}
+    for (key, _), x in zip(rows, label, strict=True):
+        ids.setdefault(x, []).append(key)
+    return label, [min((k for k in ids[x] if k is not None), default=None) for x in label]
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    texts = []
+    for g in range(9):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [edited(base, rng.choice([0.0, 0.0, 0.02, 0.04]), rng) for _ in range(8)]
+    rows = [(rng.choice([None, None, 7, 7, 3, i]), t) for i, t in enumerate(texts)]
+    rows += [(None, texts[0]), (None, texts[0]), (5, texts[9]), (5, texts[9]), (None, "alone and without an id here"), (None, "alone and without an id here"), (None, None), (2, " "), (2, " ")]
+    label, ids = brute_components(rows)
+    docs = spark.createDataFrame([(k, t, "v") for k, t in rows], "doc_id long, text string, k1 string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in minhash.near_duplicates(docs).collect())
+    assert got == sorted((str(k), len(shingle_set(t)), str(i if shingle_set(t) else k)) for (k, t), i in zip(rows, ids, strict=True))
+    kept = minhash.dedup(docs)
+    assert kept.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    worded = [x for (_, t), x in zip(rows, label, strict=True) if shingle_set(t)]
+    assert sum(bool(shingle_set(t)) for _, t in left) == len(set(worded)) and sum(not shingle_set(t) for _, t in left) == 3
+    by_text = {t: x for (_, t), x in zip(rows, label, strict=True)}
+    assert len({by_text[t] for _, t in left if shingle_set(t)}) == len(set(worded))
+    assert minhash.dedup(docs.limit(0)).count() == 0
+
+
+def test_sets_with_one_half_of_a_digest_are_two_nodes(spark):
+    rows = [(1, 1, 1, 9, 5, 100, [0], [0]), (2, 2, 2, 8, 5, 200, [0], [0]), (3, 3, 3, 9, 5, 100, [0], [0]), (4, 4, 4, 0, None, None, [], [])]
+    known, nodes = minhash._nodes(spark.createDataFrame(rows, minhash._SKETCHED))
+    node = {r["doc_id"]: r["node"] for r in known.collect()}
+    assert node[1] == node[3] != node[2] and node[4] is None and nodes.count() == 2
+
+
+def test_joins_spread_a_hot_key(spark):
+    left = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 0), (3, 0)], "k long, n long")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string")
+    assert sorted(tuple(r) for r in graph.join_spread(left, right, "k", "n", 8).select("k", "n", "x").collect()) == sorted([(1, i, "a") for i in range(500)] + [(2, 0, "b")])
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = minhash.near_duplicates(odd).collect()
     by = {r["doc_id"]: r["component_id"] for r in rows}
@@ -338,11 +437,65 @@ def test_wrapper_folds_repeats_and_marks_options():
     for body in ("<article><h1>a</h1><p>1</p><p>2</p></article>", "<article><h1>b</h1><p>1</p><p>2</p><p>3</p></article><div>x</div>", "<article><h1>c</h1><p>9</p></article>"):
         w.add(htmlx.Page(page(body)[1]))
     text = w.expression()
-    assert "(p # /p)+" in text and "?" in text and htmlx.main_path(w.paths).endswith("/article")
+    assert "(p # /p)+" in text and "?" in text and htmlx.main_path(w.varying()).endswith("/article")
     back = htmlx.Wrapper.load(w.dump())
+    assert back.varying() == w.varying()
     assert back.expression() == text and back.pages == 3
 
 
+def _alone(rows):
+    """Texts if nothing is ever aligned: pages of a host have no wrapper in common."""
+    return [htmlx.cut(htmlx.Page(r[2]), "") for r in rows]
+
+
+def test_the_aligned_wrapper_decides(spark):
+    # No article: what varies is the text; the same long notice stands on all pages, in the deepest large container.
+    notice = "the very same long words of the house on each and every page of this host " * 6
+    body = "<div class='a'><p>{}</p><div class='b'><p>{}</p><p>{}</p></div></div>"
+    rows = [(i, *page(body.format(notice, f"own {i} text", f"more {i}"), "align.example")) for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in htmlx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"own {i} text\nmore {i}" for i in range(12)}
+    assert all(alone != out[i] for i, alone in enumerate(_alone(rows)))
+
+
+def test_class_words_inside_an_article_stay(spark):
+    body = '<article><p class="notice">a period of notice</p><section class="related-work"><p>related</p></section><ul class="menu"><li>soup</li></ul><div class="comments"><p>no</p></div><div class="ad-box">no</div></article><div class="menu"><p>no</p></div>'
+    rows = [(0, "http://c.example/", f'<html><body class="has-sidebar">{body}</body></html>')]
+    assert htmlx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["text"] == "a period of notice\nrelated\nsoup"
+
+
+@pytest.mark.parametrize(("source", "text"), [('<p>x<a href="http://cut', "x"), ('<p class="a>two</p><p>three', "two\nthree"), ("<p>x</p><p title='", "x"), ("<p>a < b</p><", "a < b\n<"), ("<p>x<b ", "x"), ("<p>q <i class=x y='1>z", "q z")])
+def test_pages_cut_inside_a_tag(source, text):
+    assert htmlx.cut(htmlx.Page(source), "") == text
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for bad in ("<a ", "<a b='", '<p x="', "<script ", "<!-- ", "<p>x<b y=\"z' "):
+        began = time.perf_counter()
+        htmlx.cut(htmlx.Page(bad * 40_000), "")
+        assert time.perf_counter() - began < 5
+
+
+def test_alignment_of_units_and_rare_items():
+    a, b = [[(x,) for x in t] for t in ("habcxdez", "hbcydefz")]
+    assert [a[i] for i, _ in htmlx.pairs_of(a, b)] == [(x,) for x in "hbcdez"]
+    w = htmlx.Wrapper()
+    for i in range(400):
+        w.add(htmlx.Page(f"<div class='k'><p>t{i}</p><h2>{i}</h2></div><table class='{'abcdefghij'[i % 10]}{'xyz'[i % 3]}'><tr><td>{i}</td></tr></table>"))
+    assert len(w.dump()) < 20_000 and "h2" in w.expression()
+
+
+def test_levels_of_a_large_host(spark, monkeypatch):
+    rows = [(i, *page(f"<div class='post'><p>own {i}</p></div><div class='same'><p>foot note</p></div>", "big.example")) for i in range(240)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(40)
+    monkeypatch.setattr(htmlx, "FAN_IN", 3)
+    found = htmlx.infer_wrappers(df).collect()
+    assert [r["pages"] for r in found] == [240]
+    assert {r["text"] for r in htmlx.extract(df).collect()} == {f"own {i}" for i in range(240)}
+
+
 def test_text_comes_from_the_varying_slots(spark):
     # "same" is a constant slot above the post; inside a post it is text like any other.
     posts = [("a1 first", "same"), ("b2 second", "b3 more"), ("c2 third", "same"), *((f"d{i} own", f"e{i} own") for i in range(5))]
@@ -411,6 +564,24 @@ def test_code_switching_and_block_sums(documents):
             v /= v.sum()
 
 
+# Columns of other names
+
+
+def test_columns_with_clashing_names(spark, odd):
+    names = ["score", "predicted", "stats", "held_out", "text_", "row", "doc", "keys", "host", "line_keys", "_qr_text", "node", "k1", "sketch", "next_sketch", "before_doc", "lang_pred", "runs", "rate", "posteriors"]
+    wide = odd.withColumns({c: F.lit("x") for c in names})
+    known = spark.createDataFrame([(5, 1), (9, 0)], "doc_id long, quality int")
+    for plain, clash in ((quality.score(odd, known), quality.score(wide, known)), (rules.judge(odd), rules.judge(wide)), (langid.predict(odd), langid.predict(wide)), (fingerprint.digest(fingerprint.edits(odd)), fingerprint.digest(fingerprint.edits(wide)))):
+        assert plain.columns == clash.columns and sorted(map(str, plain.collect())) == sorted(map(str, clash.collect()))
+    assert rules.reject(wide.drop("_qr_text")).columns == wide.drop("_qr_text").columns and minhash.dedup(wide).columns == wide.columns
+
+
+def test_more_languages_than_any_cap(spark):
+    rows = [(i, f"w{i % 300}" * 3 + " " + "abcdefghij"[i % 10] * 5, f"l{i % 300:03d}", "s", 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert len({x for _, x in langid.sample(docs, "doc_id", "text", "lang", 4, 2, 5)}) == 300
+
+
 # BPE
 
 
