@@ -16,7 +16,7 @@ from sigloom.plans.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Shares of tokens. All clean tokens are asked for; the shares of the others are upper bounds.
-WEIGHTS = {"clean": 0.965, "poor": 0.01, "toxic": 0.025}
+WEIGHTS = {"clean": 0.92, "poor": 0.055, "toxic": 0.025}
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -36,9 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    drop = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    return minhash.dedup(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
