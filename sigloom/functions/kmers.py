@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Start positions per chunk, outer and inner: a substring of a UTF-8 string is found by a scan from its start.
 CHUNKS = (4096, 64)
+#: Start positions of the pieces that become rows of their own, so no array holds the k-mers of a long sequence.
+SPANS = (1 << 22, 1 << 16)
 
 # The two orders of bases that the file format and the text form of a k-mer use.
 ALPHABET = "ACGT"
@@ -92,5 +94,10 @@ def adjacent(kmer: Column, edges: Column, forward: bool) -> Column:
 
 
 def occurrences(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """key, pos, kmer: every k-mer of each sequence."""
-    return df.select(key, F.posexplode(kmers(F.col(seq), k)).alias("pos", "kmer"))
+    """key, pos, kmer: every k-mer of each sequence, of any length: pieces become rows before their k-mers do."""
+    pieces = df.where(F.char_length(seq) >= k).select(key, F.lit(0).cast("bigint").alias("_at"), F.col(seq).alias("_text"))
+    for size in SPANS:
+        cut = pieces.select(key, "_at", F.posexplode(_chunks(F.col("_text"), size, k)).alias("_n", "_text"))
+        pieces = cut.select(key, (F.col("_at") + F.col("_n") * F.lit(size)).alias("_at"), "_text")
+    found = pieces.select(key, "_at", F.posexplode(kmers(F.col("_text"), k)).alias("_n", "kmer"))
+    return found.select(key, (F.col("_at") + F.col("_n")).alias("pos"), "kmer")

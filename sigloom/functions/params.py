@@ -48,6 +48,11 @@ def chunk_plan(n: int, m: int, max_bytes: int) -> tuple[int, int]:
     return n // chunks, chunks
 
 
+def chunk_bytes(n: int, m: int, chunks: int) -> int:
+    """Memory with which n filters of m bits are built in so many chunks."""
+    return math.ceil(n * m * 9 / 8 / chunks)
+
+
 # Decimal and binary multiples of a byte.
 _MULTIPLES = {"": 1, "k": 10**3, "m": 10**6, "g": 10**9, "t": 10**12, "p": 10**15, "ki": 2**10, "mi": 2**20, "gi": 2**30, "ti": 2**40, "pi": 2**50}
 

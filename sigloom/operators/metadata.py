@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.plans.stage import staged
+
 # The name that a deleted sample shows, and what a merge appends to a name that exists.
 DELETED_NAME = "D3L3T3D"
 DUPLICATE_SUFFIX = "_duplicate_in_merge"
@@ -12,9 +14,19 @@ SCHEMA = "colour int, sample_name string, deleted boolean"
 
 
 def assign(names: DataFrame, order: list[str], first: int = 0) -> DataFrame:
-    """Samples with colours first, first+1, ... in the given order. Names are one row per sample: a small table."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1 + first
-    return names.select(place.cast("int").alias("colour"), "sample_name", F.lit(False).alias("deleted"))
+    """Samples with colours first, first+1, ... in the given order.
+
+    Names are numbered inside range partitions; only the partitions' sizes (one row per task) meet on the driver.
+    """
+    spark = names.sparkSession
+    ranged = staged(names.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "names")
+    starts, at = [], first
+    for row in ranged.groupBy("_part").count().orderBy("_part").collect():
+        starts.append((row["_part"], at))
+        at += row["count"]
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    placed = ranged.withColumn("_nth", inside).join(F.broadcast(spark.createDataFrame(starts, "_part int, _start long")), "_part")
+    return placed.select((F.col("_start") + F.col("_nth")).cast("int").alias("colour"), "sample_name", F.lit(False).alias("deleted"))
 
 
 def validate(new: DataFrame, existing: DataFrame | None = None) -> None:

@@ -1,6 +1,7 @@
 """Membership search over a signature, batch-first: any number of queries (query_id, seq) in one plan.
 
-A query's k-mers are looked up once each (`signature.lookup`), their words are joined back and set bits counted per
+The k-mers of the queries are staged and each looked up once (`looked_up`); hits, presence strings and statistics all come
+from that one lookup. Words are joined back and set bits counted per
 (query, colour). Found k-mers are compared with the number of distinct k-mers: all of them for threshold 1.0, else
 at least ceil(number * threshold), in DOUBLE arithmetic. Every join is an equi-join, so Spark broadcasts what its size
 estimate allows and splits skewed k-mers otherwise.
@@ -17,20 +18,39 @@ from sigloom.functions import kmers as km
 from sigloom.functions import score as sc
 from sigloom.functions import words
 from sigloom.operators import signature as sig
+from sigloom.plans.stage import staged
 
 
 def percent_found(found: Column, n: Column) -> Column:
-    return F.bround(F.lit(100.0) * found / n, 2)
+    """100 * found / n to two decimals, half to even, as Python rounds: by the exact binary value of the quotient.
+
+    The quotient (at most 100, and exact to 2**-60 wherever it does not round to 0) is taken apart into two integers.
+    """
+    x = F.lit(100.0) * found / n
+    scaled = x * F.lit(float(1 << 20))
+    high = F.floor(scaled)
+    low = F.floor((scaled - high) * F.lit(float(1 << 40)))
+    part = F.lit(100) * low
+    top = F.lit(100) * high + F.shiftright(part, 40)
+    whole = F.shiftright(top, 20)
+    rest = F.shiftleft(top.bitwiseAND(F.lit((1 << 20) - 1)), 40) + part.bitwiseAND(F.lit((1 << 40) - 1))
+    half = F.lit(1 << 59)
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    return (whole + F.when(up, 1).otherwise(0)) / F.lit(100.0)
+
+
+Looked = tuple[DataFrame, DataFrame]
 
 
 def kmer_counts(queries: DataFrame, k: int) -> DataFrame:
     """query_id, kmer: the distinct k-mers of each query (one row per query_id), as written: a k-mer and its complement are two."""
-    return queries.select("query_id", F.explode(F.array_distinct(km.kmers(F.col("seq"), k))).alias("kmer"))
+    return km.occurrences(queries, "query_id", "seq", k).select("query_id", "kmer").distinct()
 
 
-def kmer_sizes(queries: DataFrame, k: int) -> DataFrame:
-    """query_id, num_kmers of the queries that have a k-mer."""
-    return queries.select("query_id", F.size(F.array_distinct(km.kmers(F.col("seq"), k))).cast("bigint").alias("num_kmers")).where("num_kmers > 0")
+def looked_up(queries: DataFrame, signature: DataFrame, k: int, h: int, m: int, stored: bool = True) -> Looked:
+    """(query_id, pos, kmer) of every k-mer of the queries, and (kmer, word_no, bits) of those found; both staged."""
+    own = staged(km.occurrences(queries, "query_id", "seq", k), "asked")
+    return own, staged(sig.lookup(own, signature, h, m, stored), "marks")
 
 
 def too_short(queries: DataFrame, k: int) -> DataFrame:
@@ -38,23 +58,25 @@ def too_short(queries: DataFrame, k: int) -> DataFrame:
     return queries.where(F.coalesce(F.char_length("seq"), F.lit(0)) < k)
 
 
-def found_counts(queries: DataFrame, signature: DataFrame, k: int, h: int, m: int, stored: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(query_id, colour, num_kmers_found) and (query_id, num_kmers)."""
-    own = kmer_counts(queries, k)
-    met = own.join(sig.lookup(own, signature, h, m, stored), "kmer")
-    bits = words.unpack(met, ["query_id"], "colour")
-    return bits.groupBy("query_id", "colour").agg(F.count("*").alias("num_kmers_found")), kmer_sizes(queries, k)
+def found_counts(looked: Looked) -> tuple[DataFrame, DataFrame]:
+    """(query_id, colour, num_kmers_found) and (query_id, num_kmers) of the queries that have a k-mer."""
+    own = looked[0].select("query_id", "kmer").distinct()
+    bits = words.unpack(own.join(looked[1], "kmer"), ["query_id"], "colour")
+    return bits.groupBy("query_id", "colour").agg(F.count("*").alias("num_kmers_found")), own.groupBy("query_id").agg(F.count("*").alias("num_kmers"))
 
 
-def search(queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int, threshold: float = 1.0, score: bool = False, stored: bool = True) -> DataFrame:
+def search(
+    queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int, threshold: float = 1.0, score: bool = False, stored: bool = True, looked: Looked | None = None
+) -> DataFrame:
     """query_id, colour, sample_name, num_kmers, num_kmers_found, percent_kmers_found of the hits, and their statistics.
 
     Deleted samples are left out. A threshold of 0 or less returns every sample, also with nothing found. A query
-    without k-mers has no hits. Rows come in no order; see `ordered`.
+    without k-mers has no hits. Rows come in no order; see `ordered`. `looked` is a lookup of the same queries, if there is one.
     """
     if threshold > 1:
         raise ValueError("the threshold is at most 1")
-    found, sizes = found_counts(queries, signature, k, h, m, stored)
+    looked = looked or looked_up(queries, signature, k, h, m, stored)
+    found, sizes = found_counts(looked)
     live = samples.where(~F.col("deleted")).select("colour", "sample_name")
     if threshold > 0:
         need = F.col("num_kmers") if threshold == 1.0 else F.ceil(F.col("num_kmers") * F.lit(float(threshold)))
@@ -64,13 +86,12 @@ def search(queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int,
         every = sizes.crossJoin(live)
         hits = every.join(found, ["query_id", "colour"], "left").withColumn("num_kmers_found", F.coalesce("num_kmers_found", F.lit(0)))
     hits = hits.select("query_id", "colour", "sample_name", "num_kmers", "num_kmers_found", percent_found(F.col("num_kmers_found"), F.col("num_kmers")).alias("percent_kmers_found"))
-    return with_scores(hits, queries, signature, samples, k, h, m, stored) if score else hits
+    return with_scores(hits, looked, samples) if score else hits
 
 
-def presence(hits: DataFrame, queries: DataFrame, signature: DataFrame, k: int, h: int, m: int, stored: bool = True) -> DataFrame:
+def presence(hits: DataFrame, looked: Looked) -> DataFrame:
     """query_id, colour, kmer-presence: one character for each k-mer occurrence of the query, in order."""
-    every = km.occurrences(queries, "query_id", "seq", k)
-    found = sig.lookup(every, signature, h, m, stored)
+    every, found = looked
     asked = hits.select("query_id", "colour", words.word_of(F.col("colour")).alias("word_no")).join(every, "query_id")
     marks = asked.join(found, ["kmer", "word_no"], "left")
     bit = F.coalesce(words.bit_at(F.col("bits"), F.col("colour")).cast("int"), F.lit(0))
@@ -78,8 +99,9 @@ def presence(hits: DataFrame, queries: DataFrame, signature: DataFrame, k: int,
     return marks.groupBy("query_id", "colour").agg(text.alias("kmer-presence"))
 
 
-def with_scores(hits: DataFrame, queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int, stored: bool = True) -> DataFrame:
-    marked = hits.join(presence(hits, queries, signature, k, h, m, stored), ["query_id", "colour"])
+def with_scores(hits: DataFrame, looked: Looked, samples: DataFrame) -> DataFrame:
+    hits = staged(hits, "hits")
+    marked = hits.join(presence(hits, looked), ["query_id", "colour"])
     size = samples.agg(F.coalesce(F.max("colour") + 1, F.lit(0)).alias("_db_size"))
     scored = marked.crossJoin(F.broadcast(size)).withColumn("_score", sc.score_presence(F.col("kmer-presence"), F.col("_db_size")))
     return scored.select(*hits.columns, *(F.col("_score")[c].alias(c) for c in sc.NAMES), "kmer-presence")

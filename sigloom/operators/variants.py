@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,38 @@ def snp_probes(sites: DataFrame, k: int) -> DataFrame:
     return sites.where(right_base).select("variant", F.explode(both).alias("p")).select("variant", "p.kind", "p.seq")
 
 
+# Fixed value: the standard genetic code, codons in the order of the bases T, C, A, G.
+CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+
+
+_CODONS = [("".join(c), CODE[i]) for i, c in enumerate(product("TCAG", repeat=3))]
+
+
+def amino_acid(codon: Column) -> Column:
+    """The letter of a codon, * for a stop; null for anything else."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in _CODONS for x in pair)), codon)
+
+
+def amino_acid_probes(sites: DataFrame, k: int) -> DataFrame:
+    """variant, kind, seq from (variant, gene, pos, ref, alt): the gene's coding sequence, codon pos counted from 1, amino acids.
+
+    The gene's own codon gives the ref probe, every codon of `alt` (X: of any other amino acid) an alt probe, with k-1 bases on both sides.
+    A codon of another amino acid than `ref` raises an error.
+    """
+    start = (F.col("pos") - 1) * 3 + 1
+    first = F.greatest(F.lit(1), start - (k - 1))
+    own = sites.select(
+        "variant", "ref", "alt", F.substring(F.col("gene"), start, F.lit(3)).alias("codon"),
+        F.substring(F.col("gene"), first, start - first).alias("left"), F.substring(F.col("gene"), start + 3, F.lit(k - 1)).alias("right"),
+    )
+    right_one = F.assert_true(F.coalesce(amino_acid(F.col("codon")) == F.col("ref"), F.lit(False)), F.lit("the gene has another amino acid there")).isNull()
+    every = F.array(*(F.struct(F.lit(c).alias("codon"), F.lit(a).alias("letter")) for c, a in _CODONS))
+    wanted = F.filter(every, lambda c: (c["letter"] == F.col("alt")) | ((F.col("alt") == "X") & (c["letter"] != "*") & (c["letter"] != F.col("ref"))))
+    probes = F.concat(F.array(F.struct(F.lit("ref").alias("kind"), F.col("codon").alias("codon"))), F.transform(wanted, lambda c: F.struct(F.lit("alt").alias("kind"), c["codon"].alias("codon"))))
+    each = own.where(right_one).select("variant", "left", "right", F.explode(probes).alias("p"))
+    return each.select("variant", "p.kind", F.concat("left", "p.codon", "right").alias("seq"))
+
+
 def genotypes(refs: DataFrame, alts: DataFrame) -> DataFrame:
     """variant, sample_name, genotype: 0/1 with both alleles, 0/0 with the reference, 1/1 with the alternative."""
     marks = refs.select("variant", "sample_name", F.lit(1).alias("r"), F.lit(0).alias("a")).unionByName(alts.select("variant", "sample_name", F.lit(0).alias("r"), F.lit(1).alias("a")))
@@ -39,10 +73,10 @@ def genotypes(refs: DataFrame, alts: DataFrame) -> DataFrame:
     return seen.select("variant", "sample_name", kind.alias("genotype"))
 
 
-def variant_search(probes: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int) -> DataFrame:
+def variant_search(probes: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int, stored: bool = True) -> DataFrame:
     """Genotypes of every variant; a sample has an allele if any of the allele's probes is found whole."""
     named = probes.select(F.struct("variant", "kind", "seq").alias("query_id"), "seq").distinct()
-    hits = search(named, signature, samples, k, h, m, 1.0).select("query_id.variant", "query_id.kind", "sample_name")
+    hits = search(named, signature, samples, k, h, m, 1.0, stored=stored).select("query_id.variant", "query_id.kind", "sample_name")
     return genotypes(hits.where("kind = 'ref'"), hits.where("kind = 'alt'"))
 
 

@@ -2,7 +2,7 @@
 
     <path>/signature/<part>/   (row_index, word_no, bits), sorted by row_index; parts are only added
     <path>/samples/<n>/        (colour, sample_name, deleted)
-    <path>/commits/<n>/        k, m, h, num_cols, the samples table and the parts that make up the index
+    <path>/commits/<n>/        k, m, h, compression, num_cols, the samples table and the parts that make up the index
 
 A change writes its tables first and its commit last, so a reader sees the index before or after it, never between.
 Parts hold whole columns of different samples, so reading is a bit_or of words; `compact` makes one part again.
@@ -10,6 +10,8 @@ Parts hold whole columns of different samples, so reading is a bit_or of words;
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +19,12 @@ from pyspark.sql import functions as F
 
 from sigloom.operators import metadata, search, variants
 from sigloom.operators import signature as sig
+from sigloom.functions.params import chunk_plan
 from sigloom.plans.config import IndexConfig
+from sigloom.plans.stage import staged
+from sigloom.sources import bloomfile, cortex, fasta
 
-COMMIT = "n long, k int, m int, h int, num_cols int, samples string, parts array<string>"
+COMMIT = "n long, k int, m int, h int, compression string, num_cols int, samples string, parts array<string>"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -36,12 +41,17 @@ def _last_commit(spark: SparkSession, path: str) -> int:
     return max(int(x) for x in done)
 
 
+def _plain(path: str) -> str:
+    """A local path as Spark's file column has it, without the scheme."""
+    return re.sub("^file:/*", "/", path) if path.startswith("file:") or ":" in path else os.path.abspath(path)
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str, k: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         n = _last_commit(spark, self.path)
         row = spark.read.schema(COMMIT).parquet(f"{self.path}/commits/{n}").first()
-        self.n, self.k, self.m, self.h, self.num_cols = n, row["k"], row["m"], row["h"], row["num_cols"]
+        self.n, self.k, self.m, self.h, self.num_cols, self.compression = n, row["k"], row["m"], row["h"], row["num_cols"], row["compression"]
         self._samples, self._parts = row["samples"], list(row["parts"])
         if k is not None and k != self.k:
             raise ValueError(f"the index has k={self.k}, not {k}")
@@ -80,48 +90,94 @@ class Index:
     # Writing
 
     @staticmethod
-    def _write(spark: SparkSession, path: str, signature: DataFrame) -> str:
+    def _write(spark: SparkSession, path: str, signature: DataFrame, compression: str) -> str:
         name = uuid.uuid4().hex
-        signature.select("row_index", "word_no", "bits").repartitionByRange("row_index").sortWithinPartitions("row_index", "word_no").write.option("compression", "zstd").parquet(f"{path}/signature/{name}")
+        sorted_words = signature.select("row_index", "word_no", "bits").repartitionByRange("row_index").sortWithinPartitions("row_index", "word_no")
+        sorted_words.write.option("compression", compression).parquet(f"{path}/signature/{name}")
         return name
 
     @staticmethod
-    def _commit(spark: SparkSession, path: str, n: int, k: int, m: int, h: int, num_cols: int, samples: DataFrame | str, parts: list[str]) -> Index:
+    def _commit(spark: SparkSession, path: str, n: int, k: int, m: int, h: int, compression: str, num_cols: int, samples: DataFrame | str, parts: list[str]) -> Index:
         if not isinstance(samples, str):
             table = uuid.uuid4().hex
             samples.select("colour", "sample_name", "deleted").write.parquet(f"{path}/samples/{table}")
             samples = table
-        spark.createDataFrame([(n, k, m, h, num_cols, samples, parts)], COMMIT).coalesce(1).write.parquet(f"{path}/commits/{n}")
+        spark.createDataFrame([(n, k, m, h, compression, num_cols, samples, parts)], COMMIT).coalesce(1).write.parquet(f"{path}/commits/{n}")
         return Index(spark, path)
 
     @staticmethod
     def build(spark: SparkSession, config: IndexConfig, bloom: DataFrame, names: DataFrame, order: list[str] | None = None) -> Index:
-        """From (sample_name, row_index) and the samples' names; colours follow `order`, else the names."""
+        """From (sample_name, row_index) and the samples' names; colours follow `order`, else the names.
+
+        With `max_build_bytes` the columns are built in chunks of samples that fit by the memory model, a part of the index each.
+        """
         metadata.validate(names)
-        samples = metadata.assign(names, order or ["sample_name"])
+        samples = staged(metadata.assign(names, order or ["sample_name"]), "samples")
         if bloom.select(F.min("row_index").alias("a"), F.max("row_index").alias("b")).where(f"a < 0 OR b >= {config.m}").count():
             raise ValueError(f"filters of more than {config.m} bits")
-        path = config.path.rstrip("/")
+        path, n = config.path.rstrip("/"), metadata.count(samples)
         coloured = bloom.join(samples.select("sample_name", "colour"), "sample_name").select("row_index", "colour")
-        part = Index._write(spark, path, sig.transpose(coloured))
-        return Index._commit(spark, path, 0, config.k, config.m, config.h, metadata.count(samples), samples, [part])
+        size = n
+        if config.max_build_bytes and n:
+            size, _ = chunk_plan(n, config.m, config.max_build_bytes)
+            if size < 1:
+                raise ValueError("max_build_bytes does not hold one filter")
+        if size < n:
+            coloured = staged(coloured, "coloured")
+        chunks = [coloured] if size >= n else [coloured.where((F.col("colour") >= lo) & (F.col("colour") < lo + size)) for lo in range(0, n, size)]
+        parts = [Index._write(spark, path, sig.transpose(c), config.compression) for c in chunks]
+        return Index._commit(spark, path, 0, config.k, config.m, config.h, config.compression, n, samples, parts)
 
     @staticmethod
     def build_sequences(spark: SparkSession, config: IndexConfig, seqs: DataFrame, order: list[str] | None = None) -> Index:
         """From (sample_name, seq); a sample may have many sequences."""
         bloom = sig.bloom_of_sequences(seqs, "sample_name", "seq", config.k, config.h, config.m)
         keys = [c for c in order or []]
-        return Index.build(spark, config, bloom, seqs.select("sample_name", *keys).distinct(), order)
+        return Index.build(spark, config, staged(bloom, "bloom"), seqs.select("sample_name", *keys).distinct(), order)
+
+    @staticmethod
+    def build_files(spark: SparkSession, config: IndexConfig, manifest: str | None = None, paths: list[str] | None = None, samples: list[str] | None = None) -> Index:
+        """From filter files (.bloom), graphs (.ctx) or FASTA files: of a manifest (path, tab, sample name), or as a list; one of the two.
+
+        Names default to the paths; a relative path of a manifest is one beside the manifest. Colours follow the order given.
+        """
+        if (manifest is None) == (paths is None):
+            raise ValueError("a manifest or a list of files, and not both")
+        if manifest is not None:
+            rows = fasta.read_manifest(spark, manifest).orderBy("n").collect()
+            base = manifest.rpartition("/")[0]
+            paths = [r["path"] if ":" in r["path"] or r["path"].startswith("/") or not base else f"{base}/{r['path']}" for r in rows]
+            samples = [r["sample_name"] for r in rows]
+        samples = samples or paths
+        if len(samples) != len(paths):
+            raise ValueError("as many sample names as files")
+        named = spark.createDataFrame([(i, _plain(p), s) for i, (p, s) in enumerate(zip(paths, samples, strict=True))], "n long, path string, sample_name string")
+        kinds: dict[str, list[str]] = {}
+        for p in paths:
+            kinds.setdefault(p.rpartition(".")[2] if p.rpartition(".")[2] in ("bloom", "ctx") else "fasta", []).append(p)
+        found = []
+        if "bloom" in kinds:
+            found.append(bloomfile.read_filters(spark, kinds["bloom"], config.m))
+        if "ctx" in kinds:
+            kmers = cortex.graph_kmers(cortex.read_graph(spark, kinds["ctx"]), config.k)
+            found.append(sig.bloom_of_kmers(kmers, "path", config.h, config.m))
+        if "fasta" in kinds:
+            found.append(sig.bloom_of_sequences(fasta.read_sequences(spark, kinds["fasta"]), "path", "seq", config.k, config.h, config.m))
+        bloom = found[0]
+        for more in found[1:]:
+            bloom = bloom.unionByName(more)
+        bloom = bloom.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).join(named, "path").select("sample_name", "row_index")
+        return Index.build(spark, config, staged(bloom, "bloom"), named.select("sample_name", "n"), ["n"])
 
     def _next(self, num_cols: int, samples: DataFrame | str, parts: list[str]) -> Index:
-        return Index._commit(self.spark, self.path, self.n + 1, self.k, self.m, self.h, num_cols, samples, parts)
+        return Index._commit(self.spark, self.path, self.n + 1, self.k, self.m, self.h, self.compression, num_cols, samples, parts)
 
     def insert(self, bloom: DataFrame, name: str) -> Index:
         """One more sample from its set rows (row_index); rows beyond the filter's size are padding."""
         new = self.spark.createDataFrame([(name,)], "sample_name string")
         metadata.validate(new, self.samples())
         column = bloom.where((F.col("row_index") >= 0) & (F.col("row_index") < self.m)).select("row_index", F.lit(self.num_cols).alias("colour"))
-        part = self._write(self.spark, self.path, sig.transpose(column))
+        part = self._write(self.spark, self.path, sig.transpose(column), self.compression)
         both = self.samples().unionByName(metadata.assign(new, ["sample_name"], self.num_cols))
         return self._next(self.num_cols + 1, both, [*self._parts, part])
 
@@ -131,7 +187,7 @@ class Index:
             raise ValueError("indexes with different k, m or h")
         both = metadata.merge(self.samples(), other.samples(), self.num_cols)
         moved = sig.merge(self.spark.createDataFrame([], "row_index int, word_no int, bits long"), other.signature(), self.num_cols)
-        part = self._write(self.spark, self.path, moved)
+        part = self._write(self.spark, self.path, moved, self.compression)
         return self._next(self.num_cols + other.num_cols, both, [*self._parts, part])
 
     def delete_sample(self, name: str) -> Index:
@@ -139,7 +195,7 @@ class Index:
         return self._next(self.num_cols, metadata.delete(self.samples(), name), self._parts)
 
     def compact(self) -> Index:
-        return self._next(self.num_cols, self._samples, [self._write(self.spark, self.path, self.signature())])
+        return self._next(self.num_cols, self._samples, [self._write(self.spark, self.path, self.signature(), self.compression)])
 
     def delete(self) -> None:
         """Removes this index's directory and nothing else."""

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -30,3 +30,9 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(target)
         _shipped.add(context.applicationId)
     return spark
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table read in fewer parts than there are cores, as a file of one row group is, dealt over all cores; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

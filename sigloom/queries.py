@@ -18,7 +18,10 @@ from sigloom.functions import score as sc
 from sigloom.operators import metadata, search, variants
 from sigloom.operators import signature as sig
 from sigloom.plans.config import IndexConfig
-from sigloom.sources import sinks
+from sigloom.plans.index import Index
+from sigloom.plans.session import dealt
+from sigloom.plans.stage import fresh_path, staged
+from sigloom.sources import bloomfile, cortex, fasta, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = IndexConfig()
@@ -49,7 +52,7 @@ def dna(text: Column) -> Column:
 
 
 def part_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part")
+    parts = dealt(table(spark, sf_dir, "part"))
     return parts.select(F.col("p_partkey").cast("int").alias("colour"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("sample_name"), F.lit(False).alias("deleted"), F.concat(dna(F.col("p_brand")), dna(F.col("p_type")), dna(F.col("p_name"))).alias("seq"))
 
 
@@ -80,7 +83,18 @@ HELD = f"held AS (SELECT DISTINCT colour, {_canonical('kmer')} AS c FROM (SELECT
 OWN = f"own AS (SELECT DISTINCT query_id, kmer, {_canonical('kmer')} AS c FROM (SELECT query_id, {_kmers('seq')} AS kmer FROM asked) t)"
 FOUND = "sizes AS (SELECT query_id, count(*) AS num_kmers FROM own GROUP BY query_id), found AS (SELECT query_id, colour, count(*) AS num_kmers_found FROM own JOIN held USING (c) GROUP BY query_id, colour)"
 BASE = f"WITH {PARTS}, {ASKED}, {HELD}, {OWN}, {FOUND}"
-HITS = "query_id, colour, sample_name, num_kmers, num_kmers_found, round_even(100.0 * num_kmers_found / num_kmers, 2) AS percent_kmers_found"
+
+
+def _rounded(x: str) -> str:
+    """x to two decimals as Python rounds: half to even by the exact binary value (|x| below 2**56, exact to 2**-60)."""
+    one = 1 << 60
+    b = f"list_transform([{x}], lambda v: {{'s': CASE WHEN v < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END, 'b': CAST(abs(v) * {one}.0::DOUBLE AS HUGEINT) * 100}})"
+    parts = f"list_transform({b}, lambda z: {{'s': z.s, 'q': z.b // {one}::HUGEINT, 'r': 2 * (z.b % {one}::HUGEINT)}})"
+    return f"list_transform({parts}, lambda y: y.s * CAST(y.q + CASE WHEN y.r > {one}::HUGEINT OR (y.r = {one}::HUGEINT AND y.q % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100.0::DOUBLE)[1]"
+
+
+PERCENT = _rounded("100.0::DOUBLE * num_kmers_found / num_kmers")
+HITS = f"query_id, colour, sample_name, num_kmers, num_kmers_found, {PERCENT} AS percent_kmers_found"
 MURMUR = (
     "WITH s AS (SELECT DISTINCT {text} AS e FROM {table}), b AS (SELECT e, seed, strlen(e) AS n, list_transform(range(0, 2 * strlen(e), 2), lambda i: CAST('0x' || substr(hex(e), CAST(i + 1 AS BIGINT), 2) AS INTEGER)) AS bs FROM s, range({h}) t(seed)),"
     " w AS (SELECT e, seed, n, bs, list_transform(range(0, n - n % 4, 4), lambda i: bs[i + 1]::HUGEINT + bs[i + 2]::HUGEINT * 256 + bs[i + 3]::HUGEINT * 65536 + bs[i + 4]::HUGEINT * 16777216) AS ws,"
@@ -99,9 +113,9 @@ MURMUR = (
 
 @query(f"SELECT doc_id, count(*) AS n_kmers, count(DISTINCT kmer) AS n_distinct FROM (SELECT doc_id, {_kmers('text')} AS kmer FROM documents) t GROUP BY doc_id")
 def kmerise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = km.kmers(F.col("text"), K)
-    sizes = table(spark, sf_dir, "documents").select("doc_id", F.size(every).cast("bigint").alias("n_kmers"), F.size(F.array_distinct(every)).cast("bigint").alias("n_distinct"))
-    return sizes.where("n_kmers > 0")
+    every = km.occurrences(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", K)
+    per_kmer = every.groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
+    return per_kmer.groupBy("doc_id").agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_distinct"))
 
 
 @query(f"WITH {PARTS} SELECT colour, reverse(translate(seq, 'ACGT', 'TGCA')) AS complement FROM parts")
@@ -182,6 +196,11 @@ _WORDS = f"SELECT row_index, CAST(colour // 64 AS INTEGER) AS word_no, bit_or(1:
 _SIGNED = "CAST(CASE WHEN u >= 9223372036854775808 THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END AS BIGINT)"
 
 
+def _after(spark: SparkSession, sf_dir: str, name: str, key: str) -> int:
+    """The first number beyond the keys of a table."""
+    return table(spark, sf_dir, name).agg(F.max(key)).first()[0] + 1
+
+
 def line_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as columns and parts as rows: a large signature from plain pairs."""
     return sig.transpose(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("int").alias("row_index"), F.col("l_suppkey").alias("colour")))
@@ -198,9 +217,9 @@ def get_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.get_rows(line_signature(spark, sf_dir), wanted)
 
 
-@query(f"SELECT CAST(r.range AS INTEGER) AS row_index, CAST(EXISTS (SELECT 1 FROM ({_LINES}) l WHERE l.row_index = r.range AND colour = 7) AS INTEGER) AS bit FROM range(25000) r")
+@query(f"SELECT CAST(r.range AS INTEGER) AS row_index, CAST(EXISTS (SELECT 1 FROM ({_LINES}) l WHERE l.row_index = r.range AND colour = 7) AS INTEGER) AS bit FROM range((SELECT max(p_partkey) + 1 FROM part)) r")
 def get_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sig.get_column(line_signature(spark, sf_dir), 7, 25_000)
+    return sig.get_column(line_signature(spark, sf_dir), 7, _after(spark, sf_dir, "part", "p_partkey"))
 
 
 @query(f"SELECT DISTINCT row_index, CAST(colour AS INTEGER) AS colour FROM ({_LINES}) l WHERE colour <> 7 UNION SELECT CAST(p_partkey AS INTEGER), 7 FROM part WHERE p_size > 25")
@@ -216,6 +235,7 @@ def set_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MOVED = f"SELECT DISTINCT row_index, CAST(colour AS INTEGER) AS colour FROM ({_LINES}) l UNION SELECT CAST(p_partkey AS INTEGER), CAST(p_size + {{}} AS INTEGER) FROM part"
+_LEFT = "(SELECT max(s_suppkey) + 1 FROM supplier)"
 
 
 def _merged(spark: SparkSession, sf_dir: str, num_left: int) -> DataFrame:
@@ -223,14 +243,22 @@ def _merged(spark: SparkSession, sf_dir: str, num_left: int) -> DataFrame:
     return sig.untranspose(sig.merge(line_signature(spark, sf_dir), right, num_left))
 
 
-@query(_MOVED.format(1001))
+@query(_MOVED.format(_LEFT))
 def merge_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir, 1001)
+    return _merged(spark, sf_dir, _after(spark, sf_dir, "supplier", "s_suppkey"))
 
 
-@query(_MOVED.format(1024))
+@query(_MOVED.format(f"64 * ({_LEFT} // 64 + 1)"))
 def merge_indexes_whole_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir, 1024)
+    """The same with padding, so that whole words move."""
+    return _merged(spark, sf_dir, 64 * (_after(spark, sf_dir, "supplier", "s_suppkey") // 64 + 1))
+
+
+@query(f"SELECT DISTINCT row_index, CAST(colour AS INTEGER) AS colour FROM ({_LINES}) l WHERE row_index IN (SELECT p_partkey FROM part WHERE p_size <= 10) AND colour < (SELECT (max(s_suppkey) + 1) // 2 FROM supplier)")
+def get_rows_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows cut to a number of columns that is no multiple of a word."""
+    wanted = table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").cast("int").alias("row_index"))
+    return sig.get_rows(line_signature(spark, sf_dir), wanted, _after(spark, sf_dir, "supplier", "s_suppkey") // 2)
 
 
 @query(f"WITH {PARTS}, {HELD}, s AS (SELECT {_dna('s_name')} AS seq FROM supplier) SELECT colour, c AS kmer FROM held UNION SELECT 1000000, {_canonical('kmer')} FROM (SELECT {_kmers('seq')} AS kmer FROM s) t")
@@ -285,15 +313,16 @@ _TEXTS = "asked AS (SELECT item_id AS query_id, text AS seq FROM benchmark), par
 @query(f"WITH {_TEXTS}, {HELD}, {OWN}, {FOUND} SELECT {HITS.replace('colour', 'CAST(colour AS INTEGER) AS colour')} FROM found JOIN sizes USING (query_id) JOIN parts USING (colour) WHERE num_kmers_found >= ceil(num_kmers * 0.1::DOUBLE)")
 def bulk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold at least a tenth of a benchmark item's k-mers: whole items against whole documents."""
-    samples = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("colour"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("sample_name"), F.lit(False).alias("deleted"), F.col("text").alias("seq"))
+    samples = dealt(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("int").alias("colour"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("sample_name"), F.lit(False).alias("deleted"), F.col("text").alias("seq"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("seq"))
     return search.search(asked, signature_of(samples), samples.drop("seq"), K, H, M, 0.1, stored=False)
 
 
-@query("SELECT c_custkey AS n, CAST(o_orderkey AS BIGINT) AS found, round_even(100.0 * o_orderkey / (o_orderkey + c_custkey), 2) AS percent FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey + c_custkey <= 1000")
+@query(f"SELECT o_orderkey AS found, o_orderkey + c_custkey AS n, {_rounded('100.0::DOUBLE * o_orderkey / (o_orderkey + c_custkey)')} AS percent FROM orders JOIN customer ON o_custkey = c_custkey")
 def percent_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey + c_custkey <= 1000")
-    return rows.select(F.col("c_custkey").alias("n"), F.col("o_orderkey").cast("bigint").alias("found"), search.percent_found(F.col("o_orderkey"), F.col("o_orderkey") + F.col("c_custkey")).alias("percent"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    n = F.col("o_orderkey") + F.col("c_custkey")
+    return rows.select(F.col("o_orderkey").alias("found"), n.alias("n"), search.percent_found(F.col("o_orderkey"), n).alias("percent"))
 
 
 # Metadata
@@ -341,8 +370,8 @@ _PRESENCE = f"{BASE}, occ AS (SELECT query_id, pos, substr(seq, CAST(pos AS BIGI
 def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = part_samples(spark, sf_dir)
     signature, asked = signature_of(samples), part_queries(spark, sf_dir)
-    hits = search.search(asked, signature, samples.drop("seq"), K, H, M, THRESHOLD, stored=False)
-    return search.presence(hits, asked, signature, K, H, M, stored=False)
+    looked = search.looked_up(asked, signature, K, H, M, stored=False)
+    return search.presence(search.search(asked, signature, samples.drop("seq"), K, H, M, THRESHOLD, looked=looked), looked)
 
 
 @query(f"{_PRESENCE} SELECT query_id, colour, s AS \"kmer-presence\" FROM p")
@@ -374,9 +403,33 @@ def evalue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(e, 6).alias("evalue"), F.round(sc.pvalue(e), 6).alias("pvalue"), F.round(sc.bitscore(F.col("l_quantity")), 6).alias("bitscore"))
 
 
-@query()
+def _scored() -> str:
+    """The fold over the zero runs that rounds at each step, as a reduction of structs."""
+    step = "{'b': %s, 'w': %s, 'm': %s, 'f': a.f + e.n / 34.0::DOUBLE, 't': a.t + greatest(e.n - 33.0::DOUBLE, e.n / 34.0::DOUBLE), 'n': 0.0::DOUBLE}"
+    low, high = "(e.n / 34.0::DOUBLE)", "greatest(e.n - 33.0::DOUBLE, e.n / 34.0::DOUBLE)"
+    lost = {"b": low, "w": high, "m": f"({low} + 0.05::DOUBLE * {high})"}
+    step %= tuple(_rounded(f"(a.{x} - 2.0::DOUBLE * {y}) + (e.n - 2.0::DOUBLE * {y})") for x, y in lost.items())
+    none = "'b': 0.0::DOUBLE, 'w': 0.0::DOUBLE, 'm': 0.0::DOUBLE, 'f': 0.0::DOUBLE, 't': 0.0::DOUBLE"
+    db = "(SELECT max(colour) + 1 FROM parts)"
+    return (
+        f"{_PRESENCE}, s0 AS (SELECT query_id, colour, s AS presence, CASE WHEN length(s) < 3 THEN s ELSE {_SHORT} END AS t FROM p),"
+        " s1 AS (SELECT *, regexp_extract_all(t, '0+|1+') AS rs FROM s0),"
+        " s2 AS (SELECT *, list_transform(rs, lambda r, i: {'one': r[1] = '1', 'n': CAST(length(r) + CASE WHEN i < len(rs) THEN 1 ELSE 0 END AS DOUBLE)}) AS c FROM s1),"
+        " s3 AS (SELECT *, coalesce(list_sum(list_transform(list_filter(c, lambda x: x.one), lambda x: x.n)), 0.0::DOUBLE) AS ones, list_filter(c, lambda x: NOT x.one) AS zs, CAST(length(t) + 30 AS DOUBLE) AS L FROM s2),"
+        f" s4 AS (SELECT *, list_reduce(list_prepend({{'b': ones, 'w': ones, 'm': ones, 'f': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'n': 0.0::DOUBLE}}, list_transform(zs, lambda z: {{{none}, 'n': z.n}})), lambda a, e: {step}) AS k FROM s3),"
+        f" s5 AS (SELECT query_id, colour, presence, L, {_rounded('k.m * (L / length(t))')} AS score, {_rounded('k.w * (L / length(t))')} AS min_score, {_rounded('k.b * (L / length(t))')} AS max_score,"
+        " CAST(ceil(ceil(k.f) + 0.05::DOUBLE * floor(k.t)) AS INTEGER) AS mismatches, CAST(floor(k.f) AS INTEGER) AS min_mismatches, CAST(ceil(k.t) AS INTEGER) AS max_mismatches FROM s4),"
+        f" s6 AS (SELECT *, 0.621::DOUBLE * {db} * L * exp(-1.33::DOUBLE * score) AS evalue, {_rounded(f'log10(0.621::DOUBLE * greatest({db}, 1) * L) - 1.33::DOUBLE * score')} AS log_evalue FROM s5),"
+        " s7 AS (SELECT *, 1.0::DOUBLE - exp(-evalue) AS pvalue, CASE WHEN log_evalue < 300 THEN 1.0::DOUBLE - exp(-pow(10.0::DOUBLE, log_evalue)) ELSE 1.0::DOUBLE END AS q FROM s6)"
+        f" SELECT {HITS}, score, min_score, max_score, mismatches, min_mismatches, max_mismatches, CAST(L AS INTEGER) - mismatches AS nident, CAST(L AS INTEGER) - max_mismatches AS min_nident, CAST(L AS INTEGER) - min_mismatches AS max_nident,"
+        " 100.0::DOUBLE * (L - mismatches) / L AS pident, 100.0::DOUBLE * (L - max_mismatches) / L AS min_pident, 100.0::DOUBLE * (L - min_mismatches) / L AS max_pident, CAST(L AS INTEGER) AS length, evalue, pvalue, log_evalue,"
+        f" CASE WHEN q > 0 THEN {_rounded('log10(CASE WHEN q > 0 THEN q ELSE 1.0::DOUBLE END)')} ELSE log_evalue END AS log_pvalue, presence AS \"kmer-presence\" FROM s7 JOIN found USING (query_id, colour) JOIN sizes USING (query_id) JOIN parts USING (colour)"
+    )
+
+
+@query(_scored())
 def search_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All statistics of the inexact hits; the fold rounds at each step, so tests hold it against golden values."""
+    """All statistics of the inexact hits."""
     return _search(spark, sf_dir, THRESHOLD, score=True)
 
 
@@ -393,7 +446,7 @@ def genotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = parts.select(F.col("p_brand").alias("variant"), F.lit("ref probe").alias("header"), dna(F.col("p_brand")).alias("seq"))
     alts = parts.where("p_size <= 5").select(F.col("p_brand").alias("variant"), F.lit("probe").alias("header"), dna(F.col("p_type")).alias("seq"))
     samples = part_samples(spark, sf_dir)
-    return variants.variant_search(variants.probes_of_headers(refs.unionByName(alts).distinct()), signature_of(samples), samples.drop("seq"), K, H, M)
+    return variants.variant_search(variants.probes_of_headers(refs.unionByName(alts).distinct()), signature_of(samples), samples.drop("seq"), K, H, M, stored=False)
 
 
 @query(
@@ -427,22 +480,211 @@ def param_calc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_HIT_TEXT = """'{{\n    "sample_name" : "' || sample_name || '",\n    "num_kmers" : ' || num_kmers || ',\n    "num_kmers_found" : ' || num_kmers_found || ',\n    "percent_kmers_found" : ' || {p} || '\n  }}'"""
+_WHOLE = f"hit AS (SELECT query_id, colour, sample_name, num_kmers, num_kmers_found, CAST({PERCENT} AS VARCHAR) AS p FROM found JOIN sizes USING (query_id) JOIN parts USING (colour) WHERE num_kmers_found = num_kmers)"
+
+
+@query(
+    f"{BASE}, {_WHOLE}, r AS (SELECT query_id, string_agg({_HIT_TEXT.format(p='p')}, ', ' ORDER BY colour) AS t FROM hit GROUP BY query_id)"
+    " SELECT query_id, '{\n  \"query\" : \"' || seq || '\",\n  \"threshold\" : 1.0,\n  \"results\" : [ ' || coalesce(t || ' ', '') || '],\n  \"citation\" : \"\"\n}' AS json FROM asked LEFT JOIN r USING (query_id)"
+)
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.to_json(search.envelopes(part_queries(spark, sf_dir), _search(spark, sf_dir, 1.0), 1.0))
 
 
-@query()
+_LINE = "'\"' || seq || '\",' || num_kmers || ',' || num_kmers_found || ',' || p || ',\"' || sample_name || '\"'"
+
+
+@query(
+    f"{BASE}, {_WHOLE} SELECT query_id, '\"query\",\"num_kmers\",\"num_kmers_found\",\"percent_kmers_found\",\"sample_name\"' || chr(13) || chr(10) || string_agg({_LINE.replace('seq', 'asked.seq')}, chr(13) || chr(10) ORDER BY colour) || chr(13) || chr(10) AS csv"
+    " FROM hit JOIN asked USING (query_id) GROUP BY query_id"
+)
 def result_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_text(part_queries(spark, sf_dir), _search(spark, sf_dir, 1.0))
 
 
+@query(f"{BASE}, {_WHOLE} SELECT {_LINE} AS line FROM hit JOIN asked USING (query_id)")
+def bulk_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.bulk_csv(part_queries(spark, sf_dir), _search(spark, sf_dir, 1.0))
+
+
 @query(f"{BASE}, x AS (SELECT DISTINCT colour, query_id FROM found JOIN sizes USING (query_id) WHERE num_kmers_found = num_kmers), y AS (SELECT DISTINCT colour FROM held JOIN (SELECT DISTINCT {_canonical('kmer')} AS c FROM (SELECT {_kmers(_dna('p_type'))} AS kmer FROM part WHERE p_size <= 5) t) u USING (c)) SELECT DISTINCT x.colour FROM x JOIN y USING (colour)")
 def common_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples in the results of two searches: whole matches of any pair, and any k-mer of small parts' types."""
     samples = part_samples(spark, sf_dir)
     types = table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_type").alias("query_id"), dna(F.col("p_type")).alias("seq")).distinct()
     signature = signature_of(samples)
-    first = search.search(part_queries(spark, sf_dir), signature, samples.drop("seq"), K, H, M, 1.0)
-    second = words.unpack(sig.lookup(search.kmer_counts(types, K), signature, H, M), [], "colour")
+    first = search.search(part_queries(spark, sf_dir), signature, samples.drop("seq"), K, H, M, 1.0, stored=False)
+    second = words.unpack(sig.lookup(search.kmer_counts(types, K), signature, H, M, stored=False), [], "colour")
     return first.select("colour").distinct().join(second.select("colour").distinct(), "colour", "left_semi")
+
+
+# Files: written with the sinks, read back with the sources
+
+
+@query(f"SELECT 'part' || p_partkey || ' ' || p_brand AS header, {_dna('p_brand')} || {_dna('p_type')} || {_dna('p_name')} AS seq FROM part")
+def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of two lines of sequence each."""
+    parts = table(spark, sf_dir, "part")
+    lines = parts.select(F.concat(F.lit(">part"), F.col("p_partkey").cast("string"), F.lit(" "), "p_brand", F.lit("\n"), dna(F.col("p_brand")), F.lit("\n"), dna(F.col("p_type")), dna(F.col("p_name"))))
+    path = fresh_path(spark, "fasta")
+    lines.write.text(path)
+    return fasta.read_fasta(spark, path).select("header", "seq")
+
+
+FILE_M = 200_000  # bits of the filters in files
+
+
+def _filter_files(spark: SparkSession, sf_dir: str) -> str:
+    path = fresh_path(spark, "filters")
+    seqs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("sample"), dna(F.col("s_name")).alias("seq"))
+    bloomfile.write_raw(sig.bloom_of_sequences(seqs, "sample", "seq", K, H, FILE_M), "sample", FILE_M, path)
+    return path
+
+
+@query(_SUPPLIER_BITS.replace(f"{M})", f"{FILE_M})").replace(f"% {M}", f"% {FILE_M}"))
+def filter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bloomfile.read_filters(spark, _filter_files(spark, sf_dir), FILE_M)
+    return found.select(F.regexp_extract("path", "([0-9]+)[.]bloom$", 1).cast("int").alias("colour"), "row_index")
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY s_suppkey DESC) - 1 AS INTEGER) AS colour, s_name AS query_id, 'supplier' || s_suppkey AS sample_name, CAST(2 AS BIGINT) AS num_kmers, CAST(2 AS BIGINT) AS num_kmers_found, 100.0::DOUBLE AS percent_kmers_found FROM supplier WHERE {_canonical(f'substr({_dna("s_name")}, 1, {K})')} <> {_canonical(f'substr({_dna("s_name")}, 2, {K})')}")
+def index_of_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all filter files that a manifest lists, in the manifest's order, asked for every supplier."""
+    path, manifest = _filter_files(spark, sf_dir), fresh_path(spark, "manifest")
+    suppliers = table(spark, sf_dir, "supplier")
+    rows = suppliers.orderBy(F.desc("s_suppkey")).select(F.concat(F.lit(path + "/"), F.col("s_suppkey").cast("string"), F.lit(".bloom")), F.concat(F.lit("supplier"), F.col("s_suppkey").cast("string")))
+    rows.coalesce(1).write.csv(manifest, sep="\t")
+    index = Index.build_files(spark, IndexConfig(k=K, m=FILE_M, h=H, path=fresh_path(spark, "index")), manifest=manifest)
+    return index.search(suppliers.select(F.col("s_name").alias("query_id"), dna(F.col("s_name")).alias("seq")))
+
+
+_GRAPH_CODE = "CAST(instr('ACGT', substr(seq, 32, 1)) - 1 AS BIGINT)"
+_GRAPH = (
+    f"g AS (SELECT s_suppkey, {_dna('s_name')} AS seq FROM supplier), e AS (SELECT s_suppkey, seq, substr(seq, 1, {K}) AS a, substr(seq, 2, {K}) AS b FROM g),"
+    f" n AS (SELECT s_suppkey, {_canonical('a')} AS kmer, CASE WHEN a <= reverse(translate(a, 'ACGT', 'TGCA')) THEN 1::BIGINT << {_GRAPH_CODE} ELSE 16::BIGINT << {_GRAPH_CODE} END AS edges FROM e UNION ALL SELECT s_suppkey, {_canonical('b')}, 0 FROM e)"
+)
+
+
+def _graph_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Graphs of the two k-mers of each supplier's sequence and the edge between them; and the sequences."""
+    seqs = table(spark, sf_dir, "supplier").select("s_suppkey", dna(F.col("s_name")).alias("seq"))
+    a, b = F.substring("seq", 1, K), F.substring("seq", 2, K)
+    place = F.instr(F.lit("ACGT"), F.substring("seq", K + 1, 1)) - 1
+    byte = F.call_function("shiftleft", F.when(a <= km.reverse_complement(a), F.lit(1)).otherwise(F.lit(16)), place)
+    cover = F.array((F.col("s_suppkey") % 100).cast("bigint"))
+    rows = seqs.select(F.explode(F.array(F.struct(km.canonical(a).alias("kmer"), cover.alias("coverages"), F.array(byte).alias("edges")), F.struct(km.canonical(b).alias("kmer"), cover.alias("coverages"), F.array(F.lit(0)).alias("edges")))).alias("r")).select("r.*")
+    path = fresh_path(spark, "graphs")
+    cortex.write_graphs(rows, K, ["all"], path)
+    return path, seqs
+
+
+@query(f"WITH {_GRAPH} SELECT kmer, s_suppkey % 100 AS coverage, CAST(edges AS INTEGER) AS edges, {K} AS kmer_size FROM n")
+def graph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = cortex.read_graph(spark, _graph_files(spark, sf_dir)[0])
+    return graph.select("kmer", F.col("coverages")[0].alias("coverage"), F.col("edges")[0].alias("edges"), "kmer_size")
+
+
+@query(f"WITH {_GRAPH} SELECT DISTINCT {_canonical('x')} AS kmer FROM (SELECT unnest([substr(kmer, 1, 21), substr(kmer, 11, 21)]) AS x FROM n) t")
+def graph_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smaller k-mers of the records, every tenth of them."""
+    graph = cortex.read_graph(spark, _graph_files(spark, sf_dir)[0])
+    small = graph.select("kmer").withColumn("path", F.col("kmer"))
+    found = cortex.graph_kmers(small, 21)
+    at = F.instr(F.col("path"), F.col("kmer"))
+    return found.where(at.isin(1, 11)).select(km.canonical(F.col("kmer")).alias("kmer")).distinct()
+
+
+@query(f"SELECT 'F' AS direction, substr({_dna('s_name')}, 1, {K}) AS kmer, CAST(s_suppkey % 7 + 1 AS INTEGER) AS num_kmers, CAST(s_suppkey % 5 AS VARCHAR) || ',0' AS counts, substr({_dna('s_name')}, 1, CAST(s_suppkey % 9 + 1 AS BIGINT)) AS junctions FROM supplier")
+def links_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = dna(F.col("s_name"))
+    rows = table(spark, sf_dir, "supplier").select(
+        F.substring(seq, 1, K).alias("kmer"), F.lit("F").alias("direction"), (F.col("s_suppkey") % 7 + 1).cast("int").alias("num_kmers"),
+        F.array((F.col("s_suppkey") % 5).cast("int"), F.lit(0)).alias("counts"), F.substring(seq, F.lit(1), (F.col("s_suppkey") % 9 + 1).cast("int")).alias("junctions"),
+    )
+    path = fresh_path(spark, "links")
+    cortex.write_links(rows, K, path)
+    found = cortex.read_links(spark, path)
+    return found.select("kmer", "direction", "num_kmers", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"), "junctions")
+
+
+@query(f"WITH {_GRAPH} SELECT seq AS contig, a AS seed FROM e")
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks along the edges from the first k-mer of each supplier's sequence, inside its connected part of the graph."""
+    path, seqs = _graph_files(spark, sf_dir)
+    graph = cortex.with_components(cortex.read_graph(spark, path))
+    seeds = seqs.select(F.substring("seq", 1, K).alias("seed")).withColumn("kmer", km.canonical(F.col("seed")))
+    seeds = seeds.join(graph.select("kmer", "component"), "kmer").select("component", "seed")
+    return cortex.contigs(seeds, graph, spark.createDataFrame([], cortex.LINK)).select("seed", "contig")
+
+
+# A stored index
+
+
+_NUMBERED = PARTS.replace("CAST(p_partkey AS INTEGER) AS colour", "CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS colour")
+
+
+@query(f"{BASE.replace(PARTS, _NUMBERED)} SELECT {HITS} FROM found JOIN sizes USING (query_id) JOIN parts USING (colour) WHERE num_kmers_found >= ceil(num_kmers * {THRESHOLD}::DOUBLE)")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build of an index in chunks of samples under a memory bound, then a search of what is stored."""
+    samples = part_samples(spark, sf_dir).withColumn("n", F.col("colour"))
+    chunk = params.chunk_bytes(samples.count(), M, 4)
+    index = Index.build_sequences(spark, IndexConfig(path=fresh_path(spark, "index"), max_build_bytes=chunk), samples, ["n"])
+    return index.search(part_queries(spark, sf_dir), THRESHOLD)
+
+
+def _changed_index(spark: SparkSession, sf_dir: str) -> Index:
+    """Parts up to a size, merged with the others, all suppliers' sequences inserted as one sample, and the first name deleted."""
+    samples = part_samples(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("colour"), "p_size"), "colour").withColumn("n", F.col("colour"))
+    halves = [Index.build_sequences(spark, IndexConfig(path=fresh_path(spark, "index")), samples.where(which), ["n"]) for which in ("p_size <= 25", "p_size > 25")]
+    extra = table(spark, sf_dir, "supplier").select(F.lit(0).alias("one"), dna(F.col("s_name")).alias("seq"))
+    index = halves[0].merge(halves[1]).insert(sig.bloom_of_sequences(extra, "one", "seq", K, H, M), "suppliers")
+    gone = index.samples().agg(F.min("sample_name")).first()[0]
+    return index.delete_sample(gone).compact()
+
+
+_CHANGED = (
+    f"q AS (SELECT p_partkey, p_size > 25 AS later, 'part' || p_partkey AS sample_name, {_dna('p_brand')} || {_dna('p_type')} || {_dna('p_name')} AS seq FROM part),"
+    " parts AS (SELECT CAST(row_number() OVER (ORDER BY later, p_partkey) - 1 AS INTEGER) AS colour, sample_name, seq FROM q)"
+)
+
+
+@query(
+    f"WITH {_CHANGED}, asked AS (SELECT DISTINCT p_brand || '|' || p_type AS query_id, {_dna('p_brand')} || {_dna('p_type')} AS seq FROM part UNION ALL SELECT s_name, {_dna('s_name')} FROM supplier), gone AS (SELECT min(sample_name) AS x FROM parts),"
+    f" {HELD}, {OWN}, {FOUND}, hits AS (SELECT {HITS} FROM found JOIN sizes USING (query_id) JOIN parts USING (colour), gone WHERE num_kmers_found = num_kmers AND sample_name <> x)"
+    " SELECT * FROM hits UNION ALL SELECT s_name, CAST((SELECT count(*) FROM part) AS INTEGER), 'suppliers', num_kmers, num_kmers, 100.0::DOUBLE FROM supplier JOIN sizes ON query_id = s_name"
+)
+def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search after merge, insert, delete and compaction; a deleted sample has no hits."""
+    asked = part_queries(spark, sf_dir).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("query_id"), dna(F.col("s_name")).alias("seq")))
+    return _changed_index(spark, sf_dir).search(asked)
+
+
+@query(f"WITH {_CHANGED}, gone AS (SELECT min(sample_name) AS x FROM parts), n AS (SELECT CAST(count(*) AS INTEGER) AS n FROM parts) SELECT colour, sample_name, sample_name = x AS deleted, n + 1 AS num_samples, true AS removed FROM parts, gone, n UNION ALL SELECT n, 'suppliers', false, n + 1, true FROM n")
+def index_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples and their number after the same changes, from a copy of the index that is then deleted as a whole."""
+    index = _changed_index(spark, sf_dir)
+    rows, n = staged(index.samples(), "samples"), index.num_samples()
+    index.delete()
+    try:
+        Index(spark, index.path)
+        removed = False
+    except FileNotFoundError:
+        removed = True
+    return rows.select("colour", "sample_name", "deleted", F.lit(n).alias("num_samples"), F.lit(removed).alias("removed"))
+
+
+_AMINO = "'FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG'"
+
+
+@query(
+    f"WITH {PARTS}, c AS (SELECT substr('TCAG', i + 1, 1) || substr('TCAG', j + 1, 1) || substr('TCAG', k + 1, 1) AS codon, substr({_AMINO}, 16 * i + 4 * j + k + 1, 1) AS letter FROM (SELECT CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j, CAST(d.range AS INTEGER) AS k FROM range(4) a, range(4) b, range(4) d) t),"
+    " s AS (SELECT colour, seq, 1 + colour % 32 AS pos, 3 * (colour % 32) + 1 AS st, substr('KX', 1 + colour % 2, 1) AS alt FROM parts), o AS (SELECT s.*, letter AS ref, codon AS own FROM s JOIN c ON codon = substr(seq, st, 3)),"
+    f" p AS (SELECT *, 'gene' || colour || '_' || ref || pos || alt AS variant, substr(seq, greatest(1, st - {K - 1}), st - greatest(1, st - {K - 1})) AS l, substr(seq, st + 3, {K - 1}) AS r FROM o)"
+    " SELECT variant, 'ref' AS kind, l || own || r AS seq FROM p UNION ALL SELECT variant, 'alt', l || codon || r FROM p JOIN c ON letter = alt OR (alt = 'X' AND letter <> '*' AND letter <> ref)"
+)
+def amino_acid_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = part_samples(spark, sf_dir).select("colour", F.col("seq").alias("gene"), (1 + F.col("colour") % 32).alias("pos"), F.substring(F.lit("KX"), 1 + F.col("colour") % 2, F.lit(1)).alias("alt"))
+    named = sites.withColumn("ref", variants.amino_acid(F.substring(F.col("gene"), 3 * (F.col("pos") - 1) + 1, F.lit(3))))
+    name = variants.variant_name(F.col("ref"), F.col("pos"), F.col("alt"), F.concat(F.lit("gene"), F.col("colour").cast("string")))
+    return variants.amino_acid_probes(named.withColumn("variant", name), K)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,18 +47,53 @@ def write_filters(bloom: DataFrame, key: str, m: int, directory: str) -> None:
     packed(bloom, key, m).write.mode("overwrite").partitionBy(key).parquet(directory)
 
 
+def _local(directory: str) -> str:
+    return re.sub("^file:/*", "/", directory)
+
+
+def _save(directory: str, name: str, content: bytes) -> None:
+    """Whole or not at all, so a task that runs twice leaves one file."""
+    os.makedirs(directory, exist_ok=True)
+    part = os.path.join(directory, f".{name}.{uuid.uuid4().hex}")
+    with open(part, "wb") as file:
+        file.write(content)
+    os.replace(part, os.path.join(directory, name))
+
+
 def write_raw(bloom: DataFrame, key: str, m: int, directory: str) -> None:
-    """One raw file for each sample in a directory that the executors share with the reader."""
-    def save(pdf_batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+    """One raw file for each sample in a directory that is mounted on the executors and the reader alike."""
+    target = _local(directory)
 
-        os.makedirs(directory, exist_ok=True)
-        for pdf in pdf_batches:
+    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
             for name, content in zip(pdf[key], pdf["content"], strict=True):
-                part = os.path.join(directory, f".{name}.part")
-                with open(part, "wb") as file:
-                    file.write(content)
-                os.replace(part, os.path.join(directory, f"{name}.bloom"))
+                _save(target, f"{name}.bloom", content)
             yield pd.DataFrame({"n": [len(pdf)]})
 
     packed(bloom, key, m).mapInPandas(save, "n long").agg(F.sum("n")).collect()
+
+
+def write_parts(rows: DataFrame, directory: str, suffix: str, encode: Callable[[pd.DataFrame], bytes]) -> None:
+    """The rows of each task, encoded, as one file in a directory that is mounted on the executors and the reader alike."""
+    target = _local(directory)
+
+    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [f for f in frames if len(f)]
+        if parts:
+            _save(target, f"part-{TaskContext.get().partitionId():05d}.{suffix}", encode(pd.concat(parts)))
+        yield pd.DataFrame({"n": [len(parts)]})
+
+    rows.mapInPandas(save, "n long").agg(F.sum("n")).collect()
+
+
+def write_file(bloom: DataFrame, m: int, path: str) -> None:
+    """The raw file of one sample (row_index) through Spark's file systems; the filter, of m bits, meets in one place."""
+    spark = bloom.sparkSession
+    rows = packed(bloom.select(F.lit("one").alias("sample"), "row_index"), "sample", m).collect()
+    content = bytes(rows[0]["content"]) if rows else bytes((m + 7) // 8)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()

@@ -8,11 +8,14 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions import kmers as km
+from sigloom.operators.graph import components
+from sigloom.sources.bloomfile import write_parts
 
 MAGIC, VERSION = b"CORTEX", 6
 BATCH = 1 << 16
@@ -100,6 +103,26 @@ def write_graph(records: list[tuple[str, list[int], list[int]]], size: int, name
     return b"".join(out)
 
 
+def write_graphs(records: DataFrame, size: int, names: list[str], directory: str) -> None:
+    """(kmer, coverages, edges) as graph files, one for each task."""
+    def encode(rows: pd.DataFrame) -> bytes:
+        return write_graph(list(zip(rows["kmer"], rows["coverages"], rows["edges"], strict=True)), size, names)
+
+    write_parts(records.select("kmer", "coverages", "edges"), directory, "ctx", encode)
+
+
+def write_links(links: DataFrame, size: int, directory: str) -> None:
+    """(kmer, direction, num_kmers, counts, junctions) as gzipped link files of version 3, one for each task."""
+    def encode(rows: pd.DataFrame) -> bytes:
+        lines = [json.dumps({"file_format": "ctp", "format_version": 3, "graph": {"kmer_size": size}, "paths": {}}), ""]
+        for kmer, own in rows.groupby("kmer", sort=True):
+            lines.append(f"{kmer} {len(own)}")
+            lines += [f"{r.direction} {r.num_kmers} {len(r.junctions)} {','.join(map(str, r.counts))} {r.junctions}" for r in own.itertuples()]
+        return gzip.compress(("\n".join(lines) + "\n").encode())
+
+    write_parts(links.select("kmer", "direction", "num_kmers", "counts", "junctions").repartition("kmer"), directory, "ctp.gz", encode)
+
+
 def _links(text: str) -> tuple[dict, list[tuple]]:
     meta, end = json.JSONDecoder().raw_decode(text.lstrip())
     body = text.lstrip()[end:]
@@ -180,11 +203,17 @@ def contig(seed: str, edges: dict[str, int], links: dict[str, list[tuple[str, st
     return out
 
 
+def with_components(graph: DataFrame, colour: int = 0) -> DataFrame:
+    """The graph with `component`: the smallest k-mer of its connected part."""
+    edges = neighbours(graph, colour).select(F.col("kmer").alias("a"), F.col("next").alias("b"))
+    own = graph.select(F.col("kmer").alias("a"), F.col("kmer").alias("b"))
+    labels = components(edges.join(graph.select(F.col("kmer").alias("b")), "b", "left_semi").unionByName(own))
+    return graph.join(labels.select(F.col("node").alias("kmer"), F.col("label").alias("component")), "kmer")
+
+
 def contigs(seeds: DataFrame, graph: DataFrame, links: DataFrame, colour: int = 0) -> DataFrame:
     """component, seed, contig for seeds and graph with a `component` column: one walk per seed, inside its component."""
     def walk(key, seed_pdf, graph_pdf, link_pdf):
-        import pandas as pd
-
         edges = {k: int(e[colour]) for k, e in zip(graph_pdf["kmer"], graph_pdf["edges"], strict=True)}
         known: dict[str, list[tuple[str, str]]] = {}
         for k, d, j in zip(link_pdf["kmer"], link_pdf["direction"], link_pdf["junctions"], strict=True):
@@ -192,10 +221,11 @@ def contigs(seeds: DataFrame, graph: DataFrame, links: DataFrame, colour: int =
                 known.setdefault(k, []).append((d, j))
         return pd.DataFrame({"component": [key[0]] * len(seed_pdf), "seed": seed_pdf["seed"], "contig": [contig(s, edges, known) for s in seed_pdf["seed"]]})
 
-    own = graph.join(links.select("kmer", "direction", "junctions"), "kmer", "left").select("component", "kmer", "edges", "direction", "junctions")
+    own = graph.join(links.select("kmer", "direction", "junctions"), "kmer", "left").select(F.col("component").alias("_of"), "kmer", "edges", "direction", "junctions")
 
     def both(key, left, right):
         return walk(key, left, right.drop_duplicates("kmer"), right)
 
     kind = seeds.schema["component"].dataType.simpleString()
-    return seeds.groupBy("component").cogroup(own.groupBy("component")).applyInPandas(both, f"component {kind}, seed string, contig string")
+    asked = seeds.select(F.col("component").alias("_in"), "seed")
+    return asked.groupBy("_in").cogroup(own.groupBy("_of")).applyInPandas(both, f"component {kind}, seed string, contig string")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _records(text: DataFrame) -> DataFrame:
+def _records(text: DataFrame, *keep: str) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
     parts = F.split(plain, "\n", 2)
     body = F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), "\\s", "")
-    return text.where(F.trim("value") != "").select(F.trim(F.get(parts, 0)).alias("header"), body.alias("seq"))
+    return text.where(F.trim("value") != "").select(*keep, F.trim(F.get(parts, 0)).alias("header"), body.alias("seq"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -19,6 +19,12 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return _records(text).withColumn("query_id", F.monotonically_increasing_id()).select("query_id", "header", "seq")
 
 
+def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, seq of every record."""
+    text = spark.read.option("lineSep", "\n>").text(path).select("value", F.input_file_name().alias("path"))
+    return _records(text, "path").select("path", "seq")
+
+
 def stream_fasta(spark: SparkSession, path: str) -> DataFrame:
     """The same of files that arrive in a directory; the id is a hash of header and sequence."""
     text = spark.readStream.option("lineSep", "\n>").text(path)

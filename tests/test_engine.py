@@ -8,12 +8,16 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sigloom import __main__ as cli
+from sigloom.functions import kmers as km
 from sigloom.functions import score as sc
 from sigloom.functions import words
 from sigloom.operators import metadata, search, variants
 from sigloom.operators import signature as sig
 from sigloom.plans.config import IndexConfig
+from sigloom.plans import stage
 from sigloom.plans.index import Index
+from sigloom.plans.session import dealt
 from sigloom.sources import bloomfile, cortex, fasta, sinks
 from sigloom.streaming.search import search_stream
 
@@ -174,6 +178,9 @@ def test_graph_links_and_contigs(spark, tmp_path):
     (tmp_path / "l.ctp.gz").write_bytes(gzip.compress((head + "\n\n# note\nACG 1\nF 3 1 2,0 T\n").encode()))
     links = cortex.read_links(spark, str(tmp_path / "l.ctp.gz"))
     assert [(r["kmer"], r["direction"], r["counts"], r["junctions"]) for r in links.collect()] == [("ACG", "F", [2, 0], "T")]
+    old = json.dumps({"fileFormat": "ctp", "formatVersion": 2, "kmer_size": 3})
+    (tmp_path / "old.ctp.gz").write_bytes(gzip.compress((old + "\n\nACG 2\nF 3 1 2,0 T\nR 4 2 1 GA\n").encode()))
+    assert [(r["direction"], r["junctions"]) for r in cortex.read_links(spark, str(tmp_path / "old.ctp.gz")).collect()] == [("F", "T"), ("R", "GA")]
     # AAC -> ACC on the only way, then the end.
     assert cortex.contig("AAC", {"AAC": 2, "ACC": 0}, {}) == "AACC"
     # At a fork the link decides.
@@ -187,3 +194,123 @@ def test_settings(tmp_path, monkeypatch):
     assert IndexConfig.load() == IndexConfig(k=31, m=1000, h=3, max_build_bytes=20 * 10**9)
     with pytest.raises(ValueError):
         IndexConfig(k=0)
+
+
+@pytest.mark.parametrize("n", [1, 7, 1000, 4000, 12_345])
+def test_percent_rounds_as_python(spark, n):
+    rows = spark.range(n + 1).select("id", search.percent_found(F.col("id"), F.lit(n)).alias("p")).collect()
+    assert [r["p"] for r in sorted(rows)] == [round(100.0 * i / n, 2) for i in range(n + 1)]
+
+
+def test_kmers_of_a_long_sequence(spark, monkeypatch):
+    """Pieces are rows before their k-mers are: no array is longer than the smallest span."""
+    seq = "".join("ACGT"[(i * i + i // 7) % 4] for i in range(30_000)) + "é日"
+    rows = spark.createDataFrame([(1, seq), (2, "ACGT"), (3, "ACG"), (4, None)], "n int, seq string")
+    monkeypatch.setattr(km, "SPANS", (7000, 600))
+    got = sorted((r["n"], r["pos"], r["kmer"]) for r in km.occurrences(rows, "n", "seq", 4).collect())
+    assert got == [(1, i, seq[i : i + 4]) for i in range(len(seq) - 3)] + [(2, 0, "ACGT")]
+    plan = km.occurrences(rows, "n", "seq", 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") >= 3
+
+
+def test_build_in_chunks_and_compression(spark, tmp_path):
+    samples = spark.createDataFrame([(i, f"s{i:03d}", "ACGTACGTTG"[i % 5 :] + "ACGT"[i % 4] * 4) for i in range(130)], "n int, sample_name string, seq string")
+    whole = Index.build_sequences(spark, IndexConfig(k=3, m=100, h=2, path=str(tmp_path / "w"), compression="snappy"), samples, ["n"])
+    parts = Index.build_sequences(spark, IndexConfig(k=3, m=100, h=2, path=str(tmp_path / "p"), max_build_bytes=40 * 113), samples, ["n"])
+    assert len(parts._parts) > 2 and len(whole._parts) == 1
+    assert sorted(map(tuple, sig.untranspose(parts.signature()).collect())) == sorted(map(tuple, sig.untranspose(whole.signature()).collect()))
+    assert list((tmp_path / "w" / "signature").rglob("*.snappy.parquet")) and not list((tmp_path / "p" / "signature").rglob("*.snappy.parquet"))
+    with pytest.raises(ValueError):
+        Index.build_sequences(spark, IndexConfig(k=3, m=100, h=2, path=str(tmp_path / "q"), max_build_bytes=10), samples, ["n"])
+
+
+def test_colours_follow_the_order_over_partitions(spark):
+    names = spark.createDataFrame([(f"n{(i * 37) % 500:04d}",) for i in range(500)], "sample_name string").repartition(9)
+    assert sorted((r["sample_name"], r["colour"]) for r in metadata.assign(names, ["sample_name"], 5).collect()) == [(f"n{i:04d}", i + 5) for i in range(500)]
+
+
+def test_build_from_files(spark, tmp_path):
+    config = IndexConfig(k=3, m=1000, h=3, path=str(tmp_path / "i"))
+    (tmp_path / "a.fa").write_text(">x\nATACACAAT\n")
+    (tmp_path / "b.ctx").write_bytes(cortex.write_graph([("ACAGA", [1], [0]), ("GAGAA", [1], [0])], 5, ["b"]))
+    bloomfile.write_raw(sig.bloom_of_sequences(spark.createDataFrame([("c", "TTTGGG")], "s string, seq string"), "s", "seq", 3, 3, 1000), "s", 1000, str(tmp_path))
+    (tmp_path / "m.tsv").write_text("c.bloom\tthird\na.fa\tfirst\nb.ctx\tsecond\n")
+    index = Index.build_files(spark, config, manifest=str(tmp_path / "m.tsv"))
+    assert [r["sample_name"] for r in index.samples().orderBy("colour").collect()] == ["third", "first", "second"]
+    assert [index.search_one(x)[0]["sample_name"] for x in ("ATACACAAT", "ACAGA", "TTTGG")] == ["first", "second", "third"]
+    named = Index.build_files(spark, IndexConfig(k=3, m=1000, h=3, path=str(tmp_path / "j")), paths=[str(tmp_path / "a.fa")])
+    assert named.samples().first()["sample_name"] == str(tmp_path / "a.fa")
+    for bad in ({}, {"manifest": "m", "paths": ["p"]}, {"paths": ["p"], "samples": ["a", "b"]}):
+        with pytest.raises(ValueError):
+            Index.build_files(spark, config, **bad)
+
+
+def test_amino_acid_probes(spark):
+    gene = spark.createDataFrame([("v", "ATGAAACCCTGG", 2, "K", "M"), ("x", "ATGAAACCCTGG", 1, "M", "X")], "variant string, gene string, pos int, ref string, alt string")
+    rows = [tuple(r) for r in variants.amino_acid_probes(gene, 4).collect()]
+    assert [r for r in rows if r[0] == "v"] == [("v", "ref", "ATGAAACCC"), ("v", "alt", "ATGATGCCC")]
+    assert len([r for r in rows if r[:2] == ("x", "alt")]) == 64 - 3 - 1
+    with pytest.raises(Exception, match="another amino acid"):
+        variants.amino_acid_probes(gene.where("variant = 'v'").withColumn("ref", F.lit("W")), 4).collect()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "c.yaml").write_text(f"k: 3\nm: 1000\nh: 3\npath: {tmp_path}/index\n")
+    (tmp_path / "a.fa").write_text(">x\nATACACAAT\n")
+    (tmp_path / "q.fa").write_text(">q\nATACACAAT\n>r\nACAGAGAAC\n")
+
+    def run(*args):
+        cli.main([args[0], "--config", str(tmp_path / "c.yaml"), *args[1:]], spark)
+        return capsys.readouterr().out
+
+    assert json.loads(run("build", str(tmp_path / "a.fa"), "--sample", "a"))["num_samples"] == 1
+    (tmp_path / "b.fa").write_text(">y\nACAGAGAAC\n")
+    run("bloom", str(tmp_path / "b.fa"), str(tmp_path / "b.bloom"))
+    assert (tmp_path / "b.bloom").stat().st_size == 125
+    assert json.loads(run("insert", str(tmp_path / "b.bloom"), "b"))["num_samples"] == 2
+    assert json.loads(run("search", "ATACACAAT"))["results"][0]["sample_name"] == "a"
+    assert run("search", "ACAGAGAAC", "--format", "csv").splitlines()[1] == '"ACAGAGAAC",6,6,100.0,"b"'
+    assert [len(x["results"]) for x in json.loads(run("bulk_search", str(tmp_path / "q.fa")))] == [1, 1]
+    assert len(run("bulk_search", str(tmp_path / "q.fa"), "--stream").splitlines()) > 2
+    (tmp_path / "ref.fa").write_text(">r\nATACACAAT\n")
+    # TACAC is in the sequence as it is, and so are all k-mers of TATAC.
+    assert json.loads(run("variant_search", str(tmp_path / "ref.fa"), "C", "4", "T"))[0]["genotype"] == "0/1"
+    run("delete_sample", "a")
+    assert json.loads(run("search", "ATACACAAT"))["results"] == [] and json.loads(run("num_samples"))["num_samples"] == 2
+    run("delete")
+    with pytest.raises(FileNotFoundError):
+        run("search", "ATACACAAT")
+
+
+def test_tables_in_few_parts_are_dealt(spark):
+    few = spark.range(100).coalesce(1)
+    assert dealt(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and dealt(few).count() == 100
+    assert dealt(spark.range(0, 100, 1, 50)).rdd.getNumPartitions() == 50
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark):
+    class Unset:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Unset()
+
+    class Session:
+        sparkContext, conf = Context(), Unset()
+
+    with pytest.raises(RuntimeError):
+        stage.shared_dir(Session())
+    table = stage.staged(spark.range(3), "x")
+    stage.release(table)
+    with pytest.raises(Exception):
+        table.count()
+
+
+def test_components_of_the_graph(spark, tmp_path):
+    (tmp_path / "g.ctx").write_bytes(cortex.write_graph([("AAC", [1], [2]), ("ACC", [1], [0]), ("GGA", [1], [0])], 3, ["x"]))
+    rows = cortex.with_components(cortex.read_graph(spark, str(tmp_path / "g.ctx"))).collect()
+    assert {(r["kmer"], r["component"]) for r in rows} == {("AAC", "AAC"), ("ACC", "AAC"), ("GGA", "GGA")}
