@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.operators.graph import SALTS, components, join_spread
+
 from . import textkit as tk
-from .graph import SALTS, components, join_spread
-from .stage import staged
+from .stage import release, staged
 
 T, WIDE = 512, 4096
 ROWS, BANDS = 4, 36
@@ -135,13 +136,24 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """The rows of `pairs` with the set of `key` as `name`. Pairs of a node with more than BLOCK of them are dealt over groups by `other`."""
+    salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).alias("_salt")
+    groups = pairs.groupBy(key, salt).agg(F.count("*").alias("n"))
+    hubs = groups.groupBy(key).agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select(key)
+    groups = staged(groups.join(hubs, key, "left_semi").select(key, "_salt", F.col("_salt").alias("_group")), "groups")
+    dealt = rows.select("*", salt).join(groups, [key, "_salt"], "left").withColumn("_group", F.coalesce("_group", F.lit(-1))).drop("_salt")
+    parts = groups.select(F.col(key).alias("node"), "_group")
+    held = sets.select("node", "shingles").join(parts, "node", "left").select(F.col("node").alias(key), F.coalesce("_group", F.lit(-1)).alias("_group"), F.col("shingles").alias(name))
+    return dealt.join(held, [key, "_group"]).drop("_group")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose full sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    both = _with_sets(_with_sets(pairs, pairs, sets, "a", "b", "of_a"), pairs, sets, "b", "a", "of_b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
-    return both.where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select("a", "b").distinct()
+    met = both.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
+    return met.where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select("a", "b").distinct()
 
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -173,11 +185,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     keyed = docs.select(F.col(text_col).cast("string").alias("text"), *_row_key(docs, id_col, text_col))
     known, nodes = _nodes(staged(keyed.mapInArrow(_sketch_rows, _SKETCHED), "sketches"))
 
-    banded = known.where("node IS NOT NULL").select("node", F.posexplode("bands").alias("band", "bucket"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
-    blocks = banded.groupBy("bucket", "salt").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("size"))
-    shared = blocks.groupBy("bucket").agg(F.min("p").alias("p"), F.max("q").alias("q"), F.sum("size").alias("size")).where("p <> q")
-    places = blocks.select("bucket", "salt").join(shared, "bucket")
-    members = staged(banded.join(places, ["bucket", "salt"]).drop("salt").distinct(), "members")
+    banded = known.where("node IS NOT NULL").select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("size")).where("p <> q")
+    members = staged(banded.join(shared, "bucket").distinct(), "members")
 
     star = members.select(F.explode(F.array(F.struct("node", F.col("p").alias("other")), F.struct("node", F.col("q").alias("other")))).alias("x")).where("x.node <> x.other")
     star = star.select(*_pair(F.col("x.node"), F.col("x.other"))).distinct()
@@ -197,10 +207,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     alone = staged(held.where("node = last").groupBy("node").agg(F.count("*").alias("alone")), "alone")
     apart = _apart(members.where("size > 3"), nodes, labels, sets, alone, percent).join(first, ["a", "b"], "left_anti")
     second = staged(apart, "apart")
+    release(members, alone, first)
     if second.limit(1).count():
         more = staged(_verified(second, sets, percent), "more")
         if more.limit(1).count():
             labels = components(edges.unionByName(more))
+    release(sets, second)
 
     named = staged(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"), F.col("rep.doc").alias("doc")), "named")
     ids = named.groupBy("component").agg(F.min("doc").alias("least"))

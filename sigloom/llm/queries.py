@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.plans.session import dealt
+
 from . import bpe, fingerprint, htmlx, langid, linededup, minhash, mixing, quality, rules, urlfilter
+from .stage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +46,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
-    """`listed`: the URLs to block (column url, any form). The tables have none; without it, the pages on LISTED_SITES."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    """`listed`: the URLs to block (column url, any form). The tables have none; without it, `urlfilter.listed_pages` makes one."""
+    pages = _table(spark, sf_dir, "pages")
     if listed is None:
-        listed = urlfilter.listed_pages(pages)
+        listed = urlfilter.listed_pages(pages, _table(spark, sf_dir, "benchmark"))
     else:
         listed = listed.select(urlfilter.canonical(F.col("url")).alias("url"))
-    return urlfilter.judge(pages, listed).drop("url")
+    return urlfilter.judge(pages.select("page_id", "url"), staged(listed, "listed")).drop("url")
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

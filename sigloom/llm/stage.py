@@ -1,49 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""Staged tables, as the rest of the library makes them."""
 
-`staged` cuts lineage by writing Parquet under the folder that the cluster names in
-spark.checkpoint.dir, so that a lost executor costs a re-read and not a re-run. The setting is read from
-the session; only where it is unset (tests on one machine) a folder under the warehouse is used.
-Tables of a session are removed when the driver ends.
-"""
+from sigloom.plans.stage import fresh_path, release, shared_dir, staged
 
-from __future__ import annotations
-
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_made: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _remove(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have ended first
-            return
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sigloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_path", "release", "shared_dir", "staged"]

@@ -7,8 +7,8 @@ bounds the temporary arrays; one row is never split, so a single very long text
 Word: a maximal run of bytes outside 0x20 and 0x09-0x0D. UTF-8 lead and continuation bytes are all
 above 0x20, so this equals the pattern `[^\\x20\\x09-\\x0D]+` over code points.
 
-Where equal hashes must mean equal text, `digests` gives the first 64 bits of BLAKE2b and `wide_digests` 128 bits, so no
-texts can be built that collide. `hashes` is only for features of models, where a collision costs nothing: it is
+Where equal hashes must mean equal text, `wide_digests` gives 128 bits of BLAKE2b. `digests` gives 64 bits: of ranges of more
+than SHORT bytes those of BLAKE2b, of shorter ones, as most words are, their bytes and length, mixed. `hashes` is only for features of models, where a collision costs nothing: it is
 polynomial in the bytes modulo 2**64 with an odd base (its powers are invertible, so the hash of any byte range is a
 difference of prefix sums) and then mixed with the length; texts that collide in it are easy to build.
 """
@@ -60,19 +60,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Memo(dict):
-    """Digests of short byte strings; bounded, as it is emptied when it is full."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = blake2b(word, digest_size=8).digest()
-        if len(word) <= 48:
-            if len(self) >= 1 << 16:
-                self.clear()
-            self[word] = found
-        return found
-
-
-_memo = _Memo()
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+SHORT = 16
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +101,7 @@ class Slice:
         self.o = offsets[lo : hi + 1] - offsets[lo]
         self._sums: dict[bool, np.ndarray] = {}
         self._lower: np.ndarray | None = None
+        self._padded: dict[bool, np.ndarray] = {}
 
     def cased(self, lower: bool) -> np.ndarray:
         """The bytes, A-Z lower-cased if so asked."""
@@ -134,22 +124,18 @@ class Slice:
         return mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64) * U64(0xA0761D6478BD642F))
 
     def digests(self, s: np.ndarray, e: np.ndarray, lower: bool) -> np.ndarray:
-        """Digest of each byte range s..e; equal ranges, as words mostly are, are hashed once."""
-        out = np.empty(len(s), U64)
-        size = np.cumsum(e - s)
-        data, lo = self.cased(lower), 0
-        while lo < len(s):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 4 * SLICE_BYTES, "right")))
-            n = (e - s)[lo:hi]
-            at = np.concatenate([[0], np.cumsum(n)])
-            if hi == lo + 1:
-                held = np.ascontiguousarray(data[s[lo] : e[lo]])
-            else:
-                held = data[np.repeat(s[lo:hi] - at[:-1], n) + np.arange(at[-1])]
-            ranges = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(held)]).dictionary_encode()
-            each = np.frombuffer(b"".join([_memo[w] for w in ranges.dictionary.to_pylist()]), U64)
-            out[lo:hi] = each[np.asarray(ranges.indices)]
-            lo = hi
+        """64-bit digest of each byte range s..e."""
+        data, n = self.cased(lower), e - s
+        if self._padded.get(lower) is None:
+            self._padded[lower] = np.concatenate([data, np.zeros(SHORT, np.uint8)])
+        eight = np.ndarray(len(data) + 9, "<u8", self._padded[lower], 0, (1,))  # the eight bytes from each byte on
+        low = eight[s] & _MASK[np.minimum(n, 8)]
+        high = eight[np.minimum(s + 8, len(data))] & _MASK[np.clip(n - 8, 0, 8)]
+        out = mix(low ^ mix(high ^ mix(n.astype(U64))))
+        long = np.flatnonzero(n > SHORT)
+        if len(long):
+            held = memoryview(self._padded[lower])
+            out[long] = np.frombuffer(b"".join([blake2b(held[x:y], digest_size=8).digest() for x, y in zip(s[long].tolist(), e[long].tolist(), strict=True)]), U64)
         return out
 
     def wide_digests(self, s: np.ndarray, e: np.ndarray, lower: bool) -> np.ndarray:

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sigloom.llm import bpe, fingerprint, graph, htmlx, langid, linededup, minhash, mixing, quality, queries, rules, textkit, urlfilter
+from sigloom.llm import bpe, fingerprint, htmlx, langid, linededup, minhash, mixing, quality, queries, rules, textkit, urlfilter
+from sigloom.operators import graph
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WORD = re.compile("[^\x20\x09-\x0d]+")
