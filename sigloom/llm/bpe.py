@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -158,30 +158,44 @@ def _others(df: DataFrame, *names: str) -> tuple[list[str], str]:
     return rest, "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """With the ids of each text. The rank file is read here and broadcast: its size is fixed, about 1 MB."""
+def _tokens(data: bytes) -> Callable[[int], bytes]:
+    return {rank: token for token, rank in read_ranks(data).items()}.__getitem__
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
+    """With the ids of each text; and with the bytes that these stand for, as `decode` gives them, if a column for them is named.
+
+    The rank file is read here and broadcast: its size is fixed, about 1 MB.
+    """
     with open(rank_file, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())
+    both = bytes_col is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern)
+        token = _tokens(ranks.value) if both else None
         for batch in batches:
-            done, flat = 0, []
+            done, flat, back = 0, [], []
             bounds = [0]
             for i, text in enumerate(batch.column(0)):
                 ids = encoder.text(text.as_py() or "")
                 flat.append(ids)
+                if both:
+                    back.append(b"".join(map(token, ids.tolist())))
                 bounds.append(bounds[-1] + len(ids))
                 if bounds[-1] >= 1 << 20 or i == batch.num_rows - 1:
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat)))
+                    made = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat)))]
+                    if both:
+                        made.append(pa.array(back, pa.binary()))
                     part = batch.slice(done, i + 1 - done)
-                    yield pa.RecordBatch.from_arrays([lists, *part.columns], names=["_bpe_ids", "_bpe_text", *part.schema.names[1:]])
-                    done, flat, bounds = i + 1, [], [0]
+                    yield pa.RecordBatch.from_arrays([*made, *part.columns], names=["_bpe_ids", *["_bpe_bytes"] * both, "_bpe_text", *part.schema.names[1:]])
+                    done, flat, back, bounds = i + 1, [], [], [0]
 
-    rest, types = _others(docs, text_col, ids_col)
+    rest, types = _others(docs, text_col, ids_col, bytes_col or ids_col)
     fed = docs.select(F.col(text_col).alias("_bpe_text"), *rest)
-    out = fed.mapInArrow(run, "_bpe_ids array<int>, _bpe_text string" + types)
-    return out.select(*(F.col("_bpe_text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != ids_col), F.col("_bpe_ids").alias(ids_col))
+    out = fed.mapInArrow(run, "_bpe_ids array<int>, " + "_bpe_bytes binary, " * both + "_bpe_text string" + types)
+    kept = [F.col("_bpe_text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in (ids_col, bytes_col)]
+    return out.select(*kept, F.col("_bpe_ids").alias(ids_col), *([F.col("_bpe_bytes").alias(bytes_col)] if both else []))
 
 
 def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -190,9 +204,9 @@ def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids", bytes_col:
         ranks = encoded.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {rank: token for token, rank in read_ranks(ranks.value).items()}.__getitem__
+        token = _tokens(ranks.value)
         for batch in batches:
-            done = [b"".join(map(table, np.asarray(ids.values).tolist())) if ids.is_valid else b"" for ids in batch.column(0)]
+            done = [b"".join(map(token, np.asarray(ids.values).tolist())) if ids.is_valid else b"" for ids in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary()), *batch.columns], names=["_bpe_bytes", *batch.schema.names])
 
     rest, types = _others(encoded, ids_col, bytes_col)
@@ -203,7 +217,6 @@ def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids", bytes_col:
 
 def digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
-    ids = encode(docs.select("doc_id", "text"), rank_file, pattern).select("doc_id", "ids")
-    done = decode(ids, rank_file)
+    done = encode(docs.select("doc_id", "text"), rank_file, pattern, bytes_col="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -156,130 +156,10 @@ def listed_pages(pages: DataFrame, items: DataFrame, sites: Sequence[str] = LIST
     held = pages.select(url, F.explode(shingle_hashes(plain, words)).alias("window"))
     own = F.filter(F.split(F.col("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     first = items.select(own.alias("words")).where(F.size("words") >= words).select(F.array_join(F.slice("words", 1, words), " ").alias("text"))
-    leaks = held.join(first.select(shingle_hashes(F.col("text"), words)[0].alias("window")).distinct(), "window").select("url")
+    leaks = held.join(first.select(F.get(shingle_hashes(F.col("text"), words), F.lit(0)).alias("window")).distinct(), "window").select("url")
     return bad.unionByName(leaks).distinct()
 
 
-_SITES = ("casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com", "ads-track.example.com", "spam-farm.example.com", "adult-x.example.net")
-LEAK_WORDS = 8
-
-MAX_FILTER_BYTES = 32 << 20
-BITS_PER_URL = 16
-WORDS = 8
-U64 = np.uint64
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ADDED = ("host", "path", "rule", "verdict")
-
-
-def _rest(url: Column) -> Column:
-    return F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
-
-
-def host(url: Column) -> Column:
-    return F.translate(F.coalesce(F.regexp_extract(_rest(url), r"(?s)^([^/?#]*)", 1), F.lit("")), _UPPER, _LOWER)
-
-
-def path(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(_rest(url), r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
-
-
-def canonical(url: Column) -> Column:
-    """Null without a host."""
-    query = F.regexp_extract(_rest(url), r"(?s)^[^?#]*\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[^=]*|ref)(=|\z)")))
-    bare = F.concat(F.regexp_replace(host(url), r"^www\.", ""), F.regexp_replace(path(url), r"/\z", ""))
-    full = F.when(F.size(kept) > 0, F.concat(bare, F.lit("?"), F.array_join(kept, "&"))).otherwise(bare)
-    return F.when(host(url) != "", full)
-
-
-def on_site(of: Column, sites: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for site in sites:
-        found = found | (of == site) | of.endswith("." + site)
-    return found
-
-
-def fitting(of: Column, at: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
-    """The longest fitting rule and its verdict; null without one."""
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, text in sorted(rules, key=lambda r: len(r[1])):
-        site, slash, rest = text.partition("/")
-        fits = on_site(of, [site]) & at.startswith(slash + rest)
-        rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(verdict)
-    return rule, verdict
-
-
-def _places(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each hash, and its eight 64-bit words with one bit each."""
-    block = ((hashes >> U64(32)) * U64(blocks)) >> U64(32)
-    seeds = np.arange(1, WORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
-    bit = tk.mix(hashes[:, None] ^ seeds[None, :]) & U64(63)
-    return block.astype(np.int64), U64(1) << bit
-
-
-class BlockedBloom:
-    """A broadcast filter; `build` makes it from a column of canonical URLs."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    @staticmethod
-    def build(listed: DataFrame, column: str, max_bytes: int = MAX_FILTER_BYTES) -> BlockedBloom:
-        n = listed.count()
-        blocks = int(min(max(1, -(-n * BITS_PER_URL // 512)), max_bytes // 64))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                block, bits = _places(np.asarray(batch.column(0)).view(U64), blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(bits[:, i].copy().view(np.int64)) for i in range(WORDS))], names=["block", *(f"w{i}" for i in range(WORDS))])
-
-        hashed = listed.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
-        rows = hashed.mapInArrow(run, "block long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
-        merged = rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
-        words = np.zeros((blocks, WORDS), U64)
-        # At most max_bytes / 64 rows, whatever the list.
-        for part in merged.toArrow().to_batches():
-            at = np.asarray(part.column(0))
-            for i in range(WORDS):
-                words[at, i] = np.asarray(part.column(1 + i)).view(U64)
-        return BlockedBloom(words)
-
-    def might_contain(self, hashes: np.ndarray) -> np.ndarray:
-        block, bits = _places(hashes, len(self.words))
-        return ((self.words[block] & bits) == bits).all(axis=1)
-
-
-def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", listed_col: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """The pages with host, path, rule and verdict. `listed` holds canonical URLs."""
-    pages = pages.drop(*ADDED)
-    listed = listed.select(F.col(listed_col).alias("_uf_listed")).where("_uf_listed IS NOT NULL").distinct()
-    bloom = pages.sparkSession.sparkContext.broadcast(BlockedBloom.build(listed, "_uf_listed").words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = BlockedBloom(bloom.value)
-            passed = known.might_contain(np.asarray(batch.column(0)).view(U64))
-            yield pa.RecordBatch.from_arrays([pa.array(passed), *batch.columns[1:]], names=["_uf_pass", *batch.schema.names[1:]])
-
-    url = F.col(url_col)
-    rule, verdict = fitting(F.col("host"), F.col("path"), rules)
-    split = pages.withColumns({"host": host(url), "path": path(url), "_uf_url": canonical(url)})
-    ruled = split.withColumns({"rule": rule, "verdict": verdict}).withColumn("_uf_hash", F.coalesce(F.xxhash64("_uf_url"), F.lit(0)))
-    kept = [*pages.columns, *ADDED]
-    types = ", ".join(f"`{c}` {ruled.schema[c].dataType.simpleString()}" for c in [*kept, "_uf_url"])
-    tested = staged(ruled.select("_uf_hash", *kept, "_uf_url").mapInArrow(run, "_uf_pass boolean, " + types), "urls")
-    asks = F.col("verdict").isNull() & F.col("_uf_url").isNotNull() & F.col("_uf_pass")
-    rest = tested.where(~asks).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
-    hits = tested.where(asks).join(listed, F.col("_uf_url") == F.col("_uf_listed"), "left")
-    hits = hits.withColumn("verdict", F.when(F.col("_uf_listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return rest.select(*kept).unionByName(hits.select(*kept))
-
-
-def listed_pages(pages: DataFrame, url_col: str = "url", sites: Sequence[str] = LISTED_SITES) -> DataFrame:
-    """url: the canonical URLs of all pages on the given sites."""
-    return pages.where(on_site(host(F.col(url_col)), sites)).select(canonical(F.col(url_col)).alias("url")).distinct()
-
-
 _SITES = " OR ".join(f"host = '{s}' OR suffix(host, '.{s}')" for s in LISTED_SITES)
 _CASES = "\n".join(
     f"  WHEN (host = '{site}' OR suffix(host, '.{site}')) AND starts_with(path, '/{rest}') THEN '{rule}'"

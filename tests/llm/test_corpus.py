@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sigloom.llm import bpe, fingerprint, htmlx, langid, linededup, minhash, mixing, quality, queries, rules, textkit, urlfilter
+from sigloom.llm import bpe, fingerprint, htmlx, langid, linededup, minhash, mixing, quality, queries, rules, statistics, textkit, urlfilter
 from sigloom.operators import graph
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -108,6 +109,29 @@ def test_quality_on_held_out_rows(spark, documents, labels):
     assert len(rows) > 10 and np.mean([r["predicted"] == r["quality"] for r in rows]) >= 0.9
 
 
+def held(key, parts, part):
+    return zlib.crc32(str(key).encode()) % parts == part
+
+
+def test_quality_query_against_a_plain_walk(spark, documents, labels):
+    """Statistics of one text at a time, trees walked node by node."""
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    x = {k: statistics.table(next(textkit.row_slices(pa.array([t], pa.string()))))[0] for k, t in texts.items()}
+    gold = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in texts and r["quality"] in (0, 1) and not held(r["doc_id"], 3, 1)}
+    model = quality.fit(np.stack([x[k] for k in sorted(gold)]), np.array([float(gold[k]) for k in sorted(gold)]))
+    got = {r["doc_id"]: r for r in queries.op1_quality(spark, DATA).collect()}
+    assert set(got) == set(texts)
+    for key, row in x.items():
+        total = model.bias
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        r = got[key]
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == held(key, 3, 1)
+
+
 def test_quality_without_labels_and_with_odd_rows(spark, odd):
     none = quality.score(odd, spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert {r["score"] for r in none} == {0.5} and len(none) == 12
@@ -196,6 +220,18 @@ def test_rates_reach_the_targets(spark, documents, labels):
     assert np.allclose(own, r)
 
 
+def test_mixing_query_meets_its_targets(spark, documents):
+    rows = queries.op4_mixing(spark, DATA).collect()
+    assert len(rows) == documents.count()
+    tokens, rate = (np.array([float(r[c]) for r in rows]) for c in ("n_tokens", "rate"))
+    p = np.array([[r[f"p_{d}"] for d in sorted(queries.MIXTURE)] for r in rows])
+    assert np.allclose(p.sum(axis=1), 1) and (rate >= 0).all()
+    assert [r["n_tokens"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [len(WORD.findall(r["text"] or "")) for r in documents.orderBy("doc_id").collect()]
+    share = np.array([queries.MIXTURE[d] for d in sorted(queries.MIXTURE)])
+    target = share * (tokens @ p / share).min()
+    assert np.allclose((tokens * rate) @ p, target, rtol=0.001)
+
+
 def test_mixing_without_labels_and_with_odd_rows(spark, odd):
     out = mixing.mix(odd.withColumn("rate", F.lit("x")), spark.createDataFrame([], "doc_id long, domain string"), {"a": 1.0})
     assert out.count() == 12 and out.columns[-1] == "rate"
@@ -299,6 +335,15 @@ def test_url_list_is_an_input(spark):
     assert queries.op5_url_filter(spark, DATA, spark.createDataFrame([], "url string")).where("rule is null and verdict = 'block'").count() == 0
 
 
+def test_listed_and_unlisted_pages_of_one_host(spark):
+    item = "one two three four five six seven eight nine"
+    rows = [(1, "http://shared.net/a?utm_x=1", f"<p>before One two <b>three</b> four\tfive six seven eight after</p>"), (2, "http://shared.net/b", "<p>one two three four</p>"), (3, "https://www.shared.net/a/", None), (4, "http://x.casino-win.example.com/q", ""), (5, None, item)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    listed = urlfilter.listed_pages(pages, spark.createDataFrame([(item,), ("one two",), (None,)], "text string"))
+    assert sorted(str(r["url"]) for r in listed.collect()) == ["None", "shared.net/a", "x.casino-win.example.com/q"]
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, listed).collect()} == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "allow"}
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     listed = spark.range(20_000).select(F.concat(F.lit("h/"), F.col("id").cast("string")).alias("u"))
     bloom = urlfilter.BlockedBloom.build(listed, "u")
@@ -538,6 +583,33 @@ def test_languages_of_held_out_rows_and_odd_rows(spark, documents, odd):
     assert langid.predict(odd.limit(0)).count() == 0
 
 
+def test_language_query_against_plain_forward_backward(spark, documents):
+    rows = langid.sample(documents, "doc_id", "text", "lang", 4, 2, 300)
+    model = langid.train([t for t, _ in rows], [x for _, x in rows])
+    t = np.exp(model.transitions)
+    got = {r["doc_id"]: r for r in queries.op8_language_id(spark, DATA).collect()}
+    for r in documents.limit(60).collect():
+        piece = next(textkit.row_slices(pa.array([r["text"]], pa.string())))
+        s, e, _ = piece.runs(langid._LETTER[piece.b])
+        seen = got[r["doc_id"]]
+        assert seen["held_out"] == held(r["doc_id"], 4, 2)
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert seen["lang_pred"] == "und" and seen["score"] == 0
+            continue
+        scores = model.emissions(piece, s, e).astype(float)
+        forward, v = [], np.full(len(t), 1 / len(t))
+        for x in scores:
+            v = (v @ t) * np.exp(x - x.max())
+            v /= v.sum()
+            forward.append(v)
+        back, total = np.ones(len(t)), np.zeros(len(t))
+        for f, x in zip(forward[::-1], scores[::-1], strict=True):
+            total += f * back / (f * back).sum()
+            back = t @ (np.exp(x - x.max()) * back)
+            back /= back.sum()
+        assert seen["lang_pred"] == model.langs[total.argmax()] and abs(seen["score"] - total.max() / len(s)) < 1e-4
+
+
 def test_code_switching_and_block_sums(documents):
     rows = langid.sample(documents, "doc_id", "text", "lang", 4, 2, 60)
     model = langid.train([t for t, _ in rows], [x for _, x in rows])
@@ -597,6 +669,9 @@ def test_bpe_is_tiktokens(spark, documents, odd):
     docs = documents.unionByName(odd)
     for r in bpe.decode(bpe.encode(docs.withColumn("ids", F.lit(1)), path, P.PATTERN), path).collect():
         assert r["ids"] == theirs.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
+    clash = docs.withColumns({"ids": F.lit(1), "back": F.lit("x")})
+    for r in bpe.encode(clash, path, P.PATTERN, bytes_col="back").collect():
+        assert r["ids"] == theirs.encode_ordinary(r["text"] or "") and bytes(r["back"]) == (r["text"] or "").encode()
     own, rng = bpe.Encoder(ranks, P.PATTERN), random.Random(1)
     for text in ["a" * 5000, "ab" * 3000, "the" * 4000, " " * 3000] + ["".join(rng.choice("ab'  \n\tsé12x日😀the") for _ in range(rng.randint(0, 80))) for _ in range(500)]:
         assert own.text(text).tolist() == theirs.encode_ordinary(text)
@@ -692,6 +767,11 @@ def test_pipeline_stages(spark, documents, labels):
     before, after = seen["mixing"]
     clean = labels.where("quality = 1 and toxic = 0").select("doc_id")
     assert after.join(clean, "doc_id").count() >= 0.95 * before.join(clean, "doc_id").count()
+    known, domains = mixing.posteriors(before, mixing.quality_domains(labels))
+    fit = mixing.fit(known, domains, corpus_pipeline.WEIGHTS, whole="clean")
+    drawn = after.select(F.col("doc_id").alias("doc")).join(known, "doc").agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[i]) for i in range(len(domains)))).first()
+    largest = known.agg(F.max("n_tokens")).first()[0]
+    assert fit.converged and all(abs(x - t) <= 0.05 * t + largest for x, t in zip(drawn, fit.target, strict=True))
     toxic = labels.where("toxic = 1").select("doc_id")
     assert after.join(toxic, "doc_id").count() <= 0.5 * before.join(toxic, "doc_id").count()
     before, after = seen["bpe"]
