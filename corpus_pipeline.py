@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm import bpe, linededup, minhash, mixing, rules
-from sigloom.llm.stage import staged
-from sigloom.plans.session import ship
+from sigloom.plans.session import dealt, ship
+from sigloom.plans.stage import release_since, staged, tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Shares of tokens. All clean tokens are asked for; the shares of the others are upper bounds.
@@ -26,29 +26,29 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return _documents(rules.reject(docs))
+    return _documents(rules.reject(dealt(docs)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return _documents(linededup.dedup_lines(docs))
+    return _documents(linededup.dedup_lines(dealt(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return minhash.dedup(docs).select(*COLUMNS)
+    return minhash.dedup(dealt(docs)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     labels = mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix(docs, labels, WEIGHTS, whole="clean").select(*COLUMNS)
+    return mixing.mix(dealt(docs), labels, WEIGHTS, whole="clean").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    encoded = bpe.encode(docs.select(*COLUMNS), RANK_FILE, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(encoded, RANK_FILE).select("doc_id", F.col("decoded").cast("string").alias("text"), "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    done = bpe.encode(dealt(docs).select(*COLUMNS), RANK_FILE, public_tokenizers.PATTERN, bytes_col="decoded")
+    return done.select("doc_id", F.col("decoded").cast("string").alias("text"), "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
@@ -67,5 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = tables()
+        done = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release_since(before, done)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
