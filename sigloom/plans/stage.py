@@ -64,3 +64,15 @@ def release(*tables: DataFrame) -> None:
         path = getattr(df, "_staged_path", None)
         if path in _made:
             _remove(_made.pop(path), path)
+
+
+def tables() -> frozenset[str]:
+    """The staged tables that are there now."""
+    return frozenset(_made)
+
+
+def release_since(before: frozenset[str], *keep: DataFrame) -> None:
+    """Removes the tables staged since `before`, except `keep`; only where nothing will read them again."""
+    kept = {getattr(df, "_staged_path", None) for df in keep}
+    for path in [p for p in _made if p not in before and p not in kept]:
+        _remove(_made.pop(path), path)
