@@ -17,6 +17,7 @@ empty list blocks nothing. Other columns pass through; columns named like the ad
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .fingerprint import shingle_hashes
 from .stage import staged
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: What the query lists: pages on these sites, and single pages that hold the first LEAK_WORDS words of a benchmark item.
 LISTED_SITES = ("casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com", "ads-track.example.com", "spam-farm.example.com", "adult-x.example.net")
 LEAK_WORDS = 8
+_TAG = re.compile("<[^>]*>")
 
 MAX_FILTER_BYTES = 32 << 20
 BITS_PER_URL = 16
@@ -145,6 +146,20 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", listed_col:
     return rest.select(*kept).unionByName(hits.select(*kept))
 
 
+def _windows(words: int):
+    """Text (column 0) to the hashes of its windows of so many words, tags left out; other columns follow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (small for large in batches for small in tk.small_batches(large)):
+            plain = pa.array([_TAG.sub(" ", t or "") for t in batch.column(0).to_pylist()], pa.string())
+            for piece in tk.row_slices(plain):
+                s, e, bounds = piece.words()
+                lists = tk.long_lists(*tk.windows(piece.digests(s, e, True), bounds, words))
+                yield pa.RecordBatch.from_arrays([lists, *(c.slice(piece.lo, piece.rows) for c in batch.columns[1:])], names=["windows", *batch.schema.names[1:]])
+
+    return run
+
+
 def listed_pages(pages: DataFrame, items: DataFrame, sites: Sequence[str] = LISTED_SITES, words: int = LEAK_WORDS) -> DataFrame:
     """url: the canonical URLs of the pages (url, html) on the given sites, and of those that hold the first words of an item (text).
 
@@ -152,11 +167,9 @@ def listed_pages(pages: DataFrame, items: DataFrame, sites: Sequence[str] = LIST
     """
     url = canonical(F.col("url")).alias("url")
     bad = pages.where(on_site(host(F.col("url")), sites)).select(url)
-    plain = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), "<[^>]*>", " ")
-    held = pages.select(url, F.explode(shingle_hashes(plain, words)).alias("window"))
-    own = F.filter(F.split(F.col("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    first = items.select(own.alias("words")).where(F.size("words") >= words).select(F.array_join(F.slice("words", 1, words), " ").alias("text"))
-    leaks = held.join(first.select(F.get(shingle_hashes(F.col("text"), words), F.lit(0)).alias("window")).distinct(), "window").select("url")
+    held = pages.select(F.col("html").cast("string"), url).mapInArrow(_windows(words), "windows array<long>, url string").select("url", F.explode("windows").alias("window"))
+    first = items.select(F.col("text").cast("string")).mapInArrow(_windows(words), "windows array<long>").select(F.get("windows", F.lit(0)).alias("window"))
+    leaks = held.join(first.where("window IS NOT NULL").distinct(), "window").select("url")
     return bad.unionByName(leaks).distinct()
 
 
