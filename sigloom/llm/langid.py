@@ -267,7 +267,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, parts: in
     known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000))
-    chosen = known.join(sizes, "lang").where(place < F.least(F.lit(1e6), F.lit(0.95e6 * per_lang) / F.col("n")))
+    # A row for each language, far less than the model that is broadcast later: no text is shuffled for it.
+    chosen = known.join(F.broadcast(sizes), "lang").where(place < F.least(F.lit(1e6), F.lit(0.95e6 * per_lang) / F.col("n")))
     # A hash of the id gives about as many; rows that share an id come together, so the number is held here.
     ranked = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id", "text"))).where(F.col("_nth") <= per_lang)
     return [(r["text"] or "", r["lang"]) for r in ranked.orderBy("lang", "_nth").select("text", "lang").collect()]
