@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
+
 MEMO_SIZE, MEMO_CHARS = 350_000, 48
 NO_RANK = -1
 
@@ -142,10 +144,11 @@ class Encoder(dict):
 
 
 _workers: dict[tuple[int, str], Encoder] = {}
+tk.caches.append(_workers.clear)
 
 
 def _encoder(data: bytes, pattern: str) -> Encoder:
-    """One per worker process, whose memo then serves all its tasks."""
+    """One per worker process, whose memo then serves all its tasks, until other operators use the worker."""
     key = (hash(data), pattern)
     if key not in _workers:
         _workers.clear()

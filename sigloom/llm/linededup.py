@@ -150,16 +150,16 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more")
     keyed = _keys(docs, id_col, text_col)
-    rows = staged(keyed.select("_ld_doc", "_ld_row", text_col).mapInArrow(_line_rows(min_chars), _ROWS), "lines")
+    rows = staged(keyed.select("_ld_doc", "_ld_row", text_col).mapInArrow(tk.trimmed(_line_rows(min_chars)), _ROWS), "lines")
     sorted_rows = rows.repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "pos")
-    judged = staged(sorted_rows.mapInArrow(_stream(min_docs), "kind int, " + _ROWS), "judged")
+    judged = staged(sorted_rows.mapInArrow(tk.trimmed(_stream(min_docs)), "kind int, " + _ROWS), "judged")
     # One or two rows per task and hash: as many as there are tasks, whatever the data.
     totals = judged.where("kind = 1").groupBy("h1", "h2").agg(F.sum("pos").alias("docs"), F.max("doc").alias("top"))
     settled = judged.where("kind = 2").join(F.broadcast(totals), ["h1", "h2"]).where((F.col("docs") >= min_docs) & (F.col("doc") != F.col("top")))
     cols = ["doc", "row", "pos", "n_lines"]
     dropped = judged.where("kind = 0").select(*cols).unionByName(settled.select(*cols))
     lists = dropped.groupBy("doc", "row").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("dropped"))
-    return lists.mapInArrow(_bitmaps, "_ld_doc long, _ld_row long, _ld_lines int, _ld_keep binary")
+    return lists.mapInArrow(tk.trimmed(_bitmaps), "_ld_doc long, _ld_row long, _ld_lines int, _ld_keep binary")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [c for c in docs.columns if c != text_col]
     joined = _keys(docs, id_col, text_col).join(marks, ["_ld_doc", "_ld_row"], "left")
     fed = joined.select(F.col(text_col), "_ld_keep", *rest)
-    done = fed.mapInArrow(_apply, "_ld_text string, _ld_n_lines long, _ld_n_dropped long" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in rest))
+    done = fed.mapInArrow(tk.trimmed(_apply), "_ld_text string, _ld_n_lines long, _ld_n_dropped long" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in rest))
     return done.select(*(F.col("_ld_text").alias(c) if c == text_col else F.col(c) for c in docs.columns), F.col("_ld_n_lines").alias("n_lines"), F.col("_ld_n_dropped").alias("n_dropped"))
 
 

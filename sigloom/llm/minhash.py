@@ -183,7 +183,7 @@ def _nodes(known: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """doc_id, k1, k2, n_shingles, component (a long, null without shingles) and component_id of every row."""
     keyed = docs.select(F.col(text_col).cast("string").alias("text"), *_row_key(docs, id_col, text_col))
-    known, nodes = _nodes(staged(keyed.mapInArrow(_sketch_rows, _SKETCHED), "sketches"))
+    known, nodes = _nodes(staged(keyed.mapInArrow(tk.trimmed(_sketch_rows), _SKETCHED), "sketches"))
 
     banded = known.where("node IS NOT NULL").select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("size")).where("p <> q")
@@ -198,7 +198,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     texts = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).drop("doc_id").join(rows, ["doc", "k1", "k2"])
     # A row that is there more than once gives its set once; the join has the rows of a key in one place already.
     once = texts.groupBy("doc", "k1", "k2", "node", "twin").agg(F.first("text").alias("text")).select("text", "node", "twin")
-    sets = staged(once.mapInArrow(_set_rows, "node long, shingles array<long>, bands array<long>, bits array<long>"), "sets")
+    sets = staged(once.mapInArrow(tk.trimmed(_set_rows), "node long, shingles array<long>, bands array<long>, bits array<long>"), "sets")
 
     edges = staged(_verified(first, sets, percent), "edges")
     labels = components(edges)

@@ -101,11 +101,11 @@ def learn(texts: pa.Array, domains: list[str], steps: int = 400, l2: float = 1e-
         return None
     gold = np.array([names.index(d) for d in domains])
     hot = np.eye(len(names))[gold]
-    pieces = list(tk.row_slices(texts, 1 << 18))
     k = len(names)
     found = np.zeros((1 << BITS) * k, np.int32)
     stats, words = [], []
-    for piece in pieces:
+    # One slice at a time: each keeps many times its bytes.
+    for piece in tk.row_slices(texts, 1 << 18):
         row, slot = word_slots(piece)
         np.add.at(found, slot * k + gold[piece.lo + row], 1)
         words.append((piece.lo + row, slot))
@@ -160,7 +160,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     # Ordered by the row's own key, so repeated ids choose the same rows however the table is dealt; one task sees the sample.
     sample = keyed.join(chosen, "doc").select("doc", "row", F.col("text").cast("string"), F.col("domain").cast("string")).orderBy("doc", "row").limit(max_rows)
-    made = sample.mapInArrow(taught, "model binary").collect()
+    made = sample.mapInArrow(tk.trimmed(taught), "model binary").collect()
     model = pickle.loads(made[0]["model"]) if made else None
     domains = model.domains if model else []
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,7 +174,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(piece.rows + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(piece.lo, piece.rows) for c in batch.columns[1:]), pa.array(np.diff(bounds)), lists], names=["doc", "row", "n_tokens", "posteriors"])
 
-    return staged(keyed.mapInArrow(run, "doc long, row long, n_tokens long, posteriors array<double>"), "posteriors"), domains
+    return staged(keyed.mapInArrow(tk.trimmed(run), "doc long, row long, n_tokens long, posteriors array<double>"), "posteriors"), domains
 
 
 def _rate(history: list[list[float]]) -> Column:
@@ -278,7 +278,8 @@ def _times(rated: DataFrame) -> DataFrame:
     for x in ranged.groupBy("part").agg(F.sum("rate").alias("sum")).orderBy("part").collect():
         sums.append((x["part"], before))
         before += x["sum"]
-    places = spark.createDataFrame(sums, "part int, before double")
+    # From an Arrow table, which takes no Python workers; these would be others than those of mapInArrow.
+    places = spark.createDataFrame(pa.table([pa.array([x[0] for x in sums], pa.int32()), pa.array([x[1] for x in sums], pa.float64())], ["part", "before"]))
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # One row for each task.
     summed = ranged.join(F.broadcast(places), "part").withColumn("low", F.col("before") + F.coalesce(F.sum("rate").over(inside), F.lit(0.0)))

@@ -126,7 +126,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, n_removed_words, host and row of every row."""
     schema = "doc_id long, host string, row long, " + ", ".join(f"{c} long" for c in COUNTS) + ", line_keys array<long>, line_words array<long>"
-    measured = staged(_keyed(docs, id_col, text_col, host_col).mapInArrow(_measure, schema), "measured")
+    measured = staged(_keyed(docs, id_col, text_col, host_col).mapInArrow(tk.trimmed(_measure), schema), "measured")
     lines, hot = _boilerplate(measured, min_docs, max_share)
     removed = lines.join(hot, ["host", "key"]).groupBy("host", "row").agg(F.sum("words").alias("removed"), F.collect_list("key").alias("keys"))
     out = measured.select("doc_id", "host", "row", *COUNTS).join(removed, ["host", "row"], "left")
@@ -158,7 +158,7 @@ def reject(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     keyed = docs.withColumns({"_qr_host": F.coalesce(F.col(host_col).cast("string"), F.lit("")), "_qr_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     rest = [c for c in docs.columns if c != text_col]
     fed = keyed.join(kept, ["_qr_host", "_qr_row"]).select(F.col(text_col), "_qr_keys", *rest)
-    done = fed.mapInArrow(_strip, "_qr_text string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in rest))
+    done = fed.mapInArrow(tk.trimmed(_strip), "_qr_text string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in rest))
     return done.select(*(F.col("_qr_text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
