@@ -136,12 +136,19 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, other: str, name: str) -> DataFrame:
-    """The rows of `pairs` with the set of `key` as `name`. Pairs of a node with more than BLOCK of them are dealt over groups by `other`."""
+def _hubs(pairs: DataFrame) -> DataFrame:
+    """end, node: the nodes with more than BLOCK pairs at that end (a or b)."""
+    ends = F.array(*(F.struct(F.lit(x).alias("end"), F.col(x).alias("node")) for x in ("a", "b")))
+    return staged(pairs.select(F.inline(ends)).groupBy("end", "node").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("end", "node"), "hubs")
+
+
+def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, hubs: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """The rows of `pairs` with the set of `key` as `name`. Pairs of a hub at that end are dealt over groups by `other`."""
+    hubs = hubs.where(F.col("end") == key).select(F.col("node").alias(key))
+    if hubs.isEmpty():
+        return rows.join(sets.select(F.col("node").alias(key), F.col("shingles").alias(name)), key)
     salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).alias("_salt")
-    groups = pairs.groupBy(key, salt).agg(F.count("*").alias("n"))
-    hubs = groups.groupBy(key).agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select(key)
-    groups = staged(groups.join(hubs, key, "left_semi").select(key, "_salt", F.col("_salt").alias("_group")), "groups")
+    groups = staged(pairs.join(hubs, key, "left_semi").select(key, salt).distinct().withColumn("_group", F.col("_salt")), "groups")
     dealt = rows.select("*", salt).join(groups, [key, "_salt"], "left").withColumn("_group", F.coalesce("_group", F.lit(-1))).drop("_salt")
     parts = groups.select(F.col(key).alias("node"), "_group")
     held = sets.select("node", "shingles").join(parts, "node", "left").select(F.col("node").alias(key), F.coalesce("_group", F.lit(-1)).alias("_group"), F.col("shingles").alias(name))
@@ -150,7 +157,8 @@ def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, oth
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose full sets reach the threshold."""
-    both = _with_sets(_with_sets(pairs, pairs, sets, "a", "b", "of_a"), pairs, sets, "b", "a", "of_b")
+    hubs = _hubs(pairs)
+    both = _with_sets(_with_sets(pairs, pairs, sets, hubs, "a", "b", "of_a"), pairs, sets, hubs, "b", "a", "of_b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     met = both.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
     return met.where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select("a", "b").distinct()
@@ -173,7 +181,7 @@ def _nodes(known: DataFrame) -> tuple[DataFrame, DataFrame]:
             "nodes",
         )
         met = nodes.where("twin <> last").select("node", F.lit(True).alias("met"))
-        if met.limit(1).count() == 0:
+        if met.isEmpty():
             return known, nodes.drop("last")
         # Different sets with one first half of 64 bits: their nodes come from both halves.
         again = known.join(met, "node", "left").withColumn("node", F.when(F.col("met"), F.xxhash64("node", "twin")).otherwise(F.col("node")))
@@ -201,20 +209,19 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     sets = staged(once.mapInArrow(tk.trimmed(_set_rows), "node long, shingles array<long>, bands array<long>, bits array<long>"), "sets")
 
     edges = staged(_verified(first, sets, percent), "edges")
-    labels = components(edges)
+    named = _named(nodes, components(edges, tk.trimmed))
 
     held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     alone = staged(held.where("node = last").groupBy("node").agg(F.count("*").alias("alone")), "alone")
-    apart = _apart(members.where("size > 3"), nodes, labels, sets, alone, percent).join(first, ["a", "b"], "left_anti")
-    second = staged(apart, "apart")
-    release(members, alone, first)
-    if second.limit(1).count():
+    rows = _divided(members.where("size > 3"), named, alone, percent)
+    second = staged(_apart(rows, sets, percent).join(first, ["a", "b"], "left_anti"), "apart")
+    release(members, alone, first, rows)
+    if not second.isEmpty():
         more = staged(_verified(second, sets, percent), "more")
-        if more.limit(1).count():
-            labels = components(edges.unionByName(more))
+        if not more.isEmpty():
+            named = _named(nodes, components(edges.unionByName(more), tk.trimmed))
     release(sets, second)
 
-    named = staged(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"), F.col("rep.doc").alias("doc")), "named")
     ids = named.groupBy("component").agg(F.min("doc").alias("least"))
     named = join_spread(named.select("node", "component"), ids, "component", "node")
     # Exact copies of one text may be most of all rows.
@@ -252,23 +259,32 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.where(_likely("x", "y", percent)).select("a", "b")
 
 
-def _apart(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between components: in each bucket, nodes outside its largest one against the rest.
+def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, n_shingles, doc and component of every node."""
+    return staged(nodes.join(labels, "node", "left").select("node", "n_shingles", F.col("rep.doc").alias("doc"), F.coalesce("label", "node").alias("component")), "named")
+
+
+def _divided(members: DataFrame, named: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
+    """Rows of the buckets that more than one component is in, without sets, of nodes that may still have a link.
 
     `alone` has the number of each node's shingles that no other candidate holds.
     """
-    shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
-    named = nodes.join(labels, "node", "left").select("node", "n_shingles", F.coalesce("label", "node").alias("label"))
-    placed = members.select("bucket", "node").join(named.select("node", "label"), "node")
+    state = named.join(alone, "node", "left").select("node", "n_shingles", F.col("component").alias("label"), (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    placed = staged(members.select("band", "bucket", "node").join(state, "node"), "placed")
     per_label = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = per_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("n")).where("labels > 1")
     main = main.select("bucket", F.col("top.label").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / F.lit(float(BLOCK))).cast("int").alias("parts"))
-    state = named.join(sets.select("node", "bands", "bits"), "node").join(alone, "node", "left").withColumn("shared", shared)
-    able = state.where(100 * F.col("shared") >= percent * F.col("n_shingles")).drop("alone")
-    rows = join_spread(members.select("band", "bucket", "node"), main, "bucket", "node").join(able, "node")
+    rows = staged(join_spread(placed.where(100 * F.col("shared") >= percent * F.col("n_shingles")), main, "bucket", "node"), "divided")
+    release(placed)
+    return rows
+
+
+def _apart(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs between components: in each bucket of `_divided`, nodes outside its largest one against the rest."""
+    slim = sets.select("node", "bands", "bits")
     # Nodes outside the largest component are dealt into blocks, and every other node of the bucket meets each block.
-    x = rows.where("label <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
-    y = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - F.lit(1).cast("bigint")))).alias("y")
+    x = rows.where("label <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts"))).join(slim, "node").alias("x")
+    y = rows.join(slim, "node").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - F.lit(1).cast("bigint")))).alias("y")
     once = (F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     common = F.least("x.shared", "y.shared")
     enough = 100 * common >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - common)

@@ -52,7 +52,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    # No _SUCCESS file: nothing reads it, and where the folder is local Hadoop starts two more children of the driver for it.
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_path = path
     return back

@@ -776,3 +776,52 @@ def test_pipeline_stages(spark, documents, labels):
     assert after.join(toxic, "doc_id").count() <= 0.5 * before.join(toxic, "doc_id").count()
     before, after = seen["bpe"]
     assert after.where("text is null or n_tokens <> size(ids)").count() == 0 and after.count() == before.count()
+
+
+def test_components_of_one_task_and_of_rounds(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2500 + i, 2000) for i in range(40)] + [(9, 9), (3000, 3000), (-5, 1 << 62)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    expected = sorted((x, root(x)) for x in parent)
+    table = spark.createDataFrame([*edges, (7777, None), (None, 7778)], "a long, b long")
+    for one_task in (graph.ONE_TASK, len(edges) - 1):
+        assert sorted(map(tuple, graph.components(table, one_task=one_task).collect())) == expected
+        assert graph.components(table.limit(0), one_task=one_task).count() == 0
+    names = table.dropna().select(F.format_string("%020d", F.col("a") + 5).alias("a"), F.format_string("%020d", F.col("b") + 5).alias("b"))
+    assert sorted((int(r["node"]) - 5, int(r["label"]) - 5) for r in graph.components(names).collect()) == expected
+
+
+def test_pairs_of_hubs_are_verified_like_others(spark, monkeypatch):
+    rng = random.Random(5)
+    sets = {n: sorted(rng.sample(range(12), 9)) for n in range(40)}
+    pairs = sorted({(0, n) for n in range(1, 40)} | {(n, 39) for n in range(20)} | {tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)})
+    expected = [(a, b) for a, b in pairs if 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})]
+    assert 5 < len(expected) < len(pairs) - 5
+    tables = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    for block in (minhash.BLOCK, 10, 0):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert (minhash._hubs(tables[0]).count() > 0) == (block < 39)
+        assert sorted(map(tuple, minhash._verified(*tables, 75).collect())) == expected
+
+
+def test_the_driver_plans_few_shuffles_for_near_duplicates(spark, documents):
+    # What the driver holds grows with shuffles and jobs, on the smallest input too; there were 83 and 103 of them here.
+    context = spark.sparkContext._jsc.sc()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles, jobs = context.newShuffleId(), context.dagScheduler().numTotalJobs()
+        minhash.near_duplicates(documents).write.format("noop").mode("overwrite").save()
+        assert context.newShuffleId() - shuffles - 1 <= 45
+        assert context.dagScheduler().numTotalJobs() - jobs <= 70
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
