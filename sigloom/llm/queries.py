@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigloom.plans.session import dealt
 
-from . import bpe, fingerprint, htmlx, langid, linededup, minhash, mixing, quality, rules, urlfilter
+from . import bpe, fingerprint, htmlx, langid, linededup, minhash, mixing, quality, rules, spelling, substring, urlfilter
 from .stage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(_table(spark, sf_dir, "documents").select("doc_id", "text"), slip=spelling.SLIP)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -90,6 +98,8 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_bpe": op9_bpe,
         "op10_line_dedup": op10_line_dedup,
+        "op12_substring_dedup": op12_substring_dedup,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -99,4 +109,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": urlfilter.ORACLE,
         "op6_minhash_dedup": minhash.SQL,
         "op10_line_dedup": linededup.ORACLE,
+        "op12_substring_dedup": substring.ORACLE,
+        "op13_spelling_variants": spelling.ORACLE,
     }
