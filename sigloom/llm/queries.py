@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigloom.plans.session import dealt
 
-from . import bpe, fingerprint, htmlx, langid, linededup, minhash, mixing, quality, rules, spelling, substring, urlfilter
+from . import bpe, fingerprint, htmlx, langid, linededup, minhash, mixing, quality, repair, rules, spelling, substring, urlfilter
 from .stage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.digest(rows, repair.summaries(repair.repair(repair.damaged(rows))))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -98,6 +103,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_bpe": op9_bpe,
         "op10_line_dedup": op10_line_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_substring_dedup": op12_substring_dedup,
         "op13_spelling_variants": op13_spelling_variants,
     }
@@ -109,6 +115,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": urlfilter.ORACLE,
         "op6_minhash_dedup": minhash.SQL,
         "op10_line_dedup": linededup.ORACLE,
+        "op11_conversation_repair": repair.ORACLE,
         "op12_substring_dedup": substring.ORACLE,
         "op13_spelling_variants": spelling.ORACLE,
     }
