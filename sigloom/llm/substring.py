@@ -3,15 +3,18 @@
 A window is `width` consecutive words of one document. Each word is removed that is covered by a window whose word sequence
 also starts in a document with a smaller id; all windows are judged on the input.
 
+Copies. Rows of an equal text are one text (its key: 60 bits of SHA-256): all but those of its smallest id lose every word, if they have a window,
+and only that one is looked at further.
+
 Anchors. D is a difference cover of the residues modulo P: any difference of two residues is one of two members. Two equal
-windows at positions i and j of their documents therefore meet a shift d < P at which both i + d and j + d are in D modulo P,
+windows at positions i and j of their texts therefore meet a shift d < P at which both i + d and j + d are in D modulo P,
 and the width - P + 1 words from there on lie in both windows. So only these shorter windows, the anchors, at cover positions
-are hashed (6 of 31 positions), and every equal pair of windows shares an aligned anchor. Their rows (hash, document,
-position) are range-partitioned by hash and document and sorted; each task streams them and passes on the anchors that more
-than one document has.
+are hashed (6 of 31 positions), and every equal pair of windows shares an aligned anchor. Their rows (hash, text, position) are
+range-partitioned and sorted; each task streams them and passes on the anchors that more than one text has. Texts that
+collide in this hash only add windows to the next step.
 
 Extension. Only windows around such an anchor are extended to their full width: 128 bits of BLAKE2b of their words joined by one
-space, again range-partitioned by digest and document, sorted and streamed. All but the rows of a digest's first document are
+space, range-partitioned by digest and document, sorted and streamed. All but the rows of a digest's first document are
 repeats. No pairs of documents are made, a passage that a third of all documents holds is spread over many tasks, and only the
 first and last hash of a task may go on in others: their undecided rows are settled by a join with one row for each task edge.
 
@@ -32,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.operators.graph import SALTS, join_spread
+
 from . import textkit as tk
 from .stage import release, staged
 
@@ -66,13 +71,13 @@ def _list(rows: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(width: int, period: int):
-    """hash, doc, pos of the anchors of (doc, text)."""
+    """hash, text's key, salt, pos of the anchors of (key, salt, text)."""
     cover, size = np.array(difference_cover(period)), width - period + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = np.asarray(batch.column(0))
-            for piece in tk.row_slices(batch.column(1)):
+            doc, salt = (np.asarray(batch.column(i)) for i in (0, 1))
+            for piece in tk.row_slices(batch.column(2)):
                 s, e, bounds = piece.words()
                 n = np.diff(bounds)
                 have = np.where(n >= width, n - size + 1, 0)  # a shorter text has no window to be an anchor of
@@ -87,7 +92,8 @@ def _anchor_rows(width: int, period: int):
                 first = bounds[row] + pos
                 for j in range(size):
                     total = total * np.uint64(0xE7037ED1A0B428DB) + words[first + j]
-                yield pa.RecordBatch.from_arrays([pa.array(tk.mix(total).view(np.int64)), pa.array(doc[piece.lo + row]), pa.array(pos.astype(np.int32))], names=["h0", "doc", "pos"])
+                cols = [tk.mix(total).view(np.int64), doc[piece.lo + row], salt[piece.lo + row], pos.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h0", "doc", "salt", "pos"])
 
     return run
 
@@ -123,17 +129,17 @@ def _window_rows(width: int, period: int):
 
 
 def _stream(hashes: int, first_too: bool):
-    """Decides rows of (hashes, doc, ..., pos) that are sorted in this order.
+    """Decides rows of (hashes, doc, salt or row, pos) that are sorted by the hashes and the document (of anchors: the text).
 
     Yields kind 0: rows of a later document than the first of their hash, and with `first_too` also those of the first one if
     there is a later one; kind 2: rows of the first document that a hash has in this task, which other tasks decide; kind 1, for
     the hashes at the task's edges: their first document, and the last one in `last`. Between batches only the open hash is kept,
     with rows of one document at most; `ghost` marks kept rows that have been yielded or never are.
     """
-    names = [*(f"h{i}" for i in range(hashes)), "doc", *(["row"] if hashes > 1 else []), "pos"]
+    names = [*(f"h{i}" for i in range(hashes)), "doc", "salt" if hashes == 1 else "row", "pos"]
 
     def part(kind: int, rows: np.ndarray, last: np.ndarray | None = None) -> pa.RecordBatch:
-        cols = [np.full(rows.shape[1], kind, np.int32), *rows[:-1], rows[-1].astype(np.int32), rows[hashes] if last is None else last]
+        cols = [np.full(rows.shape[1], kind, np.int32), *rows[: hashes + 1], rows[hashes + 1].astype(np.int32 if hashes == 1 else np.int64), rows[-1].astype(np.int32), rows[hashes] if last is None else last]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["kind", *names, "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +187,11 @@ def _stream(hashes: int, first_too: bool):
 
 
 def _decided(rows: DataFrame, hashes: int, first_too: bool, name: str) -> DataFrame:
-    """The told rows of `_stream` over all tasks: doc, (row,) pos. `rows` is a staged table and is removed."""
+    """The told rows of `_stream` over all tasks: doc, salt or row, pos. `rows` is a staged table and is removed."""
     keys = [f"h{i}" for i in range(hashes)]
     kinds = "kind int, " + ", ".join(f"{k} {t}" for k, t in rows.dtypes) + ", last long"
-    in_order = rows.repartitionByRange(*keys, "doc").sortWithinPartitions(*keys, "doc")
+    cuts = [*keys, "doc", "salt"] if "salt" in rows.columns else [*keys, "doc"]
+    in_order = rows.repartitionByRange(*cuts).sortWithinPartitions(*keys, "doc")
     judged = staged(in_order.mapInArrow(tk.trimmed(_stream(hashes, first_too)), kinds), name)
     release(rows)
     # At most two rows per task: as many as there are tasks, whatever the data.
@@ -195,28 +202,33 @@ def _decided(rows: DataFrame, hashes: int, first_too: bool, name: str) -> DataFr
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """With the document and a hash of the text, which tells rows of one id apart."""
+    """With the document and the key of the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({"_ss_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_ss_row": F.xxhash64(text)})
+    key = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    return docs.withColumns({"_ss_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_ss_row": key})
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, period: int = PERIOD) -> DataFrame:
-    """_ss_doc, _ss_row, _ss_at: the positions, in words, of the windows of each document that an earlier one has."""
+    """_ss_doc, _ss_row, _ss_at: the positions, in words, of the windows of each document that an earlier one has; null: all of them."""
     if not 1 <= period <= width:
         raise ValueError("period must be between 1 and width")
     keyed = _keys(docs, id_col, text_col)
-    slim = keyed.select(F.col("_ss_doc").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    anchors = staged(slim.mapInArrow(tk.trimmed(_anchor_rows(width, period)), "h0 long, doc long, pos int"), "anchors")
-    shared = _decided(anchors, 1, True, "shared").groupBy(F.col("doc").alias("_ss_doc")).agg(F.collect_set("pos").alias("anchors"))
-    # A row that is there more than once has equal windows under one id: one of them speaks for all.
-    texts = keyed.select(F.col(text_col).cast("string").alias("text"), "_ss_doc", "_ss_row").join(shared, "_ss_doc").select("text", "_ss_doc", "_ss_row", "anchors")
+    slim = keyed.select("_ss_row", F.pmod("_ss_doc", F.lit(SALTS)).cast("int").alias("salt"), F.col(text_col).cast("string").alias("text"))
+    anchors = staged(slim.mapInArrow(tk.trimmed(_anchor_rows(width, period)), "h0 long, doc long, salt int, pos int"), "anchors")
+    shared = _decided(anchors, 1, True, "shared").groupBy(F.col("doc").alias("_ss_row")).agg(F.collect_set("pos").alias("anchors"))
+    own = staged(keyed.select("_ss_doc", "_ss_row").distinct(), "keys")
+    firsts = staged(own.groupBy("_ss_row").agg(F.min("_ss_doc").alias("first_doc"), F.max("_ss_doc").alias("last_doc")), "firsts")
+    asked = shared.join(firsts, "_ss_row").select("_ss_row", F.col("first_doc").alias("_ss_doc"), "anchors")
+    texts = keyed.select(F.col(text_col).cast("string").alias("text"), "_ss_doc", "_ss_row").join(asked, ["_ss_doc", "_ss_row"]).select("text", "_ss_doc", "_ss_row", "anchors")
     windows = staged(texts.mapInArrow(tk.trimmed(_window_rows(width, period)), "h0 long, h1 long, doc long, row long, pos int"), "windows")
-    found = _decided(windows, 2, False, "repeats")
-    return found.groupBy(F.col("doc").alias("_ss_doc"), F.col("row").alias("_ss_row")).agg(F.collect_set("pos").alias("_ss_at"))
+    found = _decided(windows, 2, False, "repeats").groupBy(F.col("doc").alias("_ss_doc"), F.col("row").alias("_ss_row")).agg(F.collect_set("pos").alias("_ss_at"))
+    copied = firsts.where("first_doc <> last_doc").select("_ss_row", "first_doc")
+    copies = join_spread(own, copied, "_ss_row", "_ss_doc").where("_ss_doc <> first_doc")
+    return found.unionByName(copies.select("_ss_doc", "_ss_row", F.lit(None).cast("array<int>").alias("_ss_at")))
 
 
 def _apply(width: int):
-    """Text (column 0) and repeated windows (column 1) to the kept text and two counts; other columns follow as they are."""
+    """Text (column 0), repeated windows (column 1) and whether there are any (column 2) to the kept text and two counts; other columns follow as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (small for large in batches for small in tk.small_batches(large)):
@@ -225,9 +237,10 @@ def _apply(width: int):
                 s, e, bounds = piece.words()
                 counts[piece.lo : piece.hi] = np.diff(bounds)
                 for i in range(piece.lo, piece.hi):
-                    if not batch.column(1)[i].is_valid:
+                    (lo, hi), at = bounds[i - piece.lo : i - piece.lo + 2], batch.column(1)[i]
+                    if not batch.column(2)[i].as_py() or hi - lo < width:
                         continue
-                    at, (lo, hi) = np.asarray(batch.column(1)[i].values), bounds[i - piece.lo : i - piece.lo + 2]
+                    at = np.asarray(at.values) if at.is_valid else np.arange(hi - lo - width + 1)
                     edge = np.zeros(hi - lo + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + width, -1)
@@ -238,8 +251,8 @@ def _apply(width: int):
                     turn = np.flatnonzero(np.diff(drop.astype(np.int8), prepend=0))
                     cuts = [int(piece.o[i - piece.lo]), *ends[turn].tolist(), int(piece.o[i - piece.lo + 1])]
                     texts[i] = b"".join(bytes(piece.b[x:y]) for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode()
-            cols = [pa.array(texts, pa.string()), pa.array(counts), pa.array(gone), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(cols, names=["_ss_text", "_ss_words", "_ss_removed", *batch.schema.names[2:]])
+            cols = [pa.array(texts, pa.string()), pa.array(counts), pa.array(gone), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["_ss_text", "_ss_words", "_ss_removed", *batch.schema.names[3:]])
 
     return run
 
@@ -249,8 +262,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeats(docs, id_col, text_col, width, period)
     docs = docs.drop("n_words", "n_removed")
     rest = [c for c in docs.columns if c != text_col]
-    joined = _keys(docs, id_col, text_col).join(found, ["_ss_doc", "_ss_row"], "left")
-    fed = joined.select(F.col(text_col).cast("string").alias("_ss_text"), "_ss_at", *rest)
+    joined = _keys(docs, id_col, text_col).join(found.withColumn("_ss_any", F.lit(True)), ["_ss_doc", "_ss_row"], "left")
+    fed = joined.select(F.col(text_col).cast("string").alias("_ss_text"), "_ss_at", "_ss_any", *rest)
     done = fed.mapInArrow(tk.trimmed(_apply(width)), "_ss_text string, _ss_words long, _ss_removed long" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in rest))
     return done.select(*(F.col("_ss_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.col("_ss_words").alias("n_words"), F.col("_ss_removed").alias("n_removed"))
 
