@@ -7,10 +7,10 @@ bounds the temporary arrays; one row is never split, so a single very long text
 Word: a maximal run of bytes outside 0x20 and 0x09-0x0D. UTF-8 lead and continuation bytes are all
 above 0x20, so this equals the pattern `[^\\x20\\x09-\\x0D]+` over code points.
 
-Where equal hashes must mean equal text, `wide_digests` gives 128 bits of BLAKE2b. `digests` gives 64 bits: of ranges of more
-than SHORT bytes those of BLAKE2b, of shorter ones, as most words are, their bytes and length, mixed. `hashes` is only for features of models, where a collision costs nothing: it is
-polynomial in the bytes modulo 2**64 with an odd base (its powers are invertible, so the hash of any byte range is a
-difference of prefix sums) and then mixed with the length; texts that collide in it are easy to build.
+Where equal hashes must mean equal text, `wide_digests` gives 128 bits of BLAKE2b and `digests` 64; `windows` folds the digests of
+words one by one through a mixer, so that no sum of them can be solved for. `hashes` is only for features of models and for
+choosing candidates, where a collision costs nothing: it is polynomial in the bytes modulo 2**64 with an odd base (its powers are
+invertible, so the hash of any byte range is a difference of prefix sums) and then mixed with the length; texts that collide in it are easy to build.
 """
 
 from __future__ import annotations
@@ -132,11 +132,14 @@ class Slice:
         eight = np.ndarray(len(data) + 9, "<u8", self._padded[lower], 0, (1,))  # the eight bytes from each byte on
         low = eight[s] & _MASK[np.minimum(n, 8)]
         high = eight[np.minimum(s + 8, len(data))] & _MASK[np.clip(n - 8, 0, 8)]
-        out = mix(low ^ mix(high ^ mix(n.astype(U64))))
-        long = np.flatnonzero(n > SHORT)
-        if len(long):
-            held = memoryview(self._padded[lower])
-            out[long] = np.frombuffer(b"".join([blake2b(held[x:y], digest_size=8).digest() for x, y in zip(s[long].tolist(), e[long].tolist(), strict=True)]), U64)
+        # Neighbours of one content in this order are hashed once; texts that collide in the order only lie among each other.
+        order = np.argsort(mix(low ^ mix(high ^ mix(n.astype(U64)))), kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = (n[order[1:]] > SHORT) | (n[order[1:]] != n[order[:-1]]) | (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+        heads, held = order[new], memoryview(self._padded[lower])
+        found = np.frombuffer(b"".join([blake2b(held[x:y], digest_size=8).digest() for x, y in zip(s[heads].tolist(), e[heads].tolist(), strict=True)]), U64)
+        out = np.empty(len(order), U64)
+        out[order] = found[np.cumsum(new) - 1]
         return out
 
     def wide_digests(self, s: np.ndarray, e: np.ndarray, lower: bool) -> np.ndarray:
@@ -229,8 +232,8 @@ def windows(word_hash: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[
     first = np.repeat(bounds[:-1] - at[:-1], have) + np.arange(at[-1])
     total = np.zeros(len(first), U64)
     for j in range(width):
-        total = total * U64(0xE7037ED1A0B428DB) + word_hash[first + j]
-    return mix(total), at
+        total = mix(total ^ word_hash[first + j])
+    return total, at
 
 
 def shingles(piece: Slice, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +251,9 @@ def shingles(piece: Slice, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         if n[i] >= width:
             u = np.unique(w[at[i] : at[i + 1]])
         elif n[i]:
-            t = U64(n[i])
+            u = n[i : i + 1].astype(U64)
             for x in h[bounds[i] : bounds[i + 1]]:
-                t = U64((int(t) * 0xE7037ED1A0B428DB + int(x)) & 0xFFFFFFFFFFFFFFFF)
-            u = mix(np.array([t], U64))
+                u = mix(u ^ x)
         else:
             continue
         parts.append(u)
