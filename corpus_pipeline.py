@@ -15,8 +15,9 @@ from sigloom.plans.session import dealt, ship
 from sigloom.plans.stage import release_since, staged, tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Shares of tokens. All clean tokens are asked for; the shares of the others are upper bounds.
+#: Shares of tokens. All clean tokens are asked for; the shares of the others are upper bounds. No document is repeated.
 WEIGHTS = {"clean": 0.92, "poor": 0.055, "toxic": 0.025}
+SPACE = r"\x20\x09-\x0D"
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -30,8 +31,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that loses lines and has too few words for the rules before this stage then goes; all others stay."""
     ship(spark)
-    return _documents(linededup.dedup_lines(dealt(docs)))
+    done = linededup.dedup_lines(dealt(docs))
+    enough = F.col("text").rlike(rf"^[{SPACE}]*([^{SPACE}]+[{SPACE}]+){{{rules.MIN_WORDS - 1}}}[^{SPACE}]")
+    return _documents(done.where((F.col("n_dropped") == 0) | enough))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

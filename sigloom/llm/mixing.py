@@ -12,13 +12,19 @@ the totals, and shortened until the error falls; at worst it is the plain gradie
 Each pass is one aggregation over a staged narrow table, with no join and nothing per document on the driver. `Fit.converged`
 says whether every domain with a target is within TOLERANCE of it; if not, there is a warning.
 
+With a `whole` domain the shares of the others are upper bounds, never below what expected tokens they have in documents that are likeliest
+of the whole domain, as these are not to be thinned: only what is above them counts as an error, so steps only lower
+rates, none is above 1 and no document is repeated. The norm then weighs a document by its tokens over its posterior of all other
+domains together, so that documents which are surely of the whole domain keep their rate. The fit converges if the bounds hold.
+
 Documents are drawn by systematic sampling: they are ordered by likeliest domain and size, rates are added up along this order, and a document
 is drawn whenever the sum passes a whole number. So the drawn totals of a domain are off by little more than single documents, while each
 document is drawn by its own rate. The order is made by range partitions; only their sums (one row per task) meet on the driver.
 
 Classifier: softmax regression on document statistics and on the presence of telling words, fitted in one executor
 task on a bounded sample of labelled rows (`max_rows`, by a hash of the id). A word is telling if its document frequency
-in one domain is far from that in the others (Z standard errors, at least LEAST documents); all such words count. Words
+in one domain is far from that in the others (Z standard errors, at least LEAST documents, or a quarter of the smallest domain's where that
+is less, FEWEST at least); all such words count. Words
 are kept as pairs of row and word, never as a matrix.
 
 Defined cases: null and empty texts have no tokens and get posteriors and a rate like all others. Null domains are not
@@ -46,7 +52,7 @@ from .stage import staged
 
 U64 = np.uint64
 BITS = 20
-Z, LEAST = 5.0, 8
+Z, LEAST, FEWEST = 5.0, 8, 3
 ROUNDS, TOLERANCE = 60, 1e-3
 NO_ID = -(1 << 63)
 
@@ -113,7 +119,7 @@ def learn(texts: pa.Array, domains: list[str], steps: int = 400, l2: float = 1e-
     x = np.concatenate(stats)
     size = hot.sum(axis=0)
     found = found.reshape(-1, k)
-    often = np.flatnonzero(found.sum(axis=1) >= LEAST)
+    often = np.flatnonzero(found.sum(axis=1) >= np.clip(size.min() / 4, FEWEST, LEAST))
     own = found[often].astype(float)
     rest_n, rest = len(gold) - size, own.sum(axis=1, keepdims=True) - own
     p, q = (own + 0.5) / (size + 1), (rest + 0.5) / (rest_n + 1)
@@ -177,13 +183,18 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return staged(keyed.mapInArrow(tk.trimmed(run), "doc long, row long, n_tokens long, posteriors array<double>"), "posteriors"), domains
 
 
-def _rate(history: list[list[float]]) -> Column:
+def _spare(whole: int | None) -> Column:
+    """What a document's change is multiplied with: its posterior of the domains other than the whole one."""
+    return F.lit(1.0) if whole is None else F.greatest(F.lit(0.0), F.lit(1.0) - F.col("posteriors")[whole])
+
+
+def _rate(history: list[list[float]], whole: int | None = None) -> Column:
     rate = F.lit(1.0)
     for step in history:
         change = F.lit(0.0)
         for d, x in enumerate(step):
             change = change + F.col("posteriors")[d] * F.lit(float(x))
-        rate = F.greatest(F.lit(0.0), rate - change)
+        rate = F.greatest(F.lit(0.0), rate - change * _spare(whole))
     return rate
 
 
@@ -195,13 +206,27 @@ class Fit:
     reached: np.ndarray
     history: list[list[float]]
     converged: bool = True
+    whole: int | None = None
+
+
+def _scaled(bend: np.ndarray, off: np.ndarray, lower_only: bool) -> np.ndarray:
+    """The step that the second moments ask for; with `lower_only` without negative parts, of the domains that are too large."""
+    if not lower_only:
+        return np.linalg.lstsq(bend, off, rcond=1e-12)[0]
+    step, active = np.zeros(len(off)), off > 0
+    while active.any():
+        found = np.linalg.lstsq(bend[np.ix_(active, active)], off[active], rcond=1e-12)[0]
+        if (found >= 0).all():
+            step[active] = found
+            break
+        active[np.flatnonzero(active)[found < 0]] = False
+    return step
 
 
 def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], total: float | None = None, rounds: int = ROUNDS, whole: str | None = None) -> Fit:
     """Projected gradient for the rates. Without a total, the largest at which no domain has to be repeated.
 
-    With a `whole` domain, its available tokens are its target, and the shares of the others are upper bounds: a domain
-    that has less falls short and thins out nothing.
+    With a `whole` domain, its available tokens are its target, and the shares of the others are upper bounds (see above).
     """
     k = len(domains)
     w = np.array([max(float(weights.get(d, 0.0)), 0.0) for d in domains])
@@ -211,14 +236,15 @@ def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], tota
     def totals(history: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each domain, and second moments of the posteriors where the rate is above 0."""
         p, rate = [F.col("posteriors")[d] for d in range(k)], F.col("_rate")
-        live = F.when(rate > 0, F.col("n_tokens")).otherwise(0)
-        rated = known.select("n_tokens", "posteriors", _rate(history).alias("_rate"))
+        live = F.when(rate > 0, F.col("n_tokens") * F.col("_spare")).otherwise(0)
+        rated = known.select("n_tokens", "posteriors", _rate(history, at).alias("_rate"), _spare(at).alias("_spare"))
         row = rated.agg(*(F.sum(F.col("n_tokens") * rate * p[d]) for d in range(k)), *(F.sum(live * p[i] * p[j]) for i, j in pairs)).first()
         a = np.zeros((k, k))
         for (i, j), x in zip(pairs, row[k:], strict=True):
             a[i, j] = a[j, i] = x or 0.0
         return np.array([x or 0.0 for x in row[:k]]), a
 
+    at = domains.index(whole) if whole in domains and w[domains.index(whole)] > 0 else None
     if not k:
         return Fit([], np.zeros(0), np.zeros(0), np.zeros(0), [])
     have, a = totals([])
@@ -226,26 +252,31 @@ def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], tota
     if total is None:
         total = min((have[d] / w[d] for d in range(k) if w[d] > 0 and there[d]), default=0.0)
     target = np.where(there, w * total, 0.0)
-    if whole in domains and w[domains.index(whole)] > 0:
-        at = domains.index(whole)
-        target = np.where(there, np.minimum(w * (have[at] / w[at]), have), 0.0)
+    if at is not None:
+        likeliest = F.array_position("posteriors", F.array_max("posteriors")) == at + 1
+        row = known.where(likeliest).agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[d]) for d in range(k))).first()
+        target = np.where(there, np.minimum(np.maximum(w * (have[at] / w[at]), [x or 0.0 for x in row]), have), 0.0)
     # Errors are relative to the target, those of a domain with target 0 to what there is of it.
     scale = np.where(target > 0, target, np.where(there, have, 1.0))
 
+    def wrong(reached: np.ndarray) -> np.ndarray:
+        off = np.where(there, reached - target, 0.0)
+        return off if at is None else np.where(np.arange(k) == at, 0.0, np.maximum(off, 0.0))
+
     def error(reached: np.ndarray) -> float:
-        return float((np.where(there, (reached - target) / scale, 0.0) ** 2).sum())
+        return float(((wrong(reached) / scale) ** 2).sum())
 
     def met(reached: np.ndarray) -> bool:
-        return bool((np.abs(reached - target)[target > 0] <= TOLERANCE * target[target > 0]).all())
+        return bool((np.abs(wrong(reached)) <= TOLERANCE * target)[target > 0].all())
 
     bend = a / (scale[:, None] * scale[None, :])
     least = 1.0 / max(float(np.linalg.eigvalsh(bend)[-1]), 1e-300)
     history: list[list[float]] = []
     reached, passes = have, 0
     while passes < rounds and error(reached) > 1e-8:
-        off = np.where(there, reached - target, 0.0)
+        off = wrong(reached)
         plain = least * off / scale**2
-        scaled = np.linalg.lstsq(a / (scale[:, None] * scale[None, :]), off / scale, rcond=1e-12)[0] / scale
+        scaled = _scaled(a / (scale[:, None] * scale[None, :]), off / scale, at is not None) / scale
         for step in (scaled, scaled / 2, scaled / 8, plain):
             tried, moments = totals([*history, step.tolist()])
             passes += 1
@@ -258,12 +289,12 @@ def fit(known: DataFrame, domains: list[str], weights: Mapping[str, float], tota
     done = met(reached)
     if not done:
         warnings.warn(f"rates after {passes} passes: {dict(zip(domains, reached.round(), strict=True))} for targets {dict(zip(domains, target.round(), strict=True))}", stacklevel=2)
-    return Fit(domains, have, target, reached, history, done)
+    return Fit(domains, have, target, reached, history, done, at)
 
 
 def rates(known: DataFrame, found: Fit) -> DataFrame:
     """doc, row, n_tokens, posteriors, rate."""
-    return known.withColumn("rate", _rate(found.history))
+    return known.withColumn("rate", _rate(found.history, found.whole))
 
 
 def _times(rated: DataFrame) -> DataFrame:
