@@ -13,8 +13,8 @@ DUPLICATE_SUFFIX = "_duplicate_in_merge"
 SCHEMA = "colour int, sample_name string, deleted boolean"
 
 
-def assign(names: DataFrame, order: list[str], first: int = 0) -> DataFrame:
-    """Samples with colours first, first+1, ... in the given order.
+def assign(names: DataFrame, order: list[str], first: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """Samples with colours first, first+1, ... in the given order, and the columns to keep.
 
     Names are numbered inside range partitions; only the partitions' sizes (one row per task) meet on the driver.
     """
@@ -26,7 +26,7 @@ def assign(names: DataFrame, order: list[str], first: int = 0) -> DataFrame:
         at += row["count"]
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     placed = ranged.withColumn("_nth", inside).join(F.broadcast(spark.createDataFrame(starts, "_part int, _start long")), "_part")
-    return placed.select((F.col("_start") + F.col("_nth")).cast("int").alias("colour"), "sample_name", F.lit(False).alias("deleted"))
+    return placed.select((F.col("_start") + F.col("_nth")).cast("int").alias("colour"), "sample_name", F.lit(False).alias("deleted"), *(keep or []))
 
 
 def validate(new: DataFrame, existing: DataFrame | None = None) -> None:

@@ -47,9 +47,14 @@ def kmer_counts(queries: DataFrame, k: int) -> DataFrame:
     return km.occurrences(queries, "query_id", "seq", k).select("query_id", "kmer").distinct()
 
 
+def asked_kmers(queries: DataFrame, k: int) -> DataFrame:
+    """query_id, pos, kmer of every k-mer of the queries."""
+    return km.occurrences(queries, "query_id", "seq", k)
+
+
 def looked_up(queries: DataFrame, signature: DataFrame, k: int, h: int, m: int, stored: bool = True) -> Looked:
     """(query_id, pos, kmer) of every k-mer of the queries, and (kmer, word_no, bits) of those found; both staged."""
-    own = staged(km.occurrences(queries, "query_id", "seq", k), "asked")
+    own = staged(asked_kmers(queries, k), "asked")
     return own, staged(sig.lookup(own, signature, h, m, stored), "marks")
 
 
@@ -66,12 +71,12 @@ def found_counts(looked: Looked) -> tuple[DataFrame, DataFrame]:
 
 
 def search(
-    queries: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int, threshold: float = 1.0, score: bool = False, stored: bool = True, looked: Looked | None = None
+    queries: DataFrame, signature: DataFrame | None, samples: DataFrame, k: int, h: int, m: int, threshold: float = 1.0, score: bool = False, stored: bool = True, looked: Looked | None = None
 ) -> DataFrame:
     """query_id, colour, sample_name, num_kmers, num_kmers_found, percent_kmers_found of the hits, and their statistics.
 
     Deleted samples are left out. A threshold of 0 or less returns every sample, also with nothing found. A query
-    without k-mers has no hits. Rows come in no order; see `ordered`. `looked` is a lookup of the same queries, if there is one.
+    without k-mers has no hits. Rows come in no order; see `ordered`. `looked` is a lookup of the same queries, if there is one; the signature is then not read.
     """
     if threshold > 1:
         raise ValueError("the threshold is at most 1")

@@ -9,7 +9,7 @@ many k-mers nor a position that all samples share lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions import kmers as km
@@ -76,27 +76,63 @@ def set_column(signature: DataFrame, colour: int, rows: DataFrame) -> DataFrame:
 
 
 def merge(left: DataFrame, right: DataFrame, num_left: int) -> DataFrame:
-    """Right columns after the left ones. Words are shifted by whole words where the number allows, else re-sliced."""
-    if num_left % 64 == 0:
-        moved = right.select("row_index", (F.col("word_no") + num_left // 64).cast("int").alias("word_no"), "bits")
-        return left.select("row_index", "word_no", "bits").unionByName(moved)
-    moved = transpose(untranspose(right).select("row_index", (F.col("colour") + num_left).alias("colour")))
-    return compact(left.select("row_index", "word_no", "bits").unionByName(moved))
+    """Right columns after the left ones: by whole words where the number allows, else words are split in two and joined again."""
+    both = left.select("row_index", "word_no", "bits").unionByName(shifted(right, num_left))
+    return both if num_left % 64 == 0 else compact(both)
 
 
-def lookup(kmers: DataFrame, signature: DataFrame, h: int, m: int, stored: bool = True) -> DataFrame:
-    """kmer, word_no, bits of the samples that have every row of a k-mer.
+def shifted(signature: DataFrame, by: int) -> DataFrame:
+    """The words of columns that move by so many places; a word may become two, of which `compact` makes one with its neighbour's."""
+    q, r = divmod(by, 64)
+    word = (F.col("word_no") + q).cast("int")
+    if not r:
+        return signature.select("row_index", word.alias("word_no"), "bits")
+    return _split(signature, word, F.lit(r))
 
-    A missing word is zero, so a word counts only if all distinct rows of the k-mer have it. Of a signature that is not
-    `stored` but computed in the same plan, only the asked rows are made: the semi join moves below its aggregation.
-    """
+
+def _split(signature: DataFrame, word: Column, r: Column) -> DataFrame:
+    """Bits moved up by r (0 to 63) places from the first of `word`."""
+    both = F.array(
+        F.struct(word.alias("word_no"), F.call_function("shiftleft", "bits", r).alias("bits")),
+        F.struct((word + 1).alias("word_no"), F.when(r > 0, F.call_function("shiftrightunsigned", "bits", 64 - r)).otherwise(F.lit(0).cast("bigint")).alias("bits")),
+    )
+    return signature.select("row_index", F.explode(both).alias("w")).where("w.bits <> 0").select("row_index", F.col("w.word_no").cast("int").alias("word_no"), "w.bits")
+
+
+def closed_up(signature: DataFrame) -> DataFrame:
+    """Words without the columns that are left out: from (row_index, word_no, bits, kept: the word's columns that stay, start: the new number of the first of them)."""
+    gone = F.filter(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda i: F.bit_get("kept", i) == 0)
+
+    def without(bits: Column, i: Column) -> Column:
+        below = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), i))
+        return bits.bitwiseAND(below).bitwiseOR(F.call_function("shiftrightunsigned", bits, F.lit(1)).bitwiseAND(F.bitwise_not(below)))
+
+    bits = F.aggregate(gone, F.col("bits").bitwiseAND(F.col("kept")), without)
+    close = signature.select("row_index", "start", bits.alias("bits")).where("bits <> 0")
+    return _split(close, F.floor(F.col("start") / 64).cast("int"), F.pmod("start", F.lit(64)).cast("int"))
+
+
+def wanted_rows(kmers: DataFrame, h: int, m: int) -> DataFrame:
+    """kmer, n_rows, row_index: the distinct rows of each distinct k-mer."""
     unique = kmers.select("kmer").where("kmer IS NOT NULL").distinct().withColumn("_hashed", km.canonical(F.col("kmer")))
     hashed = murmur.with_rows(unique, "_hashed", h, m)
-    wanted = hashed.select("kmer", F.size("rows").alias("n_rows"), F.explode_outer("rows").alias("row_index"))
-    if not stored:
-        signature = signature.join(wanted.select("row_index").distinct(), "row_index", "left_semi")
+    return hashed.select("kmer", F.size("rows").alias("n_rows"), F.explode_outer("rows").alias("row_index"))
+
+
+def met_words(wanted: DataFrame, signature: DataFrame) -> DataFrame:
+    """kmer, word_no, bits of the samples that have every row of a k-mer: a missing word is zero, so a word counts only if all rows have it."""
     met = wanted.join(signature, "row_index")
     anded = met.groupBy("kmer", "word_no").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("met"), F.max("n_rows").alias("n_rows"))
     return anded.where((F.col("met") == F.col("n_rows")) & (F.col("bits") != 0)).select("kmer", "word_no", "bits")
 
 
+def lookup(kmers: DataFrame, signature: DataFrame, h: int, m: int, stored: bool = True) -> DataFrame:
+    """kmer, word_no, bits of the samples that have every row of a k-mer.
+
+    Of a signature that is not `stored` but computed in the same plan, only the asked rows are made: the semi join moves below
+    its aggregation.
+    """
+    wanted = wanted_rows(kmers, h, m)
+    if not stored:
+        signature = signature.join(wanted.select("row_index").distinct(), "row_index", "left_semi")
+    return met_words(wanted, signature)

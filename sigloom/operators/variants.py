@@ -73,11 +73,20 @@ def genotypes(refs: DataFrame, alts: DataFrame) -> DataFrame:
     return seen.select("variant", "sample_name", kind.alias("genotype"))
 
 
+def as_queries(probes: DataFrame) -> DataFrame:
+    """query_id (variant, kind, seq), seq of the distinct probes."""
+    return probes.select(F.struct("variant", "kind", "seq").alias("query_id"), "seq").distinct()
+
+
+def of_hits(hits: DataFrame) -> DataFrame:
+    """Genotypes from the exact hits of `as_queries`; a sample has an allele if any of the allele's probes is found whole."""
+    named = hits.select("query_id.variant", "query_id.kind", "sample_name")
+    return genotypes(named.where("kind = 'ref'"), named.where("kind = 'alt'"))
+
+
 def variant_search(probes: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int, stored: bool = True) -> DataFrame:
-    """Genotypes of every variant; a sample has an allele if any of the allele's probes is found whole."""
-    named = probes.select(F.struct("variant", "kind", "seq").alias("query_id"), "seq").distinct()
-    hits = search(named, signature, samples, k, h, m, 1.0, stored=stored).select("query_id.variant", "query_id.kind", "sample_name")
-    return genotypes(hits.where("kind = 'ref'"), hits.where("kind = 'alt'"))
+    """Genotypes of every variant."""
+    return of_hits(search(as_queries(probes), signature, samples, k, h, m, 1.0, stored=stored))
 
 
 def check_annotation(gene: str | None, genbank: str | None) -> None:

@@ -1,44 +1,52 @@
-"""A persistent index: Parquet tables and a numbered commit.
+"""A persistent index: Parquet tables and numbered commits.
 
-    <path>/signature/<part>/   (row_index, word_no, bits), sorted by row_index; parts are only added
-    <path>/samples/<n>/        (colour, sample_name, deleted)
-    <path>/commits/<n>/        k, m, h, compression, num_cols, the samples table and the parts that make up the index
+    <path>/signature/<part>/block=<b>/   (row_index, word_no, bits), sorted; b is row_index >> the part's shift
+    <path>/samples/<part>/               (colour, sample_name)
+    <path>/deletes/<table>/              (part, colour): samples marked as deleted
+    <path>/commits/<n>.json              k, m, h, compression, the parts in order and the tables of deletions
 
-A change writes its tables first and its commit last, so a reader sees the index before or after it, never between.
-Parts hold whole columns of different samples, so reading is a bit_or of words; `compact` makes one part again.
+A part has whole columns of its samples, numbered from 0; in the index they follow those of the parts before it, so a part is never
+rewritten because of its place. A change writes its tables first and its commit last, and takes its commit's number only if no other
+writer has it (`commits`); if one has, the change is made again on the newer state, with the tables that it has written. So a reader
+sees the index before or after a change, and a writer that ends in between leaves tables that `vacuum` removes.
+
+Reads are pruned: a search asks for some rows, and only the blocks that they are in are listed and read; up to LITERAL_ROWS of them
+are also handed to Parquet, which leaves out the pages that hold none. Words of several parts meet only for the rows asked for.
+
+`compact` and `tidy` merge parts; with `purge`, `compact` leaves out deleted samples, and later samples are renumbered.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
+import time
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.functions import words
+from sigloom.functions.params import chunk_plan
 from sigloom.operators import metadata, search, variants
 from sigloom.operators import signature as sig
-from sigloom.functions.params import chunk_plan
+from sigloom.operators.graph import join_spread
+from sigloom.plans import commits
 from sigloom.plans.config import IndexConfig
 from sigloom.plans.stage import staged
 from sigloom.sources import bloomfile, cortex, fasta
 
-COMMIT = "n long, k int, m int, h int, compression string, num_cols int, samples string, parts array<string>"
-
-
-def _fs(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def _last_commit(spark: SparkSession, path: str) -> int:
-    fs, at = _fs(spark, f"{path}/commits")
-    if not fs.exists(at):
-        raise FileNotFoundError(f"no index in {path}")
-    jvm = spark.sparkContext._jvm
-    done = [s.getPath().getName() for s in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max(int(x) for x in done)
+WORDS = "row_index int, word_no int, bits long"
+#: Rows of a search that are written into the plan; IN lists of this length reach Parquet as they are.
+LITERAL_ROWS, IN_LIST = 1024, 10
+#: Bytes of a block, as estimated from its words, and the most blocks of a part.
+BLOCK_BYTES, WORD_BYTES, MOST_BLOCKS = 128 << 20, 12, 4096
+#: Parts of about one size that `tidy` makes one of.
+FANOUT = 8
+TRIES = 20
 
 
 def _plain(path: str) -> str:
@@ -46,36 +54,113 @@ def _plain(path: str) -> str:
     return re.sub("^file:/*", "/", path) if path.startswith("file:") or ":" in path else os.path.abspath(path)
 
 
+def any_of(column: str, values: list[int]) -> Column:
+    """The column has one of the values: IN lists short enough for Parquet, joined by OR in a balanced tree."""
+    lists = [F.col(column).isin(values[i : i + IN_LIST]) for i in range(0, len(values), IN_LIST)]
+    while len(lists) > 1:
+        lists = [reduce(lambda a, b: a | b, lists[i : i + 2]) for i in range(0, len(lists), 2)]
+    return lists[0]
+
+
 class Index:
-    def __init__(self, spark: SparkSession, path: str, k: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, k: int | None = None, n: int | None = None):
+        """The newest state, or that of commit n, of the index in `path`; k, if given, must be that of the index."""
         self.spark, self.path = spark, path.rstrip("/")
-        n = _last_commit(spark, self.path)
-        row = spark.read.schema(COMMIT).parquet(f"{self.path}/commits/{n}").first()
-        self.n, self.k, self.m, self.h, self.num_cols, self.compression = n, row["k"], row["m"], row["h"], row["num_cols"], row["compression"]
-        self._samples, self._parts = row["samples"], list(row["parts"])
+        made = commits.numbers(spark, self.path)
+        if not made or (n is not None and n not in made):
+            raise FileNotFoundError(f"no index in {path}" if not made else f"no commit {n} in {path}")
+        self.n = made[-1] if n is None else n
+        self.state = commits.read(spark, self.path, self.n)
+        self.k, self.m, self.h, self.compression = (self.state[x] for x in ("k", "m", "h", "compression"))
+        self.parts: list[dict] = self.state["parts"]
+        self.num_cols = sum(p["cols"] for p in self.parts)
         if k is not None and k != self.k:
             raise ValueError(f"the index has k={self.k}, not {k}")
 
     # Reading
 
+    def _first(self, part: dict) -> int:
+        """The colour of the part's first sample."""
+        return sum(p["cols"] for p in self.parts[: self.parts.index(part)])
+
     def samples(self) -> DataFrame:
-        return self.spark.read.schema(metadata.SCHEMA).parquet(f"{self.path}/samples/{self._samples}")
+        """colour, sample_name, deleted."""
+        if not self.parts:
+            return self.spark.createDataFrame([], metadata.SCHEMA)
+        name = F.regexp_extract("_metadata.file_path", "/samples/([^/]+)/", 1)
+        rows = self.spark.read.schema("colour int, sample_name string").parquet(*(f"{self.path}/samples/{p['name']}" for p in self.parts)).select(name.alias("part"), "colour", "sample_name")
+        places = self.spark.createDataFrame([(p["name"], self._first(p)) for p in self.parts], "part string, _first int")
+        gone = self._deleted().withColumn("_gone", F.lit(True))
+        # As many places as the commit has parts.
+        placed = rows.join(gone, ["part", "colour"], "left").join(F.broadcast(places), "part")
+        return placed.select((F.col("colour") + F.col("_first")).cast("int").alias("colour"), "sample_name", F.coalesce("_gone", F.lit(False)).alias("deleted"))
+
+    def _deleted(self) -> DataFrame:
+        """part, colour of the deleted samples; a colour counts from its part's first."""
+        schema, tables = "part string, colour int", self.state["deletes"]
+        if not tables:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/deletes/{t}" for t in tables)).distinct()
+
+    def _scan(self, part: dict, blocks: set[int] | None = None, at: list[int] | None = None) -> DataFrame:
+        """The words of a part, in the index's numbering; of the blocks and rows named, if any are."""
+        where = f"{self.path}/signature/{part['name']}"
+        there = {int(name[6:]) for name in commits.listed(self.spark, where) if name.startswith("block=")}
+        if at is not None:
+            blocks = {r >> part["shift"] for r in at}
+        asked = sorted(there if blocks is None else there & blocks)
+        if not asked:
+            return self.spark.createDataFrame([], WORDS)
+        found = self.spark.read.schema(WORDS).parquet(*(f"{where}/block={b}" for b in asked))
+        found = found if at is None else found.where(any_of("row_index", at))
+        return sig.shifted(found, self._first(part))
+
+    def _merged(self, scans: list[DataFrame]) -> DataFrame:
+        if not scans:
+            return self.spark.createDataFrame([], WORDS)
+        return scans[0] if len(scans) == 1 else sig.compact(reduce(DataFrame.unionByName, scans))
 
     def signature(self) -> DataFrame:
-        schema = "row_index int, word_no int, bits long"
-        if not self._parts:
-            return self.spark.createDataFrame([], schema)
-        every = self.spark.read.schema(schema).parquet(*(f"{self.path}/signature/{p}" for p in self._parts))
-        return every if len(self._parts) == 1 else sig.compact(every)
+        """All words."""
+        return self._merged([self._scan(p) for p in self.parts])
+
+    def rows(self, asked: DataFrame) -> DataFrame:
+        """The words of the rows asked for (row_index), and of no others."""
+        wanted = asked.select("row_index").where("row_index IS NOT NULL").distinct()
+        few = [r[0] for r in wanted.limit(LITERAL_ROWS + 1).collect()]
+        if not few:
+            return self.spark.createDataFrame([], WORDS)
+        if len(few) <= LITERAL_ROWS:
+            return self._merged([self._scan(p, at=sorted(few)) for p in self.parts])
+        # At most MOST_BLOCKS blocks for each of the few shifts that parts have.
+        blocks = {s: {r[0] for r in wanted.select(F.shiftright("row_index", s)).distinct().collect()} for s in {p["shift"] for p in self.parts}}
+        return self._merged([self._scan(p, blocks[p["shift"]]).join(wanted, "row_index", "left_semi") for p in self.parts])
+
+    def get_rows(self, asked: DataFrame) -> DataFrame:
+        """row_index, colour of the rows asked for."""
+        return sig.untranspose(self.rows(asked))
+
+    def get_column(self, colour: int) -> DataFrame:
+        """row_index, bit for every row; only the part that has the sample is read, and of it one word of each row."""
+        if not 0 <= colour < self.num_cols:
+            raise ValueError(f"no colour {colour}")
+        part = next(p for p in reversed(self.parts) if self._first(p) <= colour)
+        return sig.get_column(self._scan(part), colour, self.m)
 
     def num_samples(self) -> int:
         return self.num_cols
 
     def lookup(self, kmers: DataFrame) -> DataFrame:
-        return sig.lookup(kmers, self.signature(), self.h, self.m)
+        """kmer, word_no, bits of the samples that have all rows of a k-mer; reads the asked rows only."""
+        wanted = sig.wanted_rows(kmers, self.h, self.m)
+        return sig.met_words(wanted, self.rows(wanted))
+
+    def looked_up(self, queries: DataFrame) -> search.Looked:
+        own = staged(search.asked_kmers(queries, self.k), "asked")
+        return own, staged(self.lookup(own), "marks")
 
     def search(self, queries: DataFrame, threshold: float = 1.0, score: bool = False) -> DataFrame:
-        return search.search(queries, self.signature(), self.samples(), self.k, self.h, self.m, threshold, score)
+        return search.search(queries, None, self.samples(), self.k, self.h, self.m, threshold, score, looked=self.looked_up(queries))
 
     def search_one(self, seq: str, threshold: float = 1.0, score: bool = False) -> list[dict]:
         """The hits of one sequence, best first, as dictionaries."""
@@ -85,25 +170,25 @@ class Index:
         return [r.asDict() for r in rows]
 
     def variant_search(self, probes: DataFrame) -> DataFrame:
-        return variants.variant_search(probes, self.signature(), self.samples(), self.k, self.h, self.m)
+        return variants.of_hits(self.search(variants.as_queries(probes)))
 
     # Writing
 
     @staticmethod
-    def _write(spark: SparkSession, path: str, signature: DataFrame, compression: str) -> str:
-        name = uuid.uuid4().hex
-        sorted_words = signature.select("row_index", "word_no", "bits").repartitionByRange("row_index").sortWithinPartitions("row_index", "word_no")
-        sorted_words.write.option("compression", compression).parquet(f"{path}/signature/{name}")
-        return name
+    def _shift(m: int, n_words: int) -> int:
+        """Rows of a block, as a power of two, such that a block of so many words has about BLOCK_BYTES."""
+        blocks = min(MOST_BLOCKS, max(1, math.ceil(n_words * WORD_BYTES / BLOCK_BYTES)))
+        return math.ceil(m / blocks - 1).bit_length() if m > 1 else 0
 
     @staticmethod
-    def _commit(spark: SparkSession, path: str, n: int, k: int, m: int, h: int, compression: str, num_cols: int, samples: DataFrame | str, parts: list[str]) -> Index:
-        if not isinstance(samples, str):
-            table = uuid.uuid4().hex
-            samples.select("colour", "sample_name", "deleted").write.parquet(f"{path}/samples/{table}")
-            samples = table
-        spark.createDataFrame([(n, k, m, h, compression, num_cols, samples, parts)], COMMIT).coalesce(1).write.parquet(f"{path}/commits/{n}")
-        return Index(spark, path)
+    def _write(spark: SparkSession, path: str, m: int, compression: str, signature: DataFrame, samples: DataFrame, cols: int, most_words: int) -> dict:
+        """Writes a part: words and samples that count from 0, and at most so many words."""
+        name, shift = uuid.uuid4().hex, Index._shift(m, most_words)
+        blocked = signature.select("row_index", "word_no", "bits", F.shiftright("row_index", shift).alias("block"))
+        in_order = blocked.repartitionByRange("row_index").sortWithinPartitions("block", "row_index", "word_no")
+        in_order.write.option("compression", compression).partitionBy("block").parquet(f"{path}/signature/{name}")
+        samples.select("colour", "sample_name").write.parquet(f"{path}/samples/{name}")
+        return {"name": name, "cols": cols, "shift": shift, "words": most_words}
 
     @staticmethod
     def build(spark: SparkSession, config: IndexConfig, bloom: DataFrame, names: DataFrame, order: list[str] | None = None) -> Index:
@@ -112,10 +197,14 @@ class Index:
         With `max_build_bytes` the columns are built in chunks of samples that fit by the memory model, a part of the index each.
         """
         metadata.validate(names)
+        path = config.path.rstrip("/")
+        if commits.numbers(spark, path):
+            raise FileExistsError(f"there is an index in {path}")
         samples = staged(metadata.assign(names, order or ["sample_name"]), "samples")
-        if bloom.select(F.min("row_index").alias("a"), F.max("row_index").alias("b")).where(f"a < 0 OR b >= {config.m}").count():
+        known = bloom.agg(F.min("row_index").alias("a"), F.max("row_index").alias("b"), F.count("*").alias("n")).first()
+        if known["n"] and (known["a"] < 0 or known["b"] >= config.m):
             raise ValueError(f"filters of more than {config.m} bits")
-        path, n = config.path.rstrip("/"), metadata.count(samples)
+        n = metadata.count(samples)
         coloured = bloom.join(samples.select("sample_name", "colour"), "sample_name").select("row_index", "colour")
         size = n
         if config.max_build_bytes and n:
@@ -124,9 +213,18 @@ class Index:
                 raise ValueError("max_build_bytes does not hold one filter")
         if size < n:
             coloured = staged(coloured, "coloured")
-        chunks = [coloured] if size >= n else [coloured.where((F.col("colour") >= lo) & (F.col("colour") < lo + size)) for lo in range(0, n, size)]
-        parts = [Index._write(spark, path, sig.transpose(c), config.compression) for c in chunks]
-        return Index._commit(spark, path, 0, config.k, config.m, config.h, config.compression, n, samples, parts)
+        parts = []
+        for lo in range(0, n, max(size, 1)):
+            own = (F.col("colour") >= lo) & (F.col("colour") < lo + size)
+            cols, from_zero = min(size, n - lo), (F.col("colour") - lo).cast("int").alias("colour")
+            bits = min(math.ceil(known["n"] * cols / n), config.m * math.ceil(cols / 64))
+            chunk = coloured if size >= n else coloured.where(own)
+            parts.append(Index._write(spark, path, config.m, config.compression, sig.transpose(chunk.select("row_index", from_zero)), samples.where(own).select(from_zero, "sample_name"), cols, bits))
+        try:
+            commits.write(spark, path, 0, {"k": config.k, "m": config.m, "h": config.h, "compression": config.compression, "parts": parts, "deletes": []})
+        except commits.Conflict as other:
+            raise FileExistsError(f"there is an index in {path}") from other
+        return Index(spark, path)
 
     @staticmethod
     def build_sequences(spark: SparkSession, config: IndexConfig, seqs: DataFrame, order: list[str] | None = None) -> Index:
@@ -169,35 +267,158 @@ class Index:
         bloom = bloom.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).join(named, "path").select("sample_name", "row_index")
         return Index.build(spark, config, staged(bloom, "bloom"), named.select("sample_name", "n"), ["n"])
 
-    def _next(self, num_cols: int, samples: DataFrame | str, parts: list[str]) -> Index:
-        return Index._commit(self.spark, self.path, self.n + 1, self.k, self.m, self.h, self.compression, num_cols, samples, parts)
+    def _change(self, made: Callable[[Index], dict]) -> Index:
+        """Commits what `made` changes of the state, made again on the newest state as long as other writers come first."""
+        base = self
+        for _ in range(TRIES):
+            state = base.state | made(base)
+            try:
+                commits.write(self.spark, self.path, base.n + 1, state)
+                return Index(self.spark, self.path, n=base.n + 1)
+            except commits.Conflict:
+                base = Index(self.spark, self.path)
+        raise commits.Conflict(f"{TRIES} other changes of {self.path} came first")
 
     def insert(self, bloom: DataFrame, name: str) -> Index:
         """One more sample from its set rows (row_index); rows beyond the filter's size are padding."""
-        new = self.spark.createDataFrame([(name,)], "sample_name string")
+        new = self.spark.createDataFrame([(0, name)], "colour int, sample_name string")
         metadata.validate(new, self.samples())
-        column = bloom.where((F.col("row_index") >= 0) & (F.col("row_index") < self.m)).select("row_index", F.lit(self.num_cols).alias("colour"))
-        part = self._write(self.spark, self.path, sig.transpose(column), self.compression)
-        both = self.samples().unionByName(metadata.assign(new, ["sample_name"], self.num_cols))
-        return self._next(self.num_cols + 1, both, [*self._parts, part])
+        column = staged(bloom.where((F.col("row_index") >= 0) & (F.col("row_index") < self.m)).select("row_index", F.lit(0).alias("colour")).distinct(), "column")
+        part = self._write(self.spark, self.path, self.m, self.compression, sig.transpose(column), new, 1, column.count())
+
+        def made(base: Index) -> dict:
+            if base.n != self.n:
+                metadata.validate(new, base.samples())
+            return {"parts": [*base.parts, part]}
+
+        return self._change(made)
 
     def merge(self, other: Index) -> Index:
         """Other's samples after the own ones; both need equal k, m and h."""
         if (self.k, self.m, self.h) != (other.k, other.m, other.h):
             raise ValueError("indexes with different k, m or h")
-        both = metadata.merge(self.samples(), other.samples(), self.num_cols)
-        moved = sig.merge(self.spark.createDataFrame([], "row_index int, word_no int, bits long"), other.signature(), self.num_cols)
-        part = self._write(self.spark, self.path, moved, self.compression)
-        return self._next(self.num_cols + other.num_cols, both, [*self._parts, part])
+        theirs, written = other.samples(), {}
+
+        def made(base: Index) -> dict:
+            both = metadata.merge(base.samples(), theirs, base.num_cols).where(F.col("colour") >= base.num_cols)
+            moved = staged(both.withColumn("colour", (F.col("colour") - base.num_cols).cast("int")), "moved")
+            if not written:
+                written.update(self._write(self.spark, self.path, self.m, self.compression, other.signature(), moved, other.num_cols, sum(p["words"] for p in other.parts)))
+            else:  # other names may be taken by now
+                moved.select("colour", "sample_name").write.mode("overwrite").parquet(f"{self.path}/samples/{written['name']}")
+            gone = moved.where("deleted").select(F.lit(written["name"]).alias("part"), "colour")
+            return {"parts": [*base.parts, dict(written)], "deletes": [*base.state["deletes"], *self._marked(gone)]}
+
+        return self._change(made)
+
+    def _marked(self, gone: DataFrame) -> list[str]:
+        """Writes (part, colour) as a table of deletions; none for no rows."""
+        if gone.isEmpty():
+            return []
+        table = uuid.uuid4().hex
+        gone.select("part", "colour").coalesce(1).write.parquet(f"{self.path}/deletes/{table}")
+        return [table]
 
     def delete_sample(self, name: str) -> Index:
-        """Marks a sample; its name stays taken and its column stays in place."""
-        return self._next(self.num_cols, metadata.delete(self.samples(), name), self._parts)
-
-    def compact(self) -> Index:
-        return self._next(self.num_cols, self._samples, [self._write(self.spark, self.path, self.signature(), self.compression)])
+        """Marks a sample; its name stays taken and its column in place until a `compact` that purges."""
+        return self.delete_samples(self.spark.createDataFrame([(name,)], "sample_name string"))
+
+    def delete_samples(self, names: DataFrame) -> Index:
+        """Marks the samples of a table of names (sample_name) in one change; every one must be there."""
+        wanted = names.select("sample_name").distinct()
+
+        def made(base: Index) -> dict:
+            live = staged(base.samples().where(~F.col("deleted")).select("colour", "sample_name").join(wanted, "sample_name", "right"), "gone")
+            missing = live.where("colour IS NULL").limit(1).collect()
+            if missing:
+                raise ValueError(f"no sample {missing[0]['sample_name']!r}")
+            places = self.spark.createDataFrame([(p["name"], base._first(p), base._first(p) + p["cols"]) for p in base.parts], "part string, lo int, hi int")
+            # As many places as the commit has parts.
+            gone = live.join(F.broadcast(places), (F.col("colour") >= F.col("lo")) & (F.col("colour") < F.col("hi"))).select("part", (F.col("colour") - F.col("lo")).alias("colour"))
+            return {"deletes": [*base.state["deletes"], *self._marked(gone)]}
+
+        return self._change(made)
+
+    # Maintenance
+
+    def _own(self, run: list[dict]) -> DataFrame:
+        """The samples of adjacent parts, counted from the first one's."""
+        first, cols = self._first(run[0]), sum(p["cols"] for p in run)
+        return self.samples().where((F.col("colour") >= first) & (F.col("colour") < first + cols)).withColumn("colour", (F.col("colour") - first).cast("int"))
+
+    def _one_of(self, run: list[dict]) -> tuple[dict, list[str]]:
+        """Writes one part for adjacent ones; also the tables of deletions that then hold."""
+        own = staged(self._own(run), "own")
+        merged = sig.compact(reduce(DataFrame.unionByName, [sig.shifted(self._scan(p), -self._first(run[0])) for p in run]))
+        part = self._write(self.spark, self.path, self.m, self.compression, merged, own, sum(p["cols"] for p in run), sum(p["words"] for p in run))
+        others = self._deleted().where(~F.col("part").isin([p["name"] for p in run]))
+        return part, self._marked(others.unionByName(own.where("deleted").select(F.lit(part["name"]).alias("part"), "colour")))
+
+    def _purged(self) -> dict:
+        """Writes one part with the samples that are not deleted; they keep their order."""
+        numbered = staged(metadata.assign(self.samples().where(~F.col("deleted")).withColumnRenamed("colour", "was"), ["was"], keep=["was"]), "numbered")
+        kept = numbered.groupBy(words.word_of(F.col("was")).alias("word_no")).agg(F.bit_or(words.mask_of(F.col("was"))).alias("kept"), F.min("colour").alias("start"))
+        # One row for 64 samples on the right; a word number may be that of most words.
+        closed = sig.compact(sig.closed_up(join_spread(self.signature(), staged(kept, "kept"), "word_no", "row_index")))
+        return self._write(self.spark, self.path, self.m, self.compression, closed, numbered, metadata.count(numbered), sum(p["words"] for p in self.parts))
+
+    def compact(self, purge: bool = False) -> Index:
+        """All parts as one. With `purge` without the deleted samples: their names are free again, and later samples get smaller numbers."""
+
+        def made(base: Index) -> dict:
+            if not base.parts:
+                return {}
+            part, deletes = (base._purged(), []) if purge else base._one_of(base.parts)
+            return {"parts": [part], "deletes": deletes}
+
+        return self._change(made)
+
+    def tidy(self, fanout: int = FANOUT) -> Index:
+        """Merges runs of at least `fanout` adjacent parts of about one size (of one power of it in words), as long as there are any.
+
+        So every word is rewritten once for each power of `fanout` in the index's size, and parts stay few.
+        """
+        tier = lambda p: int(math.log(max(p["words"], 1), fanout))
+        now = self
+        while True:
+            runs: list[list[dict]] = []
+            for part in now.parts:
+                if runs and tier(runs[-1][0]) == tier(part):
+                    runs[-1].append(part)
+                else:
+                    runs.append([part])
+            long = next((r for r in runs if len(r) >= fanout), None)
+            if long is None:
+                return now
+            names = [p["name"] for p in long]
+
+            def made(base: Index, names: list[str] = names) -> dict:
+                run = [p for p in base.parts if p["name"] in names]
+                if len(run) < len(names):
+                    return {}  # another writer has merged them
+                at = base.parts.index(run[0])
+                part, deletes = base._one_of(run)
+                return {"parts": [*base.parts[:at], part, *base.parts[at + len(run) :]], "deletes": deletes}
+
+            now = now._change(made)
+
+    def vacuum(self, keep: int = 1, older_than: float = 86_400.0) -> int:
+        """Removes the commits before the last `keep`, and the tables that no commit left names; returns how many were removed.
+
+        Tables younger than `older_than` seconds stay, as they may be those of a change that is not committed yet.
+        """
+        made = commits.numbers(self.spark, self.path)
+        kept = [commits.read(self.spark, self.path, n) for n in made[-max(keep, 1) :]]
+        used = {p["name"] for state in kept for p in state["parts"]} | {t for state in kept for t in state["deletes"]}
+        gone = [f"commits/{n}.json" for n in made[: -max(keep, 1)]]
+        before = time.time() - older_than
+        gone += [f"commits/{name}" for name, at in commits.listed(self.spark, f"{self.path}/commits").items() if name.startswith(".") and not name.endswith(".crc") and at <= before]
+        for kind in ("signature", "samples", "deletes"):
+            gone += [f"{kind}/{name}" for name, at in commits.listed(self.spark, f"{self.path}/{kind}").items() if name not in used and at <= before]
+        for name in gone:
+            commits.remove(self.spark, f"{self.path}/{name}")
+        return len(gone)
 
     def delete(self) -> None:
         """Removes this index's directory and nothing else."""
-        fs, at = _fs(self.spark, self.path)
-        fs.delete(at, True)
+        commits.remove(self.spark, self.path)

@@ -633,12 +633,17 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(part_queries(spark, sf_dir), THRESHOLD)
 
 
-def _changed_index(spark: SparkSession, sf_dir: str) -> Index:
-    """Parts up to a size, merged with the others, all suppliers' sequences inserted as one sample, and the first name deleted."""
+def _halves(spark: SparkSession, sf_dir: str) -> Index:
+    """Parts up to a size, merged with the others."""
     samples = part_samples(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("colour"), "p_size"), "colour").withColumn("n", F.col("colour"))
     halves = [Index.build_sequences(spark, IndexConfig(path=fresh_path(spark, "index")), samples.where(which), ["n"]) for which in ("p_size <= 25", "p_size > 25")]
+    return halves[0].merge(halves[1])
+
+
+def _changed_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The halves, with all suppliers' sequences inserted as one sample, and the first name deleted."""
     extra = table(spark, sf_dir, "supplier").select(F.lit(0).alias("one"), dna(F.col("s_name")).alias("seq"))
-    index = halves[0].merge(halves[1]).insert(sig.bloom_of_sequences(extra, "one", "seq", K, H, M), "suppliers")
+    index = _halves(spark, sf_dir).insert(sig.bloom_of_sequences(extra, "one", "seq", K, H, M), "suppliers")
     gone = index.samples().agg(F.min("sample_name")).first()[0]
     return index.delete_sample(gone).compact()
 
@@ -674,6 +679,31 @@ def index_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("colour", "sample_name", "deleted", F.lit(n).alias("num_samples"), F.lit(removed).alias("removed"))
 
 
+_PURGED = _CHANGED.replace(" FROM q)", " FROM q WHERE p_partkey % 5 <> 0)")
+
+
+@query(
+    f"WITH {_PURGED}, asked AS (SELECT DISTINCT p_brand || '|' || p_type AS query_id, {_dna('p_brand')} || {_dna('p_type')} AS seq FROM part), {HELD}, {OWN}, {FOUND}"
+    f" SELECT {HITS} FROM found JOIN sizes USING (query_id) JOIN parts USING (colour) WHERE num_kmers_found = num_kmers"
+)
+def index_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search after a merge, a deletion of every fifth part, a compaction that drops them and renumbers the others, and the removal of all older tables."""
+    index = _halves(spark, sf_dir)
+    gone = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("sample_name"))
+    index = index.delete_samples(gone).compact(purge=True)
+    index.vacuum(older_than=-60)
+    return index.search(part_queries(spark, sf_dir))
+
+
+@query("SELECT DISTINCT CAST(l_partkey AS INTEGER) AS row_index, c.colour FROM lineitem JOIN (SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS colour FROM supplier) c ON l_suppkey = c.s_suppkey WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10)")
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a stored index, read by their blocks: the suppliers of small parts."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n"), F.col("s_suppkey").cast("string").alias("sample_name"))
+    bits = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("sample_name"), F.col("l_partkey").cast("int").alias("row_index"))
+    index = Index.build(spark, IndexConfig(path=fresh_path(spark, "index")), staged(bits.distinct(), "bloom"), suppliers, ["n"])
+    return index.get_rows(table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").cast("int").alias("row_index")))
+
+
 _AMINO = "'FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG'"
 
 

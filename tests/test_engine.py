@@ -217,7 +217,7 @@ def test_build_in_chunks_and_compression(spark, tmp_path):
     samples = spark.createDataFrame([(i, f"s{i:03d}", "ACGTACGTTG"[i % 5 :] + "ACGT"[i % 4] * 4) for i in range(130)], "n int, sample_name string, seq string")
     whole = Index.build_sequences(spark, IndexConfig(k=3, m=100, h=2, path=str(tmp_path / "w"), compression="snappy"), samples, ["n"])
     parts = Index.build_sequences(spark, IndexConfig(k=3, m=100, h=2, path=str(tmp_path / "p"), max_build_bytes=40 * 113), samples, ["n"])
-    assert len(parts._parts) > 2 and len(whole._parts) == 1
+    assert len(parts.parts) > 2 and len(whole.parts) == 1
     assert sorted(map(tuple, sig.untranspose(parts.signature()).collect())) == sorted(map(tuple, sig.untranspose(whole.signature()).collect()))
     assert list((tmp_path / "w" / "signature").rglob("*.snappy.parquet")) and not list((tmp_path / "p" / "signature").rglob("*.snappy.parquet"))
     with pytest.raises(ValueError):
