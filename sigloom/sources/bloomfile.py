@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-import os
-import re
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.sources import binary
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, content in zip(batch.column(0), batch.column(1), strict=True):
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(content.as_py(), np.uint8))).astype(np.int32)
-            for lo in range(0, len(at), 1 << 20):
-                part = at[lo : lo + (1 << 20)]
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part), pa.string()), pa.array(part)], names=["path", "row_index"])
+
+class Filters(binary.Format):
+    """A record is a byte; a row is a set bit."""
+
+    name = "sigloom_filters"
+    columns = {"path": "string", "row_index": "long"}
+
+    @staticmethod
+    def layout(head: bytes) -> binary.Layout:
+        return binary.Layout(0, 1)
+
+    @staticmethod
+    def decode(path: str, head: bytes, n: int, data: bytes, wanted: list[str]) -> dict[str, pa.Array]:
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))) + 8 * n
+        return {"path": pa.DictionaryArray.from_arrays(np.zeros(len(at), np.int32), [path]).cast(pa.string()), "row_index": pa.array(at, pa.int64())}
 
 
 def read_filters(spark: SparkSession, paths: str | list[str], m: int) -> DataFrame:
     """path, row_index; padding bits beyond m are left out."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(_positions, "path string, row_index int").where(F.col("row_index") < m)
+    return binary.read(spark, Filters, paths).where(F.col("row_index") < m).select("path", F.col("row_index").cast("int").alias("row_index"))
 
 
 def packed(bloom: DataFrame, key: str, m: int) -> DataFrame:
@@ -47,43 +51,15 @@ def write_filters(bloom: DataFrame, key: str, m: int, directory: str) -> None:
     packed(bloom, key, m).write.mode("overwrite").partitionBy(key).parquet(directory)
 
 
-def _local(directory: str) -> str:
-    return re.sub("^file:/*", "/", directory)
-
-
-def _save(directory: str, name: str, content: bytes) -> None:
-    """Whole or not at all, so a task that runs twice leaves one file."""
-    os.makedirs(directory, exist_ok=True)
-    part = os.path.join(directory, f".{name}.{uuid.uuid4().hex}")
-    with open(part, "wb") as file:
-        file.write(content)
-    os.replace(part, os.path.join(directory, name))
-
-
 def write_raw(bloom: DataFrame, key: str, m: int, directory: str) -> None:
-    """One raw file for each sample in a directory that is mounted on the executors and the reader alike."""
-    target = _local(directory)
-
-    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for name, content in zip(pdf[key], pdf["content"], strict=True):
-                _save(target, f"{name}.bloom", content)
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    packed(bloom, key, m).mapInPandas(save, "n long").agg(F.sum("n")).collect()
-
-
-def write_parts(rows: DataFrame, directory: str, suffix: str, encode: Callable[[pd.DataFrame], bytes]) -> None:
-    """The rows of each task, encoded, as one file in a directory that is mounted on the executors and the reader alike."""
-    target = _local(directory)
+    """One raw file for each sample, `<directory>/<sample>.bloom`; all appear, or none."""
 
-    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [f for f in frames if len(f)]
-        if parts:
-            _save(target, f"part-{TaskContext.get().partitionId():05d}.{suffix}", encode(pd.concat(parts)))
-        yield pd.DataFrame({"n": [len(parts)]})
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield f"{name}.bloom", iter([content.as_buffer()])
 
-    rows.mapInPandas(save, "n long").agg(F.sum("n")).collect()
+    binary.write(packed(bloom, key, m).select(F.col(key).cast("string"), "content"), directory, encode)
 
 
 def write_file(bloom: DataFrame, m: int, path: str) -> None:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
 import json
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import kmers as km
 from sigloom.operators.graph import components
-from sigloom.sources.bloomfile import write_parts
+from sigloom.sources import binary
 
 MAGIC, VERSION = b"CORTEX", 6
-BATCH = 1 << 16
 
 RECORD = "path string, kmer_size int, kmer string, coverages array<bigint>, edges array<int>"
 LINK = "path string, kmer string, direction string, num_kmers int, counts array<int>, junctions string"
@@ -38,6 +37,8 @@ def header(data: bytes) -> tuple[int, int, int, int]:
     for _ in range(colours):  # cleaning
         at += 12
         at += 4 + struct.unpack_from("<I", data, at)[0]
+    if at + len(MAGIC) > len(data):
+        raise IndexError("more of the file is needed")
     if data[at : at + 6] != MAGIC:
         raise ValueError("the graph's header does not end where it should")
     return size, words, colours, at + 6
@@ -50,32 +51,38 @@ def _decode(values: np.ndarray, size: int) -> list[str]:
     return letters.view(f"S{size}").ravel().astype(str).tolist() if len(values) else []
 
 
-def _graph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = content.as_py()
-            size, words, colours, at = header(data)
-            if words != 1 or size > 31:
-                raise ValueError("k-mers of more than 31 bases are not supported")
-            kind = np.dtype([("kmer", "<u8"), ("coverage", "<u4", (colours,)), ("edges", "u1", (colours,))])
-            n = (len(data) - at) // kind.itemsize
-            for lo in range(0, n, BATCH):
-                part = np.frombuffer(data, kind, min(BATCH, n - lo), at + lo * kind.itemsize)
-                bounds = pa.array(np.arange(len(part) + 1, dtype=np.int32) * colours)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([path] * len(part), pa.string()), pa.array(np.full(len(part), size, np.int32)), pa.array(_decode(part["kmer"], size), pa.string()),
-                        pa.ListArray.from_arrays(bounds, pa.array(part["coverage"].astype(np.int64).ravel())),
-                        pa.ListArray.from_arrays(bounds, pa.array(part["edges"].astype(np.int32).ravel())),
-                    ],
-                    names=["path", "kmer_size", "kmer", "coverages", "edges"],
-                )
-
-
-def read_graph(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, kmer_size, kmer (canonical), coverages and edges (a byte for each colour)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_graph_rows, RECORD).withColumn("kmer", km.canonical(F.col("kmer")))
+class Graphs(binary.Format):
+    """A record is a k-mer of up to 31 bases, its coverages and its edge bytes."""
+
+    name = "sigloom_graphs"
+    columns = dict(c.split(" ", 1) for c in RECORD.split(", "))
+
+    @staticmethod
+    def layout(head: bytes) -> binary.Layout:
+        size, words, colours, at = header(head)
+        if words != 1 or size > 31:
+            raise ValueError("k-mers of more than 31 bases are not supported")
+        return binary.Layout(at, 8 + 5 * colours)
+
+    @staticmethod
+    def decode(path: str, head: bytes, n: int, data: bytes, wanted: list[str]) -> dict[str, pa.Array]:
+        size, _, colours, _ = header(head)
+        part = np.frombuffer(data, np.dtype([("kmer", "<u8"), ("coverage", "<u4", (colours,)), ("edges", "u1", (colours,))]))
+        bounds = pa.array(np.arange(len(part) + 1, dtype=np.int32) * colours)
+        made = {
+            "path": lambda: pa.DictionaryArray.from_arrays(np.zeros(len(part), np.int32), [path]).cast(pa.string()),
+            "kmer_size": lambda: pa.array(np.full(len(part), size, np.int32)),
+            "kmer": lambda: pa.array(_decode(part["kmer"], size), pa.string()),
+            "coverages": lambda: pa.ListArray.from_arrays(bounds, pa.array(part["coverage"].astype(np.int64).ravel())),
+            "edges": lambda: pa.ListArray.from_arrays(bounds, pa.array(part["edges"].astype(np.int32).ravel())),
+        }
+        return {c: made[c]() for c in wanted}
+
+
+def read_graph(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
+    """path, kmer_size, kmer (canonical), coverages and edges (a byte for each colour), or some of these; many tasks read a file."""
+    found = binary.read(spark, Graphs, path, columns)
+    return found.withColumn("kmer", km.canonical(F.col("kmer"))) if "kmer" in found.columns else found
 
 
 def graph_kmers(graph: DataFrame, k: int) -> DataFrame:
@@ -90,73 +97,115 @@ def neighbours(graph: DataFrame, colour: int = 0) -> DataFrame:
     return graph.select("kmer", F.explode(ways).alias("w")).select("kmer", "w.direction", F.explode("w.next").alias("next"))
 
 
-def write_graph(records: list[tuple[str, list[int], list[int]]], size: int, names: list[str]) -> bytes:
-    """A graph file of (kmer, coverages, edge bytes); for tests and small exports."""
+def _head(size: int, names: list[str]) -> bytes:
     out = [MAGIC, struct.pack("<4I", VERSION, size, 1, len(names)), bytes(12 * len(names))]
     out += [struct.pack("<I", len(n)) + n.encode() for n in names]
-    out += [bytes(16 * len(names)), *(bytes(12) + struct.pack("<I", 0) for _ in names), MAGIC]
-    for kmer, coverages, edges in records:
-        value = 0
-        for base in kmer:
-            value = value * 4 + km.ALPHABET.index(base)
-        out.append(struct.pack(f"<Q{len(names)}I{len(names)}B", value, *coverages, *edges))
-    return b"".join(out)
+    return b"".join([*out, bytes(16 * len(names)), *(bytes(12) + struct.pack("<I", 0) for _ in names), MAGIC])
+
+
+def _encoded(kmers: list[str], coverages: list[list[int]], edges: list[list[int]], size: int, colours: int) -> bytes:
+    out = np.zeros(len(kmers), np.dtype([("kmer", "<u8"), ("coverage", "<u4", (colours,)), ("edges", "u1", (colours,))]))
+    if kmers:
+        letters = np.frombuffer("".join(kmers).encode(), np.uint8).reshape(len(kmers), size)
+        codes = np.searchsorted(np.frombuffer(km.ALPHABET.encode(), np.uint8), letters).astype(np.uint64)
+        shifts = np.arange(size - 1, -1, -1, dtype=np.uint64) * np.uint64(2)
+        out["kmer"] = np.bitwise_or.reduce(codes << shifts, axis=1)
+        out["coverage"], out["edges"] = np.array(coverages), np.array(edges)
+    return out.tobytes()
+
+
+def write_graph(records: list[tuple[str, list[int], list[int]]], size: int, names: list[str]) -> bytes:
+    """A graph file of (kmer, coverages, edge bytes); for tests and small exports."""
+    kmers, coverages, edges = ([r[i] for r in records] for i in range(3))
+    return _head(size, names) + _encoded(kmers, coverages, edges, size, len(names))
 
 
 def write_graphs(records: DataFrame, size: int, names: list[str], directory: str) -> None:
-    """(kmer, coverages, edges) as graph files, one for each task."""
-    def encode(rows: pd.DataFrame) -> bytes:
-        return write_graph(list(zip(rows["kmer"], rows["coverages"], rows["edges"], strict=True)), size, names)
+    """(kmer, coverages, edges) as graph files, one for each task that has rows; all appear, or none."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
+        some = (x for x in batches if len(x))
+        first = next(some, None)
+        if first is not None:
+            own = (_encoded(*(x.column(i).to_pylist() for i in range(3)), size, len(names)) for x in chain([first], some))
+            yield binary.part_name("ctx"), chain([_head(size, names)], own)
 
-    write_parts(records.select("kmer", "coverages", "edges"), directory, "ctx", encode)
+    binary.write(records.select("kmer", "coverages", "edges"), directory, encode)
 
 
 def write_links(links: DataFrame, size: int, directory: str) -> None:
-    """(kmer, direction, num_kmers, counts, junctions) as gzipped link files of version 3, one for each task."""
-    def encode(rows: pd.DataFrame) -> bytes:
-        lines = [json.dumps({"file_format": "ctp", "format_version": 3, "graph": {"kmer_size": size}, "paths": {}}), ""]
-        for kmer, own in rows.groupby("kmer", sort=True):
-            lines.append(f"{kmer} {len(own)}")
-            lines += [f"{r.direction} {r.num_kmers} {len(r.junctions)} {','.join(map(str, r.counts))} {r.junctions}" for r in own.itertuples()]
-        return gzip.compress(("\n".join(lines) + "\n").encode())
-
-    write_parts(links.select("kmer", "direction", "num_kmers", "counts", "junctions").repartition("kmer"), directory, "ctp.gz", encode)
-
-
-def _links(text: str) -> tuple[dict, list[tuple]]:
-    meta, end = json.JSONDecoder().raw_decode(text.lstrip())
-    body = text.lstrip()[end:]
-    kind, version = (meta.get("fileFormat"), meta.get("formatVersion")) if "fileFormat" in meta else (meta.get("file_format"), meta.get("format_version"))
-    if kind != "ctp" or version not in (2, 3):
-        raise ValueError("not a link file of version 2 or 3")
-    rows, kmer, left = [], None, 0
-    for line in body.splitlines():
+    """(kmer, direction, num_kmers, counts, junctions) as gzipped link files of version 3, one for each task that has rows, by Spark's text writer."""
+    top = json.dumps({"file_format": "ctp", "format_version": 3, "graph": {"kmer_size": size}, "paths": {}})
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            # An entry is one value of many lines, so a k-mer's links stay together.
+            out = [] if begun or not len(batch) else [top + "\n"]
+            begun = begun or len(batch) > 0
+            for kmer, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.append("\n".join([f"{kmer} {len(own)}", *(f"{r['direction']} {r['num_kmers']} {len(r['junctions'])} {','.join(map(str, r['counts']))} {r['junctions']}" for r in own)]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    own = links.groupBy("kmer").agg(F.array_sort(F.collect_list(F.struct("direction", "num_kmers", "counts", "junctions"))).alias("links"))
+    own.mapInArrow(lines, "value string").write.mode("append").option("compression", "gzip").text(directory)
+
+
+class _Links:
+    """The lines of one link file, one after the other."""
+
+    def __init__(self) -> None:
+        self.top: list[str] | None = []
+        self.kmer, self.left = "", 0
+
+    def row(self, line: str) -> tuple | None:
+        """The link that a line holds, if it does."""
+        if self.top is not None:
+            self.top.append(line)
+            if line.rstrip().endswith("}"):
+                try:
+                    meta = json.loads("\n".join(self.top))
+                except ValueError:
+                    return None  # a brace inside the header
+                kind, version = (meta.get("fileFormat"), meta.get("formatVersion")) if "fileFormat" in meta else (meta.get("file_format"), meta.get("format_version"))
+                if kind != "ctp" or version not in (2, 3):
+                    raise ValueError("not a link file of version 2 or 3")
+                self.top = None
+            return None
         fields = line.split()
         if not fields or line.lstrip().startswith("#"):
-            continue
-        if not left:
-            kmer, left = fields[0], int(fields[1])
-            continue
+            return None
+        if not self.left:
+            self.kmer, self.left = fields[0], int(fields[1])
+            return None
         direction, n, junctions, counts, bases = fields[:5]
         if len(bases) != int(junctions):
-            raise ValueError(f"{kmer}: {junctions} junctions expected, {bases} found")
-        rows.append((kmer, direction, int(n), [int(x) for x in counts.split(",")], bases))
-        left -= 1
-    return meta, rows
+            raise ValueError(f"{self.kmer}: {junctions} junctions expected, {bases} found")
+        self.left -= 1
+        return self.kmer, direction, int(n), [int(x) for x in counts.split(",")], bases
 
 
 def read_links(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, kmer, direction, num_kmers, counts, junctions of gzipped link files (versions 2 and 3)."""
+    """path, kmer, direction, num_kmers, counts, junctions of gzipped link files (versions 2 and 3), line by line.
+
+    Spark reads a gzipped file in one task and its lines in order, of any length in all.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state = None, _Links()
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string()]
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, rows = _links(gzip.decompress(content.as_py()).decode())
-                cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["path", "kmer", "direction", "num_kmers", "counts", "junctions"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, LINK)
+            rows = []
+            for path, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if path != name:
+                    name, state = path, _Links()
+                found = state.row(line)
+                if found:
+                    rows.append((path, *found))
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "kmer", "direction", "num_kmers", "counts", "junctions"])
+
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(run, LINK)
 
 
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
