@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sigloom.functions import kmers as km
 from sigloom.functions import murmur, params, words
 from sigloom.functions import score as sc
+from sigloom.operators import contigs as walk
 from sigloom.operators import metadata, search, variants
 from sigloom.operators import signature as sig
 from sigloom.plans.config import IndexConfig
@@ -610,12 +611,41 @@ def links_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_GRAPH} SELECT seq AS contig, a AS seed FROM e")
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walks along the edges from the first k-mer of each supplier's sequence, inside its connected part of the graph."""
+    """Walks along the edges from the first k-mer of each supplier's sequence."""
     path, seqs = _graph_files(spark, sf_dir)
-    graph = cortex.with_components(cortex.read_graph(spark, path))
-    seeds = seqs.select(F.substring("seq", 1, K).alias("seed")).withColumn("kmer", km.canonical(F.col("seed")))
-    seeds = seeds.join(graph.select("kmer", "component"), "kmer").select("component", "seed")
-    return cortex.contigs(seeds, graph, spark.createDataFrame([], cortex.LINK)).select("seed", "contig")
+    return walk.contigs(seqs.select(F.substring("seq", 1, K).alias("seed")), cortex.read_graph(spark, path, ["kmer", "edges"]))
+
+
+#: Sequences with a fork behind base 40: one way goes on with what is written there, the other with the dna of the phone number.
+_FORKED = (
+    f"f AS (SELECT s_suppkey, {_dna('s_name')} || {_dna('s_address')} AS one, {_dna('s_name')} || substr({_dna('s_address')}, 1, 8) || translate(substr({_dna('s_address')}, 9, 1), 'ACGT', 'CGTA') || {_dna('s_phone')} AS two FROM supplier)"
+)
+
+
+@query(f"WITH {_FORKED} SELECT substr(one, 1, {K}) AS seed, CASE s_suppkey % 3 WHEN 0 THEN substr(one, 1, 40) WHEN 1 THEN one ELSE two END AS contig FROM f")
+def contigs_of_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks through a fork in each supplier's graph: a link takes one of three to either way, and without one the walk ends there."""
+    suppliers = table(spark, sf_dir, "supplier")
+    name, address, phone = (dna(F.col(c)) for c in ("s_name", "s_address", "s_phone"))
+    turned = F.translate(F.substring(address, 9, 1), "ACGT", "CGTA")
+    ways = suppliers.select("s_suppkey", F.concat(name, address).alias("one"), F.concat(name, F.substring(address, 1, 8), turned, phone).alias("two"))
+    long = ways.select("s_suppkey", F.explode(F.array("one", "two")).alias("seq"))
+    # Both ends of each k+1 bases, with the edge between them as either strand has it.
+    pair = km.occurrences(long, "s_suppkey", "seq", K + 1).select(F.substring("kmer", 1, K).alias("a"), F.substring("kmer", 2, K).alias("b")).distinct()
+
+    def strand(kmer: Column, base: Column) -> Column:
+        """The canonical k-mer and the edge byte of a base that follows the k-mer as it is read."""
+        bit = F.call_function("shiftleft", F.lit(1), F.instr(F.lit(km.ALPHABET), base) - 1)
+        return F.struct(km.canonical(kmer).alias("kmer"), F.when(kmer <= km.reverse_complement(kmer), bit).otherwise(F.call_function("shiftleft", bit, F.lit(4))).alias("byte"))
+
+    a, b = F.col("a"), F.col("b")
+    both = F.array(strand(a, F.substring(b, -1, 1)), strand(km.reverse_complement(b), F.substring(km.reverse_complement(a), -1, 1)))
+    graph = pair.select(F.explode(both).alias("e")).groupBy("e.kmer").agg(F.bit_or("e.byte").alias("byte")).select("kmer", F.array("byte").alias("edges"))
+    seed = F.substring("one", 1, K)
+    direction = F.when(seed <= km.reverse_complement(seed), "F").otherwise("R")
+    turn = F.when(F.col("s_suppkey") % 3 == 1, F.substring("one", 41, 1)).otherwise(F.substring("two", 41, 1))
+    links = ways.where("s_suppkey % 3 > 0").select(km.canonical(seed).alias("kmer"), direction.alias("direction"), turn.alias("junctions"))
+    return walk.contigs(ways.select(seed.alias("seed")), graph, links)
 
 
 # A stored index

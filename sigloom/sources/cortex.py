@@ -1,4 +1,4 @@
-"""Binary de Bruijn graphs (version 6) and their link files, and contigs along them."""
+"""Binary de Bruijn graphs (version 6) and their link files."""
 
 from __future__ import annotations
 
@@ -208,73 +208,9 @@ def read_links(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(run, LINK)
 
 
-_COMPLEMENT = str.maketrans("ACGT", "TGCA")
-
-
-def contig(seed: str, edges: dict[str, int], links: dict[str, list[tuple[str, str]]], most: int = 1_000_000) -> str:
-    """The sequence from a seed along the only way, and at forks along the oldest open link; ends where neither helps.
-
-    `edges` has an edge byte and `links` (direction, junctions) by canonical k-mer. A k-mer met twice on the same
-    strand with the same open links ends the walk, as does `most`.
-    """
-    kmer, flipped, out = seed, False, seed[:-1]
-    open_links: list[str] = []
-    met: set[tuple[str, bool, tuple[str, ...]]] = set()
-    while len(out) < most:
-        shown = kmer.translate(_COMPLEMENT)[::-1]
-        out += shown[-1] if flipped else kmer[-1]
-        here = kmer
-        if shown < kmer:
-            flipped, here = not flipped, shown
-        state = (here, flipped, tuple(open_links))
-        if here not in edges or state in met:
-            return out
-        met.add(state)
-        open_links += [j for d, j in links.get(here, ()) if d == ("R" if flipped else "F")]
-        byte = edges[here]
-        if flipped:
-            ways = {b: b + here[:-1] for i, b in enumerate(km.ALPHABET[::-1]) if byte >> (4 + i) & 1}
-        else:
-            ways = {b: here[1:] + b for i, b in enumerate(km.ALPHABET) if byte >> i & 1}
-        if not ways:
-            return out
-        if len(ways) == 1:
-            kmer = next(iter(ways.values()))
-            continue
-        if not open_links:
-            return out
-        turn = open_links[0][0]
-        base = turn.translate(_COMPLEMENT) if flipped else turn
-        if base not in ways:
-            return out
-        kmer = ways[base]
-        open_links = [j[1:] for j in open_links if j[0] == turn and len(j) > 1]
-    return out
-
-
 def with_components(graph: DataFrame, colour: int = 0) -> DataFrame:
     """The graph with `component`: the smallest k-mer of its connected part."""
     edges = neighbours(graph, colour).select(F.col("kmer").alias("a"), F.col("next").alias("b"))
     own = graph.select(F.col("kmer").alias("a"), F.col("kmer").alias("b"))
     labels = components(edges.join(graph.select(F.col("kmer").alias("b")), "b", "left_semi").unionByName(own))
     return graph.join(labels.select(F.col("node").alias("kmer"), F.col("label").alias("component")), "kmer")
-
-
-def contigs(seeds: DataFrame, graph: DataFrame, links: DataFrame, colour: int = 0) -> DataFrame:
-    """component, seed, contig for seeds and graph with a `component` column: one walk per seed, inside its component."""
-    def walk(key, seed_pdf, graph_pdf, link_pdf):
-        edges = {k: int(e[colour]) for k, e in zip(graph_pdf["kmer"], graph_pdf["edges"], strict=True)}
-        known: dict[str, list[tuple[str, str]]] = {}
-        for k, d, j in zip(link_pdf["kmer"], link_pdf["direction"], link_pdf["junctions"], strict=True):
-            if isinstance(k, str):
-                known.setdefault(k, []).append((d, j))
-        return pd.DataFrame({"component": [key[0]] * len(seed_pdf), "seed": seed_pdf["seed"], "contig": [contig(s, edges, known) for s in seed_pdf["seed"]]})
-
-    own = graph.join(links.select("kmer", "direction", "junctions"), "kmer", "left").select(F.col("component").alias("_of"), "kmer", "edges", "direction", "junctions")
-
-    def both(key, left, right):
-        return walk(key, left, right.drop_duplicates("kmer"), right)
-
-    kind = seeds.schema["component"].dataType.simpleString()
-    asked = seeds.select(F.col("component").alias("_in"), "seed")
-    return asked.groupBy("_in").cogroup(own.groupBy("_of")).applyInPandas(both, f"component {kind}, seed string, contig string")

@@ -12,6 +12,7 @@ from sigloom import __main__ as cli
 from sigloom.functions import kmers as km
 from sigloom.functions import score as sc
 from sigloom.functions import words
+from sigloom.operators.contigs import contigs
 from sigloom.operators import metadata, search, variants
 from sigloom.operators import signature as sig
 from sigloom.plans.config import IndexConfig
@@ -182,10 +183,13 @@ def test_graph_links_and_contigs(spark, tmp_path):
     (tmp_path / "old.ctp.gz").write_bytes(gzip.compress((old + "\n\nACG 2\nF 3 1 2,0 T\nR 4 2 1 GA\n").encode()))
     assert [(r["direction"], r["junctions"]) for r in cortex.read_links(spark, str(tmp_path / "old.ctp.gz")).collect()] == [("F", "T"), ("R", "GA")]
     # AAC -> ACC on the only way, then the end.
-    assert cortex.contig("AAC", {"AAC": 2, "ACC": 0}, {}) == "AACC"
+    known = lambda rows: spark.createDataFrame([(k, [e]) for k, e in rows.items()], "kmer string, edges array<int>")
+    seed = spark.createDataFrame([("AAC",)], "seed string")
+    fork, link = known({"AAC": 6, "ACC": 0, "ACG": 0}), spark.createDataFrame([("AAC", "F", "G")], "kmer string, direction string, junctions string")
+    assert contigs(seed, known({"AAC": 2, "ACC": 0})).first()["contig"] == "AACC"
     # At a fork the link decides.
-    assert cortex.contig("AAC", {"AAC": 6, "ACC": 0, "ACG": 0}, {"AAC": [("F", "G")]}) == "AACG"
-    assert cortex.contig("AAC", {"AAC": 6, "ACC": 0, "ACG": 0}, {}) == "AAC"
+    assert contigs(seed, fork, link).first()["contig"] == "AACG"
+    assert contigs(seed, fork).first()["contig"] == "AAC"
 
 
 def test_settings(tmp_path, monkeypatch):
