@@ -616,19 +616,18 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.contigs(seqs.select(F.substring("seq", 1, K).alias("seed")), cortex.read_graph(spark, path, ["kmer", "edges"]))
 
 
-#: Sequences with a fork behind base 40: one way goes on with what is written there, the other with the dna of the phone number.
-_FORKED = (
-    f"f AS (SELECT s_suppkey, {_dna('s_name')} || {_dna('s_address')} AS one, {_dna('s_name')} || substr({_dna('s_address')}, 1, 8) || translate(substr({_dna('s_address')}, 9, 1), 'ACGT', 'CGTA') || {_dna('s_phone')} AS two FROM supplier)"
-)
+#: Sequences with a fork behind base 40: one way goes on with what is written there, the other with another dna.
+_MORE, _OTHER = _dna("'more ' || s_name"), _dna("'other ' || s_name")
+_FORKED = f"f AS (SELECT s_suppkey, {_dna('s_name')} || {_MORE} AS one, {_dna('s_name')} || substr({_MORE}, 1, 8) || translate(substr({_MORE}, 9, 1), 'ACGT', 'CGTA') || {_OTHER} AS two FROM supplier)"
 
 
 @query(f"WITH {_FORKED} SELECT substr(one, 1, {K}) AS seed, CASE s_suppkey % 3 WHEN 0 THEN substr(one, 1, 40) WHEN 1 THEN one ELSE two END AS contig FROM f")
 def contigs_of_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks through a fork in each supplier's graph: a link takes one of three to either way, and without one the walk ends there."""
     suppliers = table(spark, sf_dir, "supplier")
-    name, address, phone = (dna(F.col(c)) for c in ("s_name", "s_address", "s_phone"))
-    turned = F.translate(F.substring(address, 9, 1), "ACGT", "CGTA")
-    ways = suppliers.select("s_suppkey", F.concat(name, address).alias("one"), F.concat(name, F.substring(address, 1, 8), turned, phone).alias("two"))
+    name, more, other = (dna(F.concat(F.lit(x), F.col("s_name"))) for x in ("", "more ", "other "))
+    turned = F.translate(F.substring(more, 9, 1), "ACGT", "CGTA")
+    ways = suppliers.select("s_suppkey", F.concat(name, more).alias("one"), F.concat(name, F.substring(more, 1, 8), turned, other).alias("two"))
     long = ways.select("s_suppkey", F.explode(F.array("one", "two")).alias("seq"))
     # Both ends of each k+1 bases, with the edge between them as either strand has it.
     pair = km.occurrences(long, "s_suppkey", "seq", K + 1).select(F.substring("kmer", 1, K).alias("a"), F.substring("kmer", 2, K).alias("b")).distinct()
