@@ -43,6 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.operators.graph import SALTS
+
 from . import urlfilter
 from .stage import staged
 
@@ -76,10 +78,18 @@ _OUT_WORDS = frozenset(
 )
 # Inside the main container: what marks reader comments and adverts, and only on boxes.
 _INNER_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion comment comments reply replies disqus share sharing newsletter subscribe cookie consent popup modal".split())
+# What a class may add to such a word and still name the same: share-buttons is one, share-price is not.
+_SHAPES = frozenset("area bar block body box button buttons container content count form frame group header icons inner item items label link links list main panel row section slot thread title top unit wrap wrapper".split())
 _NUMBER = re.compile(r"[0-9]")
 _SPACE = re.compile(r"\s+")
 
 
+def _marked(token: str) -> bool:
+    """Whether a class or id is made of words for comments and adverts, and of shapes, only."""
+    found = {x.lower() for x in _PART.findall(token)}
+    return not _INNER_WORDS.isdisjoint(found) and found <= _INNER_WORDS | _SHAPES
+
+
 def _signature(name: str, attributes: str) -> tuple[str, bool, bool]:
     """Name with class or id, and whether the element is left out: outside, and inside the main container."""
     out, label, inner = name in _OUT_TAGS, "", name in _OUT_TAGS
@@ -96,7 +106,7 @@ def _signature(name: str, attributes: str) -> tuple[str, bool, bool]:
                 if name not in _WHOLE:
                     found = {x.lower() for x in _PART.findall(value)}
                     out |= not _OUT_WORDS.isdisjoint(found)
-                    inner |= name in _BOXES and not _INNER_WORDS.isdisjoint(found)
+                    inner |= name in _BOXES and any(_marked(x) for x in value.split())
                 # A number names one page or place, not a kind of element.
                 kinds = [x for x in value.split() if not _NUMBER.search(x)]
                 if kinds:
@@ -537,7 +547,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The pages with `text` in place of the html column, and n_chars."""
-    wrappers = staged(infer_wrappers(pages, url_col, html_col).select(F.col("host").alias("_hx_host"), "main", "fixed"), "wrappers")
+    wrappers = staged(infer_wrappers(pages, url_col, html_col).select("host", "main", "fixed"), "wrappers")
     pages = pages.drop("text", "n_chars") if html_col != "text" else pages.drop("n_chars")
     rest = [c for c in pages.columns if c != html_col]
 
@@ -552,8 +562,13 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
                         seen.clear()
                     seen[fixed] = Matcher(fixed)
                 texts.append(cut(Page(source.as_py() or ""), main.as_py() or "", seen[fixed]))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[3:]], names=["_hx_text", *batch.schema.names[3:]])
-
-    keyed = pages.withColumn("_hx_host", urlfilter.host(F.col(url_col))).join(wrappers, "_hx_host", "left")
-    done = keyed.select(F.col(html_col), "main", "fixed", *rest).mapInArrow(run, "_hx_text string" + "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in rest))
-    return done.select(*rest, F.col("_hx_text").alias("text"), F.char_length("_hx_text").cast("long").alias("n_chars"))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], names=["text", "rest"])
+
+    # The other columns travel as one, so none of their names can meet one used here.
+    own = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
+    keyed = pages.select(urlfilter.host(F.col(url_col)).alias("host"), F.pmod(F.xxhash64(url_col), F.lit(SALTS)).alias("salt"), F.col(f"`{html_col}`").alias("html"), own.alias("rest"))
+    # One host may have most pages: these are dealt over groups, and its wrapper goes to each group that there is.
+    places = keyed.select("host", "salt").distinct().join(wrappers, "host")
+    fed = keyed.join(places, ["host", "salt"], "left").select("html", "main", "fixed", "rest")
+    done = fed.mapInArrow(run, f"text string, rest {keyed.schema['rest'].dataType.simpleString()}")
+    return done.select(*(F.col(f"rest.`{c}`") for c in rest), "text", F.char_length("text").cast("long").alias("n_chars"))

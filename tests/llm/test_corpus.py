@@ -107,7 +107,7 @@ def test_texts_built_to_collide_are_different(spark, n):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = queries.queries()[name](spark, DATA), duck.sql(queries.oracle_sql()[name])
     cols = sorted(got.columns)
@@ -758,6 +758,15 @@ def test_lines_of_odd_rows(odd):
     assert linededup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_pages_keep_clashing_columns_and_whole_class_words(spark):
+    body = "<article><p>{}</p><div class='share-price'><p>share price rose</p></div><section class='ad-hoc'><p>ad hoc text</p></section><div class='share-buttons'>x</div><div class='comments'><p>first!</p></div></article>"
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{body.format(i)}</body></html>", "m", "f", "k", "r", "s", "w") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, main string, fixed string, host string, rest string, salt string, _hx_host string")
+    out = htmlx.extract(pages).orderBy("page_id").collect()
+    assert [r["text"] for r in out] == [f"{i}\nshare price rose\nad hoc text" for i in range(8)]
+    assert {tuple(r)[2:8] for r in out} == {("m", "f", "k", "r", "s", "w")}
+
+
 # Pipeline
 
 
