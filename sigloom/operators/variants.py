@@ -33,6 +33,71 @@ def snp_probes(sites: DataFrame, k: int) -> DataFrame:
     return sites.where(right_base).select("variant", F.explode(both).alias("p")).select("variant", "p.kind", "p.seq")
 
 
+def neighbours(sites: DataFrame, background: DataFrame, k: int) -> DataFrame:
+    """variant, near: for each site (variant, contig, pos, ref) the variants (pos, ref, alt) of `background` (contig, pos, ref, alt) that a probe of it may hold.
+
+    A binned interval join: a site asks the bins that its window touches. Variants that overlap the site's own bases are no neighbours.
+    The window is `reach` bases wide on either side: k - 1, and what the longest background allele takes away.
+    """
+    longest = background.agg(F.coalesce(F.max(F.char_length("ref")), F.lit(0)).alias("n")).first()["n"]
+    reach, size = k - 1 + longest, 4 * (k + longest)
+    first, behind = F.col("pos") - reach, F.col("pos") + F.char_length("ref") + reach
+    bins = F.explode(F.sequence(F.floor(first / size), F.floor(behind / size)))
+    asked = sites.select("variant", "contig", F.col("pos").alias("_pos"), (F.col("pos") + F.char_length("ref")).alias("_end"), first.alias("_first"), behind.alias("_behind"), bins.alias("_bin"))
+    held = background.select("contig", "pos", "ref", "alt", F.floor(F.col("pos") / size).alias("_bin")).distinct()
+    met = asked.join(held, ["contig", "_bin"]).where((F.col("pos") >= F.col("_first")) & (F.col("pos") < F.col("_behind")))
+    apart = met.where((F.col("pos") + F.char_length("ref") <= F.col("_pos")) | (F.col("pos") >= F.col("_end")))
+    return apart.groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("pos", "ref", "alt"))).alias("near"))
+
+
+def _left(reference: Column, pos: Column, near: Column, k: int) -> Column:
+    """The k-1 bases before a site with any choice of the variants there that do not overlap each other."""
+    before = F.reverse(F.filter(near, lambda n: n["pos"] + F.char_length(n["ref"]) <= pos))
+    start = F.array(F.struct(F.lit("").alias("text"), pos.cast("int").alias("at")))
+
+    def apply(state: Column, n: Column) -> Column:
+        end = n["pos"] + F.char_length(n["ref"])
+        taken = F.struct(F.concat(n["alt"], F.substring(reference, end, state["at"] - end), state["text"]).alias("text"), n["pos"].cast("int").alias("at"))
+        return F.when(end <= state["at"], F.array(state, taken)).otherwise(F.array(state))
+
+    every = F.aggregate(before, start, lambda states, n: F.flatten(F.transform(states, lambda s: apply(s, n))))
+    whole = F.transform(every, lambda s: F.concat(F.substring(reference, F.greatest(F.lit(1), s["at"] - (k - 1)), s["at"] - F.greatest(F.lit(1), s["at"] - (k - 1))), s["text"]))
+    return F.array_distinct(F.transform(whole, lambda t: F.right(t, F.lit(k - 1))))
+
+
+def _right(reference: Column, end: Column, near: Column, k: int) -> Column:
+    """The k-1 bases from `end` on in the same way."""
+    start = F.array(F.struct(F.lit("").alias("text"), end.cast("int").alias("at")))
+
+    def apply(state: Column, n: Column) -> Column:
+        text = F.concat(state["text"], F.substring(reference, state["at"], n["pos"] - state["at"]), n["alt"])
+        taken = F.struct(text.alias("text"), (n["pos"] + F.char_length(n["ref"])).cast("int").alias("at"))
+        return F.when(n["pos"] >= state["at"], F.array(state, taken)).otherwise(F.array(state))
+
+    every = F.aggregate(F.filter(near, lambda n: n["pos"] >= end), start, lambda states, n: F.flatten(F.transform(states, lambda s: apply(s, n))))
+    return F.array_distinct(F.transform(every, lambda s: F.left(F.concat(s["text"], F.substring(reference, s["at"], F.lit(k - 1))), F.lit(k - 1))))
+
+
+def probes_on_backgrounds(sites: DataFrame, background: DataFrame, k: int, most: int = 12) -> DataFrame:
+    """variant, kind, seq from (variant, contig, reference, pos, ref, alt): alleles of any length, on every haplotype of the variants around.
+
+    `background` has (contig, pos, ref, alt); positions count from 1. Each probe has k-1 bases on both sides of the allele where the reference
+    has them. More than `most` variants around a site are an error, as haplotypes double with each; so are bases that the reference does not have.
+    """
+    none = F.array().cast(f"array<struct<pos:{background.schema['pos'].dataType.simpleString()},ref:string,alt:string>>")
+    known = sites.join(neighbours(sites, background, k), "variant", "left").withColumn("near", F.coalesce("near", none))
+    reference, pos, near = F.col("reference"), F.col("pos"), F.col("near")
+    there = lambda at, ref: F.substring(reference, at, F.char_length(ref)) == ref
+    right_bases = F.assert_true(there(pos, F.col("ref")) & F.forall(near, lambda n: there(n["pos"], n["ref"])), F.lit("the reference has other bases there")).isNull()
+    few = F.assert_true(F.size(near) <= most, F.lit(f"more than {most} variants around a site")).isNull()
+    own = known.where(right_bases & few).select("variant", "ref", "alt", _left(reference, pos, near, k).alias("left"), _right(reference, pos + F.char_length("ref"), near, k).alias("right"))
+
+    def probes(kind: str) -> Column:
+        return F.flatten(F.transform("left", lambda x: F.transform(F.col("right"), lambda y: F.struct(F.lit(kind).alias("kind"), F.concat(x, F.col(kind), y).alias("seq")))))
+
+    return own.select("variant", F.explode(F.array_distinct(F.concat(probes("ref"), probes("alt")))).alias("p")).select("variant", "p.kind", "p.seq")
+
+
 # Fixed value: the standard genetic code, codons in the order of the bases T, C, A, G.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 

@@ -461,6 +461,27 @@ def snp_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.snp_probes(named, K)
 
 
+_INDELS = (
+    f"WITH {PARTS}, s AS (SELECT colour, seq, 40 + colour % 10 AS pos, 1 + colour % 3 AS n, 8 + colour % 9 AS near, colour % 4 AS kind FROM parts),"
+    " t AS (SELECT *, substr(seq, pos, n) AS ref, CASE kind % 2 WHEN 0 THEN substr(seq, pos, 1) ELSE substr(seq, pos, n) || 'GATT' END AS alt, pos - near AS q, substr(seq, pos - near, 1) AS qref,"
+    " translate(substr(seq, pos - near, 1), 'ACGT', 'CGTA') || CASE WHEN kind < 2 THEN '' ELSE 'CC' END AS qalt FROM s),"
+    f" l AS (SELECT *, unnest([substr(seq, pos - {K - 1}, {K - 1}), right(substr(seq, 1, q - 1) || qalt || substr(seq, q + 1, near - 1), {K - 1})]) AS lft FROM t)"
+)
+
+
+@query(f"{_INDELS} SELECT DISTINCT 'v' || colour AS variant, a.kind, lft || CASE a.kind WHEN 'ref' THEN ref ELSE alt END || substr(seq, pos + n, {K - 1}) AS seq FROM l, (VALUES ('ref'), ('alt')) a(kind)")
+def indel_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes of insertions and deletions in every part's sequence, with and without a variant some bases before."""
+    parts = part_samples(spark, sf_dir).select(F.col("colour").alias("contig"), F.col("seq").alias("reference"), (40 + F.col("colour") % 10).alias("pos"), (1 + F.col("colour") % 3).alias("n"), (8 + F.col("colour") % 9).alias("before"), (F.col("colour") % 4).alias("kind"))
+    ref = F.substring(F.col("reference"), F.col("pos"), F.col("n"))
+    alt = F.when(F.col("kind") % 2 == 0, F.substring(ref, 1, 1)).otherwise(F.concat(ref, F.lit("GATT")))
+    sites = parts.select(F.concat(F.lit("v"), F.col("contig").cast("string")).alias("variant"), "contig", "reference", "pos", ref.alias("ref"), alt.alias("alt"))
+    base = F.substring(F.col("reference"), F.col("pos") - F.col("before"), F.lit(1))
+    other = F.concat(F.translate(base, "ACGT", "CGTA"), F.when(F.col("kind") < 2, "").otherwise("CC"))
+    around = parts.select("contig", (F.col("pos") - F.col("before")).alias("pos"), base.alias("ref"), other.alias("alt"))
+    return variants.probes_on_backgrounds(sites, around, K)
+
+
 # Parameters and formats
 
 
