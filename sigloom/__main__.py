@@ -19,7 +19,7 @@ from sigloom.operators import variants
 from sigloom.plans.config import IndexConfig
 from sigloom.plans.index import Index
 from sigloom.plans.session import ship
-from sigloom.sources import bloomfile, cortex, fasta, sinks
+from sigloom.sources import bloomfile, cortex, fasta, genbank, sinks
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -46,6 +46,12 @@ def _parser() -> argparse.ArgumentParser:
     one = verb("delete_sample")
     one.add_argument("sample")
     verb("delete")
+    verb("tidy", help="merge parts of about one size")
+    one = verb("compact", help="make one part of all")
+    one.add_argument("--purge", action="store_true", help="without deleted samples")
+    one = verb("vacuum", help="remove what no commit that is kept needs")
+    one.add_argument("--keep", type=int, default=1)
+    one.add_argument("--older-than", type=float, default=86_400.0, help="seconds")
     verb("num_samples")
     for name in ("search", "bulk_search"):
         one = verb(name)
@@ -60,6 +66,7 @@ def _parser() -> argparse.ArgumentParser:
     one.add_argument("pos", type=int)
     one.add_argument("alt")
     one.add_argument("--gene")
+    one.add_argument("--genbank", help="annotated sequence that has the gene; the reference is then not read")
     return parser
 
 
@@ -83,6 +90,10 @@ def _search(index: Index, queries, args: argparse.Namespace) -> None:
 
 
 def _probes(spark: SparkSession, args: argparse.Namespace, k: int):
+    if args.genbank:
+        variants.check_annotation(args.gene, args.genbank)
+        site = spark.createDataFrame([(f"{args.gene}_{args.ref}{args.pos}{args.alt}", args.gene, args.pos, args.ref, args.alt)], "variant string, gene string, pos int, ref string, alt string")
+        return variants.amino_acid_probes(genbank.amino_acid_sites(site, genbank.read_features(spark, args.genbank)), k)
     seq = fasta.read_fasta(spark, args.reference).orderBy("query_id").first()["seq"]
     name = "_".join(x for x in (args.gene, f"{args.ref}{args.pos}{args.alt}") if x)
     site = spark.createDataFrame([(name, seq, args.pos, args.ref, args.alt)], "variant string, seq string, pos int, ref string, alt string")
@@ -90,6 +101,9 @@ def _probes(spark: SparkSession, args: argparse.Namespace, k: int):
         return variants.amino_acid_probes(site.withColumnRenamed("seq", "gene"), k)
     if args.alt == "X":
         site = site.withColumn("alt", F.explode(F.array(*(F.lit(b) for b in "ACGT" if b != args.ref))))
+    elif len(args.ref) != 1 or len(args.alt) != 1:
+        none = spark.createDataFrame([], "contig int, pos int, ref string, alt string")
+        return variants.probes_on_backgrounds(site.withColumnRenamed("seq", "reference").withColumn("contig", F.lit(0)), none, k)
     return variants.snp_probes(site.withColumnRenamed("seq", "reference"), k)
 
 
@@ -126,6 +140,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
                 index = index.insert(bloomfile.read_filters(spark, args.file, index.m), args.sample)
             elif args.verb == "merge":
                 index = index.merge(Index(spark, args.other))
+            elif args.verb == "tidy":
+                index = index.tidy()
+            elif args.verb == "compact":
+                index = index.compact(args.purge)
+            elif args.verb == "vacuum":
+                index.vacuum(args.keep, args.older_than)
             else:
                 index = index.delete_sample(args.sample)
             print(json.dumps({"result": "success", "num_samples": index.num_samples()}))

@@ -22,7 +22,7 @@ from sigloom.plans.config import IndexConfig
 from sigloom.plans.index import Index
 from sigloom.plans.session import dealt
 from sigloom.plans.stage import fresh_path, staged
-from sigloom.sources import bloomfile, cortex, fasta, sinks
+from sigloom.sources import bloomfile, cortex, fasta, genbank, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = IndexConfig()
@@ -482,6 +482,28 @@ def indel_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.probes_on_backgrounds(sites, around, K)
 
 
+_COMPLEMENTED = "reverse(translate({}, 'ACGT', 'TGCA'))"
+_SPLICED = "substr(seq, 4, 12) || substr(seq, 40, 18)"
+
+
+@query(
+    f"WITH {PARTS} SELECT 'gene' || colour AS gene, 'part' || colour AS contig, CASE colour % 4 WHEN 0 THEN substr(seq, 4, 30) WHEN 1 THEN {_COMPLEMENTED.format('substr(seq, 4, 30)')} WHEN 2 THEN {_SPLICED} ELSE {_COMPLEMENTED.format(f'({_SPLICED})')} END AS sequence,"
+    " CASE colour % 4 WHEN 0 THEN 3 WHEN 1 THEN 8 WHEN 2 THEN 3 ELSE 8 END AS codon, CASE colour % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 1 END AS base FROM parts"
+)
+def annotated_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coding sequences of an annotated file, on either strand and spliced, and the codon that position 12 of each sequence is in."""
+    place = F.element_at(F.array(*(F.lit(x) for x in ("4..33", "complement(4..33)", "join(4..15,40..57)", "complement(join(4..15,40..57))"))), F.col("colour") % 4 + 1)
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("LOCUS       part"), F.col("colour").cast("string")), F.lit("FEATURES             Location/Qualifiers"), F.concat(F.lit("     CDS             "), place),
+        F.concat(F.lit(' ' * 21 + '/gene="gene'), F.col("colour").cast("string"), F.lit('"')), F.lit("ORIGIN"), F.concat(F.lit("        1 "), F.lower("seq")), F.lit("//"),
+    )
+    path = fresh_path(spark, "annotation")
+    part_samples(spark, sf_dir).select(lines.alias("value")).write.text(path)
+    features = genbank.read_features(spark, path)
+    found = genbank.genes_at(features.select("contig", F.lit(12).alias("pos")).distinct(), features)
+    return found.join(features.select("contig", "gene", "sequence"), ["contig", "gene"]).select("gene", "contig", "sequence", "codon", "base")
+
+
 # Parameters and formats
 
 
