@@ -43,8 +43,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.operators.graph import SALTS
-
 from . import urlfilter
 from .stage import staged
 
@@ -566,9 +564,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
     # The other columns travel as one, so none of their names can meet one used here.
     own = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
-    keyed = pages.select(urlfilter.host(F.col(url_col)).alias("host"), F.pmod(F.xxhash64(url_col), F.lit(SALTS)).alias("salt"), F.col(f"`{html_col}`").alias("html"), own.alias("rest"))
-    # One host may have most pages: these are dealt over groups, and its wrapper goes to each group that there is.
-    places = keyed.select("host", "salt").distinct().join(wrappers, "host")
-    fed = keyed.join(places, ["host", "salt"], "left").select("html", "main", "fixed", "rest")
+    keyed = pages.select(urlfilter.host(F.col(url_col)).alias("host"), F.col(f"`{html_col}`").alias("html"), own.alias("rest"))
+    # Spark broadcasts wrappers that are few; else it divides a host with most pages, as each page meets one row.
+    fed = keyed.join(wrappers, "host", "left").select("html", "main", "fixed", "rest")
     done = fed.mapInArrow(run, f"text string, rest {keyed.schema['rest'].dataType.simpleString()}")
     return done.select(*(F.col(f"rest.`{c}`") for c in rest), "text", F.char_length("text").cast("long").alias("n_chars"))
