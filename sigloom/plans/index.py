@@ -128,13 +128,16 @@ class Index:
         """The words of the rows asked for (row_index), and of no others."""
         wanted = asked.select("row_index").where("row_index IS NOT NULL").distinct()
         few = [r[0] for r in wanted.limit(LITERAL_ROWS + 1).collect()]
-        if not few:
+        if not few or not self.parts:
             return self.spark.createDataFrame([], WORDS)
         if len(few) <= LITERAL_ROWS:
             return self._merged([self._scan(p, at=sorted(few)) for p in self.parts])
         # At most MOST_BLOCKS blocks for each of the few shifts that parts have.
         blocks = {s: {r[0] for r in wanted.select(F.shiftright("row_index", s)).distinct().collect()} for s in {p["shift"] for p in self.parts}}
-        return self._merged([self._scan(p, blocks[p["shift"]]).join(wanted, "row_index", "left_semi") for p in self.parts])
+        scans = [self._scan(p, blocks[p["shift"]]) for p in self.parts]
+        # One join for all parts; what it leaves is placed by row, so neither the words' union nor a join by row shuffles them again.
+        held = reduce(DataFrame.unionByName, scans).join(wanted, "row_index", "left_semi")
+        return held if len(scans) == 1 else sig.compact(held)
 
     def get_rows(self, asked: DataFrame) -> DataFrame:
         """row_index, colour of the rows asked for."""

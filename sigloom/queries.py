@@ -699,10 +699,17 @@ _NUMBERED = PARTS.replace("CAST(p_partkey AS INTEGER) AS colour", "CAST(row_numb
 @query(f"{BASE.replace(PARTS, _NUMBERED)} SELECT {HITS} FROM found JOIN sizes USING (query_id) JOIN parts USING (colour) WHERE num_kmers_found >= ceil(num_kmers * {THRESHOLD}::DOUBLE)")
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build of an index in chunks of samples under a memory bound, then a search of what is stored."""
+    return searched_index(stored_index(spark, sf_dir), sf_dir)
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> Index:
     samples = part_samples(spark, sf_dir).withColumn("n", F.col("colour"))
     chunk = params.chunk_bytes(samples.count(), M, 4)
-    index = Index.build_sequences(spark, IndexConfig(path=fresh_path(spark, "index"), max_build_bytes=chunk), samples, ["n"])
-    return index.search(part_queries(spark, sf_dir), THRESHOLD)
+    return Index.build_sequences(spark, IndexConfig(path=fresh_path(spark, "index"), max_build_bytes=chunk), samples, ["n"])
+
+
+def searched_index(index: Index, sf_dir: str) -> DataFrame:
+    return index.search(part_queries(index.spark, sf_dir), THRESHOLD)
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> Index:
