@@ -1,14 +1,22 @@
-"""k-mer expressions. All are Spark column expressions; nothing here runs Python on executors."""
+"""k-mer expressions: Spark column expressions, but for `counts`, which looks at the k-mers of a text in numpy."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.functions import windows
+from sigloom.plans.stage import staged
+
 #: Start positions per chunk, outer and inner: a substring of a UTF-8 string is found by a scan from its start.
 CHUNKS = (4096, 64)
 #: Start positions of the pieces that become rows of their own, so no array holds the k-mers of a long sequence.
 SPANS = (1 << 22, 1 << 16)
+#: Characters of a text whose k-mers one task counts at once.
+WHOLE = 1 << 17
 
 # The two orders of bases that the file format and the text form of a k-mer use.
 ALPHABET = "ACGT"
@@ -93,11 +101,41 @@ def adjacent(kmer: Column, edges: Column, forward: bool) -> Column:
     return F.transform(edge_bases(edges, False), lambda b: canonical(F.concat(b, F.substring(kmer, F.lit(1), n - 1))))
 
 
+def pieces(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """key, _at, _text: pieces of at most the last SPANS start positions, which overlap by k-1, and where they begin."""
+    found = df.where(F.char_length(seq) >= k).select(key, F.lit(0).cast("bigint").alias("_at"), F.col(seq).alias("_text"))
+    for size in SPANS:
+        cut = found.select(key, "_at", F.posexplode(_chunks(F.col("_text"), size, k)).alias("_n", "_text"))
+        found = cut.select(key, (F.col("_at") + F.col("_n") * F.lit(size)).alias("_at"), "_text")
+    return found
+
+
 def occurrences(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     """key, pos, kmer: every k-mer of each sequence, of any length: pieces become rows before their k-mers do."""
-    pieces = df.where(F.char_length(seq) >= k).select(key, F.lit(0).cast("bigint").alias("_at"), F.col(seq).alias("_text"))
-    for size in SPANS:
-        cut = pieces.select(key, "_at", F.posexplode(_chunks(F.col("_text"), size, k)).alias("_n", "_text"))
-        pieces = cut.select(key, (F.col("_at") + F.col("_n") * F.lit(size)).alias("_at"), "_text")
-    found = pieces.select(key, "_at", F.posexplode(kmers(F.col("_text"), k)).alias("_n", "kmer"))
+    found = pieces(df, key, seq, k).select(key, "_at", F.posexplode(kmers(F.col("_text"), k)).alias("_n", "kmer"))
     return found.select(key, (F.col("_at") + F.col("_n")).alias("pos"), "kmer")
+
+
+def counts(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """key, n_kmers, n_distinct of each key that has a k-mer; the rows of a key count as one, and so do those without a key.
+
+    A text of one row is counted where it is. Only the k-mers of texts of more than WHOLE characters, and of keys with several rows, are shuffled.
+    """
+    again = staged(df.groupBy(key).count().where("count > 1").select(F.col(key).alias("_again")), "again")
+    apart = F.char_length(seq) > WHOLE
+    if again.isEmpty():
+        one, more = df.where(~apart), df.where(apart)
+    else:
+        marked = df.join(again.withColumn("_many", F.lit(True)), F.col(key).eqNullSafe(F.col("_again")), "left")
+        apart = apart | F.coalesce("_many", F.lit(False))
+        one, more = marked.where(~apart), marked.where(apart)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, codes, lengths in windows.blocks(batch, 1, k):
+                numbers = (pa.array(x.astype("int64")) for x in (lengths - (k - 1), windows.distinct(codes, lengths, k)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *numbers], names=[key, "n_kmers", "n_distinct"])
+
+    here = one.where(F.char_length(seq) >= k).select(key, seq).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_kmers long, n_distinct long")
+    per_kmer = occurrences(more, key, seq, k).groupBy(key, "kmer").agg(F.count("*").alias("n"))
+    return here.unionByName(per_kmer.groupBy(key).agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_distinct")))
