@@ -35,6 +35,15 @@ def blocks(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[np.ndar
         yield _laid(rows, texts)
 
 
+def whole(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same of a batch's texts of one length each, so that a text is one window."""
+    texts = batch.column(column).to_pylist()
+    sizes = np.array([-1 if t is None else len(t) for t in texts])
+    for size in np.unique(sizes[sizes >= 0]):
+        rows = np.flatnonzero(sizes == size)
+        yield _laid(rows, [texts[i] for i in rows])
+
+
 def _laid(rows: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(rows), np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.array([len(t) for t in texts])
 

@@ -9,31 +9,62 @@ many k-mers nor a position that all samples share lands whole in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions import kmers as km
-from sigloom.functions import murmur, words
+from sigloom.functions import windows, words
+from sigloom.plans.stage import staged
+
+
+#: Bits of the filter that leaves out rows nobody asks for; rows of larger Bloom filters share them.
+FILTER_BITS = 1 << 25
+
+
+def _hashed(texts: DataFrame, key: str, text: str, k: int | None, h: int, m: int, only: np.ndarray | None = None) -> DataFrame:
+    """key, row_index of the k-mers of texts, or of whole texts, with repeats; of the rows in `only`, if given."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, codes, lengths in windows.whole(batch, 1) if k is None else windows.blocks(batch, 1, k):
+                for of, found in windows.bloom_rows(codes, lengths, lengths[0] if k is None else k, h, m):
+                    at, own = found.ravel(), np.repeat(rows[of], h)
+                    if only is not None:
+                        bit = at % FILTER_BITS
+                        keep = (only[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                        at, own = at[keep], own[keep]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(at.astype(np.int32))], names=[key, "row_index"])
 
+    return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, row_index int")
 
-def _hashed(kmers: DataFrame, key: str, h: int, m: int) -> DataFrame:
-    """key, row_index from (key, kmer), with repeats."""
-    own = kmers.select(key, km.canonical(F.col("kmer")).alias("kmer")).where("kmer IS NOT NULL")
-    return murmur.with_rows(own, "kmer", h, m).select(key, F.explode_outer("rows").alias("row_index"))
+
+def _row_filter(wanted: DataFrame) -> np.ndarray:
+    """The bits of the rows wanted; at most FILTER_BITS, whatever is asked."""
+    bit = F.pmod("row_index", F.lit(FILTER_BITS)) + 1
+    only = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, bits in wanted.where("row_index IS NOT NULL").groupBy(F.bitmap_bucket_number(bit)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit))).collect():
+        only[(bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bits, np.uint8)
+    return only
 
 
 def bloom_of_kmers(kmers: DataFrame, key: str, h: int, m: int) -> DataFrame:
     """key, row_index from (key, kmer); k-mers are made canonical before hashing."""
-    return _hashed(kmers, key, h, m).distinct()
+    return _hashed(kmers, key, "kmer", None, h, m).distinct()
 
 
 def bloom_of_sequences(seqs: DataFrame, key: str, seq: str, k: int, h: int, m: int) -> DataFrame:
-    return bloom_of_kmers(km.occurrences(seqs, key, seq, k), key, h, m)
+    return _hashed(km.pieces(seqs, key, seq, k), key, "_text", k, h, m).distinct()
 
 
 def signature_of_sequences(seqs: DataFrame, seq: str, k: int, h: int, m: int) -> DataFrame:
     """The signature of (colour, seq). bit_or ignores repeats, so nothing is made distinct before the one shuffle."""
-    return transpose(_hashed(km.occurrences(seqs, "colour", seq, k), "colour", h, m))
+    return transpose(_hashed(km.pieces(seqs, "colour", seq, k), "colour", "_text", k, h, m))
 
 
 def transpose(bloom: DataFrame) -> DataFrame:
@@ -114,9 +145,19 @@ def closed_up(signature: DataFrame) -> DataFrame:
 
 def wanted_rows(kmers: DataFrame, h: int, m: int) -> DataFrame:
     """kmer, n_rows, row_index: the distinct rows of each distinct k-mer."""
-    unique = kmers.select("kmer").where("kmer IS NOT NULL").distinct().withColumn("_hashed", km.canonical(F.col("kmer")))
-    hashed = murmur.with_rows(unique, "_hashed", h, m)
-    return hashed.select("kmer", F.size("rows").alias("n_rows"), F.explode_outer("rows").alias("row_index"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, codes, lengths in windows.whole(batch, 0):
+                for of, found in windows.bloom_rows(codes, lengths, lengths[0], h, m):
+                    found = np.sort(found, axis=1)
+                    fresh = np.ones(found.shape, bool)
+                    fresh[:, 1:] = found[:, 1:] != found[:, :-1]
+                    n = fresh.sum(axis=1)
+                    columns = [batch.column(0).take(pa.array(np.repeat(rows[of], n))), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(found[fresh].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["kmer", "n_rows", "row_index"])
+
+    return kmers.select("kmer").where("kmer IS NOT NULL").distinct().mapInArrow(run, "kmer string, n_rows int, row_index int")
 
 
 def met_words(wanted: DataFrame, signature: DataFrame) -> DataFrame:
@@ -126,13 +167,18 @@ def met_words(wanted: DataFrame, signature: DataFrame) -> DataFrame:
     return anded.where((F.col("met") == F.col("n_rows")) & (F.col("bits") != 0)).select("kmer", "word_no", "bits")
 
 
-def lookup(kmers: DataFrame, signature: DataFrame, h: int, m: int, stored: bool = True) -> DataFrame:
-    """kmer, word_no, bits of the samples that have every row of a k-mer.
+def lookup(kmers: DataFrame, signature: DataFrame, h: int, m: int) -> DataFrame:
+    """kmer, word_no, bits of the samples that have every row of a k-mer."""
+    return met_words(wanted_rows(kmers, h, m), signature)
+
+
+def lookup_sequences(kmers: DataFrame, seqs: DataFrame, k: int, h: int, m: int) -> DataFrame:
+    """The same of the signature of (colour, seq), of which only the asked rows are made.
 
-    Of a signature that is not `stored` but computed in the same plan, only the asked rows are made: the semi join moves below
-    its aggregation.
+    The rows and the words are staged: a plan's estimate of what k-mers become is far too low, and it would send the words through the driver.
     """
-    wanted = wanted_rows(kmers, h, m)
-    if not stored:
-        signature = signature.join(wanted.select("row_index").distinct(), "row_index", "left_semi")
-    return met_words(wanted, signature)
+    wanted = staged(wanted_rows(kmers, h, m), "wanted")
+    held = _hashed(km.pieces(seqs, "colour", "seq", k), "colour", "_text", k, h, m, _row_filter(wanted))
+    if m > FILTER_BITS:
+        held = held.join(wanted.select("row_index").distinct(), "row_index", "left_semi")
+    return met_words(wanted, staged(transpose(held), "words"))

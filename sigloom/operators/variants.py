@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.operators.search import search
+from sigloom.operators.search import search_sequences
 
 
 def variant_name(ref: Column, pos: Column, alt: Column | None = None, gene: Column | None = None) -> Column:
@@ -149,9 +149,9 @@ def of_hits(hits: DataFrame) -> DataFrame:
     return genotypes(named.where("kind = 'ref'"), named.where("kind = 'alt'"))
 
 
-def variant_search(probes: DataFrame, signature: DataFrame, samples: DataFrame, k: int, h: int, m: int, stored: bool = True) -> DataFrame:
-    """Genotypes of every variant."""
-    return of_hits(search(as_queries(probes), signature, samples, k, h, m, 1.0, stored=stored))
+def variant_search(probes: DataFrame, samples: DataFrame, k: int, h: int, m: int) -> DataFrame:
+    """Genotypes of every variant in samples given by their sequences (colour, sample_name, deleted, seq)."""
+    return of_hits(search_sequences(as_queries(probes), samples, k, h, m, 1.0))
 
 
 def check_annotation(gene: str | None, genbank: str | None) -> None:

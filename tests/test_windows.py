@@ -5,6 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from sigloom.functions import kmers as km
+from sigloom.functions import murmur
+from sigloom.operators import search
+from sigloom.operators import signature as sig
 
 
 def texts(n):
@@ -39,3 +42,41 @@ def test_counts_shuffle_no_kmers(spark):
     before = shuffled(df)
     assert km.counts(df, "id", "seq", 31).agg(F.sum("n_kmers")).first()[0] == 200 * (30 * 65 - 1 - 30)
     assert shuffled(df) - before < 100_000  # 12 MB of k-mers
+
+
+def test_rows_of_texts(spark):
+    """The rows that native expressions give, of windows and of whole k-mers."""
+    df = spark.createDataFrame(list(enumerate(texts(2))), "key long, seq string").repartition(3)
+    kmers = km.occurrences(df, "key", "seq", 31).select("key", km.canonical(F.col("kmer")).alias("c"), "kmer")
+    want = {tuple(r) for r in murmur.with_rows(kmers, "c", 3, 2500).select("key", F.explode_outer("rows")).collect()}
+    assert {tuple(r) for r in sig.bloom_of_sequences(df, "key", "seq", 31, 3, 2500).collect()} == want
+    assert {tuple(r) for r in sig.bloom_of_kmers(kmers, "key", 3, 2500).collect()} == want
+    own = murmur.with_rows(kmers.select("kmer", "c").distinct(), "c", 3, 20).select("kmer", F.size("rows"), F.explode_outer("rows"))
+    assert sorted(map(tuple, sig.wanted_rows(kmers, 3, 20).collect())) == sorted(map(tuple, own.collect()))
+
+
+def test_search_of_copies(spark, monkeypatch):
+    """Samples of one sequence, or of the same two, are hashed once, and each has its rows."""
+    one, two = "ACGTTGCAACGGT", "TTGACCATGACCA"
+    rows = [(0, one), (1, two), (2, one), (3, one), (3, two), (4, two), (4, one), (5, None), (70, two), (71, "ACGTTG")]
+    samples = spark.createDataFrame([(c, f"s{c}", c == 2, s) for c, s in rows], "colour int, sample_name string, deleted boolean, seq string")
+    named, seqs = search.classed(samples)
+    assert seqs.select("colour").distinct().count() == 5
+    queries = {"a": one + "CCC", "b": two[3:], "short": "AC"}
+    asked = spark.createDataFrame(list(queries.items()), "query_id string, seq string")
+    held = {}
+    for c, s in rows:
+        held.setdefault(c, set()).update(min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA"))) for x in (s[i : i + 4] for i in range(len(s or "") - 3)))
+    for bits, threshold in ((sig.FILTER_BITS, 0.3), (1 << 15, 0.3), (1 << 15, 0.0)):
+        monkeypatch.setattr(sig, "FILTER_BITS", bits)
+        want = set()
+        for q, s in queries.items():
+            own = [s[i : i + 4] for i in range(len(s) - 3)]
+            for c in held:
+                text = "".join("01"[min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA"))) in held[c]] for x in own)
+                found = len({x for x, bit in zip(own, text, strict=True) if bit == "1"})
+                if own and c != 2 and found >= threshold * len(set(own)):
+                    want.add((q, c, f"s{c}", len(set(own)), found, text))
+        for how in ({"marks": True}, {"score": True}):
+            got = search.search(asked, None, named.distinct(), 4, 3, 1 << 20, threshold, **how, looked=search.looked_up_sequences(asked, seqs, 4, 3, 1 << 20))
+            assert {tuple(r) for r in got.select("query_id", "colour", "sample_name", "num_kmers", "num_kmers_found", "kmer-presence").collect()} == want
