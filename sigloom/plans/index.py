@@ -1,11 +1,12 @@
 """A persistent index: Parquet tables and numbered commits.
 
     <path>/signature/<part>/block=<b>/   (row_index, word_no, bits), sorted; b is row_index >> the part's shift
-    <path>/samples/<part>/               (colour, sample_name)
+    <path>/samples/<part>/               (colour, column, sample_name)
     <path>/deletes/<table>/              (part, colour): samples marked as deleted
     <path>/commits/<n>.json              k, m, h, compression, the parts in order and the tables of deletions
 
-A part has whole columns of its samples, numbered from 0; in the index they follow those of the parts before it, so a part is never
+Samples of a part that were built from the same sequences share a column of its words; elsewhere each sample has its own, and then column
+and colour are one number. A part has whole columns of its samples, numbered from 0; in the index they follow those of the parts before it, so a part is never
 rewritten because of its place. A change writes its tables first and its commit last, and takes its commit's number only if no other
 writer has it (`commits`); if one has, the change is made again on the newer state, with the tables that it has written. So a reader
 sees the index before or after a change, and a writer that ends in between leaves tables that `vacuum` removes.
@@ -62,6 +63,11 @@ def any_of(column: str, values: list[int]) -> Column:
     return lists[0]
 
 
+def _columns(part: dict) -> int:
+    """Columns of a part's words; parts written before samples could share one have as many as samples."""
+    return part.get("columns", part["cols"])
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str, k: int | None = None, n: int | None = None):
         """The newest state, or that of commit n, of the index in `path`; k, if given, must be that of the index."""
@@ -74,6 +80,7 @@ class Index:
         self.k, self.m, self.h, self.compression = (self.state[x] for x in ("k", "m", "h", "compression"))
         self.parts: list[dict] = self.state["parts"]
         self.num_cols = sum(p["cols"] for p in self.parts)
+        self.num_columns = sum(_columns(p) for p in self.parts)
         if k is not None and k != self.k:
             raise ValueError(f"the index has k={self.k}, not {k}")
 
@@ -83,17 +90,24 @@ class Index:
         """The colour of the part's first sample."""
         return sum(p["cols"] for p in self.parts[: self.parts.index(part)])
 
+    def _first_column(self, part: dict) -> int:
+        return sum(_columns(p) for p in self.parts[: self.parts.index(part)])
+
     def samples(self) -> DataFrame:
         """colour, sample_name, deleted."""
+        return self._samples().drop("column")
+
+    def _samples(self) -> DataFrame:
+        """colour, column, sample_name, deleted."""
         if not self.parts:
-            return self.spark.createDataFrame([], metadata.SCHEMA)
+            return self.spark.createDataFrame([], "colour int, column int, sample_name string, deleted boolean")
         name = F.regexp_extract("_metadata.file_path", "/samples/([^/]+)/", 1)
-        rows = self.spark.read.schema("colour int, sample_name string").parquet(*(f"{self.path}/samples/{p['name']}" for p in self.parts)).select(name.alias("part"), "colour", "sample_name")
-        places = self.spark.createDataFrame([(p["name"], self._first(p)) for p in self.parts], "part string, _first int")
+        rows = self.spark.read.schema("colour int, column int, sample_name string").parquet(*(f"{self.path}/samples/{p['name']}" for p in self.parts)).select(name.alias("part"), "colour", F.coalesce("column", "colour").alias("column"), "sample_name")
+        places = self.spark.createDataFrame([(p["name"], self._first(p), self._first_column(p)) for p in self.parts], "part string, _first int, _column int")
         gone = self._deleted().withColumn("_gone", F.lit(True))
         # As many places as the commit has parts.
         placed = rows.join(gone, ["part", "colour"], "left").join(F.broadcast(places), "part")
-        return placed.select((F.col("colour") + F.col("_first")).cast("int").alias("colour"), "sample_name", F.coalesce("_gone", F.lit(False)).alias("deleted"))
+        return placed.select((F.col("colour") + F.col("_first")).cast("int").alias("colour"), (F.col("column") + F.col("_column")).cast("int").alias("column"), "sample_name", F.coalesce("_gone", F.lit(False)).alias("deleted"))
 
     def _deleted(self) -> DataFrame:
         """part, colour of the deleted samples; a colour counts from its part's first."""
@@ -103,7 +117,7 @@ class Index:
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/deletes/{t}" for t in tables)).distinct()
 
     def _scan(self, part: dict, blocks: set[int] | None = None, at: list[int] | None = None) -> DataFrame:
-        """The words of a part, in the index's numbering; of the blocks and rows named, if any are."""
+        """The words of a part, in the index's numbering of columns; of the blocks and rows named, if any are."""
         where = f"{self.path}/signature/{part['name']}"
         there = {int(name[6:]) for name in commits.listed(self.spark, where) if name.startswith("block=")}
         if at is not None:
@@ -113,19 +127,32 @@ class Index:
             return self.spark.createDataFrame([], WORDS)
         found = self.spark.read.schema(WORDS).parquet(*(f"{where}/block={b}" for b in asked))
         found = found if at is None else found.where(any_of("row_index", at))
-        return sig.shifted(found, self._first(part))
+        return sig.shifted(found, self._first_column(part))
 
     def _merged(self, scans: list[DataFrame]) -> DataFrame:
         if not scans:
             return self.spark.createDataFrame([], WORDS)
         return scans[0] if len(scans) == 1 else sig.compact(reduce(DataFrame.unionByName, scans))
 
+    def _by_colour(self, found: DataFrame, key: str) -> DataFrame:
+        """key, word_no, bits of colours from those of columns."""
+        if self.num_columns == self.num_cols:
+            return found
+        bits = words.unpack(found, [key], "column").hint("merge").join(self._samples().select("column", "colour"), "column")
+        return words.pack(bits, [key], "colour").select(key, "word_no", "bits")
+
     def signature(self) -> DataFrame:
         """All words."""
+        return self._by_colour(self._signature(), "row_index")
+
+    def _signature(self) -> DataFrame:
         return self._merged([self._scan(p) for p in self.parts])
 
     def rows(self, asked: DataFrame) -> DataFrame:
         """The words of the rows asked for (row_index), and of no others."""
+        return self._by_colour(self._rows(asked), "row_index")
+
+    def _rows(self, asked: DataFrame) -> DataFrame:
         wanted = asked.select("row_index").where("row_index IS NOT NULL").distinct()
         few = [r[0] for r in wanted.limit(LITERAL_ROWS + 1).collect()]
         if not few or not self.parts:
@@ -148,22 +175,28 @@ class Index:
         if not 0 <= colour < self.num_cols:
             raise ValueError(f"no colour {colour}")
         part = next(p for p in reversed(self.parts) if self._first(p) <= colour)
-        return sig.get_column(self._scan(part), colour, self.m)
+        column = colour if self.num_columns == self.num_cols else self._samples().where(F.col("colour") == colour).first()["column"]
+        return sig.get_column(self._scan(part), column, self.m)
 
     def num_samples(self) -> int:
         return self.num_cols
 
     def lookup(self, kmers: DataFrame) -> DataFrame:
         """kmer, word_no, bits of the samples that have all rows of a k-mer; reads the asked rows only."""
-        wanted = sig.wanted_rows(kmers, self.h, self.m)
-        return sig.met_words(wanted, self.rows(wanted))
+        return self._by_colour(self._lookup(kmers), "kmer")
+
+    def _lookup(self, kmers: DataFrame) -> DataFrame:
+        # Staged, as both the rows to read and the words that are found ask for it.
+        wanted = staged(sig.wanted_rows(kmers, self.h, self.m), "wanted")
+        return sig.met_words(wanted, self._rows(wanted))
 
     def looked_up(self, queries: DataFrame) -> search.Looked:
+        """The lookup of a search, by columns."""
         own = staged(search.asked_kmers(queries, self.k), "asked")
-        return own, staged(self.lookup(own), "marks")
+        return own, staged(self._lookup(own), "marks")
 
     def search(self, queries: DataFrame, threshold: float = 1.0, score: bool = False) -> DataFrame:
-        return search.search(queries, None, self.samples(), self.k, self.h, self.m, threshold, score, looked=self.looked_up(queries))
+        return search.search(queries, None, self._samples(), self.k, self.h, self.m, threshold, score, looked=self.looked_up(queries))
 
     def search_one(self, seq: str, threshold: float = 1.0, score: bool = False) -> list[dict]:
         """The hits of one sequence, best first, as dictionaries."""
@@ -184,45 +217,60 @@ class Index:
         return math.ceil(m / blocks - 1).bit_length() if m > 1 else 0
 
     @staticmethod
-    def _write(spark: SparkSession, path: str, m: int, compression: str, signature: DataFrame, samples: DataFrame, cols: int, most_words: int) -> dict:
-        """Writes a part: words and samples that count from 0, and at most so many words."""
+    def _write(spark: SparkSession, path: str, m: int, compression: str, signature: DataFrame, samples: DataFrame, cols: int, columns: int, most_words: int) -> dict:
+        """Writes a part: words and samples (colour, column, sample_name) that count from 0, and at most so many words."""
         name, shift = uuid.uuid4().hex, Index._shift(m, most_words)
         blocked = signature.select("row_index", "word_no", "bits", F.shiftright("row_index", shift).alias("block"))
         in_order = blocked.repartitionByRange("row_index").sortWithinPartitions("block", "row_index", "word_no")
         in_order.write.option("compression", compression).partitionBy("block").parquet(f"{path}/signature/{name}")
-        samples.select("colour", "sample_name").write.parquet(f"{path}/samples/{name}")
-        return {"name": name, "cols": cols, "shift": shift, "words": most_words}
+        samples.select("colour", "column", "sample_name").write.parquet(f"{path}/samples/{name}")
+        return {"name": name, "cols": cols, "columns": columns, "shift": shift, "words": most_words}
 
     @staticmethod
     def build(spark: SparkSession, config: IndexConfig, bloom: DataFrame, names: DataFrame, order: list[str] | None = None) -> Index:
         """From (sample_name, row_index) and the samples' names; colours follow `order`, else the names.
 
         With `max_build_bytes` the columns are built in chunks of samples that fit by the memory model, a part of the index each.
+        Names may come with `lead`, the name of the sample whose filter they have; `bloom` then has the leads' filters only.
         """
         metadata.validate(names)
         path = config.path.rstrip("/")
         if commits.numbers(spark, path):
             raise FileExistsError(f"there is an index in {path}")
-        samples = staged(metadata.assign(names, order or ["sample_name"]), "samples")
+        led = "lead" in names.columns
+        samples = staged(metadata.assign(names, order or ["sample_name"], keep=["lead"] if led else None), "samples")
         known = bloom.agg(F.min("row_index").alias("a"), F.max("row_index").alias("b"), F.count("*").alias("n")).first()
         if known["n"] and (known["a"] < 0 or known["b"] >= config.m):
             raise ValueError(f"filters of more than {config.m} bits")
         n = metadata.count(samples)
-        coloured = bloom.join(samples.select("sample_name", "colour"), "sample_name").select("row_index", "colour")
         size = n
         if config.max_build_bytes and n:
             size, _ = chunk_plan(n, config.m, config.max_build_bytes)
             if size < 1:
                 raise ValueError("max_build_bytes does not hold one filter")
+        size = max(size, 1)
+        samples = samples.withColumn("_chunk", F.floor(F.col("colour") / size))
+        if led:  # the filters of each chunk, in the order of the first samples that have them
+            first = samples.groupBy("_chunk", F.col("lead").alias("sample_name")).agg(F.min("colour").alias("_least"))
+            filters = staged(metadata.assign(first, ["_least"], keep=["_chunk"]).select(F.col("colour").alias("_filter"), "sample_name", "_chunk"), "filters")
+            samples = samples.join(filters.select("_chunk", F.col("sample_name").alias("lead"), "_filter"), ["_chunk", "lead"])
+        else:
+            samples = samples.withColumn("_filter", F.col("colour"))
+            filters = samples.select("_filter", "sample_name", "_chunk")
+        # As many rows as the index gets parts.
+        places = {r["_chunk"]: (r["first"], r["n"]) for r in filters.groupBy("_chunk").agg(F.min("_filter").alias("first"), F.count("*").alias("n")).collect()}
+        many = max(filters.select("sample_name").distinct().count(), 1) if led else n
+        coloured = bloom.join(filters, "sample_name").select("row_index", "_filter", "_chunk")
         if size < n:
             coloured = staged(coloured, "coloured")
         parts = []
-        for lo in range(0, n, max(size, 1)):
-            own = (F.col("colour") >= lo) & (F.col("colour") < lo + size)
-            cols, from_zero = min(size, n - lo), (F.col("colour") - lo).cast("int").alias("colour")
-            bits = min(math.ceil(known["n"] * cols / n), config.m * math.ceil(cols / 64))
-            chunk = coloured if size >= n else coloured.where(own)
-            parts.append(Index._write(spark, path, config.m, config.compression, sig.transpose(chunk.select("row_index", from_zero)), samples.where(own).select(from_zero, "sample_name"), cols, bits))
+        for lo in range(0, n, size):
+            first, columns = places[lo // size]
+            own = F.col("_chunk") == lo // size
+            chunk = (coloured.where(own) if size < n else coloured).select("row_index", (F.col("_filter") - first).cast("int").alias("colour"))
+            bits = min(math.ceil(known["n"] * columns / many), config.m * math.ceil(columns / 64))
+            numbered = samples.where(own).select((F.col("colour") - lo).cast("int").alias("colour"), (F.col("_filter") - first).cast("int").alias("column"), "sample_name")
+            parts.append(Index._write(spark, path, config.m, config.compression, sig.transpose(chunk), numbered, min(size, n - lo), columns, bits))
         try:
             commits.write(spark, path, 0, {"k": config.k, "m": config.m, "h": config.h, "compression": config.compression, "parts": parts, "deletes": []})
         except commits.Conflict as other:
@@ -231,10 +279,12 @@ class Index:
 
     @staticmethod
     def build_sequences(spark: SparkSession, config: IndexConfig, seqs: DataFrame, order: list[str] | None = None) -> Index:
-        """From (sample_name, seq); a sample may have many sequences."""
-        bloom = sig.bloom_of_sequences(seqs, "sample_name", "seq", config.k, config.h, config.m)
-        keys = [c for c in order or []]
-        return Index.build(spark, config, staged(bloom, "bloom"), seqs.select("sample_name", *keys).distinct(), order)
+        """From (sample_name, seq); a sample may have many sequences. Samples of the same sequences share a filter."""
+        leads = search.shared(seqs, "sample_name", "lead")
+        own = seqs.join(leads.where("sample_name = lead").select("sample_name"), "sample_name", "left_semi")
+        bloom = sig.bloom_of_sequences(own, "sample_name", "seq", config.k, config.h, config.m)
+        names = seqs.select("sample_name", *(order or [])).distinct()
+        return Index.build(spark, config, staged(bloom, "bloom"), names.join(leads.withColumnRenamed("sample_name", "_name"), F.col("sample_name").eqNullSafe(F.col("_name"))).drop("_name"), order)
 
     @staticmethod
     def build_files(spark: SparkSession, config: IndexConfig, manifest: str | None = None, paths: list[str] | None = None, samples: list[str] | None = None) -> Index:
@@ -287,7 +337,7 @@ class Index:
         new = self.spark.createDataFrame([(0, name)], "colour int, sample_name string")
         metadata.validate(new, self.samples())
         column = staged(bloom.where((F.col("row_index") >= 0) & (F.col("row_index") < self.m)).select("row_index", F.lit(0).alias("colour")).distinct(), "column")
-        part = self._write(self.spark, self.path, self.m, self.compression, sig.transpose(column), new, 1, column.count())
+        part = self._write(self.spark, self.path, self.m, self.compression, sig.transpose(column), new.withColumn("column", F.lit(0)), 1, 1, column.count())
 
         def made(base: Index) -> dict:
             if base.n != self.n:
@@ -300,15 +350,15 @@ class Index:
         """Other's samples after the own ones; both need equal k, m and h."""
         if (self.k, self.m, self.h) != (other.k, other.m, other.h):
             raise ValueError("indexes with different k, m or h")
-        theirs, written = other.samples(), {}
+        theirs, written = other._samples(), {}
 
         def made(base: Index) -> dict:
             both = metadata.merge(base.samples(), theirs, base.num_cols).where(F.col("colour") >= base.num_cols)
-            moved = staged(both.withColumn("colour", (F.col("colour") - base.num_cols).cast("int")), "moved")
+            moved = staged(both.withColumn("colour", (F.col("colour") - base.num_cols).cast("int")).join(theirs.select("colour", "column"), "colour"), "moved")
             if not written:
-                written.update(self._write(self.spark, self.path, self.m, self.compression, other.signature(), moved, other.num_cols, sum(p["words"] for p in other.parts)))
+                written.update(self._write(self.spark, self.path, self.m, self.compression, other._signature(), moved, other.num_cols, other.num_columns, sum(p["words"] for p in other.parts)))
             else:  # other names may be taken by now
-                moved.select("colour", "sample_name").write.mode("overwrite").parquet(f"{self.path}/samples/{written['name']}")
+                moved.select("colour", "column", "sample_name").write.mode("overwrite").parquet(f"{self.path}/samples/{written['name']}")
             gone = moved.where("deleted").select(F.lit(written["name"]).alias("part"), "colour")
             return {"parts": [*base.parts, dict(written)], "deletes": [*base.state["deletes"], *self._marked(gone)]}
 
@@ -347,23 +397,28 @@ class Index:
     def _own(self, run: list[dict]) -> DataFrame:
         """The samples of adjacent parts, counted from the first one's."""
         first, cols = self._first(run[0]), sum(p["cols"] for p in run)
-        return self.samples().where((F.col("colour") >= first) & (F.col("colour") < first + cols)).withColumn("colour", (F.col("colour") - first).cast("int"))
+        own = self._samples().where((F.col("colour") >= first) & (F.col("colour") < first + cols))
+        return own.withColumns({"colour": (F.col("colour") - first).cast("int"), "column": (F.col("column") - self._first_column(run[0])).cast("int")})
 
     def _one_of(self, run: list[dict]) -> tuple[dict, list[str]]:
         """Writes one part for adjacent ones; also the tables of deletions that then hold."""
         own = staged(self._own(run), "own")
-        merged = sig.compact(reduce(DataFrame.unionByName, [sig.shifted(self._scan(p), -self._first(run[0])) for p in run]))
-        part = self._write(self.spark, self.path, self.m, self.compression, merged, own, sum(p["cols"] for p in run), sum(p["words"] for p in run))
+        merged = sig.compact(reduce(DataFrame.unionByName, [sig.shifted(self._scan(p), -self._first_column(run[0])) for p in run]))
+        part = self._write(self.spark, self.path, self.m, self.compression, merged, own, sum(p["cols"] for p in run), sum(_columns(p) for p in run), sum(p["words"] for p in run))
         others = self._deleted().where(~F.col("part").isin([p["name"] for p in run]))
         return part, self._marked(others.unionByName(own.where("deleted").select(F.lit(part["name"]).alias("part"), "colour")))
 
     def _purged(self) -> dict:
         """Writes one part with the samples that are not deleted; they keep their order."""
-        numbered = staged(metadata.assign(self.samples().where(~F.col("deleted")).withColumnRenamed("colour", "was"), ["was"], keep=["was"]), "numbered")
-        kept = numbered.groupBy(words.word_of(F.col("was")).alias("word_no")).agg(F.bit_or(words.mask_of(F.col("was"))).alias("kept"), F.min("colour").alias("start"))
-        # One row for 64 samples on the right; a word number may be that of most words.
-        closed = sig.compact(sig.closed_up(join_spread(self.signature(), staged(kept, "kept"), "word_no", "row_index")))
-        return self._write(self.spark, self.path, self.m, self.compression, closed, numbered, metadata.count(numbered), sum(p["words"] for p in self.parts))
+        live = self._samples().where(~F.col("deleted")).select(F.col("colour").alias("_was"), F.col("column").alias("was"), "sample_name")
+        numbered = staged(metadata.assign(live, ["_was"], keep=["was"]), "numbered")
+        columns = numbered.select("was", F.col("colour").alias("column"))
+        if self.num_columns != self.num_cols:  # a column goes with the last of its samples
+            columns = staged(metadata.assign(numbered.groupBy("was").agg(F.first("sample_name").alias("sample_name")), ["was"], keep=["was"]).select("was", F.col("colour").alias("column")), "kept")
+        kept = columns.groupBy(words.word_of(F.col("was")).alias("word_no")).agg(F.bit_or(words.mask_of(F.col("was"))).alias("kept"), F.min("column").alias("start"))
+        # One row for 64 columns on the right; a word number may be that of most words.
+        closed = sig.compact(sig.closed_up(join_spread(self._signature(), staged(kept, "kept"), "word_no", "row_index")))
+        return self._write(self.spark, self.path, self.m, self.compression, closed, numbered.join(columns, "was"), metadata.count(numbered), columns.count(), sum(p["words"] for p in self.parts))
 
     def compact(self, purge: bool = False) -> Index:
         """All parts as one. With `purge` without the deleted samples: their names are free again, and later samples get smaller numbers."""

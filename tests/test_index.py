@@ -234,3 +234,19 @@ def test_tidy_and_vacuum(spark, tmp_path):
     assert commits.numbers(spark, left.path) == [left.n] and left.vacuum(older_than=-60) == 0
     with pytest.raises(FileNotFoundError, match="commit 0"):
         Index(spark, left.path, n=0)
+
+
+def test_copies_share_a_column(spark, tmp_path):
+    """Samples of one sequence are stored once, and every read and change has them as samples of their own."""
+    seqs = {f"s{i}": ["ACGTTGCAACGGTCA", "TTGACCATGACCATG", "GGGTACCATTTACAG"][i % 3] for i in range(7)}
+    rows = spark.createDataFrame([(i, name, seq) for i, (name, seq) in enumerate(seqs.items())], "n int, sample_name string, seq string")
+    index = Index.build_sequences(spark, IndexConfig(k=K, m=M, h=H, path=str(tmp_path / "i")), rows, ["n"])
+    assert (index.num_cols, index.num_columns) == (7, 3)
+    plain = sig.signature_of_sequences(rows.select(F.col("n").alias("colour"), "seq"), "seq", K, H, M)
+    want = sorted(map(tuple, sig.untranspose(plain).collect()))
+    assert sorted(map(tuple, sig.untranspose(index.signature()).collect())) == want
+    assert [r["row_index"] for r in index.get_column(5).where("bit = 1").orderBy("row_index").collect()] == [r for r, c in want if c == 5]
+    names = lambda i, seq: {h["sample_name"] for h in i.search_one(seq)}
+    index = index.delete_samples(spark.createDataFrame([("s0",), ("s2",), ("s5",)], "sample_name string")).compact(purge=True)
+    assert (index.num_cols, index.num_columns) == (4, 2)
+    assert names(index, seqs["s0"]) == {"s3", "s6"} and names(index, seqs["s1"]) == {"s1", "s4"} and not names(index, seqs["s2"])
