@@ -10,6 +10,7 @@ many k-mers nor a position that all samples share lands whole in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from sigloom.plans.stage import staged
 
 #: Bits of the filter that leaves out rows nobody asks for; rows of larger Bloom filters share them.
 FILTER_BITS = 1 << 25
+#: Texts and sets of rows that a task remembers, by digests of 16 bytes.
+REMEMBERED = 1 << 17
 
 
 def _hashed(texts: DataFrame, key: str, text: str, k: int | None, h: int, m: int, only: np.ndarray | None = None) -> DataFrame:
@@ -35,8 +38,7 @@ def _hashed(texts: DataFrame, key: str, text: str, k: int | None, h: int, m: int
                 for of, found in windows.bloom_rows(codes, lengths, lengths[0] if k is None else k, h, m):
                     at, own = found.ravel(), np.repeat(rows[of], h)
                     if only is not None:
-                        bit = at % FILTER_BITS
-                        keep = (only[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                        keep = _passed(only, at)
                         at, own = at[keep], own[keep]
                     if len(at):
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(at.astype(np.int32))], names=[key, "row_index"])
@@ -44,6 +46,11 @@ def _hashed(texts: DataFrame, key: str, text: str, k: int | None, h: int, m: int
     return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, row_index int")
 
 
+def _passed(only: np.ndarray, at: np.ndarray) -> np.ndarray:
+    bit = at % (8 * len(only))
+    return (only[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
 def _row_filter(wanted: DataFrame) -> np.ndarray:
     """The bits of the rows wanted; at most FILTER_BITS, whatever is asked."""
     bit = F.pmod("row_index", F.lit(FILTER_BITS)) + 1
@@ -182,3 +189,61 @@ def lookup_sequences(kmers: DataFrame, seqs: DataFrame, k: int, h: int, m: int)
     if m > FILTER_BITS:
         held = held.join(wanted.select("row_index").distinct(), "row_index", "left_semi")
     return met_words(wanted, staged(transpose(held), "words"))
+
+
+def _asked_sets(seqs: DataFrame, key: str, text: str, k: int, h: int, m: int, only: np.ndarray) -> DataFrame:
+    """key, _set, _rows of the texts that have rows in `only`: the set of those rows by its digest, and the rows where a task meets the set first.
+
+    Texts that a task has seen are not hashed again.
+    """
+    kind = seqs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+        told: set[bytes] = set()
+        for batch in batches:
+            if len(known) > REMEMBERED:
+                known.clear()
+            if len(told) > REMEMBERED:
+                told.clear()
+            keys = [blake2b(t.encode(), digest_size=16).digest() for t in batch.column(1).to_pylist()]
+            fresh = {text_key: i for i, text_key in enumerate(keys) if text_key not in known}
+            known.update(dict.fromkeys(fresh, b""))
+            names, first = list(fresh), {}
+            part = batch.take(pa.array(list(fresh.values()), pa.int64()))
+            for rows, codes, lengths in windows.blocks(part, 1, k):
+                pairs = [np.zeros(0, np.int64)]
+                for of, found in windows.bloom_rows(codes, lengths, k, h, m):
+                    at, own = found.ravel(), np.repeat(of, h)
+                    keep = _passed(only, at)
+                    pairs.append(own[keep] << 32 | at[keep])
+                both = np.unique(np.concatenate(pairs))
+                edges = np.searchsorted(both >> 32, np.arange(len(rows) + 1))
+                at = (both & 0xFFFFFFFF).astype(np.int32)
+                for i, lo, hi in zip(rows.tolist(), edges, edges[1:]):
+                    if hi > lo:
+                        digest = known[names[i]] = blake2b(at[lo:hi].tobytes(), digest_size=16).digest()
+                        if digest not in told:
+                            told.add(digest)
+                            first[digest] = at[lo:hi]
+            sets = [known[text_key] for text_key in keys]
+            own = [i for i, digest in enumerate(sets) if digest]
+            sets = [sets[i] for i in own]
+            made = [pa.array(sets, pa.binary()), pa.array([first.pop(digest, None) for digest in sets], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *made], names=[key, "_set", "_rows"])
+
+    return seqs.select(key, text).mapInArrow(run, f"`{key}` {kind}, _set binary, _rows array<int>")
+
+
+def lookup_samples(kmers: DataFrame, samples: DataFrame, k: int, h: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """(colour, column) of samples (colour, seq) in which something asked is set, and kmer, word_no, bits of `lookup` over the columns.
+
+    A lookup reads only the rows asked for, so samples with the same of these share a column, whatever else they hold.
+    """
+    wanted = staged(wanted_rows(kmers, h, m), "wanted")
+    sets = staged(_asked_sets(km.pieces(samples, "colour", "seq", k), "colour", "_text", k, h, m, _row_filter(wanted)), "sets")
+    own = staged(sets.groupBy("colour").agg(F.sort_array(F.collect_set("_set")).alias("_sets")), "own")
+    columns = staged(own.groupBy("_sets").agg(F.min("colour").alias("column")), "columns")
+    rows = sets.where("_rows IS NOT NULL").dropDuplicates(["_set"]).select("_set", "_rows")
+    held = columns.select(F.col("column").alias("colour"), F.explode("_sets").alias("_set")).join(rows, "_set").select("colour", F.explode("_rows").alias("row_index"))
+    return own.join(columns, "_sets").select("colour", "column"), met_words(wanted, staged(transpose(held), "words"))

@@ -36,7 +36,7 @@ def csv_lines(queries: DataFrame, hits: DataFrame) -> DataFrame:
 def csv_text(queries: DataFrame, hits: DataFrame, header: bool = True, carriage_return: bool = True) -> DataFrame:
     """query_id, csv of each query with hits: CRLF after every line; without carriage_return the last LF is dropped."""
     first = ",".join(f'"{c}"' for c in ["query", *csv_columns(hits)])
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
     every = F.concat(F.array(F.lit(first)), lines) if header else lines
     text = F.concat(F.array_join(every, "\r\n"), F.lit("\r\n" if carriage_return else "\r"))
     return csv_lines(queries, hits).groupBy("query_id").agg(text.alias("csv"))

@@ -80,3 +80,34 @@ def test_search_of_copies(spark, monkeypatch):
         for how in ({"marks": True}, {"score": True}):
             got = search.search(asked, None, named.distinct(), 4, 3, 1 << 20, threshold, **how, looked=search.looked_up_sequences(asked, seqs, 4, 3, 1 << 20))
             assert {tuple(r) for r in got.select("query_id", "colour", "sample_name", "num_kmers", "num_kmers_found", "kmer-presence").collect()} == want
+
+
+def test_search_of_samples_with_the_same_of_what_is_asked(spark, monkeypatch):
+    """What nobody asks for does not tell samples apart: they are looked up as one, with the rows of a lookup one by one."""
+    random.seed(3)
+    some = lambda n: "".join(random.choice("ACGT") for _ in range(n))
+    heads = [some(40) for _ in range(4)]
+    rows = [(i, heads[i % 4] + some(60)) for i in range(400)] + [(400, heads[0]), (400, heads[1]), (401, None), (402, "ACG"), (403, some(80)), (404, heads[2] * 2000), (405, heads[3][:25])]
+    samples = spark.createDataFrame([(c, f"s{c}", c == 7, s) for c, s in rows], "colour int, sample_name string, deleted boolean, seq string").repartition(5)
+    asked = spark.createDataFrame([*((f"q{i}", s + some(20)) for i, s in enumerate(heads)), ("short", "AC"), ("none", some(50))], "query_id string, seq string")
+    named = samples.drop("seq").distinct()
+    for m, bits, kept, threshold, how in ((1 << 20, 1 << 25, 1 << 17, 0.0, {"marks": True}), (1 << 20, 1 << 15, 1, 0.4, {"marks": True}), (2500, 1 << 25, 1 << 17, 0.4, {})):
+        monkeypatch.setattr(sig, "FILTER_BITS", bits)
+        monkeypatch.setattr(sig, "REMEMBERED", kept)
+        looked = search.looked_up_sequences(asked, samples, 21, 3, m)
+        want = sorted(map(tuple, search.search(asked, None, named, 21, 3, m, threshold, **how, looked=looked).collect()))
+        got = search.search_sequences(asked, samples, 21, 3, m, threshold, **how).distinct().collect()
+        assert sorted(map(tuple, got)) == want and len(want) >= 400
+    monkeypatch.setattr(sig, "FILTER_BITS", 1 << 25)
+    columns = sig.lookup_samples(search.asked_kmers(asked, 21), samples, 21, 3, 25_000_000)[0]
+    assert columns.select("column").distinct().count() < 40
+
+
+def test_search_shuffles_no_row_for_each_sample(spark):
+    head = F.concat(*(F.translate(F.sha2(F.lit(str(i)), 256), "0123456789abcdef", "ACGTACGTACGTACGT") for i in range(10)))
+    own = F.translate(F.sha2(F.col("id").cast("string"), 256), "0123456789abcdef", "ACGTACGTACGTACGT")
+    samples = spark.range(2000).select(F.col("id").cast("int").alias("colour"), F.col("id").cast("string").alias("sample_name"), F.lit(False).alias("deleted"), F.concat(head, own).alias("seq")).repartition(4).localCheckpoint()
+    asked = spark.range(1).select(F.lit("q").alias("query_id"), head.alias("seq"))
+    before = shuffled(samples)
+    assert search.search_sequences(asked, samples, 31, 3, 25_000_000).count() == 2000
+    assert shuffled(samples) - before < 1_000_000  # 4 M rows are set
