@@ -101,6 +101,10 @@ class _Reader(DataSourceReader):
     def __init__(self, kind: type[Format], files: list[tuple[str, int]], most: int, wanted: list[str]):
         self.kind, self.files, self.most, self.wanted = kind, files, most, wanted
 
+    def __getstate__(self) -> dict:
+        # The list of all files is for the planner; a task has its own ranges.
+        return self.__dict__ | {"files": []}
+
     def partitions(self) -> list[InputPartition]:
         out: list[list[tuple[str, int, int, int]]] = [[]]
         room = self.most

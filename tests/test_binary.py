@@ -136,3 +136,10 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
     bits = spark.createDataFrame([("s", i) for i in range(0, 30, 7)], "sample string, row_index int")
     bloomfile.write_raw(bits, "sample", 30, str(tmp_path / "d"))
     assert (tmp_path / "d" / "s.bloom").read_bytes() == bytes([0b10000001, 0b00000010, 0b00000100, 0b00001000])
+
+
+def test_a_task_gets_no_list_of_all_files():
+    import pickle
+
+    few, many = (binary._Reader(bloomfile.Filters, [(f"/data/{i}.bloom", 10) for i in range(n)], 100, ["path"]) for n in (1, 5000))
+    assert len(pickle.dumps(many)) == len(pickle.dumps(few)) and len(many.partitions()) == 500
