@@ -165,6 +165,22 @@ def _tokens(data: bytes) -> Callable[[int], bytes]:
     return {rank: token for token, rank in read_ranks(data).items()}.__getitem__
 
 
+def _token_table(ranks: dict[bytes, int]) -> pa.Array:
+    """Token bytes by id."""
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return pa.array(tokens, pa.large_binary())
+
+
+def _joined(tokens: pa.Array, ids: np.ndarray, bounds: list[int]) -> pa.Array:
+    """The bytes of the tokens between one bound and the next, as one value each."""
+    taken = tokens.take(pa.array(ids))
+    _, places, data = taken.buffers()
+    ends = np.frombuffer(places, np.int64, len(ids) + 1)[bounds]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends)), data or pa.py_buffer(b"")]).cast(pa.binary())
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
     """With the ids of each text; and with the bytes that these stand for, as `decode` gives them, if a column for them is named.
 
@@ -176,23 +192,22 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern)
-        token = _tokens(ranks.value) if both else None
+        tokens = _token_table(encoder.ranks) if both else None
         for batch in batches:
-            done, flat, back = 0, [], []
+            done, flat = 0, []
             bounds = [0]
             for i, text in enumerate(batch.column(0)):
                 ids = encoder.text(text.as_py() or "")
                 flat.append(ids)
-                if both:
-                    back.append(b"".join(map(token, ids.tolist())))
                 bounds.append(bounds[-1] + len(ids))
                 if bounds[-1] >= 1 << 20 or i == batch.num_rows - 1:
-                    made = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat)))]
+                    every = np.concatenate(flat)
+                    made = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(every))]
                     if both:
-                        made.append(pa.array(back, pa.binary()))
+                        made.append(_joined(tokens, every, bounds))
                     part = batch.slice(done, i + 1 - done)
                     yield pa.RecordBatch.from_arrays([*made, *part.columns], names=["_bpe_ids", *["_bpe_bytes"] * both, "_bpe_text", *part.schema.names[1:]])
-                    done, flat, back, bounds = i + 1, [], [], [0]
+                    done, flat, bounds = i + 1, [], [0]
 
     rest, types = _others(docs, text_col, ids_col, bytes_col or ids_col)
     fed = docs.select(F.col(text_col).alias("_bpe_text"), *rest)

@@ -85,3 +85,10 @@ def test_tasks_of_the_first_stages_give_memory_back(spark, monkeypatch):
         assert stage(spark, small, DATA).columns == docs.columns
         assert tasks, name
         assert all(x.startswith("trimmed") for x in tasks), (name, tasks)
+
+
+def test_tokens_are_joined_by_the_batch():
+    ranks = {b"a": 0, b"bc": 3, b"\xff": 1}
+    ids = np.array([0, 3, 1, 3], np.int32)
+    assert bpe._joined(bpe._token_table(ranks), ids, [0, 0, 3, 4, 4]).to_pylist() == [b"", b"abc\xff", b"bc", b""]
+    assert bpe._joined(bpe._token_table({}), ids[:0], [0, 0]).to_pylist() == [b""]
